@@ -108,19 +108,21 @@ def moving_block_bootstrap(series: DataFrame, value: str = "diff", by: Sequence[
            .where(F.size("_v") > 0).withColumn("_t", F.size("_v")))
     width = max(one.sparkSession.sparkContext.defaultParallelism, 1)
     rep = one.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(width, *by, "_b")
-    room = F.greatest(F.col("_t") - (block - 1), F.lit(1))
     n_blocks = F.ceil(F.col("_t") / F.lit(block)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: (key_hash(
-        F.concat_ws(":", F.col("_b").cast("string"), j.cast("string"))) % room).cast("int"))
-    rep = rep.withColumn("_starts", starts)
-    take = lambda i: F.get("_v", F.least(
-        F.get("_starts", F.floor(i / F.lit(block)).cast("int")) + i % block, F.col("_t") - 1))
-    total = F.aggregate(F.sequence(F.lit(0), F.col("_t") - 1), F.lit(0.0), lambda acc, i: acc + take(i))
-    means = rep.select(*by, "_t", "_v", (total / F.col("_t")).alias("_m"))
-    return means.groupBy(*by).agg(
-        F.first(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / F.col("_t")).alias("mean"),
-        F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"),
-        F.first("_t").alias("n_dates"))
+    rep = rep.withColumn("_j", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    room = F.greatest(F.col("_t") - (block - 1), F.lit(1))
+    start = key_hash(F.concat_ws(":", F.col("_b").cast("string"), F.col("_j").cast("string"))) % room
+    # the last block is cut so that a replicate has exactly _t values
+    values = F.slice("_v", (start + 1).cast("int"), F.least(F.lit(block), F.col("_t") - F.col("_j") * block))
+    sums = rep.select(*by, "_b", "_t", F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("_s"))
+    means = sums.groupBy(*by, "_b").agg((F.sum("_s") / F.first("_t")).alias("_m"))
+    bounds = means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"),
+                                    F.percentile("_m", F.lit(0.975)).alias("hi"))
+    plain = series.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).cast("int").alias("n_dates"))
+    if by:
+        return plain.join(bounds, list(by)).select(*by, "mean", "lo", "hi", "n_dates")
+    return plain.select("mean", bounds.select("lo").scalar().alias("lo"), bounds.select("hi").scalar().alias("hi"),
+                        "n_dates")
 
 
 def precision_difference(df: DataFrame, model: str, base: str, k: int = C.TOP_K, by: Sequence[str] = ()) -> DataFrame:

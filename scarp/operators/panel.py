@@ -68,11 +68,11 @@ def complete_panel(per_pass: DataFrame, calendar: DataFrame, values: Sequence[st
     """
     keys = [*scope, "transect_id"]
     fields = per_pass.select("day", *values).schema
-    obs_type = f"array<{fields.simpleString()}>"
-    seen = per_pass.groupBy(*keys).agg(F.collect_list(F.struct("day", *values)).cast(obs_type).alias("_seen"))
+    seen = per_pass.groupBy(*keys).agg(F.collect_list(F.struct("day", *values)).alias("_seen"))
     if entities is not None:
+        none = F.array().cast(f"array<{fields.simpleString()}>")
         seen = entities.select(*keys).distinct().join(seen, keys, "left").withColumn(
-            "_seen", F.coalesce("_seen", F.array().cast(obs_type)))
+            "_seen", F.coalesce("_seen", none))
     days = calendar.groupBy(*scope).agg(F.collect_list("day").alias("_days"))
     if scope:
         seen = seen.join(days, list(scope))
@@ -80,7 +80,7 @@ def complete_panel(per_pass: DataFrame, calendar: DataFrame, values: Sequence[st
         seen = seen.withColumn("_days", days.scalar())
     absent = F.array_except("_days", F.transform("_seen", lambda o: o["day"]))
     blank = F.transform(absent, lambda d: F.struct(
-        d.alias("day"), *[F.lit(None).cast(fields[v].dataType).alias(v) for v in values])).cast(obs_type)
+        d.alias("day"), *[F.lit(None).cast(fields[v].dataType).alias(v) for v in values]))
     return seen.select(*keys, F.inline(F.concat("_seen", blank)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scarp import config as C
+from scarp.sources.warehouse import Warehouse
 
 EPOCH = "1995-01-01"
 STEP_DAYS = 12
@@ -18,6 +18,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self.warehouse = Warehouse(spark, self.dir)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -27,8 +28,15 @@ class Inputs:
         """Line items on the gapped 12-day pass calendar."""
         day = F.datediff(F.col("l_shipdate").cast("date"), F.lit(EPOCH).cast("date"))
         b = F.floor(day / F.lit(STEP_DAYS)).cast("int")
-        return (self.table("lineitem").withColumn("b", b).where(~F.pmod("b", F.lit(17)).isin(5, 6, 7))
-                .withColumn("date", F.date_add(F.lit(EPOCH).cast("date"), F.col("b") * STEP_DAYS)))
+        return self.table("lineitem").withColumn("b", b).where(~F.pmod("b", F.lit(17)).isin(5, 6, 7))
+
+    def calendar(self) -> DataFrame:
+        """Pass days, straight from the catalogue of passes."""
+        return self.pass_items().select("b").distinct().select(F.unix_date(pass_day()).alias("day"))
+
+    def maps(self) -> DataFrame:
+        from scarp.operators.panel import calendar_maps
+        return calendar_maps(self.calendar())
 
     def suppliers(self) -> DataFrame:
         bank = F.when(F.col("s_nationkey") % 2 == 0, "W").otherwise("E")
@@ -44,10 +52,8 @@ class Inputs:
             "x0": 100.0 * F.cos(0.05 * k), "y0": -200.0 * k, "nx": F.cos(turn), "ny": F.sin(turn)})
 
     def _panel(self, per_status: bool) -> DataFrame:
-        status = F.col("l_linestatus") if per_status else F.lit("P")
-        pass_id = F.concat_ws("_", F.date_format("date", "yyyyMMdd"), status)
         share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-        agg = (self.pass_items().groupBy("l_suppkey", "date", pass_id.alias("pass_id"))
+        agg = (self.pass_items().groupBy("l_suppkey", "b", *(["l_linestatus"] if per_status else []))
                .agg(F.sum("l_quantity").alias("bank_pos_m"),
                     (F.max("l_quantity") * 10.0).alias("dist_main_channel_m"),
                     (F.count(F.lit(1)) * 100.0).alias("near_channel_width_m"),
@@ -55,11 +61,15 @@ class Inputs:
                     share(F.col("l_returnflag") == "A").alias("char_shield_frac"),
                     (F.max("l_tax") * 100.0).alias("bank_height_m"),
                     F.count(F.lit(1)).alias("n_items")))
-        return agg.join(self.suppliers().select(F.col("k").alias("l_suppkey"), "transect_id"), "l_suppkey").drop(
-            "l_suppkey")
+        status = F.col("l_linestatus") if per_status else F.lit("P")
+        named = agg.withColumn("date", pass_day()).withColumn(
+            "pass_id", F.concat_ws("_", F.date_format("date", "yyyyMMdd"), status))
+        return (named.join(self.suppliers().select(F.col("k").alias("l_suppkey"), "transect_id"), "l_suppkey")
+                .drop("l_suppkey", "b", "l_linestatus"))
 
     def panel(self) -> DataFrame:
-        return self._panel(False)
+        """The position fact (materialised)."""
+        return self.warehouse.table("positions", lambda: self._panel(False))
 
     def panel_dup(self) -> DataFrame:
         """Up to two passes per (segment, date); every seventh position is missing on the first of them."""
@@ -68,15 +78,15 @@ class Inputs:
         return p.withColumn("bank_pos_m", F.when(~hole, F.col("bank_pos_m")))
 
     def stage(self) -> DataFrame:
-        return (self.pass_items().groupBy(F.unix_date("date").alias("day"))
-                .agg(F.count(F.lit(1)).cast("double").alias("stage_km2")))
+        n = self.pass_items().groupBy("b").agg(F.count(F.lit(1)).cast("double").alias("stage_km2"))
+        return n.select(F.unix_date(pass_day()).alias("day"), "stage_km2")
 
     def pass_summary(self) -> DataFrame:
         """One row per pass: the mask summary."""
-        agg = self.pass_items().groupBy("b", "date").agg(
+        agg = self.pass_items().groupBy("b").agg(
             F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"),
             F.avg("l_discount").alias("d"), F.max("l_orderkey").alias("top"))
-        return agg.select(
+        return agg.withColumn("date", pass_day()).select(
             F.concat_ws("_", F.date_format("date", "yyyyMMdd"), F.lit("P")).alias("pass_id"), "date",
             F.when(F.col("b") % 2 == 0, "S1A").otherwise("S1B").alias("platform"),
             (1.0 - F.col("b") % 23 / 100.0).alias("coverage"),
@@ -85,13 +95,19 @@ class Inputs:
             (F.col("b") % 80 / 100.0).alias("water_fraction"),
             (F.col("q") / 10.0).alias("water_area_km2"), F.col("n").cast("double").alias("belt_water_km2"))
 
-    def features(self) -> DataFrame:
+    def build_features(self) -> DataFrame:
         from scarp.operators.features import feature_table
-        return feature_table(self.panel(), self.transects(), self.stage())
+        return feature_table(self.panel(), self.transects(), self.stage(), maps=self.maps())
 
-    def labels(self) -> DataFrame:
+    def build_labels(self) -> DataFrame:
         from scarp.operators.labels import make_labels
-        return make_labels(self.panel(), THRESHOLD_M, MAJOR_M)
+        return make_labels(self.panel(), THRESHOLD_M, MAJOR_M, maps=self.maps())
+
+    def features(self) -> DataFrame:
+        return self.warehouse.table("features", self.build_features)
+
+    def labels(self) -> DataFrame:
+        return self.warehouse.table("labels", self.build_labels)
 
     def model_table(self) -> DataFrame:
         from scarp.operators.labels import model_table
@@ -130,3 +146,7 @@ class Inputs:
 
 def probability():
     return 1.0 / (1.0 + F.exp(-(0.01 * F.coalesce(F.col("ret_84_m"), F.lit(0.0)) - 0.5)))
+
+
+def pass_day():
+    return F.date_add(F.lit(EPOCH).cast("date"), F.col("b") * STEP_DAYS)

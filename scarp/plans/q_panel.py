@@ -15,7 +15,7 @@ from scarp.plans.sqltext import day, r6
 
 
 def _maps(i: Inputs):
-    return P.calendar_maps(P.pass_calendar(i.panel()))
+    return i.maps()
 
 
 def _grid(i: Inputs):
@@ -266,7 +266,7 @@ def _(i):
 SELECT transect_id, {day('forecast_date')} AS forecast_date, {r6(*C.FEATURES)}, {r6('bank_pos_m', 'raw_bank_pos_m')}, bank, chainage_m, year
 FROM z_features""")
 def _(i):
-    return i.features()
+    return i.build_features()
 
 
 _UNPIVOT = ", ".join(C.FEATURES)
@@ -281,14 +281,16 @@ def _(i):
 
 
 @register("feature_coverage_corr", f"""
-WITH u AS (UNPIVOT INCLUDE NULLS (SELECT retreat_m AS t, {_UNPIVOT} FROM z_model) ON {_UNPIVOT} INTO NAME feature VALUE value),
+WITH u AS (FROM (SELECT retreat_m AS t, {', '.join(f'round({c}, 9) AS {c}' for c in C.FEATURES)} FROM z_model) UNPIVOT INCLUDE NULLS (value FOR feature IN ({_UNPIVOT}))),
 s AS (SELECT feature, count(value) / count(*)::DOUBLE AS share FROM u GROUP BY feature),
 k AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS rv,
   rank() OVER (PARTITION BY feature ORDER BY t) + (count(*) OVER (PARTITION BY feature, t) - 1) / 2.0::DOUBLE AS rt FROM u WHERE value IS NOT NULL),
 c AS (SELECT feature, corr(rv, rt) AS spearman FROM k GROUP BY feature)
 SELECT feature, {r6('share')}, CASE WHEN isnan(spearman) THEN NULL ELSE round(spearman, 5) + 0.0::DOUBLE END AS spearman FROM s LEFT JOIN c USING (feature)""")
 def _(i):
-    return FT.coverage_and_rank_correlation(i.model_table(), C.FEATURES, "retreat_m").withColumn(
+    # nine decimals, so that rounding noise does not split tied ranks
+    table = i.model_table().select("retreat_m", *[F.round(c, 9).alias(c) for c in C.FEATURES])
+    return FT.coverage_and_rank_correlation(table, C.FEATURES, "retreat_m").withColumn(
         "spearman", F.round("spearman", 5))
 
 
@@ -303,7 +305,7 @@ def _(i):
 SELECT transect_id, {day('forecast_date')} AS forecast_date, {day('target_date')} AS target_date,
 {r6('retreat_m', 'window_retreat_m', 'permanent_retreat_m')}, y, major, year FROM z_labels""")
 def _(i):
-    return i.labels()
+    return i.build_labels()
 
 
 @register("label_threshold", f"""
