@@ -71,3 +71,12 @@ BOOT_N, BOOT_BLOCK = 4000, 3
 # inner edges of ten equal bins on [0, 1], as IEEE doubles
 RELIABILITY_EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
 REASONS_TOP_RANK = 40
+DEFAULT_WARNING_PROB = 0.5
+
+# --- alert texts (fixed values)
+BANK_NAMES = {"W": "West bank", "E": "East bank"}
+SMS_TEMPLATE = ("নদীভাঙন সতর্কবার্তা: আগামী কয়েক সপ্তাহে {place} এলাকার নদীতীরে ভাঙনের ঝুঁকি বেশি। "
+                "মালামাল ও গবাদিপশু নিরাপদ স্থানে সরানোর প্রস্তুতি নিন। ইউনিয়ন পরিষদের নির্দেশনা মেনে চলুন।")
+VOICE_TEMPLATE = ("এটি নদীভাঙন সতর্কবার্তা। আগামী কয়েক সপ্তাহে {place} এলাকার নদীতীরে ভাঙনের ঝুঁকি বেশি। "
+                  "ঘরের মালামাল ও গবাদিপশু নিরাপদ স্থানে সরানোর প্রস্তুতি নিন এবং ইউনিয়ন পরিষদের নির্দেশনা মেনে চলুন।")
+VOICE_CLIP = "/voices/warning_bangla.mp3"

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scarp import config as C
 from scarp.sources.warehouse import Warehouse
 
 EPOCH = "1995-01-01"
@@ -11,6 +12,15 @@ STEP_DAYS = 12
 THRESHOLD_M, MAJOR_M = 20.0, 50.0
 TRAIN, VAL, TEST = (1995, 1996, 1997, 1998), (1999,), (2000, 2001)
 K = 20
+# weights of a linear stand-in score, used where contributions are needed without a trained model
+WEIGHTS = {
+    "ret_28_m": 0.02, "ret_56_m": 0.01, "ret_84_m": 0.015, "raw_last_change_m": 0.01, "ret_365_m": 0.005,
+    "n_obs_365": -0.01, "dist_main_channel_m": -0.001, "d_dist_main_28_m": -0.002, "near_channel_width_m": 0.0005,
+    "char_shield_frac": -0.8, "nearbank_water_frac": 0.6, "baseline_curvature": 0.1, "embayment_m": 0.004,
+    "stage_km2": 0.0005, "stage_change_12d": 0.001, "stage_change_24d": 0.001, "stage_anom_km2": 0.002,
+    "inundation_m": 0.006, "doy_sin": -0.3, "doy_cos": 0.2, "nb_ret_84_m": 0.008, "nb_ret_365_m": 0.004,
+    "bank_height_m": 0.02,
+}
 
 
 class Inputs:
@@ -118,6 +128,28 @@ class Inputs:
         from scarp.operators.metrics import baseline_scores
         return baseline_scores(self.model_table()).withColumn("p", probability())
 
+    def build_predictions(self) -> DataFrame:
+        """Validation and test years, ranked, tiered and explained."""
+        from scarp.operators import explain as X
+        from scarp.operators import serving as A
+        lab = self.labels().select("transect_id", "forecast_date", "target_date", "retreat_m", "y", "major")
+        at = self.transects().select("transect_id", (89.5 + F.col("x0") / 100000.0).alias("lon"),
+                                     (24.5 + F.col("y0") / 1000000.0).alias("lat"))
+        score = F.coalesce("ret_84_m", F.lit(0.0))
+        f = (self.features().where(F.col("year").isin(*VAL, *TEST))
+             .join(lab, ["transect_id", "forecast_date"], "left").join(at, "transect_id", "left")
+             .withColumns({"raw": 0.01 * score - 0.5, "b0_p": 1.0 / (1.0 + F.exp(-(0.02 * score - 1.0)))})
+             .withColumn("p", 1.0 / (1.0 + F.exp(-F.col("raw")))))
+        ranked = A.rank_predictions(f)
+        # the stand-in score has no skill, so its measured floor is out of reach: use the default floor
+        tiered = ranked.withColumn("tier", A.assign_tiers(F.lit(C.DEFAULT_WARNING_PROB), THRESHOLD_M, K))
+        told = X.linear_contributions(tiered, WEIGHTS, X.feature_means(f, list(WEIGHTS)))
+        return told.withColumn("reasons", F.when(F.col("rank") <= C.REASONS_TOP_RANK, X.reasons(list(WEIGHTS)))).select(
+            *A.KEEP, *[c for c in WEIGHTS if c not in A.KEEP], "year")
+
+    def predictions(self) -> DataFrame:
+        return self.warehouse.table("predictions", self.build_predictions)
+
     # --- images ----------------------------------------------------------------------------------------------
     def bands(self) -> DataFrame:
         """Pixels of both bands, long: (band, row, col, db)."""
