@@ -1 +1,105 @@
-"""placeholder"""
+"""Bank position queries: every image row serves as a transect of 64 samples."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scarp.operators import bankpos as B
+from scarp.operators import raster as R
+from scarp.plans import q_raster  # noqa: F401  (raster fragments)
+from scarp.plans.catalogue import register
+from scarp.plans.fixtures import Inputs
+from scarp.plans.sqltext import day, fragment
+
+S0, STEP, NEAR, SHIELD, GUARD = -150.0, 10.0, 100.0, 300.0, 50.0
+
+
+def land(i: Inputs):
+    """Masks with the capped distance of every pixel to the nearest pixel that is not water."""
+    dry = F.coalesce(F.col("mask"), F.lit(0)) != 1
+    return R.distance_within(i.masks(), dry, 7, "_d").withColumn("land_dist", F.coalesce("_d", F.lit(7.0))).drop("_d")
+
+
+def samples(i: Inputs, width: bool = False):
+    px = land(i) if width else i.masks()
+    flag = F.coalesce("mask", F.lit(0))
+    return px.select("img", F.col("row").alias("transect_id"), F.col("col").alias("sample"), flag.alias("belt"), flag.alias("water"),
+                     F.col("mask").isNull().cast("int").alias("nodata"), *(["land_dist"] if width else []))
+
+
+fragment("z_land", """
+SELECT a.img, a.row, a.col, any_value(a.mask) AS mask, coalesce(sqrt(min((a.row - b.row) ** 2 + (a.col - b.col) ** 2)), 7) AS land_dist FROM z_masks a
+LEFT JOIN z_masks b ON b.img = a.img AND coalesce(b.mask, 0) <> 1 AND b.row BETWEEN a.row - 7 AND a.row + 7 AND b.col BETWEEN a.col - 7 AND a.col + 7
+  AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 49 GROUP BY a.img, a.row, a.col""")
+fragment("z_smp", "SELECT img, row AS transect_id, col AS sample, coalesce(mask, 0) AS belt, (mask IS NULL)::INT AS nodata, land_dist FROM z_land")
+fragment("z_idx", """
+SELECT img, transect_id, coalesce(max(sample) FILTER (n = 3), -1)::INT AS idx FROM (
+  SELECT *, sum(belt) OVER (PARTITION BY img, transect_id ORDER BY sample ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM z_smp) GROUP BY ALL""")
+fragment("z_bank", """
+SELECT i.img, i.transect_id, i.idx, (i.idx >= 0 AND max(s.nodata) FILTER (s.sample >= CASE WHEN i.idx >= 0 THEN i.idx - 5 ELSE 0 END) = 0 AND max(s.belt) FILTER (s.sample = 63) = 0) AS ok,
+  avg(s.belt) FILTER (s.sample BETWEEN i.idx - 10 AND i.idx) AS nearw, 1 - avg(s.belt) FILTER (s.sample BETWEEN i.idx - 30 AND i.idx) AS shield,
+  20 * max(s.land_dist) FILTER (s.sample BETWEEN i.idx - 10 AND i.idx) AS width FROM z_idx i JOIN z_smp s USING (img, transect_id) GROUP BY i.img, i.transect_id, i.idx""")
+
+
+def banks(i: Inputs, width: bool = False):
+    return B.measure_banks(samples(i, width), S0, STEP, near_m=NEAR, shield_m=SHIELD, guard_m=GUARD)
+
+
+@register("first_run_from_end", "SELECT * FROM z_idx")
+def _(i):
+    return B.first_run_from_land(samples(i))
+
+
+@register("position_valid", "SELECT img, transect_id, idx, ok::INT AS valid, CASE WHEN ok THEN -150 + idx * 10.0::DOUBLE END AS bank_pos_m FROM z_bank")
+def _(i):
+    return banks(i).select("img", "transect_id", "idx", "valid", "bank_pos_m")
+
+
+@register("dist_main_channel", """
+WITH c AS (SELECT img, row, col FROM z_land WHERE mask = 1 AND land_dist >= 2)
+SELECT b.img, b.transect_id, round(10 * sqrt(min((c.row - b.transect_id) ** 2 + (c.col - b.idx) ** 2)), 6) AS dist_main_channel_m
+FROM z_bank b LEFT JOIN c ON c.img = b.img WHERE ok GROUP BY b.img, b.transect_id""")
+def _(i):
+    px = land(i).withColumn("core", ((F.col("mask") == 1) & (F.col("land_dist") >= 2)).cast("int"))
+    pts = banks(i).where("valid = 1").select("img", "transect_id", F.col("transect_id").alias("row"), F.col("idx").alias("col"))
+    return B.distance_to_core(pts, px, "core").select("img", "transect_id", "dist_main_channel_m")
+
+
+@register("near_channel_width", "SELECT img, transect_id, CASE WHEN ok THEN round(width, 6) END AS near_channel_width_m FROM z_bank")
+def _(i):
+    return banks(i, True).select("img", "transect_id", "near_channel_width_m")
+
+
+@register("nearbank_water_frac", "SELECT img, transect_id, CASE WHEN ok THEN round(nearw, 6) END AS nearbank_water_frac FROM z_bank")
+def _(i):
+    return banks(i).select("img", "transect_id", "nearbank_water_frac")
+
+
+@register("char_shield_frac", "SELECT img, transect_id, CASE WHEN ok THEN round(shield, 6) + 0.0::DOUBLE END AS char_shield_frac FROM z_bank")
+def _(i):
+    return banks(i).select("img", "transect_id", "char_shield_frac")
+
+
+@register("belt_area", """
+SELECT e.img, round(sum(eroded) * 100 / 1e6, 6) AS belt_area_km2, round(count(*) FILTER (eroded = 1 AND mask = 1) * 100 / 1e6, 6) AS belt_water_km2
+FROM z_eroded e JOIN z_masks m ON m.img = e.img AND m.row = e.row AND m.col = e.col GROUP BY 1""")
+def _(i):
+    return B.belt_area(R.erode(i.masks(), "mask", "belt").withColumn("water", F.col("mask")))
+
+
+@register("assemble_positions", f"""
+SELECT p.transect_id, p.pass_id, {day('s.date')} AS date, platform, round(water_area_km2, 6) AS water_area_km2, otsu_ok, round(coverage, 6) AS coverage, p.bank_pos_m
+FROM z_panel p JOIN z_summary s USING (pass_id)""")
+def _(i):
+    return B.assemble_positions(i.panel().drop("date"), i.pass_summary()).select(
+        "transect_id", "pass_id", "date", "platform", "water_area_km2", "otsu_ok", "coverage", "bank_pos_m")
+
+
+@register("bank_height", f"""
+WITH dem AS (SELECT transect_id, j.range AS sample, ((k * 31 + j.range * 17) % 101) / 10.0::DOUBLE AS z FROM z_sup, range(551) j),
+p AS (SELECT transect_id, date, round_even((bank_pos_m + 1500) / 10, 0)::INT AS j FROM z_panel)
+SELECT p.transect_id, {day('date')} AS date, round(avg(z) FILTER (sample BETWEEN j + 5 AND j + 30) - quantile_cont(z, 0.5::DOUBLE) FILTER (sample BETWEEN greatest(j - 200, 0) AND j - 21), 6) + 0.0::DOUBLE AS bank_height_m
+FROM p JOIN dem USING (transect_id) WHERE sample BETWEEN j - 200 AND j + 30 GROUP BY p.transect_id, date""")
+def _(i):
+    dem = i.suppliers().select("transect_id", "k", F.explode(F.sequence(F.lit(0), F.lit(550))).alias("sample")).select(
+        "transect_id", "sample", ((F.col("k") * 31 + F.col("sample") * 17) % 101 / 10.0).alias("z"))
+    return B.bank_height(i.panel().drop("bank_height_m"), dem, -1500.0, 10.0).select("transect_id", "date", "bank_height_m")
