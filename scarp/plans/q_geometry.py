@@ -86,7 +86,8 @@ WITH t AS (SELECT bank, n.range * 137.0::DOUBLE AS d FROM (SELECT bank, max(m) A
 SELECT t.bank, t.d, round(xa + (d - ma) / (mb - ma) * (xb - xa), 6) + 0.0::DOUBLE AS x, round(ya + (d - ma) / (mb - ma) * (yb - ya), 6) + 0.0::DOUBLE AS y FROM t JOIN z_seg s ON {_ON}""")
 def _(i):
     m = measured(i)
-    t = m.groupBy("bank").agg(F.max("m").alias("l")).select("bank", (F.explode(F.sequence(F.lit(0), F.floor(F.col("l") / 137).cast("int"))) * 137.0).alias("d"))
+    t = m.groupBy("bank").agg(F.max("m").alias("l")).select("bank", F.explode(F.transform(
+        F.sequence(F.lit(0), F.floor(F.col("l") / 137).cast("int")), lambda n: n * 137.0)).alias("d"))
     return G.line_interpolate(t, G.line_segments(m))
 
 
