@@ -1 +1,110 @@
-"""placeholder"""
+"""Model queries (rows only: tree ensembles and isotonic fits have no SQL form). Few rounds keep them short."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scarp import config as C
+from scarp.operators import explain as X
+from scarp.operators import labels as L
+from scarp.operators import metrics as M
+from scarp.operators import models as ML
+from scarp.operators import serving as A
+from scarp.plans.catalogue import register
+from scarp.plans.fixtures import K, TEST, TRAIN, VAL, Inputs
+
+ROUNDS = 6
+PARAMS = {"maxDepth": 4, "minInstancesPerNode": 50, "stepSize": 0.1}
+_MODELS: dict[tuple[str, str], ML.RiskModel] = {}
+
+
+def table(i: Inputs):
+    return i.warehouse.table("model_table", lambda: M.baseline_scores(
+        L.with_split(i.model_table(), TRAIN, VAL, TEST)))
+
+
+def part(i: Inputs, split: str):
+    return table(i).where(F.col("split") == split)
+
+
+def model(i: Inputs) -> ML.RiskModel:
+    """The fitted model of this application and scale."""
+    key = (i.spark.sparkContext.applicationId, i.dir)
+    if key not in _MODELS:
+        _MODELS[key] = ML.fit_boosted(part(i, "train"), C.FEATURES, ROUNDS, **PARAMS)
+    return _MODELS[key]
+
+
+def scored_val(i: Inputs):
+    return i.warehouse.table("scored_val", lambda: model(i).score(part(i, "val"), "M1_raw"))
+
+
+def calibrators(i: Inputs):
+    return ML.calibrate_all(scored_val(i), ["M1_raw", "B0_persistence", "B1_history"])
+
+
+def scored_test(i: Inputs):
+    return i.warehouse.table("scored_test", lambda: ML.score_temporal(part(i, "test"), model(i), calibrators(i)[0]))
+
+
+@register("fit_boosted")
+def _(i):
+    return model(i).score(part(i, "val")).select("transect_id", "forecast_date", "raw", "y")
+
+
+@register("tune_grid")
+def _(i):
+    _, trials = ML.tune_grid(part(i, "train"), part(i, "val"), C.FEATURES, rounds=3, k=K)
+    return i.spark.createDataFrame(trials)
+
+
+@register("fit_isotonic")
+def _(i):
+    v = scored_val(i)
+    return ML.fit_isotonic(v, "M1_raw").apply(v, "M1_raw", "p").select("transect_id", "forecast_date", "M1_raw", "p")
+
+
+@register("calibrate_all")
+def _(i):
+    return calibrators(i)[1]
+
+
+@register("score_temporal")
+def _(i):
+    return scored_test(i).select("transect_id", "forecast_date", "M1", "M1_raw", "B0_persistence_p", "B1_history_p", "y")
+
+
+@register("model_vs_persistence")
+def _(i):
+    return M.compare_models(scored_test(i), "M1", "B0_persistence", K)
+
+
+@register("spatial_holdout")
+def _(i):
+    small = {"maxDepth": [4], "minInstancesPerNode": [50], "stepSize": [0.1, 0.3]}
+    s = ML.spatial_holdout(table(i), C.FEATURES, ROUNDS, 10, small)
+    return M.summarise(s, "M1_spatial", "M1_spatial", 10)
+
+
+def ablation(i: Inputs):
+    return i.warehouse.table("ablation", lambda: ML.ablate_groups(table(i), C.FEATURE_GROUPS, PARAMS, ROUNDS, K))
+
+
+@register("ablate_groups")
+def _(i):
+    return ablation(i)
+
+
+@register("ablation_rank")
+def _(i):
+    a = ablation(i).where("split = 'test' AND metric = 'precision_at_k'")
+    return A.ablation_rank(a.select("variant", "n_features", F.col("delta_vs_full").alias("delta_precision_at_k")))
+
+
+@register("tree_contributions")
+def _(i):
+    m = model(i)
+    names = [*m.features, *[f"{f}_missing" for f in m.features]]
+    v = ML.vectors(part(i, "test"), m.features, m.medians)
+    c = X.tree_contributions(v, m.gbt, names, "vec")
+    # a feature and its missing flag are one reason
+    return c.select("transect_id", "forecast_date", *[(F.col(f"c_{f}") + F.col(f"c_{f}_missing")).alias(f) for f in m.features])

@@ -1 +1,75 @@
-"""placeholder"""
+"""Streaming queries: the panel arrives in files, the results must equal the batch ones."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scarp import config as C
+from scarp.operators.catalog import pending_passes
+from scarp.plans import q_panel  # noqa: F401
+from scarp.plans.catalogue import register
+from scarp.plans.fixtures import Inputs
+from scarp.plans.sqltext import day, r6
+from scarp.session import scratch
+from scarp.streaming import incremental as S
+
+
+def positions(i: Inputs):
+    stage = i.stage().select(F.date_from_unix_date("day").alias("date"), F.col("stage_km2").alias("belt_water_km2"))
+    return i.panel().join(F.broadcast(stage), "date")   # one row per pass
+
+
+def land_in_files(df, path: str, cuts: list) -> None:
+    """Append one file per interval (cuts[n], cuts[n + 1]]."""
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        part = df.where((F.col("date") > F.lit(a).cast("date")) & (F.col("date") <= F.lit(b).cast("date")))
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def last_dates(i: Inputs, n: int) -> list[str]:
+    """The last n pass dates of the calendar, oldest first."""
+    rows = i.calendar().orderBy(F.desc("day")).limit(n).select(F.date_from_unix_date("day").cast("string")).collect()
+    return sorted(r[0] for r in rows)
+
+
+@register("incremental_pass", f"""
+SELECT transect_id, {day('forecast_date')} AS forecast_date, {r6(*C.FEATURES)}, bank_pos_m FROM z_features
+WHERE forecast_date IN (SELECT date FROM z_cal ORDER BY date DESC LIMIT 2)""")
+def _(i):
+    base = scratch(i.spark, "pass-stream")
+    p = positions(i)
+    d = last_dates(i, 3)
+    store, incoming, out = f"{base}/positions", f"{base}/incoming", f"{base}/features"
+    S.store_positions(p.where(F.col("date") <= F.lit(d[0]).cast("date")), store)
+    land_in_files(p, incoming, d)
+    S.run_incremental(i.spark, incoming, p.schema, store, out, f"{base}/checkpoint", i.transects())
+    return i.spark.read.parquet(out).select("transect_id", "forecast_date", *C.FEATURES, "bank_pos_m")
+
+
+@register("incremental_skip", "SELECT pass_id FROM z_summary WHERE date_diff('day', DATE '1995-01-01', date) // 12 % 3 = 0 OR water_fraction > 0.5::DOUBLE")
+def _(i):
+    s = i.pass_summary().withColumn("b", F.floor(F.datediff("date", F.lit("1995-01-01").cast("date")) / 12))
+    ts = F.col("date").cast("timestamp")
+    inputs = s.select("pass_id", F.when(F.col("water_fraction") > 0.5, ts + F.expr("interval 2 days")).otherwise(ts).alias("input_ts"))
+    done = s.where("b % 3 <> 0").select("pass_id", (ts + F.expr("interval 1 day")).alias("result_ts"))
+    return pending_passes(inputs, done)
+
+
+YEARS = ["1994-12-31", "1996-12-31", "1998-12-31", "2000-12-31", "2002-12-31"]
+
+
+@register("stream_pass_counts", f"SELECT {day('date')} AS date, count(*) AS n, round(count(bank_pos_m) / count(*)::DOUBLE, 6) AS valid_share FROM z_panel GROUP BY 1")
+def _(i):
+    base = scratch(i.spark, "count-stream")
+    p = i.panel().select("transect_id", "date", "bank_pos_m")
+    land_in_files(p, f"{base}/incoming", YEARS)
+    return S.run_pass_counts(i.spark, f"{base}/incoming", p.schema, f"{base}/out", f"{base}/checkpoint")
+
+
+@register("stream_last_change", f"""
+SELECT transect_id, {day('date')} AS date, CASE WHEN date_diff('day', lag(date) OVER w, date) <= 30 THEN bank_pos_m - lag(bank_pos_m) OVER w END AS change_m
+FROM z_panel WINDOW w AS (PARTITION BY transect_id ORDER BY z_panel.date)""")
+def _(i):
+    base = scratch(i.spark, "change-stream")
+    p = i.panel().select("transect_id", "date", "bank_pos_m")
+    land_in_files(p, f"{base}/incoming", YEARS)
+    return S.run_last_changes(i.spark, f"{base}/incoming", p.schema, f"{base}/out", f"{base}/checkpoint")
