@@ -36,12 +36,13 @@ def linear_contributions(df: DataFrame, weights: Mapping[str, float], means: Map
 
 
 def tree_contributions(df: DataFrame, model, features: Sequence[str], vector: str = "features") -> DataFrame:
-    """Path attributions of a Spark ML tree ensemble: each split hands the change of the node mean to its feature.
+    """Path attributions of the log-odds of a boosted ensemble: each split hands the change of the node mean to its
+    feature. Spark's boosting margin is half the log-odds.
 
     Node tables (bounded by trees x nodes) travel with the closure; rows stream through in Arrow batches.
     """
     from pyspark.ml.functions import vector_to_array
-    trees = [(w, _node_table(t)) for w, t in zip(model.treeWeights, model.trees)]
+    trees = [(2.0 * w, _node_table(t)) for w, t in zip(model.treeWeights, model.trees)]
     n = len(features)
 
     @F.pandas_udf("array<double>")

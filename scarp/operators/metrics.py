@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scarp import config as C
-from scarp.functions.ordering import key_hash, rank_rows, running_sums, top_rows
+from scarp.functions.ordering import exact_percentiles, key_hash, rank_rows, running_sums, top_rows
 
 KEYS = ("forecast_date", "transect_id")
 
@@ -153,13 +153,21 @@ def large_event_sensitivity(df: DataFrame, scores: Sequence[str], limits: Sequen
     """P@k again without positives whose retreat exceeds a limit. Each row is repeated once per limit it passes."""
     arms = F.array(*[F.when((F.col("y") == 0) | (F.col("retreat_m") <= x), F.lit(float(x))) for x in limits])
     cut = df.withColumn("limit_m", F.explode(F.array_compact(arms)))
+    pos = df.where("y = 1")
+    shares = pos.agg(*[(F.sum(F.when(F.col("retreat_m") > x, 1).otherwise(0)) / F.count(F.lit(1))).alias(f"s{n}")
+                       for n, x in enumerate(limits)])
+    share = None
+    for n, x in enumerate(limits):
+        value = shares.select(f"s{n}").scalar()
+        share = F.when(F.col("limit_m") == x, value) if share is None else share.when(F.col("limit_m") == x, value)
+    median = exact_percentiles(pos, [], "retreat_m", {"m": 0.5}).scalar()
     out = None
     for s in scores:
         part = (precision_at_k(cut, s, k, ["limit_m"]).groupBy("limit_m")
                 .agg(F.avg("precision").alias("precision_at_k"), F.count(F.lit(1)).alias("n_dates"))
                 .withColumn("score", F.lit(s)))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumns({"large_share": share, "median_positive_retreat_m": median})
 
 
 def baseline_scores(df: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -52,48 +54,68 @@ def vectors(df: DataFrame, features: Sequence[str], medians: Mapping[str, float]
     return VectorAssembler(inputCols=names, outputCol="vec").transform(df.withColumns({**filled, **flags})).drop(*names)
 
 
+def _training_vectors(train: DataFrame, valid: DataFrame | None, features: Sequence[str],
+                      medians: Mapping[str, float]) -> DataFrame:
+    data = train.select(*features, "y", F.lit(False).alias("_val"))
+    if valid is not None:
+        data = data.unionByName(valid.select(*features, "y", F.lit(True).alias("_val")))
+    return vectors(data, features, medians).select("vec", F.col("y").cast("double").alias("label"), "_val").persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
+def _trees(rounds: int, early_stop: bool, seed: int, params: Mapping) -> GBTClassifier:
+    stop = {"validationIndicatorCol": "_val", "validationTol": 0.001} if early_stop else {}
+    return GBTClassifier(featuresCol="vec", labelCol="label", maxIter=rounds, subsamplingRate=0.8,
+                         featureSubsetStrategy="0.8", seed=seed, **stop, **params)
+
+
 def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 100, valid: DataFrame | None = None,
                 seed: int = SEED, **params) -> RiskModel:
     """Boosted trees; with ``valid`` the number of trees is chosen by early stopping on its log-loss."""
     features = list(features)
     medians = training_medians(train, features)
-    data = train.select(*features, "y", F.lit(False).alias("_val"))
-    if valid is not None:
-        data = data.unionByName(valid.select(*features, "y", F.lit(True).alias("_val")))
-    stop = {"validationIndicatorCol": "_val", "validationTol": 0.001} if valid is not None else {}
-    gbt = GBTClassifier(featuresCol="vec", labelCol="label", maxIter=rounds, subsamplingRate=0.8,
-                        featureSubsetStrategy="0.8", seed=seed, **stop, **params)
-    data = vectors(data, features, medians).select("vec", F.col("y").cast("double").alias("label"), "_val")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = _training_vectors(train, valid, features, medians)
     try:
-        model = gbt.fit(data)
+        model = _trees(rounds, valid is not None, seed, params).fit(data)
     finally:
         data.unpersist()
     return RiskModel(features, medians, model, {"rounds": model.getNumTrees, **params})
 
 
 def tune_grid(train: DataFrame, val: DataFrame, features: Sequence[str], rounds: int = 100, k: int = C.TOP_K,
-              grid: Mapping[str, Iterable] | None = None) -> tuple[RiskModel, list[dict]]:
+              grid: Mapping[str, Iterable] | None = None, parallelism: int = 4) -> tuple[RiskModel, list[dict]]:
     """Fit the whole grid with early stopping; best mean validation P@k wins, average precision breaks ties.
 
-    Every trial scores the validation rows into one long table, so the metrics of all trials are one job.
+    The vectors are built once and the fits run side by side. Every trial scores the validation rows into one long
+    table, so the metrics of all trials are one job.
     """
     grid = grid or GRID
-    trials, scored = [], None
-    for n, values in enumerate(itertools.product(*grid.values())):
-        params = dict(zip(grid, values))
-        m = fit_boosted(train, features, rounds, val, **params)
-        trials.append({"trial": n, **params, "trees": m.gbt.getNumTrees, "model": m})
-        part = m.score(val.select(*M.KEYS, "y", *m.features)).select(F.lit(n).alias("trial"), *M.KEYS, "y", "raw")
+    features = list(features)
+    medians = training_medians(train, features)
+    data = _training_vectors(train, val, features, medians)
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+    def one(params: dict) -> RiskModel:
+        m = _trees(rounds, True, SEED, params).fit(data)
+        return RiskModel(features, medians, m, {"rounds": m.getNumTrees, **params})
+
+    try:
+        with ThreadPool(min(parallelism, len(points))) as pool:
+            models = pool.map(inheritable_thread_target(train.sparkSession)(one), points)
+    finally:
+        data.unpersist()
+    scored = None
+    for n, m in enumerate(models):
+        part = m.score(val.select(*M.KEYS, "y", *features)).select(F.lit(n).alias("trial"), *M.KEYS, "y", "raw")
         scored = part if scored is None else scored.unionByName(part)
     scored = settle(scored)
     p = M.precision_at_k(scored, "raw", k, ["trial"]).groupBy("trial").agg(F.avg("precision").alias("p"))
     both = p.join(M.pr_auc(scored, "raw", ["trial"]), "trial").collect()   # one row per trial
     by_trial = {r["trial"]: (r["p"] or 0.0, r["pr_auc"] or 0.0) for r in both}
-    for t in trials:
-        t["val_precision_at_k"], t["val_pr_auc"] = by_trial.get(t["trial"], (0.0, 0.0))
-    best = max(trials, key=lambda t: (t["val_precision_at_k"], t["val_pr_auc"]))
-    return best["model"], [{c: v for c, v in t.items() if c != "model"} for t in trials]
+    quality = [by_trial.get(n, (0.0, 0.0)) for n in range(len(models))]
+    trials = [{"trial": n, **points[n], "trees": models[n].gbt.getNumTrees, "val_precision_at_k": q[0],
+               "val_pr_auc": q[1]} for n, q in enumerate(quality)]
+    return models[max(range(len(models)), key=lambda n: quality[n])], trials
 
 
 @dataclass

@@ -163,12 +163,13 @@ SELECT s.*, chainage_m <= med AS upstream FROM z_scores s JOIN (
 fragment("z_down", f"SELECT *, {rank_sql('B0_persistence')} AS rb0, {rank_sql('B1_history')} AS rb1 FROM z_up WHERE NOT upstream AND year >= 2000")
 
 
-@register("large_event_sensitivity", f"""
+@register("sensitivity_large", f"""
 WITH l AS (SELECT s.*, x.limit_m FROM z_scores s, (SELECT unnest([60.0::DOUBLE, 100.0::DOUBLE]) AS limit_m) x WHERE y = 0 OR retreat_m <= limit_m),
-r AS (SELECT *, {rank_sql('B0_persistence', 'limit_m, forecast_date')} AS rb0, {rank_sql('B1_history', 'limit_m, forecast_date')} AS rb1 FROM l)
-SELECT limit_m, 'B0_persistence' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb0', 'r', 'limit_m, ')}) GROUP BY 1
+r AS (SELECT *, {rank_sql('B0_persistence', 'limit_m, forecast_date')} AS rb0, {rank_sql('B1_history', 'limit_m, forecast_date')} AS rb1 FROM l),
+a AS (SELECT limit_m, 'B0_persistence' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb0', 'r', 'limit_m, ')}) GROUP BY 1
 UNION ALL
-SELECT limit_m, 'B1_history' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb1', 'r', 'limit_m, ')}) GROUP BY 1""")
+SELECT limit_m, 'B1_history' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb1', 'r', 'limit_m, ')}) GROUP BY 1)
+SELECT *, (SELECT round(avg((retreat_m > limit_m)::INT), 6) FROM z_scores WHERE y = 1) AS large_share, (SELECT round(quantile_cont(retreat_m, 0.5::DOUBLE), 6) FROM z_scores WHERE y = 1) AS median_positive_retreat_m FROM a""")
 def _(i):
     return M.large_event_sensitivity(i.scores(), ["B0_persistence", "B1_history"], [60.0, 100.0], K)
 

@@ -9,6 +9,7 @@ from scarp.operators import labels as L
 from scarp.operators import metrics as M
 from scarp.operators import models as ML
 from scarp.operators import serving as A
+from scarp.plans import q_metrics  # noqa: F401  (score fragments)
 from scarp.plans.catalogue import register
 from scarp.plans.fixtures import K, TEST, TRAIN, VAL, Inputs
 
@@ -63,6 +64,16 @@ def _(i):
     return ML.fit_isotonic(v, "M1_raw").apply(v, "M1_raw", "p").select("transect_id", "forecast_date", "M1_raw", "p")
 
 
+@register("isotonic_binned", """
+WITH b AS (SELECT floor(ret_84_m / 10) * 10 AS s, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM z_scores WHERE year = 1999 AND ret_84_m IS NOT NULL GROUP BY 1),
+c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM b WINDOW w AS (ORDER BY s)),
+ab AS (SELECT i.s, a.s AS a, min((e.cp - a.cp + a.p) / (e.cn - a.cn + a.n)) AS low FROM c i JOIN c a ON a.s <= i.s JOIN c e ON e.s >= i.s GROUP BY ALL)
+SELECT s AS score, round(max(low), 6) + 0.0::DOUBLE AS p FROM ab GROUP BY s""")
+def _(i):
+    v = part(i, "val").where("ret_84_m IS NOT NULL").withColumn("score", (F.floor(F.col("ret_84_m") / 10) * 10).cast("double"))
+    return ML.fit_isotonic(v, "score").apply(v.select("score").distinct(), "score", "p")
+
+
 @register("calibrate_all")
 def _(i):
     return calibrators(i)[1]

@@ -18,8 +18,9 @@ LABEL_REACH_DAYS = C.HORIZON_DAYS + C.TARGET_TOL_DAYS + C.PERMANENT_DAYS
 
 
 def store_positions(rows: DataFrame, store: str) -> None:
-    """Positions by pass date; a replayed batch replaces its own dates only."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(store)
+    """Positions by pass date; a replayed batch replaces its own dates only. Rebalancing makes few files per date and
+    splits a date that is far larger than the others."""
+    rows.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(store)
 
 
 def features_of_dates(spark: SparkSession, store: str, dates: DataFrame, transects: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def run_incremental(spark: SparkSession, incoming: str, schema, store: str, out:
         store_positions(batch, store)
         dates = batch.select("date").distinct()   # the pass dates of one batch
         f = features_of_dates(batch.sparkSession, store, dates, transects)
-        f.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_date").parquet(out)
+        f.hint("rebalance", "forecast_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_date").parquet(out)
 
     (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
      .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
