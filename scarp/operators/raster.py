@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scarp import config as C
 from scarp.functions import columns as K
@@ -17,12 +20,17 @@ TILE = 256
 
 
 # --- focal machinery -----------------------------------------------------------------------------------------------
+def _spread(px: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Give each pixel the number of its tile, and of the neighbours whose halo it lies in."""
+    span = lambda c: F.explode(F.array_distinct(F.array(
+        F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile))))
+    return px.withColumn("_tr", span("row")).withColumn("_tc", span("col"))
+
+
 def tile_with_halo(px: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     if radius >= tile:
         raise ValueError("the tile must be larger than the radius")
-    span = lambda c: F.explode(F.array_distinct(F.array(
-        F.floor((F.col(c) - radius) / tile), F.floor((F.col(c) + radius) / tile))))
-    return px.withColumn("_tr", span("row")).withColumn("_tc", span("col")).repartition("img", "_tr", "_tc")
+    return _spread(px, radius, tile).repartition("img", "_tr", "_tc")
 
 
 def only_owned(px: DataFrame, tile: int = TILE) -> DataFrame:
@@ -83,18 +91,39 @@ def opening(px: DataFrame, mask: str, out: str = "opened", tile: int = TILE) ->
 
 
 def distance_within(px: DataFrame, target: Column, radius: int, out: str = "dist", tile: int = TILE) -> DataFrame:
-    """Exact distance (px) to the nearest target pixel, NULL beyond ``radius``."""
-    t = tile_with_halo(px.withColumn("_hit", F.when(target, F.col("row"))), radius, tile)
-    w = Window.partitionBy("img", "_tr", "_tc", "col").orderBy("row")
-    up = F.col("row") - F.last("_hit", True).over(w.rangeBetween(-radius, 0))
-    down = F.first("_hit", True).over(w.rangeBetween(0, radius)) - F.col("row")
-    t = t.withColumn("_g", F.least(up, down))
-    near = F.collect_list(F.when(F.col("_g").isNotNull(), F.struct("col", "_g"))).over(_row_window(radius))
-    t = t.withColumn("_near", near)
-    d2 = F.array_min(F.transform("_near", lambda s: (s["col"] - F.col("col")) * (s["col"] - F.col("col")) + s["_g"] * s["_g"]))
-    t = t.withColumn("_sq", d2)
-    return only_owned(t.withColumn(out, F.when(F.col("_sq") <= radius * radius, F.sqrt("_sq")))
-                      .drop("_hit", "_g", "_near", "_sq"), tile)
+    """Exact distance (px) to the nearest target pixel, NULL beyond ``radius``.
+
+    A minimum over shifted distances is no window aggregate, so each tile (with its halo, of fixed size) is an array
+    in its task: vertical distances first, then the minimum over the horizontal shifts.
+    """
+    if radius >= tile:
+        raise ValueError("the tile must be larger than the radius")
+    spread = _spread(px.withColumn("_hit", F.coalesce(target, F.lit(False))), radius, tile)
+    schema = T.StructType([*px.schema.fields, T.StructField(out, T.DoubleType())])
+    size, names = tile + 2 * radius, px.columns
+
+    def measure(tab: pa.Table) -> pa.Table:
+        r = tab["row"].to_numpy() - (tab["_tr"][0].as_py() * tile - radius)
+        c = tab["col"].to_numpy() - (tab["_tc"][0].as_py() * tile - radius)
+        far = np.int64(4 * size)
+        g = np.full((size, size), far, dtype=np.int64)
+        g[r, c] = np.where(tab["_hit"].to_numpy(zero_copy_only=False), 0, far)
+        for i in range(1, size):
+            np.minimum(g[i], g[i - 1] + 1, out=g[i])
+        for i in range(size - 2, -1, -1):
+            np.minimum(g[i], g[i + 1] + 1, out=g[i])
+        g *= g
+        best = g.copy()
+        for o in range(1, radius + 1):
+            np.minimum(best[:, o:], g[:, :-o] + o * o, out=best[:, o:])
+            np.minimum(best[:, :-o], g[:, o:] + o * o, out=best[:, :-o])
+        own = (r >= radius) & (r < tile + radius) & (c >= radius) & (c < tile + radius)
+        d2 = best[r[own], c[own]]
+        kept = tab.filter(pa.array(own)).select(names)
+        dist = pa.array(np.sqrt(d2.astype(float)), mask=d2 > radius * radius)
+        return kept.append_column(out, dist)
+
+    return spread.groupBy("img", "_tr", "_tc").applyInArrow(measure, schema)
 
 
 # --- calibration and thresholds ------------------------------------------------------------------------------------
