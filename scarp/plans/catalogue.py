@@ -5,6 +5,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scarp.plans.fixtures import K, Inputs
 from scarp.plans.present import present
@@ -12,18 +13,23 @@ from scarp.plans.sqltext import query
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_DOUBLES: dict[str, tuple[str, ...]] = {}
 
 
-def register(name: str, sql: str | None = None, shape: bool = True):
-    """Register ``f(inputs) -> DataFrame`` under ``name``."""
+def register(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
+    """Register ``f(inputs) -> DataFrame`` under ``name``.
+
+    ``doubles``: integer columns that may be NULL; they leave as DOUBLE, which every client reads the same way.
+    """
     def deco(f: Callable[[Inputs], DataFrame]):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(Inputs(spark, sf_dir))
-            return present(out) if shape else out
+            out = present(f(Inputs(spark, sf_dir)))
+            return out.withColumns({c: F.col(c).cast("double") for c in doubles}) if doubles else out
         _QUERIES[name] = run
         if sql is not None:
             _SQL[name] = sql
+            _DOUBLES[name] = doubles
         return f
     return deco
 
@@ -40,7 +46,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return {n: query(s) for n, s in _SQL.items()}
+    return {n: _as_doubles(query(s), _DOUBLES[n]) for n, s in _SQL.items()}
+
+
+def _as_doubles(sql: str, cols: tuple[str, ...]) -> str:
+    if not cols:
+        return sql
+    return f"SELECT * REPLACE ({', '.join(f'{c}::DOUBLE AS {c}' for c in cols)}) FROM ({sql})"
 
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:

@@ -130,7 +130,7 @@ _CLS = """cls AS (SELECT row, col, vv, CASE WHEN vv IS NOT NULL THEN (vv < t_vv)
   CASE WHEN vv IS NOT NULL THEN coalesce(vh < t_vh AND vv < t_vv + 3 AND NOT vv < t_vv, false)::INT END AS rescued FROM z_raster, th)"""
 
 
-@register("px_classify_water", f"WITH {_TH}, {_CLS} SELECT row, col, rescued, CASE WHEN vv IS NOT NULL THEN greatest(dark, rescued) END AS water FROM cls")
+@register("px_classify_water", f"WITH {_TH}, {_CLS} SELECT row, col, rescued, CASE WHEN vv IS NOT NULL THEN greatest(dark, rescued) END AS water FROM cls", doubles=('rescued', 'water'))
 def _(i):
     return classified(i).select("row", "col", "rescued", "water")
 
@@ -196,7 +196,7 @@ WITH RECURSIVE {flood('wl', "z_masks WHERE mask = 1")},
 w AS (SELECT m.*, coalesce(k.size > 10, false) AS w FROM z_masks m LEFT JOIN (SELECT img, id, count(*) OVER (PARTITION BY img, label) AS size FROM wl) k ON k.img = m.img AND k.id = m.row * 100000 + m.col),
 {flood('ll', "w WHERE mask IS NOT NULL AND NOT w")},
 lk AS (SELECT img, id, count(*) OVER (PARTITION BY img, label) AS size FROM ll)
-SELECT w.img, w.row, w.col, CASE WHEN mask IS NOT NULL THEN 1 - coalesce((lk.size > 10)::INT, 0) END AS sieved FROM w LEFT JOIN lk ON lk.img = w.img AND lk.id = w.row * 100000 + w.col""")
+SELECT w.img, w.row, w.col, CASE WHEN mask IS NOT NULL THEN 1 - coalesce((lk.size > 10)::INT, 0) END AS sieved FROM w LEFT JOIN lk ON lk.img = w.img AND lk.id = w.row * 100000 + w.col""", doubles=('sieved',))
 def _(i):
     return CC.sieve(i.masks(), "mask", 10).select("img", "row", "col", "sieved")
 
@@ -225,7 +225,7 @@ LINE = [(100.0, 300.0), (300.0, 320.0), (560.0, 250.0)]
 WITH p AS (SELECT *, (col + 0.5::DOUBLE) * 10 AS x, (row + 0.5::DOUBLE) * 10 AS y FROM z_masks),
 t AS (SELECT *, ((x - 100) * 200 + (y - 300) * 20) / 40400 AS t1, ((x - 300) * 260 + (y - 320) * -70) / 72500 AS t2 FROM p)
 SELECT img, row, col, CASE WHEN mask IS NULL THEN NULL WHEN (t1 >= 0 AND (x - 100 - least(greatest(t1, 0), 1) * 200) ** 2 + (y - 300 - least(greatest(t1, 0), 1) * 20) ** 2 <= 3600)
-  OR (t2 <= 1 AND (x - 300 - least(greatest(t2, 0), 1) * 260) ** 2 + (y - 320 + least(greatest(t2, 0), 1) * 70) ** 2 <= 3600) THEN 1 ELSE mask END AS burned FROM t""")
+  OR (t2 <= 1 AND (x - 300 - least(greatest(t2, 0), 1) * 260) ** 2 + (y - 320 + least(greatest(t2, 0), 1) * 70) ** 2 <= 3600) THEN 1 ELSE mask END AS burned FROM t""", doubles=('burned',))
 def _(i):
     return R.burn_line(i.masks(), "mask", LINE, 60.0).select("img", "row", "col", "burned")
 
@@ -289,7 +289,7 @@ def _(i):
 
 @register("px_scene_mask", """
 SELECT row, col, v::INT AS valid, CASE WHEN v THEN (mndwi > 0)::INT END AS water, CASE WHEN v THEN (mndwi > 0 OR ndvi < 0.15::DOUBLE)::INT END AS channel
-FROM (SELECT *, mndwi IS NOT NULL AND ndvi IS NOT NULL AND scl NOT IN (0, 1, 3, 8, 9, 10) AS v FROM z_scene)""")
+FROM (SELECT *, mndwi IS NOT NULL AND ndvi IS NOT NULL AND scl NOT IN (0, 1, 3, 8, 9, 10) AS v FROM z_scene)""", doubles=('water', 'channel'))
 def _(i):
     return R.scene_masks(scene(i)).select("row", "col", "valid", "water", "channel")
 

@@ -124,7 +124,7 @@ def _(i):
 
 @register("predictions_all", f"""
 SELECT transect_id, {day('forecast_date')} AS forecast_date, bank, chainage_m, {r6('lon', 'lat', 'p', 'raw', 'b0_p', 'ret_28_m', 'ret_84_m', 'ret_365_m',
- 'raw_last_change_m', 'bank_pos_m', 'char_shield_frac', 'retreat_m')}, rank, b0_rank, tier, {day('target_date')} AS target_date, y, major, reasons FROM z_pred""")
+ 'raw_last_change_m', 'bank_pos_m', 'char_shield_frac', 'retreat_m')}, rank, b0_rank, tier, {day('target_date')} AS target_date, y, major, reasons FROM z_pred""", doubles=('y', 'major'))
 def _(i):
     return i.build_predictions().select(*[c for c in A.KEEP if c not in ("reasons", "dist_main_channel_m")],
                                         F.nullif(_told(), F.lit("")).alias("reasons"))
@@ -150,7 +150,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY forecast_date, y IS NULL ORDER B
   row_number() OVER (PARTITION BY forecast_date, y IS NULL ORDER BY b0_rank) AS lb FROM z_pred2) GROUP BY forecast_date""")
 
 
-@register("prediction_index", f"SELECT * REPLACE ({day('forecast_date')} AS forecast_date) FROM z_index")
+@register("prediction_index", f"SELECT * REPLACE ({day('forecast_date')} AS forecast_date) FROM z_index", doubles=('positives',))
 def _(i):
     return _index(i)
 
@@ -160,7 +160,7 @@ SELECT {day('forecast_date')} AS date, transect_id AS id, round(p, 4) AS p, rank
  round_even(ret_84_m, 0) + 0.0::DOUBLE AS ret84, round_even(ret_365_m, 0) + 0.0::DOUBLE AS ret365, round_even(raw_last_change_m, 0) + 0.0::DOUBLE AS last,
  round_even(bank_pos_m, 0) + 0.0::DOUBLE AS pos, coalesce(raw_last_change_m >= 20, false)::INT AS mon, y, round_even(retreat_m, 0) + 0.0::DOUBLE AS retreat, major,
  {day('target_date')} AS target, (SELECT string_agg(text, ' | ' ORDER BY rn) FROM z_told t WHERE t.transect_id = z_pred.transect_id AND t.forecast_date = z_pred.forecast_date) AS reasons
-FROM z_pred""")
+FROM z_pred""", doubles=('y', 'major'))
 def _(i):
     return A.prediction_rows(i.predictions(), THRESHOLD_M).withColumn(
         "reasons", F.nullif(F.array_join("reasons", " | "), F.lit("")))
