@@ -103,7 +103,7 @@ def top_reasons(features: Sequence[str], top: int = 3) -> Column:
 
 
 def reason_text(group: Column) -> Column:
-    """Sentence for a reason group from the row's own feature values."""
+    """Sentence for a reason group from the row's own feature values. Wording and limits are fixed values."""
     c = F.col
     moved = (F.when(c("ret_28_m") > 5, F.concat(F.lit("Bank retreated "), metres(c("ret_28_m")), F.lit(" in the last 4 weeks")))
              .when(c("ret_84_m") > 5, F.concat(F.lit("Bank retreated "), metres(c("ret_84_m")), F.lit(" in the last 12 weeks"))))

@@ -83,7 +83,7 @@ class Inputs:
 
     def panel_dup(self) -> DataFrame:
         """Up to two passes per (segment, date); every seventh position is missing on the first of them."""
-        p = self._panel(True)
+        p = self.warehouse.table("positions_by_status", lambda: self._panel(True))
         hole = (F.col("pass_id").endswith("_F")) & (F.col("n_items") % 7 == 1)
         return p.withColumn("bank_pos_m", F.when(~hole, F.col("bank_pos_m")))
 
