@@ -24,8 +24,12 @@ def slices_over(slices: DataFrame, box: tuple[float, float, float, float], relat
 
 
 def group_passes(slices: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per (platform, datatake); its slices in start order. A datatake has a handful of slices."""
-    g = slices.groupBy("platform", "datatake").agg(
+    """One row per (platform, datatake); its slices in start order.
+
+    A datatake has a handful of slices; listed copies of a slice combine map-side before any list is built.
+    """
+    once = slices.select("platform", "datatake", "start", *fields).distinct()
+    g = once.groupBy("platform", "datatake").agg(
         F.sort_array(F.collect_list(F.struct("start", *fields))).alias("slices"))
     date = F.col("slices")[0]["start"].cast("date")
     return g.select(F.concat_ws("_", F.date_format(date, "yyyyMMdd"), "platform").alias("pass_id"),
