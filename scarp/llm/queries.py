@@ -5,8 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scarp.llm import bpe, packing, records
 from scarp.llm.simhash import near_duplicates
 from scarp.llm.texts import table
+from scarp.session import scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -22,6 +24,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+
+
+@register
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "records")
+    records.write_records(table(spark, sf_dir, "documents"), path)
+    return records.read_records(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
