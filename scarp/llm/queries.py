@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scarp.llm import bpe, packing, records
+from scarp.llm import bpe, packing, recompress, records
 from scarp.llm.simhash import near_duplicates
 from scarp.llm.texts import table
 from scarp.session import scratch
@@ -34,6 +34,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
+@register
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.repeats(table(spark, sf_dir, "documents"))
+
+
 @register
 def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "records")
