@@ -16,7 +16,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from scarp.llm.texts import id_and_text, rows_with_text
-from scarp.llm.tokens import LONG, WORD_BPE, Remembered, TextEncoder, tokenizer_file
+from scarp.llm.tokens import GENERATION, LONG, WORD_BPE, Remembered, TextEncoder, tokenizer_file
 
 SHORT = 128
 _NONE = 1 << 60
@@ -50,7 +49,7 @@ class Bpe:
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.spaced = j.get("decoder") is None          # without a decoder tokens are joined by spaces
         self.cut = TextEncoder(path)
-        self.seen = Remembered(self._learn)
+        self.seen, self.words = Remembered(self._learn), {}
 
     def merge(self, ids: list[int]) -> list[int]:
         if len(ids) > SHORT:
@@ -90,21 +89,36 @@ class Bpe:
                     heapq.heappush(heap, (q, left, ids[left], ids[right]))
         return [x for x in ids if x >= 0]
 
-    def word(self, piece: str) -> list[int]:
-        """Ids of one pre-tokenized piece in the file's byte alphabet."""
-        symbols = [*piece[:-1], piece[-1] + self.end]
-        return self.merge([self.vocab[s] for s in symbols])
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def word(self, piece: str) -> tuple[bytes, bytes]:
+        """(ids, their decoded form) of one pre-tokenized piece in the file's byte alphabet."""
+        if (known := self.words.get(piece)) is None:
+            ids = self.merge([self.vocab[s] for s in (*piece[:-1], piece[-1] + self.end)])
+            if len(self.words) >= GENERATION:
+                self.words.clear()
+            known = self.words[piece] = self._pair(ids)
+        return known
+
+    def _pair(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return np.array(ids, "<u4").tobytes(), self.decode(ids).encode() if self.spaced else b""
+
+    def _joined(self, parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        if len(parts) == 1:
+            return parts[0]
+        return b"".join(p[0] for p in parts), b" ".join(p[1] for p in parts)
+
+    def pieces(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        norm = self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+        return self.tok.pre_tokenizer.pre_tokenize_str(norm)
+
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        """(ids, their decoded form) of a text with its special tokens' strings."""
+        out = []
         for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(self._pair([self.special[part]]))
             elif part:
-                norm = self.tok.normalizer.normalize_str(part) if self.tok.normalizer else part
-                for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(norm):
-                    out.extend(self.word(piece))
-        return out
+                out += [self.word(piece) for piece, _ in self.pieces(part)]
+        return self._joined(out)
 
     def decode(self, ids) -> str:
         """As the library does without skipping special tokens."""
@@ -112,26 +126,38 @@ class Bpe:
             return " ".join(self.text_of[i] for i in ids)
         return self.tok.decode(list(ids), skip_special_tokens=False)
 
-    def _learn(self, new: list) -> list[tuple[bytes, str]]:
-        out = []
-        for x in new:
-            ids = self.encode(x.decode("utf-8", "replace") if isinstance(x, bytes) else x)
-            out.append((np.array(ids, "<u4").tobytes(), self.decode(ids) if self.spaced else ""))
-        return out
-
-    def both_ways(self, raw: bytes) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, text decoded from them)."""
+    def _learn(self, new: list) -> list[tuple[bytes, bytes]]:
+        if self.cut.kind != "word":
+            return [self.encode(x) for x in new]
+        out: list = [None] * len(new)
+        # ASCII stretches are pre-tokenized in one call: normalizing keeps their lengths and the spaces between them.
+        plain = [i for i, x in enumerate(new) if x.isascii() and b"<|" not in x]
+        ends, at = [], 0
+        for i in plain:
+            at += len(new[i]) + 1
+            ends.append(at)
+        found: list[list] = [[] for _ in plain]
+        k = 0
+        for piece, (start, _) in self.pieces(b" ".join(new[i] for i in plain).decode()) if plain else []:
+            while start >= ends[k]:
+                k += 1
+            found[k].append(self.word(piece))
+        for i, parts in zip(plain, found):
+            out[i] = self._joined(parts)
+        return [self.encode(x.decode("utf-8", "replace")) if v is None else v for x, v in zip(new, out)]
+
+    def both_ways(self, raw: bytes) -> tuple[bytes, bytes]:
+        """(ids as little-endian unsigned 32-bit integers, text decoded from them in UTF-8)."""
         parts = self.cut.stretches(raw)
         if parts is None:
-            ids = self.encode(raw.decode("utf-8", "replace"))
-            return np.array(ids, "<u4").tobytes(), self.decode(ids)
-        found, rest = [], iter(parts)
-        while some := list(islice(rest, LONG)):
-            found += self.seen.look_up(some)
-        ids = b"".join(f[0] for f in found)
-        if self.spaced:
-            return ids, " ".join(f[1] for f in found if f[0])
-        return ids, self.decode(np.frombuffer(ids, "<u4").tolist())
+            ids, text = self.encode(raw.decode("utf-8", "replace"))
+        elif not parts:
+            ids = text = b""
+        else:
+            found = [v for i in range(0, len(parts), LONG) for v in self.seen.look_up(parts[i:i + LONG])]
+            each, texts = zip(*found)
+            ids, text = b"".join(each), b" ".join(filter(None, texts))
+        return (ids, text) if self.spaced else (ids, self.decode(np.frombuffer(ids, "<u4").tolist()).encode())
 
 
 @lru_cache(maxsize=2)
@@ -150,8 +176,8 @@ def encode_decode(docs: DataFrame, tokenizer: str = WORD_BPE, texts: bool = Fals
             cols: list[list] = [[] for _ in range(6 if texts else 4)]
             for doc, raw in rows_with_text(iter([b])):
                 ids, text = bpe.both_ways(raw)
-                row = [doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()]
-                for c, v in zip(cols, row + ([np.frombuffer(ids, "<u4").tolist(), text] if texts else [])):
+                row = [doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()]
+                for c, v in zip(cols, row + ([np.frombuffer(ids, "<u4").tolist(), text.decode()] if texts else [])):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
