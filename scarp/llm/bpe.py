@@ -128,7 +128,7 @@ class Bpe:
 
     def _learn(self, new: list) -> list[tuple[bytes, bytes]]:
         if self.cut.kind != "word":
-            return [self.encode(x) for x in new]
+            return [self.encode(self.cut.text_of(x)) for x in new]
         out: list = [None] * len(new)
         # ASCII stretches are pre-tokenized in one call: normalizing keeps their lengths and the spaces between them.
         plain = [i for i, x in enumerate(new) if x.isascii() and b"<|" not in x]

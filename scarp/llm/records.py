@@ -66,14 +66,15 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
             .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], row) -> Iterator[tuple[str, tuple]]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of the index, from the records' own bytes."""
     for b in batches:
         for name, content in zip(b.column(0), b.column(1)):
             data = memoryview(content.as_buffer())
             at, tokens, name = 0, 0, name.as_py()
             while at < len(data):
                 doc, ids, nxt = parse(data, at)
-                yield (name, doc, at, nxt - at, tokens, *row(ids))
+                yield name, doc, at, nxt - at, tokens, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
                 tokens, at = tokens + len(ids), nxt
 
 
@@ -92,13 +93,16 @@ def _batches(rows: Iterator[tuple], kinds: list[pa.DataType]) -> Iterator[pa.Rec
     yield batch()
 
 
-_WHERE = "file string, doc_id long, offset long, bytes long, before long"
-_KINDS = [pa.string(), *[pa.int64()] * 4]
+_INDEX = "file string, doc_id long, offset long, bytes long, before long, n_tokens long, ids_crc32 long"
+_KINDS = [pa.string(), *[pa.int64()] * 6]
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = END_ID,
                   file_bytes: int = FILE_BYTES) -> None:
-    """Write ``path``/records and its index ``path``/index (file, doc_id, offset, bytes, before, n_tokens)."""
+    """Write ``path``/records and, from reading them, ``path``/index: where each record lies and what it holds.
+
+    The index has file, doc_id, offset, bytes, before (ids of the file before it), n_tokens and ids_crc32.
+    """
     file, end = tokenizer_file(tokenizer), np.array([end_id], "<u4").tobytes()
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,33 +119,29 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
             yield pa.record_batch([pa.array(some, pa.binary())], ["frame"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(_scan(batches, lambda ids: (len(ids),)), [*_KINDS, pa.int64()])
+        return _batches(_scan(batches), _KINDS)
 
     spark, texts = docs.sparkSession, id_and_text(docs)
     total = texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     (texts.repartitionByRange(int(total // file_bytes) + 1, "doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.text(f"{path}/records"))
-    _files(spark, path).mapInArrow(index, _WHERE + ", n_tokens long").write.parquet(f"{path}/index")
+    _files(spark, path).mapInArrow(index, _INDEX).write.parquet(f"{path}/index")
 
 
 def _index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_WHERE + ", n_tokens long").parquet(f"{path}/index")
+    return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record in the files, checked against their checksums.
+    """(doc_id, start, n_tokens, ids_crc32) of every record as it was read from the files into the index.
 
-    ``start`` counts the ids of all records before: those of the file, and those of earlier files by the index.
+    ``start`` counts the ids of all records before: those of the file, and those of earlier files.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(_scan(batches, lambda ids: (len(ids), zlib.crc32(ids.astype("<u4").tobytes()))),
-                        [*_KINDS, pa.int64(), pa.int64()])
-
+    rows = _index(spark, path)
     # One row per file; the window over them is as long as there are files.
-    sizes = _index(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    rows = _files(spark, path).mapInArrow(run, _WHERE + ", n_tokens long, ids_crc32 long")
     return rows.join(first, "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

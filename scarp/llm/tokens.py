@@ -26,8 +26,11 @@ GENERATION = 400_000    # stretches kept per generation
 LONG = 100_000          # stretches of a text that are looked up at once
 # White space as Unicode has it; Python's \s adds \x1c-\x1f.
 _SPACE, _INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-# Letters, then a mark: both kinds always split there (the dotted capital I is no letter alone in lower case).
-_MARKED = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,])")
+# Letters, then a mark: always split there (the dotted capital I is no letter alone in lower case).
+_MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,])")
+# White space of other kinds, or next to other white space (these bytes may also begin characters that are none).
+_ODD = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80",
+        b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _STRETCH = re.compile(rf" ?{_INK}+|{_SPACE}+(?!{_INK})|{_SPACE}+")
 
 
@@ -44,26 +47,25 @@ class Remembered(dict):
 
     def __init__(self, learn):
         super().__init__()
-        self.learn, self.old = learn, {}
+        self.learn, self.old, self.new = learn, {}, []
+
+    def __missing__(self, key):
+        if (v := self.old.get(key)) is None:
+            self.new.append(key)
+        else:
+            self[key] = v
+        return v
 
     def look_up(self, keys: list) -> list:
-        try:
-            return list(map(self.__getitem__, keys))
-        except KeyError:
-            pass
-        if len(self) >= GENERATION:
-            self.old = dict(self)
-            self.clear()
-        new = []
-        for k in set(keys):
-            if k not in self:
-                if (v := self.old.get(k)) is None:
-                    new.append(k)
-                else:
-                    self[k] = v
-        for i in range(0, len(new), 4096):
-            self.update(zip(new[i:i + 4096], self.learn(new[i:i + 4096])))
-        return list(map(self.__getitem__, keys))
+        found = list(map(self.__getitem__, keys))
+        if self.new:
+            if len(self) >= GENERATION:
+                self.old = dict(self)
+                self.clear()
+            new, self.new = list(dict.fromkeys(self.new)), []
+            self.update(zip(new, self.learn(new)))
+            found = [self[k] if v is None else v for k, v in zip(keys, found)]
+        return found
 
 
 class TextEncoder:
@@ -78,6 +80,7 @@ class TextEncoder:
         pre, norm = j.get("pre_tokenizer") or {}, j.get("normalizer")
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         self.specials = [t["content"] for t in j.get("added_tokens", [])]
+        self.special_bytes = [s.encode() for s in self.specials]
         simple = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in j.get("added_tokens", []))
         first = (pre.get("pretokenizers") or [{}])[0]
         self.kind = "whole"
@@ -89,15 +92,11 @@ class TextEncoder:
 
     def _learn(self, new: list) -> list[bytes]:
         """Ids of new stretches; a word and the mark after it are looked up apart, as words come with and without."""
-        texts = [x.decode("utf-8", "replace") for x in new] if self.kind == "word" else new
+        texts = list(map(self.text_of, new))
+        if self.kind != "word":
+            return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         split = [(m[1], m[2]) if (m := _MARKED.fullmatch(t)) else (t,) for t in texts]
-        known: dict[str, bytes] = {}
-        for t in {t for parts in split for t in parts}:
-            key = t.encode() if self.kind == "word" else t
-            if (v := self.seen.get(key) or self.seen.old.get(key)) is not None:
-                known[t] = v
-            else:
-                known[t] = None
+        known = {t: self.seen.get(k := t.encode()) or self.seen.old.get(k) for t in {t for parts in split for t in parts}}
         want = [t for t, v in known.items() if v is None]
         for t, e in zip(want, self.tok.encode_batch_fast(want, add_special_tokens=False)):
             known[t] = array("I", e.ids).tobytes()
@@ -109,10 +108,21 @@ class TextEncoder:
             # Lower case is what these files ask for. It is left to the library where it could meet a special token's
             # string, or a combining mark that composes with one case only.
             return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
-        text = raw.decode("utf-8", "replace")
-        if self.kind == "whole" or any(s in text for s in self.specials):
+        if self.kind == "whole" or any(s in raw for s in self.special_bytes):
             return None
-        return _STRETCH.findall(text)
+        if not raw or raw[0] in b" \n" or raw[-1] in b" \n" or any(s in raw for s in _ODD):
+            return _STRETCH.findall(raw.decode("utf-8", "replace"))
+        # White space is single spaces and line feeds between words: a word takes the space before it, a line its line feed.
+        parts = raw.replace(b"\n", b" \n").split(b" ")
+        parts[0] = parts[0].decode("utf-8", "replace")
+        return parts
+
+    def text_of(self, key) -> str:
+        """The stretch that a key of ``stretches`` stands for."""
+        if isinstance(key, str):
+            return key
+        text = key.decode("utf-8", "replace")
+        return text if self.kind == "word" or text[:1] == "\n" else " " + text
 
     def ids(self, raw: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
