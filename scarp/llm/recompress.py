@@ -12,8 +12,8 @@ Runs of one word have no pairs; a run is named by its word and length, and windo
 before, so that nothing about them needs to be looked up.
 
 Spark's work: (1) a start's name, the 14 words around it, is dealt to buckets; a name seen twice or more is a repeat, the
-rest is dropped, which is nearly all. (2) Only around repeated starts windows are named by 128 bits and dealt to buckets,
-which keep the first occurrence of each by document and place: this verifies the repeat word by word and settles its order.
+rest is dropped, which is nearly all. (2) Only around repeated starts windows are named by 96 bits and dealt to buckets,
+which keep the first occurrence of each by document and place: this verifies the repeat and settles its order.
 (3) Each document loses the words under its other windows. Every task sends a name once however often it holds it, so no
 group is larger than the number of tasks; what it knows to be repeats from its own rows passes by.
 
@@ -25,7 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,8 @@ CAPS = (2, 3, 6, 7)         # most words of a symbol after each round
 CONTEXT = 7                 # words on either side that decide a start after the last round
 BUCKET_BYTES = 16 << 20     # of text per bucket
 NO_ID = -(1 << 63)
-_VOCABULARY = 1 << 19
+_VOCABULARY = 1 << 18
+_PIECE = 2 << 20            # of text handled at once
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -59,21 +63,20 @@ class _Vocabulary(dict):
 
     def __init__(self):
         super().__init__()
-        self.names: list[tuple[int, int]] = []
+        self.names = array("Q"), array("Q")
 
     def __missing__(self, w: bytes) -> int:
-        self[w] = n = len(self.names)
-        self.names.append((xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w, 2)))
+        self[w] = n = len(self)
+        for seed, names in enumerate(self.names, 1):
+            names.append(xxhash.xxh64_intdigest(w, seed))
         return n
 
     def of(self, docs: list[list[bytes]], lanes: int) -> list[np.ndarray]:
         if len(self) > _VOCABULARY:
             self.clear()
-            self.names.clear()
-        n = sum(map(len, docs))
-        at = np.fromiter((self[w] for d in docs for w in d), np.int64, n)
-        names = np.array(self.names, np.uint64).reshape(-1, 2)
-        return [names[at, i] for i in range(lanes)]
+            self.names = array("Q"), array("Q")
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, sum(map(len, docs)))
+        return [np.frombuffer(self.names[i], np.uint64)[at] for i in range(lanes)]
 
 
 _VOCAB = _Vocabulary()
@@ -149,8 +152,11 @@ def _blob(text: _Text, at: np.ndarray, extra: tuple[np.ndarray, ...] = ()) -> by
     doc = text.doc[at]
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     counts = np.diff(np.r_[first, len(doc)])
-    parts = [np.array([len(first), len(at)], "<u4"), text.ids[doc[first]].astype("<i8"), counts.astype("<u4"),
-             (at - text.lo[doc]).astype("<u4"), *extra]
+    return _packed(text.ids[doc[first]], counts, at - text.lo[doc], extra)
+
+
+def _packed(ids: np.ndarray, counts: np.ndarray, place: np.ndarray, extra: tuple[np.ndarray, ...] = ()) -> bytes:
+    parts = [np.array([len(ids), len(place)], "<u4"), ids.astype("<i8"), counts.astype("<u4"), place.astype("<u4"), *extra]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -196,7 +202,7 @@ def _documents(b: pa.RecordBatch) -> Iterator[tuple]:
 def _start_entries(buckets: int):
     """(1) The symbol starts of all documents, each name once per piece of text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in pieces(r for b in batches for r in _documents(b)):
+        for some in pieces((r for b in batches for r in _documents(b)), _PIECE):
             docs = [(d, h, w) for d, h, raw in some if len(w := words(raw)) >= WINDOW]
             if not docs:
                 continue
@@ -219,14 +225,39 @@ def _start_entries(buckets: int):
     return run
 
 
-def _by_document(ids: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row per document with its places."""
-    order = np.lexsort((place, ids[:, 1], ids[:, 0]))
-    ids, place = ids[order], place[order]
-    cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1 if len(ids) else []
-    rows = [(int(i[0, 0]), int(i[0, 1]), p.astype("<u4").tobytes())
-            for i, p in zip(np.split(ids, cuts), np.split(place, cuts)) if len(p)]
-    return _to_batch(rows, [pa.int64(), pa.int64(), pa.binary()], ["_doc", "_hash", "places"])
+def _to_shards(ids: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries for the documents' shards, a blob each."""
+    shard = ids[:, 1] % buckets
+    order = np.lexsort((place, ids[:, 1], ids[:, 0], shard))
+    ids, place, shard = ids[order], place[order], shard[order]
+    rows = []
+    for i in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
+        d = ids[i]
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]).any(axis=1)])
+        rows.append((int(shard[i[0]]), True, _packed(d[first], np.diff(np.r_[first, len(d)]), place[i])))
+    return _dealt(rows)
+
+
+def _per_document(ranges: bool):
+    """One row per document of this task's shards with its places, or with the ranges [a, b) of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_unblob(x) for b in batches for x in b.column(2).to_pylist()]
+        if not found:
+            return
+        ids, place = (np.concatenate([f[i] for f in found]) for i in range(2))
+        order = np.lexsort((place, ids[:, 1], ids[:, 0]))
+        ids, place = ids[order], place[order]
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
+        places = []
+        for a, z in zip(first, np.r_[first[1:], len(ids)]):
+            p = place[a:z]
+            if ranges:
+                cut = np.flatnonzero(np.diff(p.astype(np.int64)) > 1)
+                p = np.stack([p[np.r_[0, cut + 1]], p[np.r_[cut, len(p) - 1]] + 1], 1).ravel()
+            places.append(p.astype("<u4").tobytes())
+        yield pa.record_batch([pa.array(ids[first, 0]), pa.array(ids[first, 1]), pa.array(places, pa.binary())],
+                              ["_doc", "_hash", "places"])
+    return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...]):
@@ -245,25 +276,27 @@ def _gather(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...]):
             np.repeat(*np.array(bucket, np.int64).T) if bucket else None)
 
 
-def _repeated_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, rest, bucket = _gather(batches, ("<u4", "u1", "u1"))
-    if known:
-        yield _by_document(*known)
-    if rest is None:
-        return
-    ids, place, high, low, flag = rest
-    name = (bucket.astype(np.uint64) << np.uint64(40)) | (high.astype(np.uint64) << np.uint64(8)) | low
-    order = np.argsort(name, kind="stable")
-    n = name[order]
-    group = np.cumsum(np.r_[True, n[1:] != n[:-1]]) - 1
-    again = (np.bincount(group) > 1) | (np.bincount(group, flag[order]) > 0)
-    hit = order[again[group]]
-    if len(hit):
-        yield _by_document(ids[hit], place[hit])
+def _repeated_starts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rest, bucket = _gather(batches, ("<u4", "u1", "u1"))
+        if known:
+            yield _to_shards(*known, buckets)
+        if rest is None:
+            return
+        ids, place, high, low, flag = rest
+        name = (bucket.astype(np.uint64) << np.uint64(40)) | (high.astype(np.uint64) << np.uint64(8)) | low
+        order = np.argsort(name, kind="stable")
+        n = name[order]
+        group = np.cumsum(np.r_[True, n[1:] != n[:-1]]) - 1
+        again = (np.bincount(group) > 1) | (np.bincount(group, flag[order]) > 0)
+        hit = order[again[group]]
+        if len(hit):
+            yield _to_shards(ids[hit], place[hit], buckets)
+    return run
 
 
-def _places(lists: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(lists or []), "<u4").astype(np.int64)
+def _places(raw: bytes | None) -> np.ndarray:
+    return np.frombuffer(raw or b"", "<u4").astype(np.int64)
 
 
 def _window_entries(buckets: int):
@@ -271,7 +304,7 @@ def _window_entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((d, h, p, raw) for b in batches
                 for (d, h, raw), p in zip(_documents(b), b.column(b.schema.names.index("places")).to_pylist()))
-        for some in pieces(rows):
+        for some in pieces(rows, _PIECE):
             # Rows that repeat a document are one document here.
             docs = {(d, h): (p, raw) for d, h, p, raw in some}
             keys = sorted(docs)
@@ -294,46 +327,45 @@ def _window_entries(buckets: int):
             new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
             first, again = np.sort(order[new]), np.sort(order[~new])
             x, y = a[first], b[first]
-            yield _dealt(list(_deal(text, s[first], x, (x.astype("<u8"), y.astype("<u8")), s[again], buckets)))
+            yield _dealt(list(_deal(text, s[first], x, (x.astype("<u8"), y.astype("<u4")), s[again], buckets)))
+    return run
+
+
+def _later_windows(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rest, _ = _gather(batches, ("<u8", "<u4"))
+        if known:
+            yield _to_shards(*known, buckets)
+        if rest is None:
+            return
+        ids, place, a, b = rest
+        order = np.lexsort((place, ids[:, 1], ids[:, 0], b, a))
+        x, y = a[order], b[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        head = np.flatnonzero(new)
+        first = order[np.repeat(head, np.diff(np.r_[head, len(order)]))]
+        # The same window of the same document from two pieces (its rows are repeated) is one occurrence.
+        same = (ids[first] == ids[order]).all(axis=1) & (place[first] == place[order])
+        later = order[~new & ~same]
+        if len(later):
+            yield _to_shards(ids[later], place[later], buckets)
     return run
 
 
-def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, rest, _ = _gather(batches, ("<u8", "<u8"))
-    if known:
-        yield _by_document(*known)
-    if rest is None:
-        return
-    ids, place, a, b = rest
-    order = np.lexsort((place, ids[:, 1], ids[:, 0], b, a))
-    x, y = a[order], b[order]
-    later = order[np.r_[False, (x[1:] == x[:-1]) & (y[1:] == y[:-1])]]
-    # The same window of the same document from two pieces (its rows are repeated) is one occurrence.
-    if len(later):
-        head = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        first = np.empty(len(order), np.int64)
-        first[order] = order[np.repeat(head, np.diff(np.r_[head, len(order)]))]
-        f = first[later]
-        same = (ids[f] == ids[later]).all(axis=1) & (place[f] == place[later])
-        later = later[~same]
-    if len(later):
-        yield _by_document(ids[later], place[later])
-
-
-def covered(raw: bytes, starts: list[bytes] | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and whether each is under one of the windows or deep in a run."""
+def covered(raw: bytes, ranges: bytes | None) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text and whether each is under a window that starts in one of the ranges, or deep in a run."""
     w = words(raw)
     if len(w) < WINDOW:
         return w, np.zeros(len(w), bool)
-    s = _places(starts)
-    same = np.fromiter((x == y for x, y in zip(w, w[1:])), bool, len(w) - 1)
+    r = _places(ranges).reshape(-1, 2)
+    same = np.fromiter(map(eq, w, islice(w, 1, None)), bool, len(w) - 1)
     if same.any():
         change = np.r_[0, np.flatnonzero(~same) + 1, len(w)]
-        long = [np.arange(a + 1, b - WINDOW + 1) for a, b in zip(change, change[1:]) if b - a > WINDOW]
-        s = np.concatenate([s, *long])
+        long = np.diff(change) > WINDOW
+        r = np.concatenate([r, np.stack([change[:-1][long] + 1, change[1:][long] - WINDOW + 1], 1)])
     cover = np.zeros(len(w) + 1, np.int64)
-    np.add.at(cover, s, 1)
-    np.add.at(cover, s + WINDOW, -1)
+    np.add.at(cover, r[:, 0], 1)
+    np.add.at(cover, r[:, 1] - 1 + WINDOW, -1)
     return w, np.cumsum(cover)[:-1] > 0
 
 
@@ -351,23 +383,22 @@ def _without(raw: bytes, gone: np.ndarray) -> bytes:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text string, ..) with ``places``, the lists of starts of each document's later windows."""
+    """``docs`` (doc_id, text string, ..) with ``places``, the ranges of starts of each document's later windows."""
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     buckets = int(total // BUCKET_BYTES) + 1
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
                               "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     dealt = keyed.repartition(buckets, "_doc", "_hash")
 
-    def joined(d: DataFrame, found: DataFrame, how: str) -> DataFrame:
-        lists = found.groupBy("_doc", "_hash").agg(F.collect_list("places").alias("places"))
-        return d.join(lists.hint("shuffle_hash"), ["_doc", "_hash"], how)
+    def joined(shards: DataFrame, ranges: bool, how: str) -> DataFrame:
+        found = shards.repartition(buckets, "bucket").mapInArrow(_per_document(ranges), "_doc long, _hash long, places binary")
+        return dealt.join(found.hint("shuffle_hash"), ["_doc", "_hash"], how)
 
     entries = keyed.select("_doc", "_hash", "text").mapInArrow(_start_entries(buckets), _DEALT)
-    places = "_doc long, _hash long, places binary"
-    starts = entries.repartition(buckets, "bucket").mapInArrow(_repeated_starts, places)
-    windows = joined(dealt, starts, "inner").mapInArrow(_window_entries(buckets), _DEALT)
-    later = windows.repartition(buckets, "bucket").mapInArrow(_later_windows, places)
-    return joined(dealt, later, "left")
+    starts = entries.repartition(buckets, "bucket").mapInArrow(_repeated_starts(buckets), _DEALT)
+    windows = joined(starts, False, "inner").mapInArrow(_window_entries(buckets), _DEALT)
+    later = windows.repartition(buckets, "bucket").mapInArrow(_later_windows(buckets), _DEALT)
+    return joined(later, True, "left")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
