@@ -389,15 +389,16 @@ def _marked(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
                               "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     dealt = keyed.repartition(buckets, "_doc", "_hash")
+    bucket = F.col("bucket").cast("int")      # a task per bucket: dealing them by hash would give some tasks several
 
     def joined(shards: DataFrame, ranges: bool, how: str) -> DataFrame:
-        found = shards.repartition(buckets, "bucket").mapInArrow(_per_document(ranges), "_doc long, _hash long, places binary")
+        found = shards.repartitionById(buckets, bucket).mapInArrow(_per_document(ranges), "_doc long, _hash long, places binary")
         return dealt.join(found.hint("shuffle_hash"), ["_doc", "_hash"], how)
 
     entries = keyed.select("_doc", "_hash", "text").mapInArrow(_start_entries(buckets), _DEALT)
-    starts = entries.repartition(buckets, "bucket").mapInArrow(_repeated_starts(buckets), _DEALT)
+    starts = entries.repartitionById(buckets, bucket).mapInArrow(_repeated_starts(buckets), _DEALT)
     windows = joined(starts, False, "inner").mapInArrow(_window_entries(buckets), _DEALT)
-    later = windows.repartition(buckets, "bucket").mapInArrow(_later_windows(buckets), _DEALT)
+    later = windows.repartitionById(buckets, bucket).mapInArrow(_later_windows(buckets), _DEALT)
     return joined(later, True, "left")
 
 
