@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from scarp.llm.texts import id_and_text, rows_with_text
-from scarp.llm.tokens import GENERATION, LONG, WORD_BPE, Remembered, TextEncoder, tokenizer_file
+from scarp.llm.texts import id_and_text
+from scarp.llm.tokens import GENERATION, WORD_BPE, Remembered, TextEncoder, coded, tokenizer_file
 
 SHORT = 128
 _NONE = 1 << 60
@@ -127,11 +127,10 @@ class Bpe:
         return self.tok.decode(list(ids), skip_special_tokens=False)
 
     def _learn(self, new: list) -> list[tuple[bytes, bytes]]:
-        if self.cut.kind != "word":
-            return [self.encode(self.cut.text_of(x)) for x in new]
+        """(ids, decoded form with a space after it) of new stretches."""
         out: list = [None] * len(new)
         # ASCII stretches are pre-tokenized in one call: normalizing keeps their lengths and the spaces between them.
-        plain = [i for i, x in enumerate(new) if x.isascii() and b"<|" not in x]
+        plain = [i for i, x in enumerate(new) if x and x.isascii() and b"<|" not in x] if self.cut.kind == "word" else []
         ends, at = [], 0
         for i in plain:
             at += len(new[i]) + 1
@@ -144,20 +143,20 @@ class Bpe:
             found[k].append(self.word(piece))
         for i, parts in zip(plain, found):
             out[i] = self._joined(parts)
-        return [self.encode(x.decode("utf-8", "replace")) if v is None else v for x, v in zip(new, out)]
-
-    def both_ways(self, raw: bytes) -> tuple[bytes, bytes]:
-        """(ids as little-endian unsigned 32-bit integers, text decoded from them in UTF-8)."""
-        parts = self.cut.stretches(raw)
-        if parts is None:
-            ids, text = self.encode(raw.decode("utf-8", "replace"))
-        elif not parts:
-            ids = text = b""
-        else:
-            found = [v for i in range(0, len(parts), LONG) for v in self.seen.look_up(parts[i:i + LONG])]
-            each, texts = zip(*found)
-            ids, text = b"".join(each), b" ".join(filter(None, texts))
-        return (ids, text) if self.spaced else (ids, self.decode(np.frombuffer(ids, "<u4").tolist()).encode())
+        both = [self.encode(self.cut.text_of(x)) if v is None else v for x, v in zip(new, out)]
+        return [(ids, text + b" " if ids else b"") for ids, text in both]
+
+    def both_ways(self, raws: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """For each text (ids as little-endian unsigned 32-bit integers, text decoded from them in UTF-8)."""
+        out = []
+        for raw, v in zip(raws, self.cut.look_up(raws, self.seen, 2)):
+            ids, text = v or self.encode(raw.decode("utf-8", "replace"))
+            if not self.spaced:
+                text = self.decode(np.frombuffer(ids, "<u4").tolist()).encode()
+            elif v:
+                text = text[:-1]        # each stretch ends in the space that parts it from the next
+            out.append((ids, text))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -174,8 +173,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = WORD_BPE, texts: bool = Fals
         bpe = coder(path)
         for b in batches:
             cols: list[list] = [[] for _ in range(6 if texts else 4)]
-            for doc, raw in rows_with_text(iter([b])):
-                ids, text = bpe.both_ways(raw)
+            for doc, (ids, text) in coded(bpe.both_ways, iter([b])):
                 row = [doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()]
                 for c, v in zip(cols, row + ([np.frombuffer(ids, "<u4").tolist(), text.decode()] if texts else [])):
                     c.append(v)

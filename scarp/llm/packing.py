@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarp.llm.texts import id_and_text, rows_with_text, stored
-from scarp.llm.tokens import WORD_BPE, encoder, tokenizer_file
+from scarp.llm.texts import id_and_text, stored
+from scarp.llm.tokens import WORD_BPE, coded, encoder, tokenizer_file
 
 WINDOW, OPEN_WINDOWS, MIN_CUT, END_ID = 4096, 16, 16, 2
 FAN_IN = 64
@@ -158,8 +158,8 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, window: int = WINDOW, open_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(path), TaskContext.get().partitionId()
         packer = Packer(window, open_windows, min_cut, task, _first(0, task), keep_ids)
-        for doc, raw in rows_with_text(batches):
-            ids = enc.ids(raw) + end
+        for doc, ids in coded(enc.ids, batches):
+            ids += end
             packer.place(Piece(doc, 0, len(ids) // 4, ids))
             if len(packer.rows) >= 2000:
                 yield packer.batch()

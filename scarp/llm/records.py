@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scarp.llm.texts import id_and_text, rows_with_text
-from scarp.llm.tokens import BYTE_BPE, encoder, tokenizer_file
+from scarp.llm.texts import id_and_text
+from scarp.llm.tokens import BYTE_BPE, coded, encoder, tokenizer_file
 
 END_ID = 0
 FILE_BYTES = 24 << 20       # of text per file
@@ -106,17 +106,15 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
     file, end = tokenizer_file(tokenizer), np.array([end_id], "<u4").tobytes()
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
-        for b in batches:
-            some: list[bytes] = []
-            size = 0
-            for doc, raw in rows_with_text(iter([b])):
-                some.append(frame(doc, enc.ids(raw) + end))
-                size += len(some[-1])
-                if size >= 4 << 20:
-                    yield pa.record_batch([pa.array(some, pa.binary())], ["frame"])
-                    some, size = [], 0
-            yield pa.record_batch([pa.array(some, pa.binary())], ["frame"])
+        some: list[bytes] = []
+        size = 0
+        for doc, ids in coded(encoder(file).ids, batches):
+            some.append(frame(doc, ids + end))
+            size += len(some[-1])
+            if size >= 4 << 20:
+                yield pa.record_batch([pa.array(some, pa.binary())], ["frame"])
+                some, size = [], 0
+        yield pa.record_batch([pa.array(some, pa.binary())], ["frame"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(_scan(batches), _KINDS)

@@ -12,24 +12,26 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark deals out the work
 
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 import public_tokenizers  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from scarp.llm.texts import pieces, rows_with_text  # noqa: E402
+
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 GENERATION = 400_000    # stretches kept per generation
-LONG = 100_000          # stretches of a text that are looked up at once
+_MARKS, _MARK = b".,", {b".", b","}
 # White space as Unicode has it; Python's \s adds \x1c-\x1f.
 _SPACE, _INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-# Letters, then a mark: always split there (the dotted capital I is no letter alone in lower case).
-_MARKED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,])")
 # White space of other kinds, or next to other white space (these bytes may also begin characters that are none).
-_ODD = [b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80",
+_ODD = [b"\1", b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80",
         b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _STRETCH = re.compile(rf" ?{_INK}+|{_SPACE}+(?!{_INK})|{_SPACE}+")
 
@@ -69,7 +71,7 @@ class Remembered(dict):
 
 
 class TextEncoder:
-    """ids(raw) is what the tokenizers library returns for the text with add_special_tokens=False."""
+    """ids(texts) are what the tokenizers library returns for each text with add_special_tokens=False."""
 
     def __init__(self, path: str, offsets: bool = False):
         self.tok = Tokenizer.from_file(path)
@@ -88,54 +90,94 @@ class TextEncoder:
             self.kind = "word"
         elif simple and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind = "byte"
-        self.seen = Remembered(self._learn)
+        self.seen, self.marks = Remembered(self._learn), {}
 
     def _learn(self, new: list) -> list[bytes]:
-        """Ids of new stretches; a word and the mark after it are looked up apart, as words come with and without."""
-        texts = list(map(self.text_of, new))
-        if self.kind != "word":
-            return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [(m[1], m[2]) if (m := _MARKED.fullmatch(t)) else (t,) for t in texts]
-        known = {t: self.seen.get(k := t.encode()) or self.seen.old.get(k) for t in {t for parts in split for t in parts}}
-        want = [t for t, v in known.items() if v is None]
-        for t, e in zip(want, self.tok.encode_batch_fast(want, add_special_tokens=False)):
-            known[t] = array("I", e.ids).tobytes()
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in split]
-
-    def stretches(self, raw: bytes) -> list | None:
-        """The stretches of a text, or None if it must be encoded whole."""
+        """Ids of new stretches. A comma or full stop after a letter is always apart, and words come with and without.
+
+        Plain ASCII words are one pre-tokenized piece and go straight to the library's model.
+        """
+        if not self.marks:
+            self.marks = {m: self._encode([chr(m)])[0] for m in _MARKS}
+        bare = [k[:-1] if k[-1:] in _MARK and k[-2:-1].isalpha() else k for k in new]
+        known = {k: self.seen.get(k) or self.seen.old.get(k) for k in bare}
+        want, lead, tokenize = [], "" if self.kind == "word" else "\u0120", self.tok.model.tokenize
+        for k, v in known.items():
+            if v is None:
+                if k.isalpha():
+                    known[k] = array("I", [t.id for t in tokenize(lead + (k.lower() if self.kind == "word" else k).decode())]).tobytes()
+                else:
+                    want.append(k)
+        known.update(zip(want, self._encode(list(map(self.text_of, want)))))
+        self.seen.update(known)
+        return [known[b] if b is k else known[b] + self.marks[k[-1]] for k, b in zip(new, bare)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def text_of(self, key: bytes) -> str:
+        """The stretch that a key stands for: in the byte kind a word takes the space before it."""
+        text = key.decode("utf-8", "replace")
+        if self.kind == "word" or text[:1] == "\n":
+            return text
+        return text[1:] if text[:1] == "\1" else " " + text
+
+    def _ready(self, raw: bytes) -> bytes | None:
+        """The text with its keys between white space (word kind) or single spaces (byte kind); None if it has no such form."""
         if self.kind == "word":
             # Lower case is what these files ask for. It is left to the library where it could meet a special token's
             # string, or a combining mark that composes with one case only.
-            return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
+            return raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
         if self.kind == "whole" or any(s in raw for s in self.special_bytes):
             return None
-        if not raw or raw[0] in b" \n" or raw[-1] in b" \n" or any(s in raw for s in _ODD):
-            return _STRETCH.findall(raw.decode("utf-8", "replace"))
-        # White space is single spaces and line feeds between words: a word takes the space before it, a line its line feed.
-        parts = raw.replace(b"\n", b" \n").split(b" ")
-        parts[0] = parts[0].decode("utf-8", "replace")
-        return parts
-
-    def text_of(self, key) -> str:
-        """The stretch that a key of ``stretches`` stands for."""
-        if isinstance(key, str):
-            return key
-        text = key.decode("utf-8", "replace")
-        return text if self.kind == "word" or text[:1] == "\n" else " " + text
-
-    def ids(self, raw: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        parts = self.stretches(raw)
-        if parts is None:
-            return np.array(self.tok.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(parts) <= LONG:
-            return b"".join(self.seen.look_up(parts))
-        rest = iter(parts)
-        return b"".join(b"".join(self.seen.look_up(p)) for p in iter(lambda: list(islice(rest, LONG)), []))
+        if not raw:
+            return b"\1"
+        if raw[0] not in b" \n" and raw[-1] not in b" \n" and not any(s in raw for s in _ODD):
+            # White space is single spaces and line feeds between words: a word takes the space before it, a line its feed.
+            return b"\1" + raw.replace(b"\n", b" \n")
+        return None
+
+    def look_up(self, raws: list[bytes], seen: Remembered, each: int) -> list[tuple[bytes, ...] | None]:
+        """For each text what ``seen`` has for its stretches, joined; ``seen`` gives tuples of ``each`` byte strings.
+
+        The distinct stretches of all the texts are looked up once. None stands for a text to be handled whole.
+        """
+        ready = list(map(self._ready, raws))
+        use = [i for i, r in enumerate(ready) if r is not None]
+        out: list = [None] * len(raws)
+        if use:
+            texts = pa.array([ready[i] for i in use], pa.binary())
+            split = pc.ascii_split_whitespace(texts.cast(pa.string())) if self.kind == "word" else pc.split_pattern(texts, b" ")
+            coded = split.flatten().dictionary_encode()
+            known = seen.look_up(coded.dictionary.cast(pa.binary()).to_pylist())
+            joined = []
+            for part in zip(*known) if each > 1 else [known]:
+                taken = pa.array(part, pa.binary()).take(coded.indices)
+                ends = np.frombuffer(taken.buffers()[1], np.int32)[split.offsets.to_numpy()]
+                data = memoryview(taken.buffers()[2] or b"")
+                joined.append([bytes(data[a:b]) for a, b in zip(ends, ends[1:])])
+            for i, v in zip(use, zip(*joined)):
+                out[i] = v
+        for i, raw in enumerate(raws):
+            if out[i] is None and self.kind == "byte" and not any(s in raw for s in self.special_bytes):
+                keys = [b"\1" + x.encode() for x in _STRETCH.findall(raw.decode("utf-8", "replace"))]
+                found = seen.look_up(keys)
+                out[i] = tuple(map(b"".join, zip(*found))) if each > 1 else (b"".join(found),)
+        return out
+
+    def ids(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        found = self.look_up(raws, self.seen, 1)
+        return [self._encode([r.decode("utf-8", "replace")])[0] if v is None else v[0] for r, v in zip(raws, found)]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One encoder per worker and file; what it has learnt outlives the task."""
     return TextEncoder(path)
+
+
+def coded(encode, batches) -> Iterator[tuple]:
+    """(doc_id, what ``encode`` gives for its text) of every row, some megabytes of text at a time."""
+    for some in pieces(rows_with_text(batches)):
+        yield from zip([r[0] for r in some], encode([r[1] for r in some]))
