@@ -24,7 +24,7 @@ from scarp.llm.texts import id_and_text
 from scarp.llm.tokens import BYTE_BPE, coded, encoder, tokenizer_file
 
 END_ID = 0
-FILE_BYTES = 24 << 20       # of text per file
+FILE_BYTES = 8 << 20       # of text per file
 _LENGTH, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BqI")
 _OVERHEAD = _LENGTH.size + 2 * _SUM.size + 1
 _WIDE, _NO_ID = 1, 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scarp.session import scratch
 
-PIECE_BYTES = 4 << 20   # text handled at once inside a task
+PIECE_BYTES = 3 << 20   # text handled at once inside a task
 
 
 def raw_texts(col: pa.Array) -> Iterator[bytes]:

@@ -26,7 +26,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from scarp.llm.texts import pieces, rows_with_text  # noqa: E402
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-GENERATION = 400_000    # stretches kept per generation
+GENERATION = 250_000    # stretches kept per generation
 _MARKS, _MARK = b".,", {b".", b","}
 # White space as Unicode has it; Python's \s adds \x1c-\x1f.
 _SPACE, _INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -181,3 +181,5 @@ def coded(encode, batches) -> Iterator[tuple]:
     """(doc_id, what ``encode`` gives for its text) of every row, some megabytes of text at a time."""
     for some in pieces(rows_with_text(batches)):
         yield from zip([r[0] for r in some], encode([r[1] for r in some]))
+        del some
+    pa.default_memory_pool().release_unused()
