@@ -126,15 +126,23 @@ def blocks(page: str) -> list[Block]:
                 end = found.start() if found else (len(page) if tag in ("script", "style") else at)
             at = end
             continue
-        if gone:
-            if tag == gone:
-                nested += -1 if shut else 0 if attrs.endswith("/") else 1
-                if not nested:
-                    gone = ""
-            elif gone in ("p", "li") and tag in _BLOCK and (shut or gone == "p"):
-                gone = ""       # a block's end tag may be missing: what follows ends it
-            if gone or shut:
+        if gone == "p" and tag in _BLOCK:       # its end tag may be missing: any other block ends it
+            gone = ""
+            if shut and tag == "p":
+                continue
+        elif gone == "li" and tag in ("li", "ul", "ol"):
+            nested += (tag != "li") * (-1 if shut else 1)
+            if nested < 1 or (tag == "li" and nested == 1):     # the item's end, the next item or the end of the list
+                gone = ""
+                if shut and tag == "li":
+                    continue
+        elif gone and tag == gone and gone not in ("p", "li"):
+            nested += -1 if shut else 0 if attrs.endswith("/") else 1
+            if not nested:
+                gone = ""
                 continue
+        if gone:
+            continue
         if not shut and tag not in _VOID and _left_out(tag, attrs, depth > 0):
             if tag in _BLOCK or tag in _NEVER:
                 close()

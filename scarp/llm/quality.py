@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scarp.llm.texts import raw_texts, stored, words
+from scarp.llm.texts import apart, raw_texts, stored, words
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 SIGNIFICANT, MIN_DOCS, REACH = 8, 100, 5
@@ -132,5 +132,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     good = verdicts(docs).where("kept").select(doc.alias("_doc"), "_hash").distinct()
-    keyed = docs.withColumns({"_doc": doc, "_hash": _hash(F.col("text").cast("string"))})
-    return keyed.join(good, ["_doc", "_hash"], "left_semi").select(*docs.columns)
+    rows, names = apart(docs, ("doc_id", "text"))
+    keyed = rows.withColumns({"_doc": doc, "_hash": _hash(F.col("text").cast("string"))})
+    return keyed.join(good, ["_doc", "_hash"], "left_semi").select(*names).toDF(*docs.columns)

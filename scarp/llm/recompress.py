@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scarp.llm.texts import pieces, raw_texts, words
+from scarp.llm.texts import apart, pieces, raw_texts, words
 
 WINDOW = 20
 CAPS = (2, 3, 6, 7)         # most words of a symbol after each round
@@ -421,7 +421,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their other columns; text loses its repeats, n_chars (if there) follows it."""
-    names = docs.columns
+    rows, names = apart(docs.withColumn("text", F.col("text").cast("string")), ("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -433,7 +433,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             col["text"] = pa.array(new, pa.binary()).cast(pa.string())
             yield pa.record_batch([col[n] for n in names], names)
 
-    typed = docs.withColumn("text", F.col("text").cast("string"))
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in typed.schema.fields])
-    out = _marked(typed).mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    out = _marked(rows).mapInArrow(run, schema).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

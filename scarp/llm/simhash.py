@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scarp.llm.texts import id_and_text, rows_with_text, stored, words
+from scarp.llm.texts import apart, id_and_text, rows_with_text, stored, words
 from scarp.operators.components import connected
 
 SHINGLE, SEED, MAX_BITS, BYTES = 3, 42, 2, 8
@@ -204,5 +204,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = (near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
              .select(F.col("doc_id").alias("_keep")).distinct())
-    kept = docs.join(found, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows, _ = apart(docs, ("doc_id",))
+    kept = rows.join(found, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(rows.where(F.col("doc_id").isNull())).toDF(*docs.columns)

@@ -42,6 +42,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def apart(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """``docs`` with all columns but ``keep`` renamed, so that no operator's own column meets one of them; and the new names."""
+    names = [c if c in keep else f"column {i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def rows_with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(doc_id, raw text) of every row of the batches of ``id_and_text``."""
     for b in batches:
