@@ -108,11 +108,9 @@ def thresholds(measured: DataFrame) -> DataFrame:
     own, lang = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"])
     every = _fences(sketch.withColumn("all_of", F.lit(0)), ["all_of"])
     by_lang = lang.select(F.col("lang").alias("_l"), F.struct(*LEAST).alias("_lang"), F.col("docs").alias("_n"))
-    all_of = every.select(F.struct(*LEAST).alias("_all"), F.lit(0).alias("_one"))
     level = (F.when(F.col("docs") >= MIN_DOCS, F.struct(*LEAST)).when(F.col("_n") >= MIN_DOCS, F.col("_lang"))
-             .otherwise(F.col("_all")))
-    return (own.join(by_lang, F.col("lang").eqNullSafe(F.col("_l"))).withColumn("_one", F.lit(0)).join(all_of, "_one")
-            .select("lang", "source", level.alias("fence")))
+             .otherwise(every.select(F.struct(*LEAST)).scalar()))
+    return own.join(by_lang, F.col("lang").eqNullSafe(F.col("_l"))).select("lang", "source", level.alias("fence"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
