@@ -1,19 +1,17 @@
 """Order statistics that never put one whole group into one task.
 
-A plain window or ``percentile`` aggregate needs a full group in one task. Here the total row count is looked at
-first: up to ``max_rows`` the plain form is used, since no group can then be larger. Beyond it rows are cut into
-slots along the order, the slots of a group are totalled with map-side combine, and only the slot totals (at most
-slots x tie bins per group) are accumulated in a window. Each slot is then ordered on its own.
+Rows are cut into slots along the order by approximate quantiles of the score; slots of one value (heavy ties, missing
+scores) are cut again by a hash. The slots of a group are totalled with map-side combine, only the slot totals (at most
+slots x tie bins per group) are accumulated in a window, and each slot is then ordered on its own. Results are exact: the
+quantiles only balance the work. They are a subquery of the plan, so building a plan runs nothing.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLAIN_MAX_ROWS = 2_000_000
 TIE_SPACE = 2 ** 32
 
 
@@ -27,49 +25,46 @@ def _slot_count(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
 
 
-def _order_facts(df: DataFrame, score: str, slots: int) -> tuple[int, list[float]]:
-    """Row count and distinct approximate quantiles of ``score``: a fixed-size result of one aggregation."""
+def _edges(df: DataFrame, score: str, slots: int) -> Column:
+    """Distinct approximate quantiles of ``score``: an array of under ``slots`` values, as a scalar subquery."""
     probs = [i / slots for i in range(1, slots)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(F.col(score).cast("double"), probs, 20 * slots).alias("q")).first()
-    return row["n"], sorted(set(row["q"] or []))
+    q = df.agg(F.array_distinct(F.percentile_approx(F.col(score).cast("double"), probs, 20 * slots)).alias("q"))
+    return F.coalesce(q.scalar(), F.array().cast("array<double>"))
 
 
-def _with_slots(df: DataFrame, score: str, descending: bool, tie: str | None, edges: list[float],
-                slots: int) -> DataFrame:
+def _with_slots(df: DataFrame, score: str, descending: bool, tie: str | None, slots: int) -> DataFrame:
     """Add ``_slot`` and ``_bin``, both growing along the requested order (NULL scores last).
 
-    A value equal to an edge gets a slot of its own; only such single-valued slots may be cut again by the tie hash,
-    so heavy ties are spread and the order stays exact.
+    A value equal to an edge gets a slot of its own; only such single-valued slots, and the missing scores, are cut again
+    by the tie hash, so heavy ties are spread and the order stays exact.
     """
-    value = F.col(score).cast("double")
-    cuts = [-float("inf"), *edges, float("inf")]
-    df = Bucketizer(splits=cuts, inputCol="_score", outputCol="_cut", handleInvalid="keep").transform(
-        df.withColumn("_score", value))
-    cut = F.col("_cut").cast("int")
-    at_edge = F.coalesce(F.element_at(F.array(*[F.lit(c) for c in cuts]), cut + 1) == F.col("_score"), F.lit(False))
-    pos = 2 * cut + F.when(at_edge, 0).otherwise(1)
-    last = 2 * len(cuts) + 2
+    # The place among the edges in two steps of about sqrt(slots) comparisons: first among every ``step``-th edge.
+    step = max(1, int(slots ** 0.5))
+    df = df.withColumns({"_score": F.col(score).cast("double"), "_edges": _edges(df, score, slots)})
+    some = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_edges") - 1, F.lit(0)), F.lit(step)), lambda i: F.get("_edges", i))
+    coarse = F.greatest(F.size(F.filter(some, lambda e: e <= F.col("_score"))) - 1, F.lit(0)) * step
+    df = df.withColumn("_coarse", coarse)
+    fine = F.filter(F.slice("_edges", F.col("_coarse") + 1, F.lit(step)), lambda e: e <= F.col("_score"))
+    df = df.withColumn("_cut", F.col("_coarse") + F.size(fine))
+    at_edge = F.coalesce(F.get("_edges", F.col("_cut") - 1) == F.col("_score"), F.lit(False))
+    pos = 2 * F.col("_cut") + F.when(at_edge, 0).otherwise(1)
+    last = 2 * slots + 2
     slot = F.when(F.col("_score").isNull(), last).otherwise(last - 1 - pos if descending else pos)
     single = at_edge | F.col("_score").isNull()
     bins = F.lit(0) if tie is None else F.when(
         single, F.floor(F.col(tie) * F.lit(float(slots)) / F.lit(float(TIE_SPACE)))).otherwise(0)
-    return df.withColumns({"_slot": slot, "_bin": bins.cast("int")}).drop("_score", "_cut")
+    return df.withColumns({"_slot": slot, "_bin": bins.cast("int")}).drop("_score", "_edges", "_coarse", "_cut")
 
 
 def running_sums(df: DataFrame, by: Sequence[str], score: str, sums: Mapping[str, Column], *,
                  descending: bool = True, tie: str | None = None, keys: Sequence[str] = (),
-                 max_rows: int = PLAIN_MAX_ROWS, slots: int | None = None) -> DataFrame:
+                 slots: int | None = None) -> DataFrame:
     """Add inclusive running sums per ``by`` group in the order (score, tie, keys), NULL scores last."""
     slots = slots or _slot_count(df)
-    n, edges = _order_facts(df, score, slots)
     first = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
     order = [first, *([F.col(tie)] if tie else []), *[F.col(k) for k in keys]]
     upto = (Window.unboundedPreceding, 0)
-    if n <= max_rows or not edges:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)
-        return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
-    cut = _with_slots(df.withColumns({f"_v_{m}": c for m, c in sums.items()}), score, descending, tie, edges, slots)
+    cut = _with_slots(df.withColumns({f"_v_{m}": c for m, c in sums.items()}), score, descending, tie, slots)
     totals = cut.groupBy(*by, "_slot", "_bin").agg(*[F.sum(f"_v_{m}").alias(f"_t_{m}") for m in sums])
     before = Window.partitionBy(*by).orderBy("_slot", "_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_slot", "_bin",
@@ -81,15 +76,12 @@ def running_sums(df: DataFrame, by: Sequence[str], score: str, sums: Mapping[str
 
 
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], *,
-                      max_rows: int = PLAIN_MAX_ROWS, slots: int | None = None) -> DataFrame:
+                      slots: int | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles per group; NULLs are ignored."""
     v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     counts = v.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
     slots = slots or _slot_count(df)
-    n, _ = _order_facts(counts, "_x", 2)
-    if n <= max_rows:
-        return v.groupBy(*by).agg(*[F.percentile("_x", F.lit(p)).alias(name) for name, p in probs.items()])
-    cum = running_sums(counts, by, "_x", {"_cum": F.col("_n")}, descending=False, max_rows=max_rows, slots=slots)
+    cum = running_sums(counts, by, "_x", {"_cum": F.col("_n")}, descending=False, slots=slots)
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     cum = cum.join(total, list(by)) if by else cum.withColumn("_total", total.select("_total").scalar())
     at = {}

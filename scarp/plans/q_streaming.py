@@ -1,13 +1,16 @@
 """Streaming queries: the panel arrives in files, the results must equal the batch ones."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from scarp import config as C
 from scarp.operators.catalog import pending_passes
 from scarp.plans import q_panel  # noqa: F401
 from scarp.plans.catalogue import register
-from scarp.plans.fixtures import Inputs
+from scarp.plans.fixtures import THRESHOLD_M, Inputs
+from scarp.plans.q_metrics import rank_sql
 from scarp.plans.sqltext import day, r6
 from scarp.session import scratch
 from scarp.streaming import incremental as S
@@ -18,11 +21,11 @@ def positions(i: Inputs):
     return i.panel().join(F.broadcast(stage), "date")   # one row per pass
 
 
-def land_in_files(df, path: str, cuts: list) -> None:
-    """Append one file per interval (cuts[n], cuts[n + 1]]."""
+def land_in_files(df, path: str, cuts: list, files: int = 2) -> None:
+    """Append the rows of each interval (cuts[n], cuts[n + 1]] in several files."""
     for a, b in zip(cuts[:-1], cuts[1:]):
         part = df.where((F.col("date") > F.lit(a).cast("date")) & (F.col("date") <= F.lit(b).cast("date")))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(files, "transect_id").write.mode("append").parquet(path)
 
 
 def last_dates(i: Inputs, n: int) -> list[str]:
@@ -31,18 +34,42 @@ def last_dates(i: Inputs, n: int) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-@register("incremental_pass", f"""
-SELECT transect_id, {day('forecast_date')} AS forecast_date, {r6(*C.FEATURES)}, bank_pos_m FROM z_features
-WHERE forecast_date IN (SELECT date FROM z_cal ORDER BY date DESC LIMIT 2)""")
-def _(i):
+def calendar_cuts(i: Inputs, parts: int) -> list[str]:
+    """Ends of ``parts`` stretches of the calendar (at most one row per day), before its first date to its last."""
+    days = sorted(r[0] for r in i.calendar().select("day").collect())
+    ends = [days[0] - 1, *(days[(k + 1) * len(days) // parts - 1] for k in range(parts))]
+    return [str(dt.date(1970, 1, 1) + dt.timedelta(days=d)) for d in ends]
+
+
+def _run_passes(i: Inputs) -> str:
+    """Four passes on top of the history: one in two files, then an older one that is late, then two more in two files each."""
     base = scratch(i.spark, "pass-stream")
     p = positions(i)
-    d = last_dates(i, 3)
-    store, incoming, out = f"{base}/positions", f"{base}/incoming", f"{base}/features"
+    d = last_dates(i, 5)
+    store, incoming = f"{base}/positions", f"{base}/incoming"
     S.store_positions(p.where(F.col("date") <= F.lit(d[0]).cast("date")), store)
-    land_in_files(p, incoming, d)
-    S.run_incremental(i.spark, incoming, p.schema, store, out, f"{base}/checkpoint", i.transects())
-    return i.spark.read.parquet(out).select("transect_id", "forecast_date", *C.FEATURES, "bank_pos_m")
+    for a, b in ((1, 2), (0, 1), (2, 3), (3, 4)):
+        land_in_files(p, incoming, [d[a], d[b]])
+        S.run_incremental(i.spark, incoming, p.schema, store, f"{base}/features", f"{base}/checkpoint", i.transects(),
+                          labels=f"{base}/labels", threshold_m=THRESHOLD_M, ranks=f"{base}/ranks")
+    return base
+
+
+@register("incremental_pass", f"""
+SELECT transect_id, {day('forecast_date')} AS forecast_date, {r6(*C.FEATURES)}, bank_pos_m, {rank_sql('ret_84_m')}::INT AS rank FROM z_features
+WHERE forecast_date IN (SELECT date FROM z_cal ORDER BY date DESC LIMIT 4)""")
+def _(i):
+    base = _run_passes(i)
+    f = i.spark.read.parquet(f"{base}/features").select("transect_id", "forecast_date", *C.FEATURES, "bank_pos_m")
+    return f.join(i.spark.read.parquet(f"{base}/ranks").select("transect_id", "forecast_date", "rank"), ["transect_id", "forecast_date"])
+
+
+@register("incremental_labels", f"""
+SELECT transect_id, {day('forecast_date')} AS forecast_date, {day('target_date')} AS target_date, {r6('retreat_m', 'window_retreat_m', 'permanent_retreat_m')}, y
+FROM z_labels WHERE forecast_date >= (SELECT date FROM z_cal ORDER BY date DESC LIMIT 1 OFFSET 3) - INTERVAL {S.LABEL_REACH_DAYS} DAY""")
+def _(i):
+    labels = i.spark.read.parquet(f"{_run_passes(i)}/labels")
+    return labels.select("transect_id", "forecast_date", "target_date", "retreat_m", "window_retreat_m", "permanent_retreat_m", "y")
 
 
 @register("incremental_skip", "SELECT pass_id FROM z_summary WHERE date_diff('day', DATE '1995-01-01', date) // 12 % 3 = 0 OR water_fraction > 0.5::DOUBLE")
@@ -54,14 +81,11 @@ def _(i):
     return pending_passes(inputs, done)
 
 
-YEARS = ["1994-12-31", "1996-12-31", "1998-12-31", "2000-12-31", "2002-12-31"]
-
-
 @register("stream_pass_counts", f"SELECT {day('date')} AS date, count(*) AS n, round(count(bank_pos_m) / count(*)::DOUBLE, 6) AS valid_share FROM z_panel GROUP BY 1")
 def _(i):
     base = scratch(i.spark, "count-stream")
     p = i.panel().select("transect_id", "date", "bank_pos_m")
-    land_in_files(p, f"{base}/incoming", YEARS)
+    land_in_files(p, f"{base}/incoming", calendar_cuts(i, 4), files=1)
     return S.run_pass_counts(i.spark, f"{base}/incoming", p.schema, f"{base}/out", f"{base}/checkpoint")
 
 
@@ -71,5 +95,5 @@ FROM z_panel WINDOW w AS (PARTITION BY transect_id ORDER BY z_panel.date)""")
 def _(i):
     base = scratch(i.spark, "change-stream")
     p = i.panel().select("transect_id", "date", "bank_pos_m")
-    land_in_files(p, f"{base}/incoming", YEARS)
+    land_in_files(p, f"{base}/incoming", calendar_cuts(i, 4), files=1)
     return S.run_last_changes(i.spark, f"{base}/incoming", p.schema, f"{base}/out", f"{base}/checkpoint")

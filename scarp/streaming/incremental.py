@@ -10,42 +10,87 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scarp import config as C
 from scarp.operators.features import feature_table, stage_per_pass
+from scarp.operators.labels import make_labels
+from scarp.operators.metrics import rank_within_date
 
 # ret_365_m compares with a pass up to 365 + 30 days back whose permanent bank looks back another 180 days
 HISTORY_DAYS = 365 + 30 + C.PERMANENT_DAYS
 # a late pass changes labels from this many days before it
 LABEL_REACH_DAYS = C.HORIZON_DAYS + C.TARGET_TOL_DAYS + C.PERMANENT_DAYS
+LABEL_HISTORY_DAYS = LABEL_REACH_DAYS + max(C.CURRENT_DAYS, C.TARGET_HALF_DAYS)
+KEY = ("date", "pass_id", "transect_id")
+FIRST_LOAD = -1
 
 
-def store_positions(rows: DataFrame, store: str) -> None:
-    """Positions by pass date; a replayed batch replaces its own dates only. Rebalancing makes few files per date and
-    splits a date that is far larger than the others."""
-    rows.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(store)
+def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    """Write the partitions that ``rows`` has; the others stay. Rebalancing makes few files each and splits a large one."""
+    (rows.hint("rebalance", by[0]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*by).parquet(path))
 
 
-def features_of_dates(spark: SparkSession, store: str, dates: DataFrame, transects: DataFrame) -> DataFrame:
-    """Features of the given pass dates from at most HISTORY_DAYS of positions and the whole stage series."""
-    positions = spark.read.parquet(store)
-    span = dates.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()   # two values
-    lo, hi = F.lit(span["lo"]).cast("date"), F.lit(span["hi"]).cast("date")
-    recent = positions.where((F.col("date") >= F.date_sub(lo, HISTORY_DAYS)) & (F.col("date") <= hi))
-    stage = stage_per_pass(positions.where(F.col("date") <= hi).select("date", "pass_id", "belt_water_km2"))
-    out = feature_table(recent, transects, stage)
-    return out.join(F.broadcast(dates.select(F.col("date").alias("forecast_date"))), "forecast_date", "left_semi")
+def _passes(store: str) -> str:
+    return f"{store.rstrip('/')}-passes"
 
 
-def run_incremental(spark: SparkSession, incoming: str, schema, store: str, out: str, checkpoint: str,
-                    transects: DataFrame) -> None:
-    """Process every pending pass file, one per batch, and stop."""
-    def on_batch(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        store_positions(batch, store)
-        dates = batch.select("date").distinct()   # the pass dates of one batch
-        f = features_of_dates(batch.sparkSession, store, dates, transects)
-        f.hint("rebalance", "forecast_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_date").parquet(out)
+def store_positions(rows: DataFrame, store: str, batch: int = FIRST_LOAD) -> None:
+    """Positions by (date, batch), and beside them one stage row per pass.
 
-    (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    A replayed batch replaces its own rows only. A pass may arrive in many batches: ``stored_positions`` puts it together.
+    """
+    _replace(rows.withColumn("batch", F.lit(batch)), store, "date", "batch")
+    water = F.max_by("belt_water_km2", F.when(F.col("belt_water_km2").isNotNull(), F.col("transect_id")))
+    part = rows.sparkSession.read.parquet(store).where(F.col("batch") == batch)
+    _replace(part.groupBy("date", "pass_id", "batch").agg(water.alias("belt_water_km2")), _passes(store), "batch")
+
+
+def stored_positions(spark: SparkSession, store: str) -> DataFrame:
+    """One row per (date, pass, segment): the one that came last."""
+    rows = spark.read.parquet(store)
+    rest = [c for c in rows.columns if c not in (*KEY, "batch")]
+    return rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*KEY, "_r.*")
+
+
+def stored_stage(spark: SparkSession, store: str) -> DataFrame:
+    """The stage series from the pass table: a row per pass and batch, not per position."""
+    rows = spark.read.parquet(_passes(store)).where("belt_water_km2 IS NOT NULL")
+    last = rows.groupBy("date", "pass_id").agg(F.max_by("belt_water_km2", "batch").alias("belt_water_km2"))
+    days = spark.read.parquet(_passes(store)).select("date", "pass_id").distinct()
+    return stage_per_pass(days.join(last, ["date", "pass_id"], "left"))
+
+
+def since(col: str, first: object, days: int = 0):
+    return F.col(col) >= F.date_sub(F.lit(first).cast("date"), days)
+
+
+def refresh(spark: SparkSession, store: str, first: object, transects: DataFrame, features: str, labels: str | None = None,
+            threshold_m: float | None = None, ranks: str | None = None, score: str = "ret_84_m") -> None:
+    """Everything that positions from ``first`` on can change: features and ranks of the forecast dates from then on, and
+    labels back to ``LABEL_REACH_DAYS`` before. Reads that history and no more."""
+    positions = stored_positions(spark, store)
+    recent = positions.where(since("date", first, HISTORY_DAYS))
+    f = feature_table(recent, transects, stored_stage(spark, store)).where(since("forecast_date", first))
+    _replace(f, features, "forecast_date")
+    if ranks:
+        fresh = spark.read.parquet(features).where(since("forecast_date", first))
+        _replace(rank_within_date(fresh.select("forecast_date", "transect_id", score), score), ranks, "forecast_date")
+    if labels:
+        near = positions.where(since("date", first, LABEL_HISTORY_DAYS))
+        _replace(make_labels(near, threshold_m).where(since("forecast_date", first, LABEL_REACH_DAYS)), labels, "forecast_date")
+
+
+def run_incremental(spark: SparkSession, incoming: str, schema, store: str, out: str, checkpoint: str, transects: DataFrame,
+                    files_per_batch: int = 8, **more) -> None:
+    """Process every pending file and stop. A batch is stored, then what its oldest date touches is refreshed.
+
+    ``more`` goes to ``refresh``: labels with their threshold, ranks with their score.
+    """
+    def on_batch(batch: DataFrame, number: int) -> None:
+        store_positions(batch, store, number)
+        first = spark.read.parquet(store).where(F.col("batch") == number).agg(F.min("date").cast("string")).first()[0]
+        if first is not None:
+            refresh(spark, store, first, transects, out, **more)
+
+    (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
      .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
@@ -75,21 +120,20 @@ CHANGE_SCHEMA = "transect_id string, date date, change_m double"
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Change against the last position seen; rows not newer than the state are late and ignored."""
-    rows = pd.concat(list(batches)).sort_values("day")
+    rows = pd.concat(list(batches)).sort_values("day", kind="stable")
     last_day, last_pos = state.get if state.exists else (None, None)
-    out = []
-    for day, pos in zip(rows["day"], rows["bank_pos_m"]):
-        if last_day is not None and day <= last_day:
-            continue
-        known = last_day is not None and day - last_day <= C.LAST_CHANGE_MAX_DAYS
-        change = pos - last_pos if known and pd.notna(pos) and pd.notna(last_pos) else None
-        out.append((key[0], pd.Timestamp("1970-01-01") + pd.Timedelta(days=int(day)), change))
-        last_day, last_pos = int(day), None if pd.isna(pos) else float(pos)
-    state.update((last_day, last_pos))
-    frame = pd.DataFrame(out, columns=["transect_id", "date", "change_m"])
-    frame["date"] = pd.to_datetime(frame["date"]).dt.date
-    frame["change_m"] = frame["change_m"].astype(float)
-    yield frame
+    if last_day is not None:
+        rows = rows[rows["day"] > last_day]
+    rows = rows.drop_duplicates("day").astype({"bank_pos_m": float})
+    before = rows[["day", "bank_pos_m"]].shift(1)
+    if len(rows) and last_day is not None:
+        before.iloc[0] = (last_day, float("nan") if last_pos is None else last_pos)
+    near = rows["day"] - before["day"] <= C.LAST_CHANGE_MAX_DAYS
+    if len(rows):
+        last = rows.iloc[-1]
+        state.update((int(last["day"]), None if pd.isna(last["bank_pos_m"]) else float(last["bank_pos_m"])))
+    yield pd.DataFrame({"transect_id": key[0], "date": pd.to_datetime(rows["day"].astype("int64"), unit="D").dt.date,
+                        "change_m": (rows["bank_pos_m"] - before["bank_pos_m"]).where(near)})
 
 
 def last_changes(stream: DataFrame) -> DataFrame:

@@ -18,44 +18,69 @@ def skewed(spark):
     return spark.createDataFrame(rows, "forecast_date string, transect_id string, score double, y int").cache()
 
 
-def test_spread_ranking_equals_the_plain_window(skewed):
-    a = rank_rows(skewed, ["forecast_date"], "score", ["forecast_date", "transect_id"])
-    b = rank_rows(skewed, ["forecast_date"], "score", ["forecast_date", "transect_id"], max_rows=0, slots=16)
+def plain_rank(df):
+    from pyspark.sql import Window
+    from scarp.functions.ordering import key_hash
+    order = [F.col("score").desc_nulls_last(), key_hash("forecast_date", "transect_id"), F.col("forecast_date"), F.col("transect_id")]
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("forecast_date").orderBy(*order)).cast("int"))
+
+
+@pytest.mark.parametrize("slots", [2, 16, 300])
+def test_ranking_equals_the_plain_window(skewed, slots):
+    a = plain_rank(skewed)
+    b = rank_rows(skewed, ["forecast_date"], "score", ["forecast_date", "transect_id"], slots=slots)
     assert a.exceptAll(b.select(a.columns)).count() == 0 and b.count() == 6000
 
 
-def test_spread_running_sums_ascending(skewed):
-    kw = dict(descending=False, keys=["transect_id"])
+def test_ranking_without_any_score(skewed):
+    """All missing: one slot, cut by the hash."""
+    from scarp.functions.ordering import _with_slots, key_hash
+    none = skewed.withColumn("score", F.lit(None).cast("double"))
+    a = plain_rank(none)
+    b = rank_rows(none, ["forecast_date"], "score", ["forecast_date", "transect_id"], slots=16)
+    assert a.exceptAll(b.select(a.columns)).count() == 0 and b.count() == 6000
+    s = _with_slots(none.withColumn("_tie", key_hash("transect_id")), "score", True, "_tie", 16)
+    assert s.groupBy("forecast_date", "_slot", "_bin").count().agg(F.max("count")).first()[0] < 6000 / 8
+
+
+def test_building_a_plan_runs_nothing(spark, skewed):
+    from scarp.operators.serving import rank_predictions  # noqa: F401
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    rank_rows(skewed, ["forecast_date"], "score", ["forecast_date", "transect_id"], slots=16)
+    M.pr_auc(skewed, "score", ["forecast_date"])
+    exact_percentiles(skewed, ["forecast_date"], "score", {"m": 0.5})
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_running_sums_ascending(skewed):
+    from pyspark.sql import Window
     s = skewed.dropna()
-    a = running_sums(s, [], "score", {"c": F.col("y"), "n": F.lit(1)}, **kw)
-    b = running_sums(s, [], "score", {"c": F.col("y"), "n": F.lit(1)}, max_rows=0, slots=8, **kw)
+    w = Window.orderBy("score", "transect_id").rowsBetween(Window.unboundedPreceding, 0)
+    a = s.withColumns({"c": F.sum("y").over(w), "n": F.sum(F.lit(1)).over(w)})
+    b = running_sums(s, [], "score", {"c": F.col("y"), "n": F.lit(1)}, slots=8, descending=False, keys=["transect_id"])
     assert a.exceptAll(b.select(a.columns)).count() == 0
 
 
 def test_heavy_ties_are_cut_by_the_hash(skewed):
-    from scarp.functions.ordering import _order_facts, _with_slots, key_hash
-    n, edges = _order_facts(skewed, "score", 16)
-    s = _with_slots(skewed.withColumn("_tie", key_hash("transect_id")), "score", True, "_tie", edges, 16)
+    from scarp.functions.ordering import _with_slots, key_hash
+    s = _with_slots(skewed.withColumn("_tie", key_hash("transect_id")), "score", True, "_tie", 16)
     biggest = s.groupBy("forecast_date", "_slot", "_bin").count().agg(F.max("count")).first()[0]
     assert biggest < 6000 / 8
 
 
-def test_exact_percentiles_in_both_forms(skewed):
+def test_exact_percentiles(skewed):
     probs = {"a": 0.5, "b": 0.9, "c": 0.025}
-    x = {r["forecast_date"]: r for r in exact_percentiles(skewed, ["forecast_date"], "score", probs).collect()}
-    y = {r["forecast_date"]: r for r in exact_percentiles(skewed, ["forecast_date"], "score", probs, max_rows=0, slots=16).collect()}
+    x = {r["forecast_date"]: r for r in exact_percentiles(skewed, ["forecast_date"], "score", probs, slots=16).collect()}
     pdf = skewed.toPandas()
     for d, g in pdf.groupby("forecast_date"):
         for name, p in probs.items():
-            want = np.nanpercentile(g["score"], p * 100)
-            assert abs(x[d][name] - want) < 1e-12 and abs(y[d][name] - want) < 1e-12
-    one = exact_percentiles(skewed, [], "score", {"m": 0.5}, max_rows=0, slots=4).first()["m"]
+            assert abs(x[d][name] - np.nanpercentile(g["score"], p * 100)) < 1e-12
+    one = exact_percentiles(skewed, [], "score", {"m": 0.5}, slots=4).first()["m"]
     assert abs(one - np.nanmedian(pdf["score"])) < 1e-12
 
 
-def test_average_precision_in_both_forms(skewed):
-    a = M.pr_auc(skewed, "score", ["forecast_date"]).orderBy("forecast_date").collect()
-    b = M.pr_auc(skewed, "score", ["forecast_date"], max_rows=0, slots=16).orderBy("forecast_date").collect()
+def test_average_precision_does_not_depend_on_slots(skewed):
+    a, b = (M.pr_auc(skewed, "score", ["forecast_date"], slots=n).orderBy("forecast_date").collect() for n in (2, 16))
     assert all(abs(x["pr_auc"] - y["pr_auc"]) < 1e-12 for x, y in zip(a, b))
 
 
