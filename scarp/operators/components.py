@@ -161,9 +161,9 @@ def sieve(px: DataFrame, mask: str, max_px: int = C.SPECK_PX, out: str = "sieved
 def fill_holes(px: DataFrame, mask: str, out: str = "filled", strip: int = STRIP_ROWS) -> DataFrame:
     """Fill background that cannot reach the left or right border; top and bottom count as closed."""
     back = label_components(px.where(F.coalesce(F.col(mask), F.lit(0)) != 1), strip)
-    width = px.groupBy("img").agg(F.max("col").alias("_w"))
+    width = px.groupBy("img").agg(F.min("col").alias("_c0"), F.max("col").alias("_w"))
     reach = back.groupBy("img", "label").agg(F.min("c0").alias("_l"), F.max("c1").alias("_r")).join(width, "img")
-    holes = reach.where((F.col("_l") > 0) & (F.col("_r") < F.col("_w"))).select("img", "label")
+    holes = reach.where((F.col("_l") > F.col("_c0")) & (F.col("_r") < F.col("_w"))).select("img", "label")
     p = _with_flag(px, back.join(holes, ["img", "label"], "left_semi"), "_h")
     return p.withColumn(out, F.when((F.col(mask) == 1) | (F.col("_h") == 1), 1).otherwise(0)).drop("_h")
 

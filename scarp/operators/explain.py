@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from scarp import config as C
 from scarp.functions.columns import fixed, metres
-from scarp.functions.ordering import key_hash
 
 
 def reason_group_of(feature: str) -> str:
@@ -149,11 +148,6 @@ def reasons(features: Sequence[str], top: int = 3) -> Column:
     return F.filter(full, lambda r: r["text"].isNotNull())
 
 
-def seeded_sample(df: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
-    """n rows in key-hash order: a reproducible sample (a top-k, so only n rows per task travel)."""
-    return df.orderBy(key_hash(*keys), *keys).limit(n)
-
-
 def global_importance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean absolute contribution per feature; one pass, then 23 numbers are unpivoted."""
     wide = df.agg(*[F.avg(F.abs(f"c_{f}")).alias(f) for f in features])

@@ -126,21 +126,22 @@ def near_feature(points: DataFrame, segments: DataFrame, key: str, radius: float
 
 
 # --- transect samples ----------------------------------------------------------------------------------------------
-def transect_samples(transects: DataFrame, x0: float, y1: float, width: int, height: int, step: float = C.PIXEL_M,
+def transect_samples(transects: DataFrame, x0: float, y1: float, width: Column | int, height: Column | int, step: float = C.PIXEL_M,
                      riverward: float = C.RIVERWARD_M, landward: float = C.LANDWARD_M, keys: Sequence[str] = ()) -> DataFrame:
-    """Grid cell of every sample point; sample 0 is the riverward end."""
+    """Grid cell of every sample point of a grid of ``width`` x ``height`` cells; sample 0 is the riverward end."""
+    width, height = (x if isinstance(x, Column) else F.lit(x) for x in (width, height))
     n = int((riverward + landward + step / 2) // step)
     t = transects.select(*keys, "transect_id", "x0", "y0", "nx", "ny", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("sample"))
     s = F.col("sample") * step - riverward
     x, y = F.col("x0") + s * F.col("nx"), F.col("y0") + s * F.col("ny")
     r, c = cell_of(x, y, F.lit(x0), F.lit(y1), step)
-    return t.select(*keys, "transect_id", "sample", s.alias("s_m"), clipped_cell(r, F.lit(height)).alias("row"),
-                    clipped_cell(c, F.lit(width)).alias("col"))
+    return t.select(*keys, "transect_id", "sample", s.alias("s_m"), clipped_cell(r, height).alias("row"),
+                    clipped_cell(c, width).alias("col"))
 
 
-def sample_raster(samples: DataFrame, px: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Values of each image under the samples. Many samples share a pixel, so the pixels stay as they are."""
-    return samples.join(px.select("img", "row", "col", *values), ["row", "col"])
+def sample_raster(samples: DataFrame, px: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Values of each image of the same ``keys`` (a reach) under the samples. Many samples share a pixel, so pixels stay."""
+    return samples.join(px.select(*keys, "img", "row", "col", *values), [*keys, "row", "col"])
 
 
 # --- bank lines ----------------------------------------------------------------------------------------------------

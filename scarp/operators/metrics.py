@@ -150,7 +150,8 @@ def success_levels(m: DataFrame) -> DataFrame:
 
 def large_event_sensitivity(df: DataFrame, scores: Sequence[str], limits: Sequence[float],
                             k: int = C.TOP_K) -> DataFrame:
-    """P@k again without positives whose retreat exceeds a limit. Each row is repeated once per limit it passes."""
+    """P@k again without positives whose retreat exceeds a limit, with the arm's positive rate and the interval of the
+    difference of the first two scores. Each row is repeated once per limit it passes."""
     arms = F.array(*[F.when((F.col("y") == 0) | (F.col("retreat_m") <= x), F.lit(float(x))) for x in limits])
     cut = df.withColumn("limit_m", F.explode(F.array_compact(arms)))
     pos = df.where("y = 1")
@@ -167,7 +168,11 @@ def large_event_sensitivity(df: DataFrame, scores: Sequence[str], limits: Sequen
                 .agg(F.avg("precision").alias("precision_at_k"), F.count(F.lit(1)).alias("n_dates"))
                 .withColumn("score", F.lit(s)))
         out = part if out is None else out.unionByName(part)
-    return out.withColumns({"large_share": share, "median_positive_retreat_m": median})
+    rate = cut.groupBy("limit_m").agg(F.avg("y").alias("positive_rate"))
+    # how far the first score is ahead of the second, with its interval
+    ahead = moving_block_bootstrap(precision_difference(cut, scores[0], scores[1], k, ["limit_m"]), by=["limit_m"]).select(
+        "limit_m", F.col("mean").alias("diff_mean"), F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"))
+    return out.join(rate, "limit_m").join(ahead, "limit_m").withColumns({"large_share": share, "median_positive_retreat_m": median})
 
 
 def baseline_scores(df: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def calibrate(px: DataFrame, lut: DataFrame, step: int, dn: str = "dn", out: str
         out, F.when(F.col(dn) > 0, F.col(dn) * F.col(dn) / (F.col("_a") * F.col("_a")))).select(*px.columns, out)
 
 
-def otsu(px: DataFrame, value: str, lo: float, hi: float, sample: int = 4, min_pixels: int = C.OTSU_MIN_PIXELS,
+def otsu(px: DataFrame, value: str, lo: float, hi: float, sample: int = 1, min_pixels: int = C.OTSU_MIN_PIXELS,
          bins: int = C.OTSU_BINS, out: str = "threshold") -> DataFrame:
     """Otsu threshold per image (NULL with too few pixels); at most ``bins`` rows per image reach the windows."""
     v = F.col(value)
@@ -298,9 +298,10 @@ def burn_line(px: DataFrame, mask: str, line: Sequence[tuple[float, float]], hal
     return px.withColumn(out, F.when(F.col(mask).isNotNull(), F.when(on_line(x, y, line, half_width), 1).otherwise(F.col(mask))))
 
 
-def reference_share(px: DataFrame, min_share: float = 0.5) -> DataFrame:
-    """Pixels that are belt on enough of the passes that saw them. px: (img, row, col, belt, valid)."""
-    g = px.groupBy("row", "col").agg(K.sum_if(F.col("belt") == 1).alias("n_belt"), K.sum_if(F.col("valid") == 1).alias("n_seen"))
+def reference_share(px: DataFrame, min_share: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
+    """Pixels that are belt on enough of the passes that saw them. px: (keys.., img, row, col, belt, valid); ``keys`` name
+    a reach, whose grid is its own."""
+    g = px.groupBy(*keys, "row", "col").agg(K.sum_if(F.col("belt") == 1).alias("n_belt"), K.sum_if(F.col("valid") == 1).alias("n_seen"))
     keep = (F.col("n_belt") >= F.greatest(F.lit(1.0), min_share * F.col("n_seen"))) & (F.col("n_seen") > 0)
     return g.withColumn("belt", keep.cast("int"))
 

@@ -82,7 +82,7 @@ _ON = "s.bank = t.bank AND t.d >= s.ma AND (t.d < s.mb OR (s.is_last AND t.d <=
 
 
 @register("line_interpolate", f"""
-WITH t AS (SELECT bank, n.range * 137.0::DOUBLE AS d FROM (SELECT bank, max(m) AS l FROM z_measure GROUP BY bank) q, range(1000000) n WHERE n.range <= floor(q.l / 137))
+WITH t AS (SELECT bank, n.range * 137.0::DOUBLE AS d FROM (SELECT bank, max(m) AS l FROM z_measure GROUP BY bank) q, unnest(range(0, floor(q.l / 137)::BIGINT + 1)) n(range))
 SELECT t.bank, t.d, round(xa + (d - ma) / (mb - ma) * (xb - xa), 6) + 0.0::DOUBLE AS x, round(ya + (d - ma) / (mb - ma) * (yb - ya), 6) + 0.0::DOUBLE AS y FROM t JOIN z_seg s ON {_ON}""")
 def _(i):
     m = measured(i)
@@ -94,7 +94,7 @@ def _(i):
 fragment("z_cast0", f"""
 SELECT t.bank, t.i, t.ch, t.role, xa + (d - ma) / (mb - ma) * (xb - xa) AS x, ya + (d - ma) / (mb - ma) * (yb - ya) AS y FROM (
   SELECT bank, i, ch, r.role, CASE r.role WHEN 'p' THEN ch WHEN 'a' THEN greatest(ch - 100, 0) ELSE least(ch + 100, l) END AS d FROM (
-    SELECT bank, l, n.range AS i, least(n.range * 200 + 100, l) AS ch FROM (SELECT bank, max(m) AS l FROM z_measure GROUP BY bank), range(1000000) n WHERE n.range <= floor(l / 200)),
+    SELECT bank, l, n.range AS i, least(n.range * 200 + 100, l) AS ch FROM (SELECT bank, max(m) AS l FROM z_measure GROUP BY bank), unnest(range(0, floor(l / 200)::BIGINT + 1)) n(range)),
     (VALUES ('p'), ('a'), ('b')) r(role)) t JOIN z_seg s ON {_ON}""")
 fragment("z_cast", """
 SELECT bank || '-' || lpad(round_even(ch, 0)::BIGINT::VARCHAR, greatest(5, length(round_even(ch, 0)::BIGINT::VARCHAR))::INT, '0') AS transect_id, *,
@@ -125,13 +125,15 @@ def _(i):
 
 
 def samples(i: Inputs):
-    return G.transect_samples(i.transects(), -320.0, 0.0, 64, 250)
+    px = i.raster()
+    width, height = (px.agg(F.max(c) + 1).scalar() for c in ("col", "row"))
+    return G.transect_samples(i.transects(), -320.0, 0.0, width, height)
 
 
 fragment("z_samples", """
 SELECT transect_id, j.range::INT AS sample, j.range * 10.0::DOUBLE - 1500 AS s_m,
-  least(greatest(round_even((0 - (y0 + (j.range * 10.0::DOUBLE - 1500) * ny)) / 10 - 0.5::DOUBLE, 0), 0), 249)::INT AS row,
-  least(greatest(round_even((x0 + (j.range * 10.0::DOUBLE - 1500) * nx + 320) / 10 - 0.5::DOUBLE, 0), 0), 63)::INT AS col FROM z_transects, range(551) j""")
+  least(greatest(round_even((0 - (y0 + (j.range * 10.0::DOUBLE - 1500) * ny)) / 10 - 0.5::DOUBLE, 0), 0), (SELECT max(row) FROM z_raster))::INT AS row,
+  least(greatest(round_even((x0 + (j.range * 10.0::DOUBLE - 1500) * nx + 320) / 10 - 0.5::DOUBLE, 0), 0), (SELECT max(col) FROM z_raster))::INT AS col FROM z_transects, range(551) j""")
 
 
 @register("transect_samples", "SELECT * FROM z_samples")

@@ -163,29 +163,36 @@ SELECT s.*, chainage_m <= med AS upstream FROM z_scores s JOIN (
 fragment("z_down", f"SELECT *, {rank_sql('B0_persistence')} AS rb0, {rank_sql('B1_history')} AS rb1 FROM z_up WHERE NOT upstream AND year >= 2000")
 
 
+fragment("z_lim", "SELECT s.*, x.limit_m FROM z_scores s, (SELECT unnest([60.0::DOUBLE, 100.0::DOUBLE]) AS limit_m) x WHERE y = 0 OR retreat_m <= limit_m")
+fragment("z_limr", f"SELECT *, {rank_sql('B0_persistence', 'limit_m, forecast_date')} AS rb0, {rank_sql('B1_history', 'limit_m, forecast_date')} AS rb1 FROM z_lim")
+fragment("z_ldiff", f"SELECT limit_m, forecast_date, a.precision - b.precision AS diff FROM ({patk('rb0', 'z_limr', 'limit_m, ')}) a JOIN ({patk('rb1', 'z_limr', 'limit_m, ')}) b USING (limit_m, forecast_date)")
+fragment("z_lboot", boot("z_ldiff", "limit_m"))
+
+
 @register("sensitivity_large", f"""
-WITH l AS (SELECT s.*, x.limit_m FROM z_scores s, (SELECT unnest([60.0::DOUBLE, 100.0::DOUBLE]) AS limit_m) x WHERE y = 0 OR retreat_m <= limit_m),
-r AS (SELECT *, {rank_sql('B0_persistence', 'limit_m, forecast_date')} AS rb0, {rank_sql('B1_history', 'limit_m, forecast_date')} AS rb1 FROM l),
-a AS (SELECT limit_m, 'B0_persistence' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb0', 'r', 'limit_m, ')}) GROUP BY 1
+WITH a AS (SELECT limit_m, 'B0_persistence' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb0', 'z_limr', 'limit_m, ')}) GROUP BY 1
 UNION ALL
-SELECT limit_m, 'B1_history' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb1', 'r', 'limit_m, ')}) GROUP BY 1)
-SELECT *, (SELECT round(avg((retreat_m > limit_m)::INT), 6) FROM z_scores WHERE y = 1) AS large_share, (SELECT round(quantile_cont(retreat_m, 0.5::DOUBLE), 6) FROM z_scores WHERE y = 1) AS median_positive_retreat_m FROM a""")
+SELECT limit_m, 'B1_history' AS score, round(avg(precision), 6) AS precision_at_k, count(*) AS n_dates FROM ({patk('rb1', 'z_limr', 'limit_m, ')}) GROUP BY 1)
+SELECT a.*, (SELECT round(avg((retreat_m > a.limit_m)::INT), 6) FROM z_scores WHERE y = 1) AS large_share, (SELECT round(quantile_cont(retreat_m, 0.5::DOUBLE), 6) FROM z_scores WHERE y = 1) AS median_positive_retreat_m,
+ round(pr.positive_rate, 6) AS positive_rate, b.mean AS diff_mean, b.lo AS diff_lo, b.hi AS diff_hi
+FROM a JOIN (SELECT limit_m, avg(y) AS positive_rate FROM z_lim GROUP BY 1) pr USING (limit_m) JOIN z_lboot b USING (limit_m)""")
 def _(i):
     return M.large_event_sensitivity(i.scores(), ["B0_persistence", "B1_history"], [60.0, 100.0], K)
 
 
 def run_metrics(i: Inputs):
     """One wide metric row: temporal and spatial difference, Brier scores, pass coverage, position error."""
-    from scarp.operators.quality import pass_coverage
-    from scarp.functions.ordering import exact_percentiles
+    from scarp.operators.quality import pass_coverage, position_error
+    from scarp.plans.q_quality import differences
     s = upstream_flag(i.scores())
     test = s.where(F.col("year").isin(*TEST))
     t = M.compare_models(test, "p", "B1_history", K).where("period = 'all_dates'")
     sp = M.compare_models(test.where(~F.col("upstream")), "p", "B1_history", K).where("period = 'all_dates'")
-    e = exact_percentiles(s.select(F.abs("inundation_m").alias("e")), [], "e", {"bank_error_median_m": 0.5})
-    base = F.avg("y")
+    e = position_error(differences(i), []).select(F.col("median_abs_err_m").alias("bank_error_median_m"))
+    # persistence as a calibrated probability, held against the outcome like the model's
+    b0 = 1.0 / (1.0 + F.exp(-(0.02 * F.coalesce(F.col("B0_persistence"), F.lit(0.0)) - 1.0)))
     b = test.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("model_brier"),
-                 (base * (1 - base)).alias("persistence_brier"))
+                 F.avg((b0 - F.col("y")) ** 2).alias("persistence_brier"))
     cov = pass_coverage(i.calendar(), i.pass_summary().select(F.unix_date("date").alias("day")))
     one = lambda df, c: df.select(c).scalar()
     # every part is a single row; they meet as scalar subqueries
@@ -203,10 +210,10 @@ fragment("z_tboot", boot("z_tdiff"))
 fragment("z_sboot", boot("z_sdiff"))
 fragment("z_run", """
 SELECT (SELECT count(*) FROM z_cal) AS passes_in_catalog, (SELECT count(*) FROM z_summary) AS passes_processed,
-  (SELECT quantile_cont(abs(inundation_m), 0.5::DOUBLE) FROM z_scores) AS bank_error_median_m,
+  (SELECT quantile_cont(abs(diff), 0.5::DOUBLE) FROM z_err) AS bank_error_median_m,
   (SELECT lo FROM z_tboot) AS temporal_lo, (SELECT lo FROM z_sboot) AS spatial_lo,
   (SELECT avg((p - y) ** 2) FROM z_scores WHERE year >= 2000) AS model_brier,
-  (SELECT avg(y) * (1 - avg(y)) FROM z_scores WHERE year >= 2000) AS persistence_brier""")
+  (SELECT avg((1 / (1 + exp(-(0.02::DOUBLE * coalesce(B0_persistence, 0) - 1))) - y) ** 2) FROM z_scores WHERE year >= 2000) AS persistence_brier""")
 
 
 @register("success_levels", f"""

@@ -33,7 +33,7 @@ _MAP = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{X.reason_group_of(f)}'" fo
 _ORDER = {}
 for _f in NAMES:
     _ORDER.setdefault(X.reason_group_of(_f), len(_ORDER))
-fragment("z_long", f"SELECT transect_id, forecast_date, feature, value FROM (FROM (SELECT * EXCLUDE (rank) FROM z_contrib WHERE rank <= 40) UNPIVOT (value FOR feature IN ({', '.join(NAMES)})))")
+fragment("z_long", f"SELECT transect_id, forecast_date, feature, value FROM (FROM (SELECT * EXCLUDE (rank) FROM z_contrib) UNPIVOT (value FOR feature IN ({', '.join(NAMES)})))")
 fragment("z_group", f"""
 SELECT *, row_number() OVER (PARTITION BY transect_id, forecast_date ORDER BY value DESC, CASE g {' '.join(f"WHEN '{g}' THEN {n}" for g, n in _ORDER.items())} END) AS rn
 FROM (SELECT transect_id, forecast_date, {_MAP} AS g, sum(value) AS value FROM z_long GROUP BY ALL) WHERE value > 0""")
@@ -55,11 +55,11 @@ _TEXT = f"""CASE g
  WHEN 'neighbours' THEN CASE WHEN nb_ret_84_m > 0 THEN 'Neighbouring segments retreated ' || {_m('nb_ret_84_m')} || ' on average in 12 weeks' ELSE 'Nearby segments are active' END
  WHEN 'bank_height' THEN format('Bank height about {{:.1f}} m above the river (DEM)', bank_height_m) END"""
 fragment("z_told", f"""
-SELECT g.transect_id, g.forecast_date, g.g, g.value, g.rn, {_TEXT} AS text FROM z_group g JOIN z_pred2 USING (transect_id, forecast_date) WHERE rn <= 3""")
+SELECT g.transect_id, g.forecast_date, g.g, g.value, g.rn, {_TEXT} AS text FROM z_group g JOIN z_pred2 p USING (transect_id, forecast_date) WHERE rn <= 3 AND p.rank <= {C.REASONS_TOP_RANK}""")
 fragment("z_pred", """
-SELECT p.*, r.reasons, r.two FROM z_pred2 p LEFT JOIN (
+SELECT p.*, r.reasons, r.two, r.texts FROM z_pred2 p LEFT JOIN (
   SELECT transect_id, forecast_date, string_agg(g || ': ' || text || format(' {:.4f}', round(value, 4)), ' | ' ORDER BY rn) AS reasons,
-    string_agg(text, '; ' ORDER BY rn) FILTER (rn <= 2) AS two
+    string_agg(text, '; ' ORDER BY rn) FILTER (rn <= 2) AS two, string_agg(text, ' | ' ORDER BY rn) AS texts
   FROM z_told WHERE text IS NOT NULL GROUP BY ALL) r USING (transect_id, forecast_date)""")
 
 
@@ -76,10 +76,10 @@ def _(i):
     return X.reason_groups(i.spark).join(have.where("n > 0"), "feature").select("feature", "reason_group")
 
 
-@register("contributions", f"SELECT transect_id, {day('forecast_date')} AS forecast_date, {r6(*NAMES)} FROM z_contrib WHERE rank <= 40")
+@register("contributions", f"SELECT transect_id, {day('forecast_date')} AS forecast_date, {r6(*NAMES)} FROM z_contrib")
 def _(i):
     p = i.predictions()
-    c = X.linear_contributions(p, WEIGHTS, X.feature_means(p, NAMES)).where("rank <= 40")
+    c = X.linear_contributions(p, WEIGHTS, X.feature_means(p, NAMES))
     return c.select("transect_id", "forecast_date", *[F.col(f"c_{f}").alias(f) for f in NAMES])
 
 
@@ -88,23 +88,22 @@ SELECT transect_id, {day('forecast_date')} AS forecast_date, string_agg(g || for
 def _(i):
     from scarp.functions.columns import fixed
     p = i.predictions()
-    c = X.linear_contributions(p, WEIGHTS, X.feature_means(p, NAMES)).where("rank <= 40")
+    c = X.linear_contributions(p, WEIGHTS, X.feature_means(p, NAMES))
     named = F.transform(X.top_reasons(NAMES), lambda r: F.concat(r["group"], F.lit(" "), fixed(r["value"], 3)))
     return c.select("transect_id", "forecast_date", F.nullif(F.array_join(named, ", "), F.lit("")).alias("top")).where("top IS NOT NULL")
 
 
 @register("render_reason", f"SELECT transect_id, {day('forecast_date')} AS forecast_date, g AS reason_group, text FROM z_told WHERE text IS NOT NULL")
 def _(i):
-    return i.predictions().where("rank <= 40").select("transect_id", "forecast_date", F.explode("reasons").alias("r")).select(
+    return i.predictions().select("transect_id", "forecast_date", F.explode("reasons").alias("r")).select(
         "transect_id", "forecast_date", F.col("r.group").alias("reason_group"), F.col("r.text").alias("text"))
 
 
-@register("global_importance", "WITH " + f"""s AS (SELECT c.* FROM z_contrib c ORDER BY {TIE}, forecast_date, transect_id LIMIT 20000)
-SELECT feature, round(avg(abs(value)), 6) AS mean_abs_shap FROM (FROM s UNPIVOT (value FOR feature IN ({', '.join(NAMES)}))) GROUP BY 1""")
+@register("global_importance", f"""
+SELECT feature, round(avg(abs(value)), 6) AS mean_abs_shap FROM (FROM (SELECT * EXCLUDE (rank) FROM z_contrib) UNPIVOT (value FOR feature IN ({', '.join(NAMES)}))) GROUP BY 1""")
 def _(i):
     p = i.predictions()
-    s = X.seeded_sample(p, 20000, ("forecast_date", "transect_id"))
-    return X.global_importance(X.linear_contributions(s, WEIGHTS, X.feature_means(p, NAMES)), NAMES)
+    return X.global_importance(X.linear_contributions(p, WEIGHTS, X.feature_means(p, NAMES)), NAMES)
 
 
 @register("tier_threshold", "SELECT warning_min_prob FROM z_floor")
@@ -159,8 +158,7 @@ def _(i):
 SELECT {day('forecast_date')} AS date, transect_id AS id, round(p, 4) AS p, rank, b0_rank, tier, round_even(ret_28_m, 0) + 0.0::DOUBLE AS ret28,
  round_even(ret_84_m, 0) + 0.0::DOUBLE AS ret84, round_even(ret_365_m, 0) + 0.0::DOUBLE AS ret365, round_even(raw_last_change_m, 0) + 0.0::DOUBLE AS last,
  round_even(bank_pos_m, 0) + 0.0::DOUBLE AS pos, coalesce(raw_last_change_m >= 20, false)::INT AS mon, y, round_even(retreat_m, 0) + 0.0::DOUBLE AS retreat, major,
- {day('target_date')} AS target, (SELECT string_agg(text, ' | ' ORDER BY rn) FROM z_told t WHERE t.transect_id = z_pred.transect_id AND t.forecast_date = z_pred.forecast_date) AS reasons
-FROM z_pred""", doubles=('y', 'major'))
+ {day('target_date')} AS target, texts AS reasons FROM z_pred""", doubles=('y', 'major'))
 def _(i):
     return A.prediction_rows(i.predictions(), THRESHOLD_M).withColumn(
         "reasons", F.nullif(F.array_join("reasons", " | "), F.lit("")))

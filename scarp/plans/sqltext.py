@@ -36,10 +36,10 @@ def query(body: str) -> str:
         body = body[len("WITH"):]
     elif order:
         body = "\n" + body
-        return "WITH " + ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in order) + body
+        return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({FRAGMENTS[n]})" for n in order) + body
     else:
         return body
-    head = ",\n".join(f"{n} AS ({FRAGMENTS[n]})" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({FRAGMENTS[n]})" for n in order)
     return f"WITH {own} " + (head + ",\n" if head else "") + body
 
 
