@@ -157,14 +157,16 @@ def _(i):
 
 
 def flood(name: str, where: str) -> str:
-    """Component labels (smallest pixel number) by propagating smaller numbers to 4-neighbours."""
+    """Component labels (smallest pixel number): runs per row hand smaller numbers to runs they touch in the next rows."""
     return f"""
-{name}_p AS (SELECT img, row, col, row * 100000 + col AS id FROM {where}),
-{name}_r AS (SELECT img, id, id AS label FROM {name}_p UNION
-  SELECT n.img, n.id, r.label FROM {name}_r r JOIN (
-    SELECT a.img, a.id AS src, b.id FROM {name}_p a JOIN {name}_p b ON a.img = b.img AND ((a.row = b.row AND abs(a.col - b.col) = 1) OR (a.col = b.col AND abs(a.row - b.row) = 1))
-  ) n ON n.img = r.img AND n.src = r.id AND r.label < n.id),
-{name} AS (SELECT img, id, min(label) AS label FROM {name}_r GROUP BY img, id)"""
+{name}_g AS MATERIALIZED (SELECT img, row, col, col - row_number() OVER (PARTITION BY img, row ORDER BY col) AS g FROM {where}),
+{name}_s AS MATERIALIZED (SELECT img, row, g, min(col) AS c0, max(col) AS c1, row * 100000 + min(col) AS id FROM {name}_g GROUP BY img, row, g),
+{name}_e AS MATERIALIZED (SELECT a.img, a.id AS src, b.id FROM {name}_s a JOIN (SELECT *, unnest([row - 1, row + 1]) AS near FROM {name}_s) b
+  ON b.img = a.img AND b.near = a.row AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+{name}_r AS (SELECT img, id, id AS label FROM {name}_s UNION
+  SELECT e.img, e.id, r.label FROM {name}_r r JOIN {name}_e e ON e.img = r.img AND e.src = r.id AND r.label < e.id),
+{name} AS MATERIALIZED (SELECT g.img, g.row * 100000 + g.col AS id, label FROM {name}_g g JOIN {name}_s s ON s.img = g.img AND s.row = g.row AND s.g = g.g
+  JOIN (SELECT img, id, min(label) AS label FROM {name}_r GROUP BY img, id) m ON m.img = s.img AND m.id = s.id)"""
 
 
 @register("px_components", f"""
@@ -186,7 +188,35 @@ def _(i):
     return CC.large_components(i.masks(), "mask", 20).select("img", "row", "col", "large")
 
 
-@register("px_bridged_components")
+def bridged(name: str, src: str, col: str, least: int, wide: int = 1) -> str:
+    """CTE ``name`` (img, row, col, large): components of at least ``least`` own pixels, joined over gaps of ``wide``."""
+    return f"""
+{name}_d AS (SELECT DISTINCT a.img, a.row, a.col FROM {src} a JOIN {src} b ON b.img = a.img AND b.{col} = 1
+  AND b.row BETWEEN a.row - {wide} AND a.row + {wide} AND b.col BETWEEN a.col - {wide} AND a.col + {wide}
+  AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= {wide * wide}),
+{flood(name + '_l', name + '_d')},
+{name} AS (SELECT m.img, m.row, m.col, coalesce((m.{col} = 1 AND sum((m.{col} = 1)::INT) OVER (PARTITION BY m.img, l.label) >= {least})::INT, 0) AS large
+  FROM {src} m LEFT JOIN {name}_l l ON l.img = m.img AND l.id = m.row * 100000 + m.col)"""
+
+
+def filled(name: str, src: str, col: str) -> str:
+    """CTE ``name`` (img, row, col, filled): background that reaches neither side is filled."""
+    return f"""
+{flood(name + '_l', f"{src} WHERE coalesce({col}, 0) <> 1")},
+{name}_o AS (SELECT l.img, label FROM {name}_l l JOIN (SELECT img, min(col) AS c0, max(col) AS c1 FROM {src} GROUP BY img) w ON w.img = l.img
+  GROUP BY l.img, label, c0, c1 HAVING min(id % 100000) > c0 AND max(id % 100000) < c1),
+{name} AS (SELECT m.img, m.row, m.col, (coalesce({col}, 0) = 1 OR o.label IS NOT NULL)::INT AS filled FROM {src} m
+  LEFT JOIN {name}_l l ON l.img = m.img AND l.id = m.row * 100000 + m.col LEFT JOIN {name}_o o ON o.img = l.img AND o.label = l.label)"""
+
+
+def large(name: str, src: str, col: str, least: int) -> str:
+    return f"""
+{flood(name + '_l', f"{src} WHERE {col} = 1")},
+{name} AS (SELECT m.img, m.row, m.col, coalesce((k.size >= {least})::INT, 0) AS large FROM {src} m
+  LEFT JOIN (SELECT img, id, count(*) OVER (PARTITION BY img, label) AS size FROM {name}_l) k ON k.img = m.img AND k.id = m.row * 100000 + m.col)"""
+
+
+@register("px_bridged_components", f"WITH RECURSIVE {bridged('br', 'z_masks', 'mask', 40)} SELECT img, row, col, large FROM br")
 def _(i):
     return CC.large_components(i.masks(), "mask", 40, bridge_px=1).select("img", "row", "col", "large")
 
@@ -221,11 +251,14 @@ def _(i):
 LINE = [(100.0, 300.0), (300.0, 320.0), (560.0, 250.0)]
 
 
-@register("px_burn_line", """
+fragment("z_burned", """
 WITH p AS (SELECT *, (col + 0.5::DOUBLE) * 10 AS x, (row + 0.5::DOUBLE) * 10 AS y FROM z_masks),
 t AS (SELECT *, ((x - 100) * 200 + (y - 300) * 20) / 40400 AS t1, ((x - 300) * 260 + (y - 320) * -70) / 72500 AS t2 FROM p)
 SELECT img, row, col, CASE WHEN mask IS NULL THEN NULL WHEN (t1 >= 0 AND (x - 100 - least(greatest(t1, 0), 1) * 200) ** 2 + (y - 300 - least(greatest(t1, 0), 1) * 20) ** 2 <= 3600)
-  OR (t2 <= 1 AND (x - 300 - least(greatest(t2, 0), 1) * 260) ** 2 + (y - 320 + least(greatest(t2, 0), 1) * 70) ** 2 <= 3600) THEN 1 ELSE mask END AS burned FROM t""", doubles=('burned',))
+  OR (t2 <= 1 AND (x - 300 - least(greatest(t2, 0), 1) * 260) ** 2 + (y - 320 + least(greatest(t2, 0), 1) * 70) ** 2 <= 3600) THEN 1 ELSE mask END AS burned FROM t""")
+
+
+@register("px_burn_line", "SELECT img, row, col, burned FROM z_burned", doubles=('burned',))
 def _(i):
     return R.burn_line(i.masks(), "mask", LINE, 60.0).select("img", "row", "col", "burned")
 
@@ -235,7 +268,15 @@ def belt(i: Inputs):
     return CC.braid_belt(i.masks(), "mask", LINE, min_px=60, bridge_px=1, radius=1, half_width=60.0)
 
 
-@register("px_belt")
+@register("px_belt", f"""
+WITH RECURSIVE {bridged('br', 'z_burned', 'burned', 60)},
+{filled('fi', 'br', 'large')},
+core AS (SELECT a.img, a.row, a.col FROM fi a WHERE filled = 1 AND NOT EXISTS (SELECT 1 FROM fi b WHERE b.img = a.img AND b.filled <> 1
+  AND abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1)),
+op AS (SELECT a.img, a.row, a.col, (count(b.row) > 0)::INT AS opened FROM fi a LEFT JOIN core b ON b.img = a.img AND b.row BETWEEN a.row - 1 AND a.row + 1
+  AND b.col BETWEEN a.col - 1 AND a.col + 1 AND abs(a.row - b.row) + abs(a.col - b.col) <= 1 GROUP BY a.img, a.row, a.col),
+{large('la', 'op', 'opened', 60)}
+SELECT img, row, col, large AS belt FROM la""")
 def _(i):
     return belt(i).select("img", "row", "col", "belt")
 
@@ -247,7 +288,12 @@ def _(i):
     return R.reference_share(i.masks().withColumns({"belt": F.col("mask"), "valid": F.col("mask").isNotNull().cast("int")}))
 
 
-@register("px_reference_belt_full")
+@register("px_reference_belt_full", f"""
+WITH RECURSIVE sh AS (SELECT 'ref' AS img, row, col, (count(*) FILTER (mask = 1) >= greatest(1, 0.5::DOUBLE * count(mask)) AND count(mask) > 0)::INT AS belt
+  FROM z_masks GROUP BY row, col),
+{filled('fi', 'sh', 'belt')},
+{large('la', 'fi', 'filled', 60)}
+SELECT row, col, large AS belt FROM la""")
 def _(i):
     share = R.reference_share(i.masks().withColumns({"belt": F.col("mask"), "valid": F.col("mask").isNotNull().cast("int")}))
     p = CC.fill_holes(share.withColumn("img", F.lit("ref")), "belt", "_f")
