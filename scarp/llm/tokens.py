@@ -26,7 +26,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from scarp.llm.texts import pieces, rows_with_text  # noqa: E402
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-GENERATION = 400_000    # stretches kept per generation
+GENERATION = 700_000    # stretches kept per generation
 _MARKS, _MARK = b".,", {b".", b","}
 # White space as Unicode has it; Python's \s adds \x1c-\x1f.
 _SPACE, _INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
