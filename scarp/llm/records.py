@@ -6,7 +6,7 @@ all little-endian. Masking turns a checksum by 15 bits and adds a constant, so t
 checksums stays useful. Records end in a line feed because Spark's text writer puts one there: the files are written by
 Spark's own committer, which any store and a lost executor allow for, and read back by its binary reader.
 
-Files follow the order of doc_id (null first, ties by text); their number follows the bytes of text. Null text counts as
+Files follow the order of doc_id (null first, ties by text); their number follows the partitions of the input. Null text counts as
 empty and has the end id only; repeated rows are records of their own; an empty table gives no rows.
 """
 from __future__ import annotations
@@ -24,7 +24,7 @@ from scarp.llm.texts import id_and_text
 from scarp.llm.tokens import BYTE_BPE, coded, encoder, tokenizer_file
 
 END_ID = 0
-FILE_BYTES = 8 << 20       # of text per file
+FILES_PER_SPLIT = 3     # files for each partition of the input: what bounds a partition bounds them
 _LENGTH, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BqI")
 _OVERHEAD = _LENGTH.size + 2 * _SUM.size + 1
 _WIDE, _NO_ID = 1, 2
@@ -98,9 +98,10 @@ _KINDS = [pa.string(), *[pa.int64()] * 6]
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = END_ID,
-                  file_bytes: int = FILE_BYTES) -> None:
+                  file_bytes: int | None = None) -> None:
     """Write ``path``/records and, from reading them, ``path``/index: where each record lies and what it holds.
 
+    There are ``FILES_PER_SPLIT`` files per input partition, or as many as texts fill at ``file_bytes`` each.
     The index has file, doc_id, offset, bytes, before (ids of the file before it), n_tokens and ids_crc32.
     """
     file, end = tokenizer_file(tokenizer), np.array([end_id], "<u4").tobytes()
@@ -120,8 +121,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
         return _batches(_scan(batches), _KINDS)
 
     spark, texts = docs.sparkSession, id_and_text(docs)
-    total = texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    (texts.repartitionByRange(int(total // file_bytes) + 1, "doc_id").sortWithinPartitions("doc_id", "text")
+    if file_bytes:
+        total = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+        files = int(total // file_bytes) + 1
+    else:
+        files = FILES_PER_SPLIT * max(1, texts.rdd.getNumPartitions())
+    (texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.text(f"{path}/records"))
     _files(spark, path).mapInArrow(index, _INDEX).write.parquet(f"{path}/index")
 
