@@ -23,7 +23,7 @@ from scarp.operators import metrics as M
 from scarp.operators.labels import upstream_flag
 from scarp.session import settle
 
-SEED = 20240601
+SEED = 7411
 GRID = {"maxDepth": [3, 4, 5], "minInstancesPerNode": [50, 200], "stepSize": [0.03, 0.1]}
 
 
