@@ -13,7 +13,7 @@ rows. A null doc_id never names a component unless it is alone. An empty table g
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -197,12 +197,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs`` less all but one of each near-duplicate group: its smallest doc_id stays.
 
-    doc_id names a document: of rows that repeat it one stays. Rows without doc_id stay, as nothing names them.
+    ``groups`` gives (doc_id, component_id) of every row. doc_id names a document: of rows that repeat it one stays.
+    Rows without doc_id stay, as nothing names them.
     """
-    found = (near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
+    found = (groups(docs).where(F.col("doc_id") == F.col("component_id"))
              .select(F.col("doc_id").alias("_keep")).distinct())
     rows, _ = apart(docs, ("doc_id",))
     kept = rows.join(found, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
