@@ -29,7 +29,7 @@ def measure_banks(samples: DataFrame, s0: float, step: float, pixel_m: float = C
     """Position, validity, near width, near water share and char shield of every transect in one aggregation.
 
     The samples of a transect become one ordered array; all frames around the bank are slices of it.
-    ``land_dist`` (px from water to land, capped) is optional in the samples.
+    ``land_dist`` (px from water to land) is optional in the samples.
     """
     has_width = "land_dist" in samples.columns
     fields = ["sample", "belt", "water", "nodata", *(["land_dist"] if has_width else [])]

@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +127,37 @@ def distance_within(px: DataFrame, target: Column, radius: int, out: str = "dist
     return spread.groupBy("img", "_tr", "_tc").applyInArrow(measure, schema)
 
 
+def distance_to(px: DataFrame, target: Column, out: str = "dist") -> DataFrame:
+    """Exact distance (px) to the nearest target pixel of the image, however far; NULL in an image without one.
+
+    Vertical distances come from two windows per image column. Each image row then is one array, whose minimum over
+    horizontal shifts ends at the first shift that is no shorter than every distance found.
+    """
+    w = Window.partitionBy("img", "col").orderBy("row")
+    hit = F.when(F.coalesce(target, F.lit(False)), F.col("row"))
+    up = F.col("row") - F.last("_hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first("_hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
+    spread = px.withColumn("_hit", hit).withColumn("_g", F.least(up, down).cast("long")).drop("_hit")
+    schema = T.StructType([*px.schema.fields, T.StructField(out, T.DoubleType())])
+    names = px.columns
+
+    def measure(tab: pa.Table) -> pa.Table:
+        c = tab["col"].to_numpy()
+        c = c - c.min()
+        n, far = int(c.max()) + 1, np.int64(1) << 40
+        g = np.full(n, far)
+        g[c] = pc.fill_null(tab["_g"], 1 << 20).to_numpy() ** 2
+        best, o = g.copy(), 1
+        while o < n and o * o < best[c].max():
+            np.minimum(best[o:], g[:-o] + o * o, out=best[o:])
+            np.minimum(best[:-o], g[o:] + o * o, out=best[:-o])
+            o += 1
+        d2 = best[c]
+        return tab.select(names).append_column(out, pa.array(np.sqrt(d2.astype(float)), mask=d2 >= far))
+
+    return spread.groupBy("img", "row").applyInArrow(measure, schema)
+
+
 # --- calibration and thresholds ------------------------------------------------------------------------------------
 def lut_cells(lut: DataFrame, step: int) -> DataFrame:
     """One row per look-up cell with its four corner values. ``lut``: (img, row, col, a) on a regular grid."""

@@ -14,9 +14,9 @@ S0, STEP, NEAR, SHIELD, GUARD = -150.0, 10.0, 100.0, 300.0, 50.0
 
 
 def land(i: Inputs):
-    """Masks with the capped distance of every pixel to the nearest pixel that is not water."""
+    """Masks with the distance of every pixel to the nearest pixel that is not water; NULL in an image of water only."""
     dry = F.coalesce(F.col("mask"), F.lit(0)) != 1
-    return R.distance_within(i.masks(), dry, 7, "_d").withColumn("land_dist", F.coalesce("_d", F.lit(7.0))).drop("_d")
+    return R.distance_to(i.masks(), dry, "land_dist")
 
 
 def samples(i: Inputs, width: bool = False):
@@ -59,7 +59,7 @@ WITH c AS (SELECT img, row, col FROM z_land WHERE mask = 1 AND land_dist >= 2)
 SELECT b.img, b.transect_id, round(10 * sqrt(min((c.row - b.transect_id) ** 2 + (c.col - b.idx) ** 2)), 6) AS dist_main_channel_m
 FROM z_bank b LEFT JOIN c ON c.img = b.img WHERE ok GROUP BY b.img, b.transect_id""")
 def _(i):
-    px = land(i).withColumn("core", ((F.col("mask") == 1) & (F.col("land_dist") >= 2)).cast("int"))
+    px = land(i).withColumn("core", ((F.col("mask") == 1) & F.coalesce(F.col("land_dist") >= 2, F.lit(True))).cast("int"))
     pts = banks(i).where("valid = 1").select("img", "transect_id", F.col("transect_id").alias("row"), F.col("idx").alias("col"))
     return B.distance_to_core(pts, px, "core").select("img", "transect_id", "dist_main_channel_m")
 

@@ -143,6 +143,24 @@ def test_distance_is_exact_within_the_radius(spark):
     assert np.allclose(got[near], want[near]) and np.isnan(got[~near]).all()
 
 
+def test_distance_has_no_bound(spark):
+    a = np.zeros((50, 70), int)
+    a[3, 2] = a[45, 6] = a[30, 69] = 1
+    got = image(R.distance_to(pixels(spark, a), F.col("mask") == 1), "dist", a.shape)
+    assert np.allclose(got, distance(a == 1)) and got.max() > 25
+    assert np.isnan(image(R.distance_to(pixels(spark, a), F.col("mask") == 5), "dist", a.shape)).all()
+
+
+def test_width_of_a_wide_channel(spark):
+    """Banks of a channel of 50 columns: 100 m from the bank the land is 11 pixels away."""
+    from scarp.plans import q_bankpos as Q
+    a = np.zeros((60, 64), int)
+    a[5:55, :50] = 1
+    masks = type("Inputs", (), {"masks": lambda self: pixels(spark, a)})()
+    got = {r.transect_id: r.near_channel_width_m for r in Q.banks(masks, True).collect()}
+    assert got[30] == 220 and got[5] == 20 and got[0] is None
+
+
 def test_spiral_is_one_component_over_many_strips(spark):
     a = spiral(41)
     lab, n = label(a == 1)
