@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks, the text between block-level tags. What structure marks as no article (menus, footers, forms,
-scripts, adverts, comments and the like, by element, role, class or id) is left out. Pass one decides the other blocks by
+scripts, adverts, comments and the like, by element, role, class or id) is left out, unless the element is a wrapper that holds
+the story: all marks of an article, a heading of level 1 or half of the page's text that is no link. Pass one decides the other blocks by
 link density, length and density of stop words: running text is good, link lists are bad, the rest is ambiguous.
 Pass two gives each ambiguous block the label of its nearest decided neighbour, a heading that of the next one. Where a
 page marks its article (``article`` or ``main``), blocks outside of it are bad and blocks inside are good unless they are
@@ -50,6 +51,10 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?=[\s=/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
+_STATE = re.compile(r"^(?:has|no|with|without|is)[-_]|[-_](?:open|closed|enabled|disabled|on|off)$", re.I)    # tells how a page is laid out
+_ARTICLE = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+_TITLE = re.compile(r"<h1(?=[\s/>])", re.I)
+_NO_STORY = re.compile(r"<(script|style|nav|footer|a|noscript|template|select)(?=[\s/>]).*?</\1\s*>", re.I | re.S)
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -61,27 +66,53 @@ class Block:
     heading: bool
 
 
-def _left_out(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether structure marks an element as no article."""
-    if tag in _NEVER or (tag == "header" and not inside):
+def _holds_story(page: str, at: int, tag: str, own_head: bool) -> bool:
+    """Whether the element opened before ``at`` is a wrapper: it holds all marks of an article, a heading of level 1 or half of the text."""
+    depth, end = 1, len(page)
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", page[at:], re.I):
+        depth += -1 if m[1] else 1
+        if not depth:
+            end = at + m.start()
+            break
+    else:
+        return False        # never closed
+    part = page[at:end]
+    marks = len(_ARTICLE.findall(part))
+    if (marks and marks == len(_ARTICLE.findall(page))) or (not own_head and _TITLE.search(part)):
         return True
+    size = len(_plain(part))
+    return size >= SHORT and 2 * size >= len(_plain(page))
+
+
+def _plain(part: str) -> str:
+    """Text without links and what is no text."""
+    return " ".join(_TAG.sub(" ", _NO_STORY.sub(" ", part)).split())
+
+
+def _left_out(tag: str, attrs: str, inside: bool) -> str:
+    """How structure marks an element as no article: "surely", "head" or "maybe" if it may be a wrapper, "" if not."""
+    if tag in ("form", "fieldset"):
+        return "maybe"
+    if tag in _NEVER or (tag == "header" and not inside):
+        return "surely"
     if not attrs.strip():
-        return False
+        return ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), next((g for g in m.groups()[1:] if g is not None), "")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "surely"
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return "surely"
         elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            parts = {p.lower() for w in value.split() for p in _SPLIT.findall(w)} | set(_PART.findall(value.lower()))
+            named = [w for w in value.split() if not _STATE.search(w)]
+            parts = {p.lower() for w in named for p in _SPLIT.findall(w)} | {p for w in named for p in _PART.findall(w.lower())}
             marks = parts & _MARKS | ({"header"} & parts)
             if inside:
                 marks -= _OUTSIDE
             if marks or any(p.startswith(_STARTS) for p in parts):
-                return True
-    return False
+                return "head" if marks & (_OUTSIDE | {"header"}) else "maybe"
+    return ""
 
 
 def blocks(page: str) -> list[Block]:
@@ -143,7 +174,8 @@ def blocks(page: str) -> list[Block]:
                 continue
         if gone:
             continue
-        if not shut and tag not in _VOID and _left_out(tag, attrs, depth > 0):
+        how = "" if shut or tag in _VOID else _left_out(tag, attrs, depth > 0)
+        if how and (how == "surely" or not _holds_story(page, at, tag, how == "head")):
             if tag in _BLOCK or tag in _NEVER:
                 close()
             gone, nested = tag, 1

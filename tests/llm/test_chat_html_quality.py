@@ -73,6 +73,19 @@ def test_main_text(page, text):
     assert html_blocks.main_text(page or "") == text
 
 
+STORY = "the cat and the dog of it " * 12
+
+
+@pytest.mark.parametrize("open_,shut", [
+    ("<div class='content-sidebar-wrap'>", "</div>"), ("<div class=has-sidebar>", "</div>"), ("<div class='comments-open'>", "</div>"),
+    ("<div class='site has-cookie-banner'>", "</div>"), ("<form action=x>", "</form>"), ("<div id=page-header-share>", "</div>")])
+def test_wrappers_stay(open_, shut):
+    story = STORY.strip()
+    assert html_blocks.main_text(f"<body>{open_}<article><h1>T</h1><p>{STORY}</p></article>{shut}</body>") == f"T\n{story}"
+    assert html_blocks.main_text(f"<body>{open_}<h1>T</h1><p>{STORY}</p>{shut}</body>") == f"T\n{story}"
+    assert html_blocks.main_text(f"<body>{open_}<p>{STORY}</p><div class=sidebar>x</div>{shut}<div class=sidebar>y</div></body>") == story
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (2, None, None), (None, "v", "é")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "0 AS n_chars")
