@@ -3,7 +3,7 @@
 A page is cut into blocks, the text between block-level tags. What structure marks as no article (menus, footers, forms,
 scripts, adverts, comments and the like, by element, role, class or id) is left out, unless the element is a wrapper that holds
 the story: all marks of an article, a heading of level 1 or half of the page's text that is no link. Pass one decides the other blocks by
-link density, length and density of stop words: running text is good, link lists are bad, the rest is ambiguous.
+link density, length and density of stop words: running text and long blocks are good, link lists are bad, the rest is ambiguous.
 Pass two gives each ambiguous block the label of its nearest decided neighbour, a heading that of the next one. Where a
 page marks its article (``article`` or ``main``), blocks outside of it are bad and blocks inside are good unless they are
 links. Good blocks are joined by a line feed, in the order of the page.
@@ -47,6 +47,8 @@ el la que y en los del se las por un para con no una su al lo como más pero sus
 SHORT, LONG = 70, 200               # code points
 STOP_LOW, STOP_HIGH = 0.05, 0.12
 MAX_LINKS = 0.35
+NEAR = 3                            # blocks
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?=[\s=/]|\Z)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -198,25 +200,33 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _length(text: str) -> int:
+    """Code points; those of scripts without spaces count three times, as each is much of a word."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
+
+
 def decide(b: Block, marked: bool) -> bool | None:
     """Pass one: good, bad or, as None, ambiguous. ``marked``: the page marks its article."""
     if b.links > MAX_LINKS * len(b.text):
         return False
     if marked:
         return b.inside
-    if "©" in b.text:
+    n = _length(b.text)
+    if "©" in b.text and n < LONG:
         return False
-    if b.heading or len(b.text) < SHORT:
+    if b.heading or n < SHORT:
         return False if b.links > MAX_LINKS * len(b.text) / 2 else None
+    if n >= LONG and b.links <= MAX_LINKS * len(b.text) / 2:
+        return True         # whatever its language
     w = b.text.lower().split()
     density = sum(x.strip(".,;:!?\"'()") in _STOP for x in w) / len(w)
-    return True if density >= STOP_HIGH or (density >= STOP_LOW and len(b.text) >= LONG) else None
+    return True if density >= STOP_HIGH or (density >= STOP_LOW and n >= LONG) else None
 
 
 def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """Pass two: ambiguous blocks take the label of the nearest decided neighbour, the one before at equal distance.
 
-    A heading looks ahead first. Where nothing is decided, all is kept.
+    A heading looks ahead first. Where nothing is decided, all is kept. Only a short block near a bad one becomes bad.
     """
     n = len(labels)
     before: list[int | None] = []
@@ -239,6 +249,9 @@ def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
                 x = labels[z]
             else:
                 x = labels[a]
+            if not x:
+                near = min(i - a if a is not None else n, z - i if z is not None else n)
+                x = near > NEAR or _length(found[i].text) >= SHORT
         out.append(bool(x))
     return out
 

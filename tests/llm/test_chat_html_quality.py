@@ -86,6 +86,14 @@ def test_wrappers_stay(open_, shut):
     assert html_blocks.main_text(f"<body>{open_}<p>{STORY}</p><div class=sidebar>x</div>{shut}<div class=sidebar>y</div></body>") == story
 
 
+@pytest.mark.parametrize("long,short", [
+    ("кошка сидит на окне " * 12, "мало слов"), ("猫坐在窗台上看着外面的雨慢慢落下" * 8, "短句"), ("kissa istuu ikkunalla ja katsoo sadetta " * 6, "lyhyt")])
+def test_other_languages_stay(long, short):
+    long, links = long.strip(), "<ul><li><a href=x>One</a><li><a href=y>Two</a></ul>"
+    page = f"<body><div>{links}</div><div><p>{long}</p><p>{short}</p><p>{long}</p></div><p>© all</p></body>"
+    assert html_blocks.main_text(page).split("\n")[::2] == [long, long]
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (2, None, None), (None, "v", "é")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "0 AS n_chars")
