@@ -207,14 +207,16 @@ def _length(text: str) -> int:
 
 def decide(b: Block, marked: bool) -> bool | None:
     """Pass one: good, bad or, as None, ambiguous. ``marked``: the page marks its article."""
-    if b.links > MAX_LINKS * len(b.text):
-        return False
+    if b.links > MAX_LINKS * len(b.text) and not b.heading:
+        return None if marked and b.inside else False
     if marked:
         return b.inside
     n = _length(b.text)
     if "©" in b.text and n < LONG:
         return False
-    if b.heading or n < SHORT:
+    if b.heading:
+        return None
+    if n < SHORT:
         return False if b.links > MAX_LINKS * len(b.text) / 2 else None
     if n >= LONG and b.links <= MAX_LINKS * len(b.text) / 2:
         return True         # whatever its language
@@ -227,6 +229,7 @@ def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """Pass two: ambiguous blocks take the label of the nearest decided neighbour, the one before at equal distance.
 
     A heading looks ahead first. Where nothing is decided, all is kept. Only a short block near a bad one becomes bad.
+    A block of links in the article stays between two good blocks; runs of them go.
     """
     n = len(labels)
     before: list[int | None] = []
@@ -242,6 +245,8 @@ def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
     out = []
     for i, x in enumerate(labels):
         a, z = before[i], after[i]
+        if x is None and not found[i].heading and found[i].links > MAX_LINKS * len(found[i].text):
+            x = 0 < i < n - 1 and bool(labels[i - 1] and labels[i + 1])     # a link inside of the article, or one of a run
         if x is None:
             if a is None and z is None:
                 x = True

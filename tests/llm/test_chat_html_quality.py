@@ -94,6 +94,13 @@ def test_other_languages_stay(long, short):
     assert html_blocks.main_text(page).split("\n")[::2] == [long, long]
 
 
+def test_linked_blocks_of_an_article():
+    page = ("<article><h1><a href=p>Title</a></h1><p>first</p><h2><a href=q>Section</a></h2><p>second</p><p><a href=r>one link</a></p><p>third</p>"
+            "<ul><li><a href=x>more</a><li><a href=y>and more</a></ul><p>last</p></article>")
+    assert html_blocks.main_text(page) == "Title\nfirst\nSection\nsecond\none link\nthird\nlast"
+    assert html_blocks.main_text(f"<div><h1><a href=p>Title</a></h1><p>{STORY}</p></div>") == f"Title\n{STORY.strip()}"
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (2, None, None), (None, "v", "é")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "0 AS n_chars")
