@@ -4,9 +4,9 @@ A page is cut into blocks, the text between block-level tags. What structure mar
 scripts, adverts, comments and the like, by element, role, class or id) is left out, unless the element is a wrapper that holds
 the story: all marks of an article, a heading of level 1 or half of the page's text that is no link. Pass one decides the other blocks by
 link density, length and density of stop words: running text and long blocks are good, link lists are bad, the rest is ambiguous.
-Pass two gives each ambiguous block the label of its nearest decided neighbour, a heading that of the next one. Where a
-page marks its article (``article`` or ``main``), blocks outside of it are bad and blocks inside are good unless they are
-links. Good blocks are joined by a line feed, in the order of the page.
+Pass two gives each ambiguous block the label of its nearest decided neighbour, a heading that of the next one. Where the
+page's marks of an article (``article`` or ``main``) hold at least half of its running text, they decide what is ambiguous:
+good inside, bad outside. Good blocks are joined by a line feed, in the order of the page.
 
 Null html counts as empty; a page without text gives the empty string. Repeated rows stay rows. An element that is never
 closed loses no more than its own block. An empty table gives an empty result.
@@ -205,24 +205,40 @@ def _length(text: str) -> int:
     return len(text) if text.isascii() else len(text) + 2 * len(_DENSE.findall(text))
 
 
+def running(b: Block) -> bool:
+    """Whether length or stop words show running text."""
+    n = _length(b.text)
+    if b.heading or n < SHORT or ("©" in b.text and n < LONG) or b.links > MAX_LINKS * len(b.text):
+        return False
+    if n >= LONG and b.links <= MAX_LINKS * len(b.text) / 2:
+        return True         # whatever its language
+    w = b.text.lower().split()
+    density = sum(x.strip(".,;:!?\"'()") in _STOP for x in w) / len(w)
+    return density >= STOP_HIGH or (density >= STOP_LOW and n >= LONG)
+
+
+def marks_hold(found: list[Block]) -> bool:
+    """Whether the page's marks of an article hold at least half of its running text, or of all text if nothing is running."""
+    if not any(b.inside for b in found):
+        return False
+    sizes = [len(b.text) * running(b) for b in found]
+    if not any(sizes):
+        sizes = [len(b.text) - b.links for b in found]
+    return 2 * sum(x for x, b in zip(sizes, found) if b.inside) >= sum(sizes)
+
+
 def decide(b: Block, marked: bool) -> bool | None:
-    """Pass one: good, bad or, as None, ambiguous. ``marked``: the page marks its article."""
+    """Pass one: good, bad or, as None, ambiguous. ``marked``: the page's marks of an article hold."""
     if b.links > MAX_LINKS * len(b.text) and not b.heading:
         return None if marked and b.inside else False
+    if running(b):
+        return True
     if marked:
         return b.inside
     n = _length(b.text)
     if "©" in b.text and n < LONG:
         return False
-    if b.heading:
-        return None
-    if n < SHORT:
-        return False if b.links > MAX_LINKS * len(b.text) / 2 else None
-    if n >= LONG and b.links <= MAX_LINKS * len(b.text) / 2:
-        return True         # whatever its language
-    w = b.text.lower().split()
-    density = sum(x.strip(".,;:!?\"'()") in _STOP for x in w) / len(w)
-    return True if density >= STOP_HIGH or (density >= STOP_LOW and n >= LONG) else None
+    return False if not b.heading and n < SHORT and b.links > MAX_LINKS * len(b.text) / 2 else None
 
 
 def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
@@ -263,7 +279,7 @@ def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    marked = any(b.inside for b in found)
+    marked = marks_hold(found)
     keep = inherit(found, [decide(b, marked) for b in found])
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 

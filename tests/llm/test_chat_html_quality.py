@@ -101,6 +101,14 @@ def test_linked_blocks_of_an_article():
     assert html_blocks.main_text(f"<div><h1><a href=p>Title</a></h1><p>{STORY}</p></div>") == f"Title\n{STORY.strip()}"
 
 
+def test_teasers_in_article_marks():
+    story = STORY.strip()
+    cards = "".join(f"<article><h3><a href=x>Card {i}</a></h3><p>a teaser</p></article>" for i in range(3))
+    assert html_blocks.main_text(f"<div><h1>T</h1><p>{STORY}</p><p>{STORY}</p></div><p><a href=z>More</a></p>{cards}").startswith(f"T\n{story}\n{story}")
+    part = f"<main><h1>T</h1><p>{STORY}</p><p>short</p></main><p>{STORY}</p><p>outside</p>"
+    assert html_blocks.main_text(part) == f"T\n{story}\nshort\n{story}"
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>a</p></article>"), (1, "u", "<article><p>a</p></article>"), (2, None, None), (None, "v", "é")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "0 AS n_chars")
