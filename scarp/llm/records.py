@@ -97,6 +97,10 @@ _INDEX = "file string, doc_id long, offset long, bytes long, before long, n_toke
 _KINDS = [pa.string(), *[pa.int64()] * 6]
 
 
+def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batches(_scan(batches), _KINDS)
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id: int = END_ID,
                   file_bytes: int | None = None) -> None:
     """Write ``path``/records and, from reading them, ``path``/index: where each record lies and what it holds.
@@ -117,9 +121,6 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
                 some, size = [], 0
         yield pa.record_batch([pa.array(some, pa.binary())], ["frame"])
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _batches(_scan(batches), _KINDS)
-
     spark, texts = docs.sparkSession, id_and_text(docs)
     if file_bytes:
         total = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
@@ -128,7 +129,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
         files = FILES_PER_SPLIT * max(1, texts.rdd.getNumPartitions())
     (texts.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.text(f"{path}/records"))
-    _files(spark, path).mapInArrow(index, _INDEX).write.parquet(f"{path}/index")
+    _files(spark, path).mapInArrow(_index_rows, _INDEX).write.parquet(f"{path}/index")
 
 
 def _index(spark: SparkSession, path: str) -> DataFrame:
@@ -136,13 +137,18 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record as it was read from the files into the index.
+    """(doc_id, start, n_tokens, ids_crc32) of every record, read from the files.
 
-    ``start`` counts the ids of all records before: those of the file, and those of earlier files.
+    ``start`` counts the ids of all records before: those of the file, and those of earlier files. A damaged record raises, and
+    so do files that do not hold the records of the index: missing, cut short, grown or replaced.
     """
-    rows = _index(spark, path)
+    known = _index(spark, path).select("file", "offset", F.col("doc_id").alias("_doc"), F.col("ids_crc32").alias("_sum"))
+    sound = F.col("before").isNotNull() & F.col("_sum").eqNullSafe(F.col("ids_crc32")) & F.col("_doc").eqNullSafe(F.col("doc_id"))
+    wrong = F.raise_error(F.concat(F.lit("a file differs from the index: "), "file")).cast("boolean")
+    rows = (_files(spark, path).mapInArrow(_index_rows, _INDEX).join(known, ["file", "offset"], "full")
+            .where(F.when(sound, F.lit(True)).otherwise(wrong)))
     # One row per file; the window over them is as long as there are files.
-    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    sizes = _index(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
     return rows.join(first, "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
