@@ -8,7 +8,8 @@ whether a symbol starts at a word after the last round depends on ``CONTEXT`` wo
 window of 20 words has such a start among those that its own words decide: equal windows share it. (Let m be a round's cap
 and d the words that decide the symbol ending at a place: d grows by the previous m each round, 1, 2, 4, 7; starts after
 round four are decided by 7 words on either side, 20 words have 7 places that are, and no symbol spans over 7 words.)
-Runs of one word have no pairs; a run is named by its word and length, and windows deep inside it are repeats of the one
+The symbols serve as anchors only: they fix places, and their own names are not looked up; the words around a place are.
+No round exchanges rows. Runs of one word have no pairs and get no name; windows deep inside a run are repeats of the one
 before, so that nothing about them needs to be looked up.
 
 Spark's work: (1) a start's name, the 14 words around it, is dealt to buckets; a name seen twice or more is a repeat, the
