@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scarp.llm import ann, bpe, chat, html_blocks, packing, quality, recompress, records, token_counts
+from scarp.llm import ann, bpe, chat, html_blocks, line_dedup, packing, quality, recompress, records, token_counts
 from scarp.llm.simhash import near_duplicates
 from scarp.llm.texts import table
 from scarp.session import scratch
@@ -76,6 +76,16 @@ o AS (SELECT doc_id, bool_and(v <= high AND (name <> 'word_length' OR v >= low))
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed,
        NOT base_failed AND coalesce(ok, false) AS kept
 FROM b LEFT JOIN o ON o.doc_id = b.doc_id""",
+    "op11_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+d AS (SELECT k.doc_id, line, pos, coalesce(k.doc_id <> r.first, false) AS gone FROM k LEFT JOIN r ON r.key = k.key)
+SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id""",
 }
 
 
@@ -141,6 +151,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).drop("_hash")
 
 
+@register
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(spark, table(spark, sf_dir, "documents"), scratch(spark, "lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
