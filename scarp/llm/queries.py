@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scarp.llm import ann, bpe, chat, html_blocks, line_dedup, packing, quality, recompress, records, token_counts
+from scarp.llm import ann, bpe, chat, hard_negatives, html_blocks, laesa, line_dedup, packing, quality, recompress, records, token_counts
 from scarp.llm.simhash import near_duplicates
 from scarp.llm.texts import table
 from scarp.session import scratch
@@ -14,6 +14,28 @@ from scarp.session import scratch
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Words are runs of anything but the ASCII white space.
 _WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    """One pair of steps a round: nearest centroid of each vector, then the floor of each cluster's means."""
+    steps = [f"""
+a{i} AS (SELECT vec_id, k, d FROM (
+           SELECT x.vec_id, c.k, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN c{i} c ON c.i = x.i GROUP BY x.vec_id, c.k)
+         QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)""" + (f""",
+c{i + 1} AS (SELECT c.k, c.i, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+  SELECT k, i, floor(sum(x.x)::DOUBLE / count(*))::BIGINT AS x FROM a{i} JOIN x ON x.vec_id = a{i}.vec_id GROUP BY k, i) m ON m.k = c.k AND m.i = c.i)"""
+             if i < rounds else "") for i in range(rounds + 1)]
+    return f"""
+WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS x
+           FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR)) - 1 AS k FROM (SELECT DISTINCT vec_id FROM x)),
+c0 AS (SELECT k, i, x FROM s JOIN x ON x.vec_id = s.vec_id WHERE k < 16),{','.join(steps)},
+h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} a JOIN h ON h.k = a.k"""
+
+
 _SQL: dict[str, str] = {
     "op6_chat": r"""
 WITH t AS (
@@ -86,6 +108,20 @@ d AS (SELECT k.doc_id, line, pos, coalesce(k.doc_id <> r.first, false) AS gone F
 SELECT doc_id, count(*) AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM d GROUP BY doc_id""",
+    "op12_laesa": _clusters_sql(),
+    "op13_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same,
+             list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i]))::BIGINT AS score
+      FROM r a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 5""",
 }
 
 
@@ -156,6 +192,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(spark, table(spark, sf_dir, "documents"), scratch(spark, "lines"))
 
 
+@register
+def op12_laesa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.digests(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
