@@ -7,7 +7,8 @@ checksums stays useful. Records end in a line feed because Spark's text writer p
 Spark's own committer, which any store and a lost executor allow for, and read back by its binary reader.
 
 Files follow the order of doc_id (null first, ties by text); their number follows the partitions of the input. Null text counts as
-empty and has the end id only; repeated rows are records of their own; an empty table gives no rows.
+empty and has the end id only; repeated rows are records of their own; an empty table gives no rows. Very long texts are
+one record each; columns other than doc_id and text are not read.
 """
 from __future__ import annotations
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scarp.llm.texts import id_and_text
+from scarp.llm.texts import id_and_text, stored
 from scarp.llm.tokens import BYTE_BPE, coded, encoder, tokenizer_file
 
 END_ID = 0
@@ -136,22 +137,37 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
 
+def _prints(rows: DataFrame) -> DataFrame:
+    """Per file: number of records, ids, and a fingerprint of what its records are and where they lie."""
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("n_tokens"),
+                                    F.bit_xor(F.xxhash64("offset", "doc_id", "n_tokens", "ids_crc32")).alias("h"))
+
+
+def _starts(sizes: DataFrame) -> DataFrame:
+    """(file, first) from (file, n_tokens): ids of all earlier files, which the number in a file's name orders.
+
+    One row per file meets in one window: three for each partition of the input, a few million for a table of 100 TB.
+    """
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    w = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("file", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("first"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every record, read from the files.
 
     ``start`` counts the ids of all records before: those of the file, and those of earlier files. A damaged record raises, and
-    so do files that do not hold the records of the index: missing, cut short, grown or replaced.
+    so do files that do not hold the records of the index: missing, cut short, grown or replaced. The files are parsed once;
+    what they hold is held against the index by one fingerprint per file.
     """
-    known = _index(spark, path).select("file", "offset", F.col("doc_id").alias("_doc"), F.col("ids_crc32").alias("_sum"))
-    sound = F.col("before").isNotNull() & F.col("_sum").eqNullSafe(F.col("ids_crc32")) & F.col("_doc").eqNullSafe(F.col("doc_id"))
-    wrong = F.raise_error(F.concat(F.lit("a file differs from the index: "), "file")).cast("boolean")
-    rows = (_files(spark, path).mapInArrow(_index_rows, _INDEX).join(known, ["file", "offset"], "full")
-            .where(F.when(sound, F.lit(True)).otherwise(wrong)))
-    # One row per file; the window over them is as long as there are files.
-    sizes = _index(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
-    return rows.join(first, "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    found = stored(_files(spark, path).mapInArrow(_index_rows, _INDEX), "records-read")
+    known = _prints(_index(spark, path))
+    both = _prints(found).join(known.toDF("file", "n_", "t_", "h_"), "file", "full")
+    wrong = both.where(~(F.col("n").eqNullSafe(F.col("n_")) & F.col("h").eqNullSafe(F.col("h_")))).select("file").first()
+    if wrong:
+        raise ValueError(f"a file differs from the index: {wrong['file']}")
+    return (found.join(_starts(known), "file")
+            .select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"))
 
 
 def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:

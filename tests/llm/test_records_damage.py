@@ -21,3 +21,24 @@ def test_changed_files_raise(make_docs, spark, tmp_path):
             records.read_records(spark, path).count()
     file.write_bytes(data)
     assert records.read_records(spark, path).count() == 40
+
+
+def test_files_follow_their_numbers_beyond_five_digits(spark):
+    names = [(f"part-{i:05d}-x-c000.txt", n) for i, n in ((99999, 3), (100000, 5), (100001, 7), (2, 11), (1000000, 1))]
+    got = {r.file: r.first for r in records._starts(spark.createDataFrame(names, "file string, n_tokens long")).collect()}
+    assert [got[n] for n, _ in names] == [11, 14, 19, 0, 26]
+
+
+def test_a_missing_or_foreign_file_raises(make_docs, spark, tmp_path):
+    path = str(tmp_path / "r")
+    records.write_records(make_docs([(i, f"text number {i} " * 20) for i in range(40)]), path)
+    file = max(Path(path, "records").glob("part-*"), key=lambda p: p.stat().st_size)
+    data = file.read_bytes()
+    copy = Path(file.parent, file.name.replace("part-0", "part-1"))
+    copy.write_bytes(data)
+    with pytest.raises(ValueError, match="differs"):
+        records.read_records(spark, path)
+    copy.unlink()
+    file.unlink()
+    with pytest.raises(ValueError, match="differs"):
+        records.read_records(spark, path)
