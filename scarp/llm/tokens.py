@@ -27,6 +27,7 @@ from scarp.llm.texts import pieces, rows_with_text  # noqa: E402
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 GENERATION = 400_000    # stretches kept per generation
+JOINED = 300            # stretches encoded as one text
 _MARKS, _MARK = b".,", {b".", b","}
 # White space as Unicode has it; Python's \s adds \x1c-\x1f.
 _SPACE, _INK = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -90,7 +91,10 @@ class TextEncoder:
             self.kind = "word"
         elif simple and norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind = "byte"
-        self.seen, self.marks = Remembered(self._learn), {}
+        self.seen, self.marks = Remembered(self._learn_joined if self.kind == "byte" else self._learn), {}
+        vocab = self.tok.get_vocab(with_added_tokens=False) if self.kind == "byte" else {}
+        self.token_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.token_bytes[list(vocab.values())] = list(map(len, vocab))      # a byte is a character there
 
     def _learn(self, new: list) -> list[bytes]:
         """Ids of new stretches. A comma or full stop after a letter is always apart, and words come with and without.
@@ -112,6 +116,27 @@ class TextEncoder:
         self.seen.update(known)
         return [known[b] if b is k else known[b] + self.marks[k[-1]] for k, b in zip(new, bare)]
 
+    def _learn_joined(self, new: list[bytes]) -> list[bytes]:
+        """Ids of new stretches of the byte kind. Joined they are a text, and a token's length tells whose it is."""
+        out: dict[bytes, bytes] = {}
+        lead = [k for k in new if k[0] != 1]
+        for i in range(0, len(lead), JOINED):
+            keys = lead[i:i + JOINED]
+            parts = [k if k[0] == 10 else b" " + k for k in keys]
+            ids = np.frombuffer(self._encode([b"".join(parts).decode("utf-8", "replace")])[0], "<u4")
+            at = np.r_[0, np.cumsum(self.token_bytes[ids])]
+            ends = np.r_[0, np.cumsum(list(map(len, parts)))]
+            cuts = np.searchsorted(at, ends)
+            if at[-1] != ends[-1] or not np.array_equal(at[cuts], ends):    # bytes that are no UTF-8
+                out.update(zip(keys, self._encode(list(map(self.text_of, keys)))))
+                continue
+            data = ids.tobytes()
+            cuts = (4 * cuts).tolist()
+            out.update(zip(keys, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        rest = [k for k in new if k[0] == 1]
+        out.update(zip(rest, self._encode(list(map(self.text_of, rest)))))
+        return [out[k] for k in new]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
