@@ -200,11 +200,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``docs`` less all but one of each near-duplicate group: its smallest doc_id stays.
 
-    ``groups`` gives (doc_id, component_id) of every row. doc_id names a document: of rows that repeat it one stays.
-    Rows without doc_id stay, as nothing names them.
+    ``groups`` gives (doc_id, component_id) of every row. doc_id names a document: rows that repeat it with the same text are one,
+    rows with different texts all stay. Rows without doc_id stay, as nothing names them. An empty table stays empty; other
+    columns, whatever their names, are passed through, those of repeated rows from the row that compares smallest.
     """
     found = (groups(docs).where(F.col("doc_id") == F.col("component_id"))
              .select(F.col("doc_id").alias("_keep")).distinct())
-    rows, _ = apart(docs, ("doc_id",))
-    kept = rows.join(found, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    rows, names = apart(docs, ("doc_id", "text"))
+    others = [F.col(f"`{c}`") for c in names if c != "doc_id"]
+    kept = (rows.join(found, F.col("doc_id") == F.col("_keep"), "left_semi")
+            .groupBy("doc_id", F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"))
+            .agg(F.min(F.struct(*others)).alias("_row"))
+            .select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in names]))
     return kept.unionByName(rows.where(F.col("doc_id").isNull())).toDF(*docs.columns)

@@ -2,7 +2,7 @@
 import corpus_pipeline
 from scarp.llm.queries import oracle_sql, queries
 from tests.llm.test_recompress import plain
-from tests.llm.test_simhash import plain_components, plain_print
+from tests.llm.test_resemblance import plain_groups
 from tests.llm.test_tokens import check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -19,10 +19,9 @@ def test_stages(spark):
     assert not any(labels.get(i) == 0 for i in kept) and len(kept) > 100
     assert all(i in kept for i, t in ((r.doc_id, r.text) for r in docs.collect()) if labels.get(i) == 1 and len(t.split()) >= 60)
     one = near(spark, good, SF)
-    prints = [(i, plain_print(t)) for i, t in kept.items()]
     assert one.columns == columns
     left = {r.doc_id: r.text for r in one.collect()}
-    assert set(left) == set(plain_components(prints))
+    assert set(left) == set(plain_groups(list(kept.items())))
     cut = substring(spark, one, SF)
     expect = plain(list(left.items()))
     texts = {r.doc_id: r.text for r in cut.collect()}
@@ -38,5 +37,5 @@ def test_run_is_its_stages(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())

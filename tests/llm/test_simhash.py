@@ -82,3 +82,10 @@ def test_one_of_each_group_stays(make_docs):
 
 def test_empty(make_docs):
     assert S.near_duplicates(make_docs([])).count() == 0 and S.keep_one(make_docs([])).count() == 0
+
+
+def test_rows_that_share_an_id_but_not_a_text_stay(make_docs):
+    rows = [(1, "one text of its own here"), (1, "another text of its own there"), (1, "one text of its own here"), (2, None), (3, None)]
+    for parts in (1, 3):
+        got = sorted((r.doc_id, r.text or "") for r in S.keep_one(make_docs(rows[::parts] if parts == 1 else rows[::-1], parts, extra=True)).collect())
+        assert got == [(1, "another text of its own there"), (1, "one text of its own here"), (2, "")]
