@@ -4,12 +4,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarp import config as C
 from scarp.functions.columns import fixed, metres
+from scarp.operators.boosting import BoostedModel
+from scarp.operators.isotonic import Calibrator
 
 
 def reason_group_of(feature: str) -> str:
@@ -34,57 +36,25 @@ def linear_contributions(df: DataFrame, weights: Mapping[str, float], means: Map
                                                 F.lit(0.0)) for f, w in weights.items()})
 
 
-def tree_contributions(df: DataFrame, model, features: Sequence[str], vector: str = "features") -> DataFrame:
-    """Path attributions of the log-odds of a boosted ensemble: each split hands the change of the node mean to its
-    feature. Spark's boosting margin is half the log-odds.
+def model_scores(df: DataFrame, model: BoostedModel, calibrator: Calibrator | None = None) -> DataFrame:
+    """Add raw and p of a boosted model and ``c_<feature>``: its path attributions of the log-odds.
 
-    Node tables (bounded by trees x nodes) travel with the closure; rows stream through in Arrow batches.
+    Node tables (bounded by trees x nodes) and the calibrator's steps travel with the closure: one Arrow pass gives all three.
     """
-    from pyspark.ml.functions import vector_to_array
-    trees = [(2.0 * w, _node_table(t)) for w, t in zip(model.treeWeights, model.trees)]
-    n = len(features)
-
-    @F.pandas_udf("array<double>")
-    def attribute(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, n))
-        out = np.zeros((len(x), n))
-        rows = np.arange(len(x))
-        for weight, (feat, cut, left, right, mean) in trees:
-            at = np.zeros(len(x), dtype=int)
-            while True:
-                live = rows[feat[at] >= 0]
-                if not len(live):
-                    break
-                here = at[live]
-                f = feat[here]
-                to = np.where(x[live, f] <= cut[here], left[here], right[here])
-                np.add.at(out, (live, f), weight * (mean[to] - mean[here]))
-                at[live] = to
-        return pd.Series(list(out))
-
-    arr = attribute(vector_to_array(vector))
-    return df.withColumn("_c", arr).withColumns(
-        {f"c_{f}": F.col("_c")[i] for i, f in enumerate(features)}).drop("_c")
-
-
-def _node_table(tree):
-    """Flatten one fitted tree: feature (-1 at a leaf), threshold, children, mean prediction of the node."""
-    feat, cut, left, right, mean = [], [], [], [], []
-
-    def walk(node) -> tuple[int, float]:
-        me = len(feat)
-        for col in (feat, cut, left, right, mean):
-            col.append(0)
-        if node.numDescendants() == 0:
-            feat[me], mean[me] = -1, node.prediction()
-        else:
-            feat[me], cut[me] = node.split().featureIndex(), node.split().threshold()
-            left[me], right[me] = walk(node.leftChild())[0], walk(node.rightChild())[0]
-            mean[me] = node.prediction()
-        return me, mean[me]
-
-    walk(tree._call_java("rootNode"))
-    return tuple(np.array(c) for c in (feat, cut, left, right, mean))
+    n = len(model.features)
+
+    @F.arrow_udf("struct<raw: double, p: double, c: array<double>>")
+    def run(v: pa.Array) -> pa.Array:
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), n).T
+        raw = 1.0 / (1.0 + np.exp(-model.margins(x)))
+        p = calibrator.values(raw) if calibrator else raw
+        ends = pa.array(np.arange(0, n * len(v) + 1, n, dtype=np.int32))
+        c = pa.ListArray.from_arrays(ends, pa.array(model.contributions(x).ravel()))
+        return pa.StructArray.from_arrays([pa.array(raw), pa.array(p, from_pandas=True), c], ["raw", "p", "c"])
+
+    out = df.withColumn("_m", run(model.vector()))
+    return out.withColumns({"raw": F.col("_m.raw"), "p": F.col("_m.p"), **{
+        f"c_{f}": F.col("_m.c")[i] for i, f in enumerate(model.features)}}).drop("_m")
 
 
 def top_reasons(features: Sequence[str], top: int = 3) -> Column:

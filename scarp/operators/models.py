@@ -1,149 +1,55 @@
-"""Training, tuning, calibration, hold-out and ablation on Spark ML.
-
-Boosted trees of Spark ML have no missing-value split: a missing value becomes the training median plus a flag.
-"""
+"""Training, tuning, calibration, hold-out and ablation of boosted trees (``boosting.py``, ``isotonic.py``)."""
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from scarp import config as C
 from scarp.operators import metrics as M
+from scarp.operators.boosting import BoostedModel, Trial, fit_trials, score_udf
+from scarp.operators.isotonic import Calibrator, fit_isotonic
 from scarp.operators.labels import upstream_flag
 from scarp.session import settle
 
-SEED = 7411
-GRID = {"maxDepth": [3, 4, 5], "minInstancesPerNode": [50, 200], "stepSize": [0.03, 0.1]}
-
-
-@dataclass
-class RiskModel:
-    features: list[str]
-    medians: dict[str, float]
-    gbt: GBTClassificationModel
-    params: dict = field(default_factory=dict)
-
-    def score(self, df: DataFrame, out: str = "raw") -> DataFrame:
-        """Add the uncalibrated probability."""
-        scored = self.gbt.transform(vectors(df, self.features, self.medians))
-        return scored.withColumn(out, vector_to_array("probability")[1]).drop(
-            "vec", "rawPrediction", "probability", "prediction")
-
+ROUNDS = 100
+GRID = {"depth": [3, 4, 5], "min_rows": [50, 200], "rate": [0.03, 0.1]}
 
-def training_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """One row of approximate medians: a mergeable sketch per column, 23 numbers on the driver."""
-    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), 0.5, 1000).alias(f) for f in features]).first()
-    return {f: float(row[f]) if row[f] is not None else 0.0 for f in features}
 
+def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = ROUNDS, valid: DataFrame | None = None,
+                trial: Trial = Trial(), **kw) -> BoostedModel:
+    """One ensemble; with ``valid`` the number of trees is chosen by early stopping on its log-loss."""
+    return fit_trials(train, features, [trial], rounds, valid, **kw)[0]
 
-def vectors(df: DataFrame, features: Sequence[str], medians: Mapping[str, float]) -> DataFrame:
-    filled = {f"_x_{f}": F.coalesce(F.col(f).cast("double"), F.lit(medians[f])) for f in features}
-    flags = {f"_m_{f}": F.col(f).isNull().cast("double") for f in features}
-    names = [*filled, *flags]
-    return VectorAssembler(inputCols=names, outputCol="vec").transform(df.withColumns({**filled, **flags})).drop(*names)
 
+def score_trials(df: DataFrame, models: Sequence[BoostedModel], *cols: str) -> DataFrame:
+    """(trial, cols, raw) of every row and model, from one pass over the rows."""
+    probs = score_udf(models)(models[0].vector())
+    return df.select(*cols, F.posexplode(probs).alias("trial", "raw"))
 
-def _training_vectors(train: DataFrame, valid: DataFrame | None, features: Sequence[str],
-                      medians: Mapping[str, float]) -> DataFrame:
-    data = train.select(*features, "y", F.lit(False).alias("_val"))
-    if valid is not None:
-        data = data.unionByName(valid.select(*features, "y", F.lit(True).alias("_val")))
-    return vectors(data, features, medians).select("vec", F.col("y").cast("double").alias("label"), "_val").persist(
-        StorageLevel.MEMORY_AND_DISK)
 
-
-def _trees(rounds: int, early_stop: bool, seed: int, params: Mapping) -> GBTClassifier:
-    stop = {"validationIndicatorCol": "_val", "validationTol": 0.001} if early_stop else {}
-    return GBTClassifier(featuresCol="vec", labelCol="label", maxIter=rounds, subsamplingRate=0.8,
-                         featureSubsetStrategy="0.8", seed=seed, **stop, **params)
-
-
-def fit_boosted(train: DataFrame, features: Sequence[str], rounds: int = 100, valid: DataFrame | None = None,
-                seed: int = SEED, **params) -> RiskModel:
-    """Boosted trees; with ``valid`` the number of trees is chosen by early stopping on its log-loss."""
-    features = list(features)
-    medians = training_medians(train, features)
-    data = _training_vectors(train, valid, features, medians)
-    try:
-        model = _trees(rounds, valid is not None, seed, params).fit(data)
-    finally:
-        data.unpersist()
-    return RiskModel(features, medians, model, {"rounds": model.getNumTrees, **params})
-
-
-def tune_grid(train: DataFrame, val: DataFrame, features: Sequence[str], rounds: int = 100, k: int = C.TOP_K,
-              grid: Mapping[str, Iterable] | None = None, parallelism: int = 4) -> tuple[RiskModel, list[dict]]:
+def tune_grid(train: DataFrame, val: DataFrame, features: Sequence[str], rounds: int = ROUNDS, k: int = C.TOP_K,
+              grid: Mapping[str, Iterable] | None = None, **kw) -> tuple[BoostedModel, list[dict]]:
     """Fit the whole grid with early stopping; best mean validation P@k wins, average precision breaks ties.
 
-    The vectors are built once and the fits run side by side. Every trial scores the validation rows into one long
-    table, so the metrics of all trials are one job.
+    All points grow together, a level of every one of them per job, and score the validation rows in one pass.
     """
     grid = grid or GRID
-    features = list(features)
-    medians = training_medians(train, features)
-    data = _training_vectors(train, val, features, medians)
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-
-    def one(params: dict) -> RiskModel:
-        m = _trees(rounds, True, SEED, params).fit(data)
-        return RiskModel(features, medians, m, {"rounds": m.getNumTrees, **params})
-
-    try:
-        with ThreadPool(min(parallelism, len(points))) as pool:
-            models = pool.map(inheritable_thread_target(train.sparkSession)(one), points)
-    finally:
-        data.unpersist()
-    scored = None
-    for n, m in enumerate(models):
-        part = m.score(val.select(*M.KEYS, "y", *features)).select(F.lit(n).alias("trial"), *M.KEYS, "y", "raw")
-        scored = part if scored is None else scored.unionByName(part)
-    scored = settle(scored)
+    models = fit_trials(train, features, [Trial(**p) for p in points], rounds, val, **kw)
+    scored = settle(score_trials(val, models, *M.KEYS, "y"))
     p = M.precision_at_k(scored, "raw", k, ["trial"]).groupBy("trial").agg(F.avg("precision").alias("p"))
-    both = p.join(M.pr_auc(scored, "raw", ["trial"]), "trial").collect()   # one row per trial
+    both = M.pr_auc(scored, "raw", ["trial"]).join(p, "trial", "left").collect()   # one row per trial
     by_trial = {r["trial"]: (r["p"] or 0.0, r["pr_auc"] or 0.0) for r in both}
     quality = [by_trial.get(n, (0.0, 0.0)) for n in range(len(models))]
-    trials = [{"trial": n, **points[n], "trees": models[n].gbt.getNumTrees, "val_precision_at_k": q[0],
-               "val_pr_auc": q[1]} for n, q in enumerate(quality)]
+    trials = [{"trial": n, **points[n], "trees": len(models[n].trees), "val_precision_at_k": q[0], "val_pr_auc": q[1]}
+              for n, q in enumerate(quality)]
     return models[max(range(len(models)), key=lambda n: quality[n])], trials
 
 
-@dataclass
-class Calibrator:
-    """Isotonic map from a score to a probability; missing scores take the smallest one seen."""
-    model: IsotonicRegressionModel
-    fill: float
-
-    def apply(self, df: DataFrame, score: str, out: str) -> DataFrame:
-        x = df.withColumn("_score", F.coalesce(F.col(score).cast("double"), F.lit(self.fill)))
-        return self.model.setFeaturesCol("_score").setPredictionCol(out).transform(x).withColumn(
-            out, F.least(F.greatest(F.col(out), F.lit(0.0)), F.lit(1.0))).drop("_score")
-
-
-def fit_isotonic(df: DataFrame, score: str) -> Calibrator:
-    """Equal scores are pooled first (weighted), so that only distinct scores reach the fit.
-
-    Spark pools violators per range partition before it merges the blocks in one place. Block means of 0/1 outcomes
-    rise strictly, so n rows leave O(n^(2/3)) blocks at most: a billion rows end as about a million.
-    """
-    low = df.agg(F.min(F.col(score).cast("double"))).first()[0]
-    fill = float(low) if low is not None else 0.0
-    pooled = (df.groupBy(F.coalesce(F.col(score).cast("double"), F.lit(fill)).alias("score"))
-              .agg(F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
-    iso = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight")
-    return Calibrator(iso.fit(pooled), fill)
-
-
 def calibrate_all(val: DataFrame, scores: Sequence[str]) -> tuple[dict[str, Calibrator], DataFrame]:
     """Calibrators for the model and the baselines and a long report (score, bin, n, mean_pred, observed, brier)."""
     cals = {s: fit_isotonic(val, s) for s in scores}
@@ -155,13 +61,16 @@ def calibrate_all(val: DataFrame, scores: Sequence[str]) -> tuple[dict[str, Cali
     return cals, report
 
 
-def final_score(df: DataFrame, model: RiskModel, cal: Calibrator, out: str = "M1") -> DataFrame:
+def calibrated(df: DataFrame, cal: Calibrator, raw: str, out: str) -> DataFrame:
     """Calibrated probability; a tiny share of the raw score breaks the ties isotonic steps create."""
-    return cal.apply(model.score(df, "M1_raw"), "M1_raw", "_p").withColumn(
-        out, F.col("_p") + 1e-9 * F.col("M1_raw")).drop("_p")
+    return cal.apply(df, raw, "_p").withColumn(out, F.col("_p") + 1e-9 * F.col(raw)).drop("_p")
+
+
+def final_score(df: DataFrame, model: BoostedModel, cal: Calibrator, out: str = "M1") -> DataFrame:
+    return calibrated(model.score(df, "M1_raw"), cal, "M1_raw", out)
 
 
-def score_temporal(test: DataFrame, model: RiskModel, cals: Mapping[str, Calibrator]) -> DataFrame:
+def score_temporal(test: DataFrame, model: BoostedModel, cals: Mapping[str, Calibrator]) -> DataFrame:
     out = M.baseline_scores(test)
     for s in ("B0_persistence", "B1_history"):
         out = cals[s].apply(out, s, f"{s}_p")
@@ -181,23 +90,24 @@ def spatial_holdout(df: DataFrame, features: Sequence[str], rounds: int = 100, k
     return base.apply(final_score(test, model, cal, "M1_spatial"), "B0_persistence", "B0_p")
 
 
-def ablate_groups(df: DataFrame, groups: Mapping[str, Sequence[str]], params: Mapping, rounds: int, k: int = C.TOP_K,
-                  features: Sequence[str] = tuple(C.FEATURES)) -> DataFrame:
+def ablate_groups(df: DataFrame, groups: Mapping[str, Sequence[str]], trial: Trial = Trial(), rounds: int = ROUNDS, k: int = C.TOP_K,
+                  features: Sequence[str] = tuple(C.FEATURES), **kw) -> DataFrame:
     """Refit without each group, recalibrate, and report the metrics of every variant against the full model.
 
-    Variants are scored into one long table: the metrics of all of them are grouped aggregations.
+    The variants grow together and are scored in one pass into one long table: their metrics are grouped aggregations.
     """
-    train = df.where("split = 'train'")
     rest = df.where("split IN ('val', 'test')")
-    variants = {"full": list(features), **{f"-{g}": [f for f in features if f not in cols] for g, cols in groups.items()}}
-    long = None
-    for name, fs in variants.items():
-        m = fit_boosted(train, fs, rounds, **params)
-        cal = fit_isotonic(m.score(rest.where("split = 'val'")), "raw")
-        part = final_score(rest, m, cal, "p").select(F.lit(name).alias("variant"), F.lit(len(fs)).alias("n_features"),
-                                                     "split", *M.KEYS, "y", "major", "p")
-        long = part if long is None else long.unionByName(part)
-    long = settle(long)
+    variants = {"full": tuple(features), **{f"-{g}": tuple(f for f in features if f not in cols) for g, cols in groups.items()}}
+    trials = [Trial(trial.depth, trial.min_rows, trial.rate, fs) for fs in variants.values()]
+    models = fit_trials(df.where("split = 'train'"), features, trials, rounds, **kw)
+    raw = settle(score_trials(rest, models, "split", *M.KEYS, "y", "major"))
+    parts = []
+    for n, (name, fs) in enumerate(variants.items()):
+        own = raw.where(F.col("trial") == n)
+        cal = fit_isotonic(own.where("split = 'val'"), "raw")
+        parts.append(calibrated(own, cal, "raw", "p").select(F.lit(name).alias("variant"), F.lit(len(fs)).alias("n_features"), "split",
+                                                             *M.KEYS, "y", "major", "p"))
+    long = settle(reduce(DataFrame.unionByName, parts))
     by = ["variant", "n_features", "split"]
     s = M.summarise(long, "p", "p", k, by)
     full = s.where("variant = 'full'").select("split", "metric", F.col("value").alias("_full"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from scarp import config as C
 from scarp.functions import columns as K
 from scarp.functions.ordering import key_hash, rank_rows, running_sums, top_rows
+from scarp.operators import explain as X
+from scarp.operators.boosting import BoostedModel
+from scarp.operators.isotonic import Calibrator
+from scarp.session import stored
 
 KEEP = ["transect_id", "forecast_date", "bank", "chainage_m", "lon", "lat", "p", "raw", "rank", "b0_rank", "b0_p",
         "tier", "reasons", "ret_28_m", "ret_84_m", "ret_365_m", "raw_last_change_m", "bank_pos_m",
@@ -34,9 +38,29 @@ def assign_tiers(floor: Column, threshold_m: float, k: int = C.TOP_K) -> Column:
 
 
 def rank_predictions(scored: DataFrame, by: Sequence[str] = ("forecast_date",)) -> DataFrame:
-    """rank by the raw score (calibration never reverses it, so this is the order by (p, raw)); b0_rank by ret_84_m."""
+    """rank by the raw score (calibration never reverses it, so this is the order by (p, raw)); b0_rank by ret_84_m.
+
+    The input is evaluated once and written; both rankings read its four narrow columns and the ranks are joined back.
+    """
     keys = ("forecast_date", "transect_id")
-    return rank_rows(rank_rows(scored, by, "raw", keys), by, "ret_84_m", keys, "b0_rank")
+    rows = stored(scored, "scored")
+    cols = list(dict.fromkeys([*by, *keys]))
+    first = rank_rows(rows.select(*cols, "raw"), by, "raw", keys).select(*cols, "rank")
+    second = rank_rows(rows.select(*cols, "ret_84_m"), by, "ret_84_m", keys, "b0_rank").select(*cols, "b0_rank")
+    return rows.join(first, cols).join(second, cols)
+
+
+def publish(features: DataFrame, model: BoostedModel, cal: Calibrator, base_cal: Calibrator, measured: Column, threshold_m: float,
+            k: int = C.TOP_K, told: int = C.REASONS_TOP_RANK) -> DataFrame:
+    """From features (with outcomes, where known, and places) to published rows by a trained model.
+
+    One Arrow pass gives score, probability and attributions. The warning floor is measured on the rows that ``measured``
+    picks; ranks, tiers and the reasons of the first ``told`` ranks of each date follow.
+    """
+    ranked = rank_predictions(base_cal.apply(X.model_scores(features, model, cal), "ret_84_m", "b0_p"))
+    floor = tier_threshold(ranked.where(measured)).scalar()
+    tiered = ranked.withColumn("tier", assign_tiers(floor, threshold_m, k))
+    return tiered.withColumn("reasons", F.when(F.col("rank") <= told, X.reasons(model.features)))
 
 
 def prediction_index(pred: DataFrame, split: Column, k: int = C.TOP_K) -> DataFrame:

@@ -128,16 +128,20 @@ class Inputs:
         from scarp.operators.metrics import baseline_scores
         return baseline_scores(self.model_table()).withColumn("p", probability())
 
+    def scoring_rows(self) -> DataFrame:
+        """Features of the validation and test years with their outcomes, where known, and places."""
+        lab = self.labels().select("transect_id", "forecast_date", "target_date", "retreat_m", "y", "major")
+        at = self.transects().select("transect_id", (89.5 + F.col("x0") / 100000.0).alias("lon"),
+                                     (24.5 + F.col("y0") / 1000000.0).alias("lat"))
+        return (self.features().where(F.col("year").isin(*VAL, *TEST))
+                .join(lab, ["transect_id", "forecast_date"], "left").join(at, "transect_id", "left"))
+
     def build_predictions(self) -> DataFrame:
         """Validation and test years, ranked, tiered and explained."""
         from scarp.operators import explain as X
         from scarp.operators import serving as A
-        lab = self.labels().select("transect_id", "forecast_date", "target_date", "retreat_m", "y", "major")
-        at = self.transects().select("transect_id", (89.5 + F.col("x0") / 100000.0).alias("lon"),
-                                     (24.5 + F.col("y0") / 1000000.0).alias("lat"))
         score = F.coalesce("ret_84_m", F.lit(0.0))
-        f = (self.features().where(F.col("year").isin(*VAL, *TEST))
-             .join(lab, ["transect_id", "forecast_date"], "left").join(at, "transect_id", "left")
+        f = (self.scoring_rows()
              .withColumns({"raw": 0.01 * score - 0.5, "b0_p": 1.0 / (1.0 + F.exp(-(0.02 * score - 1.0)))})
              .withColumn("p", 1.0 / (1.0 + F.exp(-F.col("raw")))))
         ranked = A.rank_predictions(f)

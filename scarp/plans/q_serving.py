@@ -38,7 +38,7 @@ fragment("z_group", f"""
 SELECT *, row_number() OVER (PARTITION BY transect_id, forecast_date ORDER BY value DESC, CASE g {' '.join(f"WHEN '{g}' THEN {n}" for g, n in _ORDER.items())} END) AS rn
 FROM (SELECT transect_id, forecast_date, {_MAP} AS g, sum(value) AS value FROM z_long GROUP BY ALL) WHERE value > 0""")
 _m = lambda c: f"format('{{:,.0f}} m', abs({c}))"
-_TEXT = f"""CASE g
+TEXT_SQL = f"""CASE g
  WHEN 'recent_retreat' THEN coalesce(nullif(concat_ws('; ', CASE WHEN ret_28_m > 5 THEN 'Bank retreated ' || {_m('ret_28_m')} || ' in the last 4 weeks'
    WHEN ret_84_m > 5 THEN 'Bank retreated ' || {_m('ret_84_m')} || ' in the last 12 weeks' END,
    CASE WHEN raw_last_change_m > 10 THEN 'latest pass shows a further ' || {_m('raw_last_change_m')} || ' (unconfirmed)' END), ''),
@@ -55,7 +55,7 @@ _TEXT = f"""CASE g
  WHEN 'neighbours' THEN CASE WHEN nb_ret_84_m > 0 THEN 'Neighbouring segments retreated ' || {_m('nb_ret_84_m')} || ' on average in 12 weeks' ELSE 'Nearby segments are active' END
  WHEN 'bank_height' THEN format('Bank height about {{:.1f}} m above the river (DEM)', bank_height_m) END"""
 fragment("z_told", f"""
-SELECT g.transect_id, g.forecast_date, g.g, g.value, g.rn, {_TEXT} AS text FROM z_group g JOIN z_pred2 p USING (transect_id, forecast_date) WHERE rn <= 3 AND p.rank <= {C.REASONS_TOP_RANK}""")
+SELECT g.transect_id, g.forecast_date, g.g, g.value, g.rn, {TEXT_SQL} AS text FROM z_group g JOIN z_pred2 p USING (transect_id, forecast_date) WHERE rn <= 3 AND p.rank <= {C.REASONS_TOP_RANK}""")
 fragment("z_pred", """
 SELECT p.*, r.reasons, r.two, r.texts FROM z_pred2 p LEFT JOIN (
   SELECT transect_id, forecast_date, string_agg(g || ': ' || text || format(' {:.4f}', round(value, 4)), ' | ' ORDER BY rn) AS reasons,

@@ -51,3 +51,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage once so that later actions read it back instead of recomputing it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder and read back: short lineage, and later steps read only the columns they need."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

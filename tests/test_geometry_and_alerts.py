@@ -116,23 +116,3 @@ def test_positions_reader_checks_the_schema(spark, tmp_path):
     spark.createDataFrame([("a", float("nan"))], "transect_id string, bank_pos_m double").write.parquet(path)
     with pytest.raises(ValueError):
         io.read_positions(spark, path)
-
-
-def test_tree_contributions_add_up(spark):
-    from scarp.operators import models as ML
-    rng = np.random.default_rng(0)
-    rows = [(float(a), float(b) if b > -1 else None, int(a + rng.normal(0, 0.3) > 0.2)) for a, b in rng.normal(0, 1, (600, 2))]
-    d = spark.createDataFrame(rows, "a double, b double, y int")
-    m = ML.fit_boosted(d, ["a", "b"], rounds=4, maxDepth=3)
-    v = ML.vectors(d, m.features, m.medians)
-    names = ["a", "b", "a_missing", "b_missing"]
-    c = X.tree_contributions(v, m.gbt, names, "vec").withColumn("s", sum(F.col(f"c_{n}") for n in names))
-    # log-odds (twice the margin) minus contributions is the same constant for every row
-    from pyspark.ml.functions import vector_to_array
-    both = m.gbt.transform(c).select((vector_to_array("rawPrediction")[1] * 2 - F.col("s")).alias("k"))
-    r = both.agg(F.min("k"), F.max("k")).first()
-    assert abs(r[0] - r[1]) < 1e-9
-    best, trials = ML.tune_grid(d.withColumns({"forecast_date": F.lit("d"), "transect_id": F.col("a").cast("string")}),
-                                d.withColumns({"forecast_date": F.lit("d"), "transect_id": F.col("a").cast("string")}), ["a", "b"], 2, 20,
-                                {"maxDepth": [2, 3]})
-    assert len(trials) == 2 and best.gbt.getNumTrees >= 1
