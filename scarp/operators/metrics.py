@@ -10,6 +10,7 @@ from scarp import config as C
 from scarp.functions.ordering import exact_percentiles, key_hash, rank_rows, running_sums, top_rows
 
 KEYS = ("forecast_date", "transect_id")
+BOOT_TASKS = 32
 
 
 def _order(score: str) -> list[Column]:
@@ -99,23 +100,28 @@ def moving_block_bootstrap(series: DataFrame, value: str = "diff", by: Sequence[
                            block: int = C.BOOT_BLOCK) -> DataFrame:
     """Interval of the mean of a per-date series from blocks of consecutive dates.
 
-    A series has one value per date, so it fits one array; the replicates are spread over the cluster. Block starts
+    A series has one value per date: its prefix sums are one array, so a block is one subtraction and a replicate is its
+    block starts only. ``BOOT_TASKS`` tasks share a series' replicates, so its array is copied that often and no more. Block starts
     come from a key hash, not from generator order.
     """
-    one = (series.where(F.col(value).isNotNull()).groupBy(*by)
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("forecast_date", F.col(value).alias("v")))),
-                            lambda s: s["v"]).alias("_v"))
-           .where(F.size("_v") > 0).withColumn("_t", F.size("_v")))
-    width = max(one.sparkSession.sparkContext.defaultParallelism, 1)
-    rep = one.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(width, *by, "_b")
+    order = Window.partitionBy(*by).orderBy("forecast_date").rowsBetween(Window.unboundedPreceding, 0)
+    sums = (series.where(F.col(value).isNotNull()).withColumn("_sum", F.sum(value).over(order)).groupBy(*by)
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("forecast_date", F.col("_sum").alias("v")))),
+                             lambda s: s["v"]).alias("_c")))
+    one = sums.withColumns({"_c": F.concat(F.array(F.lit(0.0)), F.col("_c")), "_t": F.size("_c")}).where("_t > 0")
+    tasks = min(n, BOOT_TASKS)
+    rep = one.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, *by, "_k")
     n_blocks = F.ceil(F.col("_t") / F.lit(block)).cast("int")
-    rep = rep.withColumn("_j", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     room = F.greatest(F.col("_t") - (block - 1), F.lit(1))
-    start = key_hash(F.concat_ws(":", F.col("_b").cast("string"), F.col("_j").cast("string"))) % room
-    # the last block is cut so that a replicate has exactly _t values
-    values = F.slice("_v", (start + 1).cast("int"), F.least(F.lit(block), F.col("_t") - F.col("_j") * block))
-    sums = rep.select(*by, "_b", "_t", F.aggregate(values, F.lit(0.0), lambda a, x: a + x).alias("_s"))
-    means = sums.groupBy(*by, "_b").agg((F.sum("_s") / F.first("_t")).alias("_m"))
+
+    def block_sum(b: Column, j: Column) -> Column:
+        start = (key_hash(F.concat_ws(":", b.cast("string"), j.cast("string"))) % room).cast("int")
+        # the last block is cut so that a replicate has exactly _t values
+        end = F.least(start + F.least(F.lit(block), F.col("_t") - j * block), F.col("_t"))
+        return F.get("_c", end) - F.get("_c", start)
+
+    one_mean = lambda b: F.aggregate(F.sequence(F.lit(0), n_blocks - 1), F.lit(0.0), lambda a, j: a + block_sum(b, j)) / F.col("_t")
+    means = rep.select(*by, F.explode(F.transform(F.sequence(F.col("_k"), F.lit(n - 1), F.lit(tasks)), one_mean)).alias("_m"))
     bounds = means.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"),
                                     F.percentile("_m", F.lit(0.975)).alias("hi"))
     plain = series.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).cast("int").alias("n_dates"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scarp import config as C
@@ -91,6 +91,25 @@ def prediction_rows(pred: DataFrame, threshold_m: float) -> DataFrame:
         F.transform("reasons", lambda r: r["text"]).alias("reasons"))
 
 
+def write_documents(rows: DataFrame, index: DataFrame, path: str) -> None:
+    """One JSON document per date below ``path``/dates, and its index entry below ``path``/index.
+
+    ``rows`` (``prediction_rows``) and ``index`` (``prediction_index``) name the dates: those are replaced whole, others stay as they are. A
+    document holds one date's segments by rank, so it is bounded by the segments, not by the archive.
+    """
+    cols = [c for c in rows.columns if c != "date"]
+    docs = rows.groupBy(F.col("date").alias("forecast_date")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", *[c for c in cols if c != "rank"]))).alias("segments"))
+    for df, name in ((docs, "dates"), (index, "index")):
+        (df.repartition("forecast_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("ignoreNullFields", "false").partitionBy("forecast_date").json(f"{path}/{name}"))
+
+
+def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, index) as ``write_documents`` left them."""
+    return spark.read.json(f"{path}/dates"), spark.read.json(f"{path}/index")
+
+
 def passes_summary(positions: DataFrame, summary: DataFrame) -> DataFrame:
     stage = positions.groupBy("pass_id").agg(
         F.min_by("belt_water_km2", F.when(F.col("belt_water_km2").isNotNull(), F.col("transect_id"))).alias("stage_km2"),

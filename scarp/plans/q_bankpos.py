@@ -26,10 +26,14 @@ def samples(i: Inputs, width: bool = False):
                      F.col("mask").isNull().cast("int").alias("nodata"), *(["land_dist"] if width else []))
 
 
+# nearest land in each column by windows both ways, then the nearest over the columns of a row
+fragment("z_land0", """
+SELECT *, least(row - last_value(lr IGNORE NULLS) OVER (PARTITION BY img, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(lr IGNORE NULLS) OVER (PARTITION BY img, col ORDER BY row ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - row) AS d
+FROM (SELECT img, row, col, mask, CASE WHEN coalesce(mask, 0) <> 1 THEN row END AS lr FROM z_masks)""")
 fragment("z_land", """
-SELECT a.img, a.row, a.col, any_value(a.mask) AS mask, coalesce(sqrt(min((a.row - b.row) ** 2 + (a.col - b.col) ** 2)), 7) AS land_dist FROM z_masks a
-LEFT JOIN z_masks b ON b.img = a.img AND coalesce(b.mask, 0) <> 1 AND b.row BETWEEN a.row - 7 AND a.row + 7 AND b.col BETWEEN a.col - 7 AND a.col + 7
-  AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 49 GROUP BY a.img, a.row, a.col""")
+SELECT a.img, a.row, a.col, any_value(a.mask) AS mask, sqrt(min((a.col - b.col) ** 2 + b.d ** 2)) AS land_dist
+FROM z_land0 a JOIN z_land0 b ON b.img = a.img AND b.row = a.row GROUP BY a.img, a.row, a.col""")
 fragment("z_smp", "SELECT img, row AS transect_id, col AS sample, coalesce(mask, 0) AS belt, (mask IS NULL)::INT AS nodata, land_dist FROM z_land")
 fragment("z_idx", """
 SELECT img, transect_id, coalesce(max(sample) FILTER (n = 3), -1)::INT AS idx FROM (
@@ -55,7 +59,7 @@ def _(i):
 
 
 @register("dist_main_channel", """
-WITH c AS (SELECT img, row, col FROM z_land WHERE mask = 1 AND land_dist >= 2)
+WITH c AS (SELECT img, row, col FROM z_land WHERE mask = 1 AND coalesce(land_dist >= 2, true))
 SELECT b.img, b.transect_id, round(10 * sqrt(min((c.row - b.transect_id) ** 2 + (c.col - b.idx) ** 2)), 6) AS dist_main_channel_m
 FROM z_bank b LEFT JOIN c ON c.img = b.img WHERE ok GROUP BY b.img, b.transect_id""")
 def _(i):

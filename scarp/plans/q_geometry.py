@@ -186,17 +186,26 @@ _C6 = lambda x, y: f"'[' || (round({x}, 6))::VARCHAR || ',' || (round({y}, 6))::
 
 
 @register("reach_geojson", """
-SELECT 'transect' AS kind, transect_id AS id, len(transect_id) AS n, 2 AS n_pairs FROM z_ends
-UNION ALL SELECT 'baseline', bank, count(*), count(*)::INT FROM z_measure GROUP BY bank
-UNION ALL SELECT 'reach', bank, 5, 5 FROM z_box""")
+WITH p AS (
+  SELECT 'transect' AS kind, transect_id AS id, unnest([1, 2]) AS i, unnest([xs, xe]) AS x, unnest([ys, ye]) AS y FROM z_ends
+  UNION ALL SELECT 'baseline', bank, row_number() OVER (PARTITION BY bank ORDER BY seq), x, y FROM z_measure
+  UNION ALL SELECT 'reach', bank, unnest([1, 2, 3, 4, 5]), unnest([min(x0), max(x0), max(x0), min(x0), min(x0)]), unnest([min(y0), min(y0), max(y0), max(y0), min(y0)]) FROM z_transects GROUP BY bank)
+SELECT kind, id, count(*) AS n, round(sum(i * round(x, 6)), 3) + 0.0::DOUBLE AS xs, round(sum(i * round(y, 6)), 3) + 0.0::DOUBLE AS ys,
+  round(arg_min(x, i), 6) + 0.0::DOUBLE AS first_x, round(arg_min(y, i), 6) + 0.0::DOUBLE AS first_y,
+  round(arg_max(x, i), 6) + 0.0::DOUBLE AS last_x, round(arg_max(y, i), 6) + 0.0::DOUBLE AS last_y FROM p GROUP BY kind, id""")
 def _(i):
     reaches = boxes(i).withColumn("name", F.col("bank"))
     g = G.geojson_features(reaches, measured(i), with_ends(i.transects()))
-    kind = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
-    f = F.from_json("feature", kind)
-    pairs = F.size(F.split(f["geometry"]["coordinates"], r"\],\[")).cast("int")
-    n = F.when(F.col("kind") == "transect", F.length(f["properties"]["id"])).otherwise(pairs)
-    return g.select("kind", "id", n.cast("bigint").alias("n"), pairs.alias("n_pairs"))
+
+    def points(depth: int):
+        kind = f"type string, geometry struct<type: string, coordinates: {'array<' * depth}double{'>' * depth}>"
+        return F.from_json("feature", kind)["geometry"]["coordinates"]
+
+    g = g.withColumn("c", F.when(F.col("kind") == "reach", points(3)[0]).otherwise(points(2)))
+    total = lambda k: F.round(F.aggregate(F.transform("c", lambda v, n: v[k] * (n + 1)), F.lit(0.0), lambda a, x: a + x), 3)
+    first, last = F.get("c", F.lit(0)), F.get("c", F.size("c") - 1)
+    return g.select("kind", "id", F.size("c").cast("bigint").alias("n"), total(0).alias("xs"), total(1).alias("ys"),
+                    first[0].alias("first_x"), first[1].alias("first_y"), last[0].alias("last_x"), last[1].alias("last_y"))
 
 
 @register("curvature", f"SELECT transect_id, {r6('baseline_curvature')} FROM z_curv")

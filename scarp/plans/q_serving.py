@@ -8,9 +8,10 @@ from scarp.operators import alerts as AL
 from scarp.operators import explain as X
 from scarp.operators import serving as A
 from scarp.plans.catalogue import register
-from scarp.plans.fixtures import K, THRESHOLD_M, VAL, WEIGHTS, Inputs
+from scarp.plans.fixtures import K, TEST, THRESHOLD_M, VAL, WEIGHTS, Inputs
 from scarp.plans.q_metrics import rank_sql, run_metrics, TIE
 from scarp.plans.sqltext import day, fragment, r6
+from scarp.session import scratch
 
 NAMES = list(WEIGHTS)
 fragment("z_pred0", """
@@ -29,10 +30,19 @@ SELECT *, CASE WHEN rank <= {K} AND p >= 0.5::DOUBLE AND coalesce(raw_last_chang
 fragment("z_means", "SELECT " + ", ".join(f"avg({f}) AS {f}" for f in NAMES) + " FROM z_pred0")
 fragment("z_contrib", "SELECT p.transect_id, p.forecast_date, p.rank, " + ", ".join(
     f"coalesce({w}::DOUBLE * (p.{f} - m.{f}), 0) AS {f}" for f, w in WEIGHTS.items()) + " FROM z_pred2 p, z_means m")
-_MAP = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{X.reason_group_of(f)}'" for f in NAMES) + " END"
-_ORDER = {}
-for _f in NAMES:
-    _ORDER.setdefault(X.reason_group_of(_f), len(_ORDER))
+# which reason a feature belongs to, in the order of the features: written out, so that the SQL stands by itself
+GROUP_OF = {
+    "ret_28_m": "recent_retreat", "ret_56_m": "recent_retreat", "ret_84_m": "recent_retreat", "raw_last_change_m": "recent_retreat",
+    "ret_365_m": "history", "n_obs_365": "history",
+    "dist_main_channel_m": "main_channel", "d_dist_main_28_m": "main_channel",
+    "near_channel_width_m": "near_bank_channel", "char_shield_frac": "char_shield", "nearbank_water_frac": "near_bank_channel",
+    "baseline_curvature": "bank_shape", "embayment_m": "bank_shape",
+    "stage_km2": "water_level", "stage_change_12d": "water_level", "stage_change_24d": "water_level", "stage_anom_km2": "water_level",
+    "inundation_m": "water_level", "doy_sin": "season", "doy_cos": "season",
+    "nb_ret_84_m": "neighbours", "nb_ret_365_m": "neighbours", "bank_height_m": "bank_height",
+}
+_MAP = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{GROUP_OF[f]}'" for f in NAMES) + " END"
+_ORDER = {g: n for n, g in enumerate(dict.fromkeys(GROUP_OF[f] for f in NAMES))}
 fragment("z_long", f"SELECT transect_id, forecast_date, feature, value FROM (FROM (SELECT * EXCLUDE (rank) FROM z_contrib) UNPIVOT (value FOR feature IN ({', '.join(NAMES)})))")
 fragment("z_group", f"""
 SELECT *, row_number() OVER (PARTITION BY transect_id, forecast_date ORDER BY value DESC, CASE g {' '.join(f"WHEN '{g}' THEN {n}" for g, n in _ORDER.items())} END) AS rn
@@ -69,7 +79,7 @@ def _told(c: str = "reasons"):
 
 
 @register("reason_groups", "SELECT feature, reason_group FROM (VALUES " + ", ".join(
-    f"('{f}', '{X.reason_group_of(f)}')" for f in C.FEATURES) + ") v(feature, reason_group) WHERE (SELECT count(*) FROM z_pred0) > 0")
+    f"('{f}', '{g}')" for f, g in GROUP_OF.items()) + ") v(feature, reason_group) WHERE (SELECT count(*) FROM z_pred0) > 0")
 def _(i):
     # groups of the features that actually carry a value in the table
     have = i.features().agg(*[F.count(f).alias(f) for f in C.FEATURES]).unpivot([], C.FEATURES, "feature", "n")
@@ -164,6 +174,22 @@ def _(i):
         "reasons", F.nullif(F.array_join("reasons", " | "), F.lit("")))
 
 
+@register("prediction_documents", f"""
+SELECT {day('forecast_date')} AS date, count(*) AS n, string_agg(transect_id || ' ' || rank || ' ' || tier, ',' ORDER BY rank) AS segments,
+  (SELECT n_warning FROM z_index x WHERE x.forecast_date = p.forecast_date) AS n_warning FROM z_pred2 p GROUP BY forecast_date""")
+def _(i):
+    """All dates written, then the last year's again as a late pass would, and read back with their index entries."""
+    path = scratch(i.spark, "documents")
+    pred = i.predictions()
+    A.write_documents(A.prediction_rows(pred, THRESHOLD_M), _index(i), path)
+    late = F.year("forecast_date") == max(TEST)
+    A.write_documents(A.prediction_rows(pred.where(late), THRESHOLD_M), _index(i).where(late), path)
+    docs, index = A.read_documents(i.spark, path)
+    rows = F.transform("segments", lambda r: F.concat_ws(" ", r["id"], r["rank"].cast("string"), r["tier"]))
+    return (docs.join(index.select("forecast_date", "n_warning"), "forecast_date")
+            .select(F.col("forecast_date").alias("date"), F.size("segments").cast("bigint").alias("n"), F.array_join(rows, ",").alias("segments"), "n_warning"))
+
+
 @register("passes_summary", f"""
 SELECT pass_id, {day('s.date')} AS date, platform, otsu_ok, round(t_vv, 2) AS t_vv, round(water_area_km2, 1) AS water_area_km2,
   round(stage_km2, 1) AS stage_km2, round(valid_share, 3) AS valid_share
@@ -207,11 +233,12 @@ def _(i):
 
 
 fragment("z_dates", "SELECT forecast_date, row_number() OVER (ORDER BY forecast_date) - 1 AS n FROM z_index WHERE split = 'test'")
+fragment("z_req0", """
+SELECT event_id AS alert_id, user_id % 25 AS nk, event_id % nd AS n, j.range AS j, (event_id * 7 + j.range * 13) % ns AS k
+FROM events, (SELECT count(*) AS nd FROM z_dates), (SELECT count(*) + 1 AS ns FROM supplier), range(20) j WHERE event_type = 'click'""")
 fragment("z_req", """
-SELECT event_id AS alert_id, d.forecast_date, n_name AS place, j.range AS j,
-  coalesce(s.transect_id, 'X-' || ((event_id * 7 + j.range * 13) % ((SELECT count(*) FROM supplier) + 1))::VARCHAR) AS transect_id
-FROM events JOIN nation ON n_nationkey = user_id % 25 JOIN z_dates d ON d.n = event_id % (SELECT count(*) FROM z_dates)
-CROSS JOIN range(20) j LEFT JOIN z_sup s ON s.k = (event_id * 7 + j.range * 13) % ((SELECT count(*) FROM supplier) + 1) WHERE event_type = 'click'""")
+SELECT alert_id, d.forecast_date, n_name AS place, j, coalesce(s.transect_id, 'X-' || r.k::VARCHAR) AS transect_id
+FROM z_req0 r JOIN nation ON n_nationkey = nk JOIN z_dates d ON d.n = r.n LEFT JOIN z_sup s ON s.k = r.k""")
 
 
 def requests(i: Inputs):
