@@ -232,7 +232,7 @@ def _(i):
     return A.brief_table(i.predictions(), K)
 
 
-fragment("z_dates", "SELECT forecast_date, row_number() OVER (ORDER BY forecast_date) - 1 AS n FROM z_index WHERE split = 'test'")
+fragment("z_dates", "SELECT forecast_date, row_number() OVER (ORDER BY forecast_date) - 1 AS n FROM (SELECT DISTINCT forecast_date FROM z_features WHERE year BETWEEN 2000 AND 2001)")
 fragment("z_req0", """
 SELECT event_id AS alert_id, user_id % 25 AS nk, event_id % nd AS n, j.range AS j, (event_id * 7 + j.range * 13) % ns AS k
 FROM events, (SELECT count(*) AS nd FROM z_dates), (SELECT count(*) + 1 AS ns FROM supplier), range(20) j WHERE event_type = 'click'""")
