@@ -6,15 +6,17 @@ the story: all marks of an article, a heading of level 1 or half of the page's t
 link density, length and density of stop words: running text and long blocks are good, link lists are bad, the rest is ambiguous.
 Pass two gives each ambiguous block the label of its nearest decided neighbour, a heading that of the next one. Where the
 page's marks of an article (``article`` or ``main``) hold at least half of its running text, they decide what is ambiguous:
-good inside, bad outside. Good blocks are joined by a line feed, in the order of the page.
+good inside, bad outside, and running text outside needs a run of half the article's size to count. Good blocks are joined by a line feed, in the order of the page.
 
 Null html counts as empty; a page without text gives the empty string. Repeated rows stay rows. An element that is never
-closed loses no more than its own block. An empty table gives an empty result.
+closed loses no more than its own block. An empty table gives an empty result. Time is linear in the page, however its tags nest;
+a page is held whole. Columns other than page_id, url and html are not read.
 """
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,7 +58,8 @@ _PART = re.compile(r"[a-z]+")
 _STATE = re.compile(r"^(?:has|no|with|without|is)[-_]|[-_](?:open|closed|enabled|disabled|on|off)$", re.I)    # tells how a page is laid out
 _ARTICLE = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 _TITLE = re.compile(r"<h1(?=[\s/>])", re.I)
-_NO_STORY = re.compile(r"<(script|style|nav|footer|a|noscript|template|select)(?=[\s/>]).*?</\1\s*>", re.I | re.S)
+_SHUT = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)")
+_NO_STORY = {"script", "style", "nav", "footer", "a", "noscript", "template", "select"}
 _SPLIT = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -68,27 +71,67 @@ class Block:
     heading: bool
 
 
-def _holds_story(page: str, at: int, tag: str, own_head: bool) -> bool:
-    """Whether the element opened before ``at`` is a wrapper: it holds all marks of an article, a heading of level 1 or half of the text."""
-    depth, end = 1, len(page)
-    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", page[at:], re.I):
-        depth += -1 if m[1] else 1
-        if not depth:
-            end = at + m.start()
-            break
-    else:
-        return False        # never closed
-    part = page[at:end]
-    marks = len(_ARTICLE.findall(part))
-    if (marks and marks == len(_ARTICLE.findall(page))) or (not own_head and _TITLE.search(part)):
-        return True
-    size = len(_plain(part))
-    return size >= SHORT and 2 * size >= len(_plain(page))
-
-
-def _plain(part: str) -> str:
-    """Text without links and what is no text."""
-    return " ".join(_TAG.sub(" ", _NO_STORY.sub(" ", part)).split())
+class _Tree:
+    """One pass over a page: where elements end, and running totals of text, so that what an element holds is a subtraction."""
+
+    def __init__(self, page: str, closed: dict[str, int]):
+        self.ends: dict[int, int] = {}          # end of a start tag -> start of its end tag
+        self.at, self.sizes = [0], [0]          # text up to a place, without links and what is no text
+        self.articles = [m.start() for m in _ARTICLE.finditer(page)]
+        self.titles = [m.start() for m in _TITLE.finditer(page)]
+        low = page.lower()
+        ends: dict[str, list[int]] = {}
+        for m in _SHUT.finditer(page):
+            if (tag := m[1].lower()) in _NO_STORY:
+                ends.setdefault(tag, []).append(m.start())
+        open_: dict[str, list[int]] = {}
+        at = hidden = 0
+        while at < len(page):
+            m = _TAG.search(page, at)
+            end = m.start() if m else len(page)
+            if end > at and at >= hidden and (size := len(" ".join(page[at:end].split()))):
+                self.at.append(end)
+                self.sizes.append(self.sizes[-1] + size + 1)
+            if not m:
+                break
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                continue
+            if m[1] or m[4]:
+                if starts := open_.get(tag):
+                    self.ends[starts.pop()] = m.start()
+                continue
+            open_.setdefault(tag, []).append(at)
+            if tag in _NO_STORY and at >= hidden:
+                known = ends.get(tag, [])
+                if (i := bisect_left(known, at)) < len(known):
+                    hidden = known[i]
+            if tag in _RAW and tag != "title":      # a title counts as text of the page
+                at = _raw_end(page, low, closed, tag, at)
+
+    def _size(self, at: int) -> int:
+        return self.sizes[bisect_right(self.at, at) - 1]
+
+    def holds_story(self, at: int, own_head: bool) -> bool:
+        """Whether the element whose start tag ends at ``at`` is a wrapper: it holds all marks of an article, a heading of level 1 or half
+        of the text. An element that is never closed holds nothing."""
+        end = self.ends.get(at)
+        if end is None:
+            return False
+        marks = bisect_left(self.articles, end) - bisect_left(self.articles, at)
+        if (marks and marks == len(self.articles)) or (not own_head and bisect_left(self.titles, end) > bisect_left(self.titles, at)):
+            return True
+        size = self._size(end) - self._size(at)
+        return size > SHORT and 2 * size >= self.sizes[-1]
+
+
+def _raw_end(page: str, low: str, closed: dict[str, int], tag: str, at: int) -> int:
+    """Where the content of an element that holds no markup ends."""
+    if closed.get(tag, -1) < at:
+        return len(page) if tag in ("script", "style") else at
+    end = low.find(f"</{tag}", at) if len(low) == len(page) else -1
+    return end if end >= 0 else re.compile(f"</{tag}", re.I).search(page, at).start()
 
 
 def _left_out(tag: str, attrs: str, inside: bool) -> str:
@@ -126,7 +169,8 @@ def blocks(page: str) -> list[Block]:
     heading = ""
     gone = ""           # the element that is being left out
     nested = 0
-    low = None
+    low = tree = None
+    closed = {m[1].lower(): m.start() for m in _SHUT.finditer(page)}        # the last end tag of each name
 
     def close() -> None:
         nonlocal links, in_link
@@ -153,11 +197,7 @@ def blocks(page: str) -> list[Block]:
         shut, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if not shut and tag in _RAW:
             low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at) if len(low) == len(page) else -1
-            if end < 0:
-                found = re.compile(f"</{tag}", re.I).search(page, at)
-                end = found.start() if found else (len(page) if tag in ("script", "style") else at)
-            at = end
+            at = _raw_end(page, low, closed, tag, at)
             continue
         if gone == "p" and tag in _BLOCK:       # its end tag may be missing: any other block ends it
             gone = ""
@@ -177,14 +217,14 @@ def blocks(page: str) -> list[Block]:
         if gone:
             continue
         how = "" if shut or tag in _VOID else _left_out(tag, attrs, depth > 0)
-        if how and (how == "surely" or not _holds_story(page, at, tag, how == "head")):
+        if how and how != "surely":
+            tree = tree or _Tree(page, closed)
+        if how and (how == "surely" or not tree.holds_story(at, how == "head")):
             if tag in _BLOCK or tag in _NEVER:
                 close()
             gone, nested = tag, 1
-            if tag not in ("p", "li"):
-                low = page.lower() if low is None else low
-                if low.find(f"</{tag}", at) < 0:
-                    gone = "p"      # never closed: only what stands in its own block goes
+            if tag not in ("p", "li") and closed.get(tag, -1) < at:
+                gone = "p"          # never closed: only what stands in its own block goes
             continue
         if tag == "a":
             in_link = 0 if shut else 1
@@ -277,10 +317,26 @@ def inherit(found: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def supported(found: list[Block], labels: list[bool | None]) -> list[bool | None]:
+    """Where the page's marks of an article hold, running text outside counts only in a run of at least half of the article's text: a
+    part of the story that the marks miss does, a reader's comment or a teaser does not."""
+    inside = sum(len(b.text) for b, x in zip(found, labels) if x and b.inside and not b.heading)
+    out, i = list(labels), 0
+    while i < len(found):
+        j = i
+        while j < len(found) and not found[j].inside and (labels[j] or found[j].heading):
+            j += 1
+        if 2 * sum(len(b.text) for b in found[i:j]) < inside:
+            out[i:j] = [False] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
     marked = marks_hold(found)
-    keep = inherit(found, [decide(b, marked) for b in found])
+    labels = [decide(b, marked) for b in found]
+    keep = inherit(found, supported(found, labels) if marked else labels)
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -220,3 +220,24 @@ def test_recall_on_the_test_tables(spark, sf):
     for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert sum(len({i for _, i in expect[q]} & got[q]) for q in queries) >= 0.95 * 5 * len(queries)
+
+
+def test_running_text_outside_the_article_needs_support():
+    story = STORY.strip()
+    comment = "<div class=entry><p>" + story[:len(story) // 2] + "</p></div>"
+    teaser = "<div class=card><h3>Next</h3><p>" + story[:len(story) // 2] + "</p></div>"
+    page = f"<article><h1>T</h1><p>{STORY}</p><p>{STORY}</p><p>{STORY}</p></article>{comment}<p><a href=x>More</a></p>{teaser}"
+    assert html_blocks.main_text(page) == "\n".join(["T", story, story, story])
+    part = f"<main><h1>T</h1><p>{STORY}</p><p>{STORY}</p></main><div><p>{STORY}</p></div>"       # main holds a part of the story
+    assert html_blocks.main_text(part) == "\n".join(["T", story, story, story])
+
+
+def test_time_is_linear_in_nested_and_unclosed_tags():
+    import time
+    story = f"<h1>T</h1><p>{STORY}</p>"
+    for page in ("<div class='widget'>" * 40_000 + story + "</div>" * 40_000, "<p class='ad'>" * 60_000 + "</p>" + story,
+                 "<div class='ad'>" * 60_000 + story, "<div class=widget>" + "<a href=x>l " * 60_000 + story + "</div>",
+                 "<title>" * 60_000 + story, "<li class=ad>x" * 60_000 + story, '<a title="x>' * 20_000 + story):
+        t = time.process_time()
+        html_blocks.main_text(page)
+        assert time.process_time() - t < 10, page[:40]
