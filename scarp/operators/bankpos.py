@@ -7,10 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scarp import config as C
+from scarp.operators import raster as R
 
 KEYS = ("img", "transect_id")
 
@@ -60,26 +64,29 @@ def measure_banks(samples: DataFrame, s0: float, step: float, pixel_m: float = C
     return g.withColumns(cols).select(*keys, "idx", F.col("valid").cast("int").alias("valid"), *cols)
 
 
-def distance_to_core(points: DataFrame, px: DataFrame, core: str, key: str = "transect_id",
-                     pixel_m: float = C.PIXEL_M, cap_px: int | None = None) -> DataFrame:
-    """Exact distance (m) from bank points (img, key, row, col) to the nearest core pixel of their image.
+def distance_to_core(points: DataFrame, px: DataFrame, core: str, pixel_m: float = C.PIXEL_M,
+                     cap_px: int | None = None) -> DataFrame:
+    """Exact distance (m) from bank points (img, row, col, ...) to the nearest core pixel of their image.
 
-    Vertical distances per column come from two windows (bounded by image height). A point then needs only its own
-    image row: an equi-join on (img, row) whose minimum combines map-side. NULL without a core or beyond ``cap_px``.
+    Points meet the column distances of their own image row, and all points of a row are solved together.
+    NULL without a core or beyond ``cap_px``; a point outside the rows of its image has none.
     """
-    w = Window.partitionBy("img", "col").orderBy("row")
-    hit = F.when(F.col(core) == 1, F.col("row"))
-    up = F.col("row") - F.last("_hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("_hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
-    g = px.select("img", "row", "col", hit.alias("_hit")).withColumn("_g", F.least(up, down)).where("_g IS NOT NULL")
-    p = points.select("img", key, "row", F.col("col").alias("_pc"))
-    dc = F.col("col") - F.col("_pc")
-    near = p.join(g.select("img", "row", "col", "_g"), ["img", "row"]).groupBy("img", key).agg(
-        F.min(dc * dc + F.col("_g") * F.col("_g")).alias("_d2"))
-    if cap_px is not None:
-        near = near.where(F.col("_d2") <= cap_px * cap_px)
-    return points.join(near, ["img", key], "left").withColumn(
-        "dist_main_channel_m", F.sqrt("_d2") * pixel_m).drop("_d2")
+    out = "dist_main_channel_m"
+    g = R.column_distances(px.select("img", "row", "col", core), F.col(core) == 1, "_g").where("_g IS NOT NULL")
+    g = g.select("img", "row", "col", "_g").join(points.select("img", "row"), ["img", "row"], "left_semi")
+    schema = T.StructType([*points.schema.fields, T.StructField(out, T.DoubleType())])
+    names = points.columns
+
+    def measure(p: pa.Table, row: pa.Table) -> pa.Table:
+        if not len(p) or not len(row):
+            return p.select(names).append_column(out, pa.nulls(len(p), pa.float64()))
+        p, row = p.sort_by("col"), row.sort_by("col")
+        c, s, d = (x.to_numpy().astype("int64") for x in (p["col"], row["col"], row["_g"]))
+        d2 = R.nearest_squares(c, s, d * d)
+        far = None if cap_px is None else d2 > cap_px * cap_px
+        return p.select(names).append_column(out, pa.array(np.sqrt(d2.astype(float)) * pixel_m, mask=far))
+
+    return points.groupBy("img", "row").cogroup(g.groupBy("img", "row")).applyInArrow(measure, schema)
 
 
 def belt_area(px: DataFrame, pixel_m: float = C.PIXEL_M) -> DataFrame:

@@ -23,10 +23,10 @@ def stage_per_pass(positions: DataFrame, scope: Sequence[str] = ()) -> DataFrame
                  .alias("stage_km2")))
 
 
-def stage_features(stage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def stage_features(stage: DataFrame, scope: Sequence[str] = (), days: DataFrame | None = None) -> DataFrame:
     """Change against the passes ~12 and ~24 days back and departure from an as-of seasonal mean.
 
-    ``stage`` has one row per pass day and scope, so the windows here are calendar-sized.
+    ``stage`` has one row per pass day and scope, so the windows here are calendar-sized. ``days`` limits the result.
     """
     w = Window.partitionBy(*scope).orderBy("day")
     maps = {f"back_{d}": P.nearest_pass(-d, tol, scope) for d, tol in C.STAGE_LAGS.items()}
@@ -41,7 +41,9 @@ def stage_features(stage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     s = s.withColumns({f"stage_change_{d}d": change(d, tol) for d, tol in C.STAGE_LAGS.items()})
     # season: circular day-of-year distance <= 30 on a ring of 366, spelled out as 61 values -> equi-join
     doy = F.dayofyear(F.date_from_unix_date("day"))
-    probes = stage.select(*scope, "day", F.explode(F.transform(
+    if days is not None:
+        s = s.join(days, [*scope, "day"], "left_semi")
+    probes = s.select(*scope, "day", F.explode(F.transform(
         F.sequence(F.lit(-30), F.lit(30)), lambda o: F.pmod(doy - 1 + o, F.lit(366)) + 1)).alias("doy"))
     older = stage.select(*scope, F.col("day").alias("_old"), doy.alias("doy"), F.col("stage_km2").alias("_v"))
     clim = (probes.join(older, [*scope, "doy"]).where(F.col("day") - F.col("_old") > 180)
@@ -51,24 +53,51 @@ def stage_features(stage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
             .select(*scope, "day", "stage_km2", "stage_change_12d", "stage_change_24d", "stage_anom_km2"))
 
 
-def curvature(transects: DataFrame, half_window: int = 5, scope: Sequence[str] = ()) -> DataFrame:
-    """Signed curvature (1/km) from the turning of the landward normal along each bank."""
-    by = [*scope, "bank"]
-    w = Window.partitionBy(*by).orderBy("chainage_m")
+CURVE_PART_M = 100_000.0
+CURVE_BLOCK = 4096
+
+
+def _whole_turns(step: Column) -> Column:
+    """What to add after a jump of the angle: jumps larger than half a turn are whole turns."""
     pi = F.pi()
-    t = transects.withColumn("_a", F.atan2("ny", "nx"))
-    step = F.col("_a") - F.lag("_a").over(w)
-    # unwrap: jumps larger than half a turn are whole turns
     wrapped = step - 2 * pi * F.floor((step + pi) / (2 * pi))
     wrapped = F.when((wrapped == -pi) & (step > 0), pi).otherwise(wrapped)
-    turn = F.when(F.abs(step) < pi, F.lit(0.0)).otherwise(wrapped - step)
-    t = t.withColumn("_turn", F.coalesce(turn, F.lit(0.0)))
-    t = t.withColumn("_angle", F.col("_a") + F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    near = w.rowsBetween(-half_window, half_window)
+    return F.coalesce(F.when(F.abs(step) < pi, F.lit(0.0)).otherwise(wrapped - step), F.lit(0.0))
+
+
+def curvature(transects: DataFrame, half_window: int = 5, scope: Sequence[str] = (), part_m: float = CURVE_PART_M,
+              block: int = CURVE_BLOCK) -> DataFrame:
+    """Signed curvature (1/km) from the turning of the landward normal along each bank.
+
+    A bank is cut into parts of ``part_m``; turns and places are counted inside a part and only part totals are summed
+    along the bank. The frame of ``half_window`` rows then runs in blocks of ``block`` places whose ends overlap.
+    """
+    if half_window * 2 >= block:
+        raise ValueError("a block must be longer than the window")
+    by = [*scope, "bank"]
+    part = [*by, "_part"]
+    w = Window.partitionBy(*part).orderBy("chainage_m")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = transects.withColumns({"_a": F.atan2("ny", "nx"), "_part": F.floor(F.col("chainage_m") / part_m)})
+    t = t.withColumn("_turn", _whole_turns(F.col("_a") - F.lag("_a").over(w)))
+    t = t.withColumns({"_turned": F.sum("_turn").over(upto), "_i": F.row_number().over(w)})
+    ends = t.groupBy(*part).agg(F.sum("_turn").alias("_t"), F.count(F.lit(1)).alias("_n"), F.min_by("_a", "_i").alias("_first"),
+                                F.max_by("_a", "_i").alias("_last"))
+    along = Window.partitionBy(*by).orderBy("_part")   # a row per part
+    ends = ends.withColumn("_gap", _whole_turns(F.col("_first") - F.lag("_last").over(along)))
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    ends = ends.select(*part, (F.coalesce(F.sum("_t").over(before), none) + F.sum("_gap").over(
+        along.rowsBetween(Window.unboundedPreceding, 0))).alias("_t0"), F.coalesce(F.sum("_n").over(before), none).alias("_i0"))
+    t = t.join(ends, part).withColumns({"_angle": F.col("_a") + F.col("_turned") + F.col("_t0"), "_i": F.col("_i") + F.col("_i0")})
+    in_block = lambda o: F.floor((F.col("_i") + o) / block)
+    t = t.withColumn("_block", F.explode(F.array_distinct(F.array(in_block(-half_window), in_block(half_window)))))
+    near = Window.partitionBy(*by, "_block").orderBy("_i").rowsBetween(-half_window, half_window)
     d_angle = F.last("_angle").over(near) - F.first("_angle").over(near)
     d_km = (F.last("chainage_m").over(near) - F.first("chainage_m").over(near)) / 1000.0
     sign = F.when(F.col("bank") == "W", 1.0).otherwise(-1.0)
-    return t.withColumn("baseline_curvature", F.when(d_km > 0, sign * d_angle / d_km)).drop("_a", "_turn", "_angle")
+    t = t.withColumn("baseline_curvature", F.when(d_km > 0, sign * d_angle / d_km)).where(in_block(0) == F.col("_block"))
+    return t.select(*transects.columns, "baseline_curvature")
 
 
 def robust_panel(positions: DataFrame, maps: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -95,7 +124,67 @@ def feature_table(positions: DataFrame, transects: DataFrame, stage: DataFrame |
     look["_perm_365"] = P.lagged("perm", 365, C.LAGS[365], scope)
     look["_dm_28"] = P.lagged("dist_main_channel_m", 28, C.LAGS[28], scope)
     look["_b_prev"] = P.value_at("bank_pos_m", "prev", -C.LAST_CHANGE_MAX_DAYS, -1, scope)
-    g = g.withColumns(look).where(F.col("b0").isNotNull())
+    return _features_of(g.withColumns(look).where(F.col("b0").isNotNull()), transects, stage_features(stage, scope), scope)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _quantile(ordered: Column, p: float) -> Column:
+    """Linear interpolation in an ordered array; NULL if it is empty."""
+    pos = (F.size(ordered) - 1) * F.lit(p)
+    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
+    return F.when(lo == hi, F.get(ordered, lo)).otherwise((hi - pos) * F.get(ordered, lo) + (pos - lo) * F.get(ordered, hi))
+
+
+def features_of_dates(fresh: DataFrame, history: DataFrame, transects: DataFrame, stage: DataFrame, maps: DataFrame,
+                      scope: Sequence[str] = ()) -> DataFrame:
+    """``feature_table`` for the dates in ``fresh`` alone.
+
+    ``fresh`` holds whole positions of the dates asked for, ``history`` (transect_id, pass_id, date, bank_pos_m,
+    dist_main_channel_m) those dates and everything they look back on, ``maps`` the calendar maps. A segment's history is
+    one array, bounded by its days, and each asked date reads its look-backs there: work grows with the dates asked for,
+    not with the windows of the days before them. A segment without a position on a date has no row, as in ``feature_table``.
+    """
+    keys = [*scope, "transect_id"]
+    past = P.first_per_pass(history, ["bank_pos_m", "dist_main_channel_m"], scope).groupBy(*keys).agg(F.collect_list(F.struct(
+        "day", F.col("bank_pos_m").alias("b"), F.col("dist_main_channel_m").alias("m"))).alias("_h"))
+    now = P.attach_maps(P.first_per_pass(fresh, FACT_COLUMNS, scope).where("bank_pos_m IS NOT NULL"), maps, scope)
+    asked = [*FACT_COLUMNS, *[f"back_{d}" for d in C.LAGS], "prev"]
+    now = now.groupBy(*keys).agg(F.collect_list(F.struct("day", *asked)).alias("_now"))
+    h = F.col("_h")
+
+    def on(day: Column, field: str) -> Column:
+        return F.get(F.filter(h, lambda x: x["day"] == day), F.lit(0))[field]
+
+    def seen(day: Column, days: int) -> Column:
+        """Positions of the ``days`` up to ``day``, in order."""
+        return F.sort_array(F.transform(
+            F.filter(h, lambda x: x["b"].isNotNull() & (x["day"] >= day - days) & (x["day"] <= day)), lambda x: x["b"]))
+
+    def current(day: Column) -> Column:
+        return F.when(on(day, "b").isNotNull(), _let(seen(day, C.CURRENT_DAYS), lambda a: _quantile(a, 0.5)))
+
+    def permanent(day: Column) -> Column:
+        return _let(seen(day, C.PERMANENT_DAYS), lambda a: F.when(F.size(a) >= C.PERMANENT_MIN, _quantile(a, 0.25)))
+
+    def row(t: Column) -> Column:
+        day = t["day"]
+        return F.struct(
+            day.alias("day"), *[t[c].alias(c) for c in FACT_COLUMNS], current(day).alias("b0"), permanent(day).alias("perm"),
+            F.size(seen(day, 364)).alias("n_obs_365"), *[current(t[f"back_{d}"]).alias(f"_b0_{d}") for d in (28, 56, 84)],
+            F.when(t["back_365"].isNotNull(), permanent(t["back_365"])).alias("_perm_365"),
+            on(t["back_28"], "m").alias("_dm_28"), on(t["prev"], "b").alias("_b_prev"))
+
+    g = now.join(past, keys).select(*keys, F.inline(F.transform("_now", row)))
+    days = P.with_day(fresh).select(*scope, "day").distinct()
+    return _features_of(g, transects, stage_features(stage, scope, days), scope)
+
+
+def _features_of(g: DataFrame, transects: DataFrame, stage: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Features from panel rows with their look-backs and the stage features per day."""
     b0 = F.col("b0")
     g = g.select(
         *scope, "transect_id", "day", b0.alias("bank_pos_m"), F.col("bank_pos_m").alias("raw_bank_pos_m"),
@@ -114,7 +203,7 @@ def feature_table(positions: DataFrame, transects: DataFrame, stage: DataFrame |
         "nb_ret_365_m": P.neighbour_mean("ret_365_m", 3, by),
         "embayment_m": F.col("bank_pos_m") - P.neighbour_mean("bank_pos_m", 5, by),
     })
-    g = P.attach_maps(g, stage_features(stage, scope), scope)
+    g = P.attach_maps(g, stage, scope)
     date = F.date_from_unix_date("day")
     return g.withColumns({
         "forecast_date": date, "doy_sin": F.sin(day_angle(date)), "doy_cos": F.cos(day_angle(date)),

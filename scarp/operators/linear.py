@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scarp import config as C
 
 MEASURE_CELL_M = 500.0
+LINE_PART = 4096   # sequence numbers in a part of a line
 
 
 # --- grid ----------------------------------------------------------------------------------------------------------
@@ -36,24 +37,41 @@ def clipped_cell(frac: Column, size: Column) -> Column:
 
 
 # --- lines ---------------------------------------------------------------------------------------------------------
-def line_measure(vertices: DataFrame, by: Sequence[str] = ("bank",)) -> DataFrame:
-    """Cumulative length m of each vertex, lines turned to run north to south. vertices: (by..., seq, x, y)."""
-    whole = Window.partitionBy(*by)
-    v = vertices.withColumn("_flip", F.min_by("y", "seq").over(whole) < F.max_by("y", "seq").over(whole))
-    w = Window.partitionBy(*by).orderBy("pos")
-    v = v.withColumn("pos", F.when(F.col("_flip"), -F.col("seq")).otherwise(F.col("seq")))
-    step = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2)
-    v = v.withColumn("_step", F.coalesce(step, F.lit(0.0)))
-    return v.withColumn("m", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(
-        *by, "seq", "pos", "x", "y", "m")
-
-
-def line_segments(measured: DataFrame, by: Sequence[str] = ("bank",)) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("pos")
-    nxt = {f"{c}1": F.lead(c).over(w) for c in ("x", "y", "m")}
-    return (measured.withColumns(nxt).where("m1 > m")
+def line_measure(vertices: DataFrame, by: Sequence[str] = ("bank",), part: int = LINE_PART) -> DataFrame:
+    """Cumulative length m of each vertex, lines turned to run north to south. vertices: (by..., seq, x, y).
+
+    A line is cut into parts of ``part`` sequence numbers. Lengths are summed inside a part; only part totals and the steps
+    between parts are summed along the line, so one long line is the work of many tasks. ``seq`` may have gaps.
+    """
+    cut = [*by, "_part"]
+    turn = vertices.groupBy(*by).agg((F.min_by("y", "seq") < F.max_by("y", "seq")).alias("_flip"))
+    v = vertices.join(turn, list(by)).withColumn("pos", F.when(F.col("_flip"), -F.col("seq")).otherwise(F.col("seq")))
+    v = v.withColumn("_part", F.floor(F.col("pos") / part))
+    w = Window.partitionBy(*cut).orderBy("pos")
+    step = lambda x, y, x0, y0: F.coalesce(F.sqrt((x - x0) ** 2 + (y - y0) ** 2), F.lit(0.0))
+    v = v.withColumn("_step", step(F.col("x"), F.col("y"), F.lag("x").over(w), F.lag("y").over(w)))
+    v = v.withColumn("_m", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    p = v.groupBy(*cut).agg(F.max("_m").alias("_len"), *[f(c, "pos").alias(f"{n}{c}") for c in "xy" for n, f in (
+        ("a", F.min_by), ("b", F.max_by))])
+    along = Window.partitionBy(*by).orderBy("_part")   # a row per part
+    p = p.withColumn("_gap", step(F.col("ax"), F.col("ay"), F.lag("bx").over(along), F.lag("by").over(along)))
+    start = F.coalesce(F.sum("_len").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.sum("_gap").over(
+        along.rowsBetween(Window.unboundedPreceding, 0))
+    return v.join(p.select(*cut, start.alias("_start")), cut).select(
+        *by, "seq", "pos", "x", "y", (F.col("_start") + F.col("_m")).alias("m"))
+
+
+def line_segments(measured: DataFrame, by: Sequence[str] = ("bank",), part: int = LINE_PART) -> DataFrame:
+    """Each vertex with the next one of its line, which for the last vertex of a part is the first of the next part."""
+    cut = [*by, "_part"]
+    vertex = F.struct("x", "y", "m")
+    v = measured.withColumn("_part", F.floor(F.col("pos") / part))
+    heads = v.groupBy(*cut).agg(F.min_by(vertex, "pos").alias("_head"))
+    heads = heads.select(*cut, F.lead("_head").over(Window.partitionBy(*by).orderBy("_part")).alias("_head"))
+    nxt = F.coalesce(F.lead(vertex).over(Window.partitionBy(*cut).orderBy("pos")), "_head")
+    return (v.join(heads, cut).withColumn("_next", nxt).where("_next.m > m")
             .select(*by, F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("m").alias("ma"),
-                    F.col("x1").alias("xb"), F.col("y1").alias("yb"), F.col("m1").alias("mb")))
+                    F.col("_next.x").alias("xb"), F.col("_next.y").alias("yb"), F.col("_next.m").alias("mb")))
 
 
 def line_interpolate(targets: DataFrame, segments: DataFrame, by: Sequence[str] = ("bank",), d: str = "d",
@@ -62,7 +80,8 @@ def line_interpolate(targets: DataFrame, segments: DataFrame, by: Sequence[str]
 
     Targets and segments meet on (line, measure cell), so a target only sees the few segments of its cell.
     """
-    seg = segments.withColumn("_last", F.col("mb") == F.max("mb").over(Window.partitionBy(*by)))
+    ends = segments.groupBy(*by).agg(F.max("mb").alias("_end"))
+    seg = segments.join(ends, list(by)).withColumn("_last", F.col("mb") == F.col("_end"))
     seg = seg.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("ma") / cell), F.floor(F.col("mb") / cell))))
     t = targets.withColumn("_cell", F.floor(F.col(d) / cell))
     on = (F.col(d) >= F.col("ma")) & ((F.col(d) < F.col("mb")) | (F.col("_last") & (F.col(d) <= F.col("mb"))))
@@ -76,7 +95,8 @@ def cast_transects(measured: DataFrame, by: Sequence[str] = ("bank",), spacing:
                    tangent: float = C.TANGENT_M, riverward: float = C.RIVERWARD_M,
                    landward: float = C.LANDWARD_M) -> DataFrame:
     """Transects every ``spacing`` metres with their landward unit normal and end points."""
-    length = measured.groupBy(*by).agg(F.max("m").alias("_len"))
+    segments = line_segments(measured, by)
+    length = segments.groupBy(*by).agg(F.max("mb").alias("_len"))
     i = F.explode(F.sequence(F.lit(0), F.floor(F.col("_len") / spacing).cast("int")))
     base = length.withColumn("i", i).withColumn("chainage_m", F.least(F.col("i") * spacing + spacing / 2, F.col("_len")))
     ends = F.explode(F.array(
@@ -84,7 +104,7 @@ def cast_transects(measured: DataFrame, by: Sequence[str] = ("bank",), spacing:
         F.struct(F.lit("a").alias("role"), F.greatest(F.col("chainage_m") - tangent, F.lit(0.0)).alias("d")),
         F.struct(F.lit("b").alias("role"), F.least(F.col("chainage_m") + tangent, F.col("_len")).alias("d"))))
     asked = base.withColumn("_e", ends).select(*by, "i", "chainage_m", "_e.role", "_e.d")
-    pts = line_interpolate(asked, line_segments(measured, by), by)
+    pts = line_interpolate(asked, segments, by)
     at = lambda r, c: F.max(F.when(F.col("role") == r, F.col(c))).alias(f"{c}_{r}")
     t = pts.groupBy(*by, "i", "chainage_m").agg(*[at(r, c) for r in "pab" for c in "xy"])
     tx, ty = F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a")

@@ -126,22 +126,30 @@ def neighbour_mean(col: str, k: int = 3, by: Sequence[str] = ("bank", "day"), or
     return F.when(n > 0, total / n)
 
 
-def asof_series(passes: DataFrame, series: DataFrame, lag_days: int = 7) -> DataFrame:
+def asof_series(passes: DataFrame, series: DataFrame, lag_days: int = 7, scope: Sequence[str] = (),
+                span_days: int = 366) -> DataFrame:
     """Last series value at or before each pass day and its change against the last value ``lag_days`` earlier.
 
-    ``passes`` (day) and ``series`` (day, value) hold one row per day at most: a single small window.
+    ``passes`` (scope.., day) and ``series`` (scope.., day, value) hold one row per day and scope at most; ``scope`` names
+    the reach that a gauge belongs to. Time is cut into ranges: each is ordered on its own and starts from the last value
+    of the ranges before it, which a window over one row per range carries on. NULL before the first value.
     """
-    w = Window.orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    src = series.select("day", F.lit(0).alias("kind"), F.col("value").cast("double").alias("value"))
-    now = passes.select("day", F.lit(1).alias("kind"), F.lit(None).cast("double").alias("value"))
-    past = passes.select((F.col("day") - lag_days).alias("day"), F.lit(2).alias("kind"),
-                         F.lit(None).cast("double").alias("value"))
-    seen = src.unionByName(now).unionByName(past).withColumn("last", F.last("value", ignorenulls=True).over(w))
+    part = [*scope, "_span"]
+    none = F.lit(None).cast("double")
+    src = series.select(*scope, "day", F.lit(0).alias("kind"), F.col("value").cast("double").alias("value"))
+    now = passes.select(*scope, "day", F.lit(1).alias("kind"), none.alias("value"))
+    past = passes.select(*scope, (F.col("day") - lag_days).alias("day"), F.lit(2).alias("kind"), none.alias("value"))
+    rows = src.unionByName(now).unionByName(past).withColumn("_span", F.floor(F.col("day") / span_days))
+    ends = rows.groupBy(*part).agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("day"))).alias("_end"))
+    earlier = Window.partitionBy(*scope).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*part, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    w = Window.partitionBy(*part).orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.join(carried, part).withColumn("last", F.coalesce(F.last("value", ignorenulls=True).over(w), "_carried"))
     return (seen.where("kind > 0")
             .withColumn("day", F.when(F.col("kind") == 2, F.col("day") + lag_days).otherwise(F.col("day")))
-            .groupBy("day").agg(F.max(F.when(F.col("kind") == 1, F.col("last"))).alias("gauge"),
-                                F.max(F.when(F.col("kind") == 2, F.col("last"))).alias("_past"))
-            .select("day", "gauge", (F.col("gauge") - F.col("_past")).alias("gauge_change_7d")))
+            .groupBy(*scope, "day").agg(F.max(F.when(F.col("kind") == 1, F.col("last"))).alias("gauge"),
+                                        F.max(F.when(F.col("kind") == 2, F.col("last"))).alias("_past"))
+            .select(*scope, "day", "gauge", (F.col("gauge") - F.col("_past")).alias("gauge_change_7d")))
 
 
 def nearest_in_tolerance(left: DataFrame, right: DataFrame, tol: int, right_order: Mapping[str, bool],

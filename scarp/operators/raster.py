@@ -18,6 +18,7 @@ from scarp import config as C
 from scarp.functions import columns as K
 
 TILE = 256
+SMOOTH_STRETCH = 4096
 
 
 # --- focal machinery -----------------------------------------------------------------------------------------------
@@ -127,35 +128,59 @@ def distance_within(px: DataFrame, target: Column, radius: int, out: str = "dist
     return spread.groupBy("img", "_tr", "_tc").applyInArrow(measure, schema)
 
 
-def distance_to(px: DataFrame, target: Column, out: str = "dist") -> DataFrame:
-    """Exact distance (px) to the nearest target pixel of the image, however far; NULL in an image without one.
+def nearest_squares(at: np.ndarray, src: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """min over j of (at - src_j)^2 + g_j for ascending ``at`` and ``src``.
 
-    Vertical distances come from two windows per image column. Each image row then is one array, whose minimum over
-    horizontal shifts ends at the first shift that is no shorter than every distance found.
+    The best j never moves back along ``at``, so a place half-way between two solved ones looks only between their best j.
+    Each halving costs the length of the row: n log n, without a loop over pixels.
     """
+    n = len(at)
+    low, best = np.empty(n, dtype=np.int64), np.zeros(n + 2, dtype=np.int64)
+    best[n + 1] = len(src) - 1
+    step = 1 << n.bit_length()
+    while step > 1:
+        half = step // 2
+        mid = np.arange(half, n + 1, step)
+        first, last = best[mid - half], best[np.minimum(mid + half, n + 1)]
+        size = last - first + 1
+        start = np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(mid)), size)
+        j = np.arange(len(owner)) - (start - first)[owner]
+        cost = (at[mid - 1][owner] - src[j]) ** 2 + g[j]
+        low[mid - 1] = np.minimum.reduceat(cost, start)
+        hit = np.flatnonzero(cost == low[mid - 1][owner])
+        best[mid] = j[hit[np.unique(owner[hit], return_index=True)[1]]]
+        step = half
+    return low
+
+
+def column_distances(px: DataFrame, target: Column, out: str) -> DataFrame:
+    """Add the distance (px) to the nearest target pixel of the same image column, NULL without one. Two windows, each
+    bounded by the image height."""
     w = Window.partitionBy("img", "col").orderBy("row")
     hit = F.when(F.coalesce(target, F.lit(False)), F.col("row"))
     up = F.col("row") - F.last("_hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     down = F.first("_hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
-    spread = px.withColumn("_hit", hit).withColumn("_g", F.least(up, down).cast("long")).drop("_hit")
+    return px.withColumn("_hit", hit).withColumn(out, F.least(up, down).cast("long")).drop("_hit")
+
+
+def distance_to(px: DataFrame, target: Column, out: str = "dist") -> DataFrame:
+    """Exact distance (px) to the nearest target pixel of the image, however far; NULL in an image without one.
+
+    Vertical distances come from two windows per image column; each image row then is one array.
+    """
     schema = T.StructType([*px.schema.fields, T.StructField(out, T.DoubleType())])
     names = px.columns
 
     def measure(tab: pa.Table) -> pa.Table:
-        c = tab["col"].to_numpy()
-        c = c - c.min()
-        n, far = int(c.max()) + 1, np.int64(1) << 40
-        g = np.full(n, far)
-        g[c] = pc.fill_null(tab["_g"], 1 << 20).to_numpy() ** 2
-        best, o = g.copy(), 1
-        while o < n and o * o < best[c].max():
-            np.minimum(best[o:], g[:-o] + o * o, out=best[o:])
-            np.minimum(best[:-o], g[o:] + o * o, out=best[:-o])
-            o += 1
-        d2 = best[c]
-        return tab.select(names).append_column(out, pa.array(np.sqrt(d2.astype(float)), mask=d2 >= far))
-
-    return spread.groupBy("img", "row").applyInArrow(measure, schema)
+        tab = tab.sort_by("col")
+        src = tab.filter(pc.is_valid(tab["_g"]))
+        if not len(src):
+            return tab.select(names).append_column(out, pa.nulls(len(tab), pa.float64()))
+        c, s, g = (x.to_numpy().astype(np.int64) for x in (tab["col"], src["col"], src["_g"]))
+        return tab.select(names).append_column(out, pa.array(np.sqrt(nearest_squares(c, s, g * g).astype(float))))
+
+    return column_distances(px, target, "_g").groupBy("img", "row").applyInArrow(measure, schema)
 
 
 # --- calibration and thresholds ------------------------------------------------------------------------------------
@@ -344,19 +369,36 @@ def row_edges(px: DataFrame, mask: str) -> DataFrame:
     return px.groupBy("img", "row").agg(F.min(c).alias("west"), F.max(c).alias("east"))
 
 
-def smooth_edge(edges: DataFrame, by: Sequence[str], value: str, sigma: float, trim: int, keep_every: int) -> DataFrame:
+def smooth_edge(edges: DataFrame, by: Sequence[str], value: str, sigma: float, trim: int, keep_every: int,
+                stretch: int = SMOOTH_STRETCH) -> DataFrame:
     """Gaussian along the rows that have an edge (cut at 4 sigma, end values repeated), trimmed and thinned.
 
-    Every target row asks for its 2 R + 1 sources by position: an equi-join with map-side combine.
+    The edge is cut into stretches that overlap by the radius of the kernel; each is one array, so a row travels two or
+    three times at most, whatever the width of the kernel.
     """
     radius = int(4 * sigma + 0.5)
+    stretch = max(stretch, 4 * radius)
     w = Window.partitionBy(*by).orderBy("row")   # one edge of one image: bounded by its height
-    e = edges.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w))
-    n = e.groupBy(*by).agg(F.max("_i").alias("_n"))
-    ask = e.join(n, list(by)).where((F.col("_i") > trim) & (F.col("_i") <= F.col("_n") - trim)
-                                    & ((F.col("_i") - 1 - trim) % keep_every == 0))
-    ask = ask.select(*by, "row", "_i", "_n", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("_o"))
-    ask = ask.withColumn("_i", F.least(F.greatest(F.col("_i") + F.col("_o"), F.lit(1)), F.col("_n")))
-    src = e.select(*by, "_i", F.col(value).alias("_v"))
-    g = F.exp(-(F.col("_o") * F.col("_o")) / (2.0 * sigma * sigma))
-    return ask.join(src, [*by, "_i"]).groupBy(*by, "row").agg((F.sum(g * F.col("_v")) / F.sum(g)).alias(value))
+    e = edges.where(F.col(value).isNotNull()).select(*by, "row", F.col(value).cast("double").alias(value),
+                                                     (F.row_number().over(w) - 1).alias("_i"))
+    n = e.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    place = lambda o: F.floor((F.col("_i") + o) / stretch)
+    e = e.join(n, list(by)).withColumn("_s", F.explode(F.array_distinct(F.array(place(-radius), place(radius)))))
+    schema = e.select(*by, "row", value).schema
+    offsets = np.arange(-radius, radius + 1)
+    kernel = np.exp(-(offsets * offsets) / (2.0 * sigma * sigma))
+    kernel /= kernel.sum()
+    names = [*by, "row"]
+
+    def smooth(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by("_i")
+        i, last = tab["_i"].to_numpy(), tab["_n"][0].as_py() - 1
+        keep = (i // stretch == tab["_s"][0].as_py()) & (i >= trim) & (i <= last - trim) & ((i - trim) % keep_every == 0)
+        # beyond the ends of the edge its end values go on; inside, a stretch holds all that its kept rows need
+        v = np.pad(tab[value].to_numpy(), radius, mode="edge")
+        at = np.flatnonzero(keep)
+        windows = np.lib.stride_tricks.sliding_window_view(v, 2 * radius + 1)
+        out = np.array([windows[k] @ kernel for k in at])
+        return tab.select(names).take(pa.array(at)).append_column(value, pa.array(out, pa.float64()))
+
+    return e.groupBy(*by, "_s").applyInArrow(smooth, schema)

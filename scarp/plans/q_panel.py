@@ -120,6 +120,22 @@ def _(i):
     return P.asof_series(P.pass_calendar(i.panel()), gauge(i)).select(_date(), "gauge", "gauge_change_7d")
 
 
+@register("asof_join_gauges", f"""
+WITH g AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'W' ELSE 'E' END AS reach, o_orderdate::DATE AS d, count(*)::DOUBLE AS v
+  FROM orders WHERE isodow(o_orderdate) < 6 AND o_custkey % 5 < 2 GROUP BY ALL),
+c AS (SELECT DISTINCT substr(transect_id, 1, 1) AS reach, date FROM z_panel),
+n AS (SELECT c.reach, c.date, arg_max(g.v, g.d) AS gauge FROM c LEFT JOIN g ON g.reach = c.reach AND g.d <= c.date GROUP BY c.reach, c.date),
+p AS (SELECT c.reach, c.date, arg_max(g.v, g.d) AS past FROM c LEFT JOIN g ON g.reach = c.reach AND g.d <= c.date - 7 GROUP BY c.reach, c.date)
+SELECT reach, {day('n.date')} AS date, gauge, gauge - past AS gauge_change_7d FROM n JOIN p USING (reach, date)""")
+def _(i):
+    d = F.col("o_orderdate").cast("date")
+    series = (i.table("orders").where(~F.dayofweek(d).isin(1, 7) & (F.col("o_custkey") % 5 < 2))
+              .groupBy(F.when(F.col("o_custkey") % 2 == 0, "W").otherwise("E").alias("reach"), F.unix_date(d).alias("day"))
+              .agg(F.count(F.lit(1)).cast("double").alias("value")))
+    passes = P.pass_calendar(i.panel().withColumn("reach", F.substring("transect_id", 1, 1)), ["reach"])
+    return P.asof_series(passes, series, scope=["reach"]).select("reach", _date(), "gauge", "gauge_change_7d")
+
+
 def scenes(i: Inputs):
     d = F.col("o_orderdate").cast("date")
     return i.table("orders").select(

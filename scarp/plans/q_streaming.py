@@ -50,25 +50,26 @@ def _run_passes(i: Inputs) -> str:
     S.store_positions(p.where(F.col("date") <= F.lit(d[0]).cast("date")), store)
     for a, b in ((1, 2), (0, 1), (2, 3), (3, 4)):
         land_in_files(p, incoming, [d[a], d[b]])
-        S.run_incremental(i.spark, incoming, p.schema, store, f"{base}/features", f"{base}/checkpoint", i.transects(),
-                          labels=f"{base}/labels", threshold_m=THRESHOLD_M, ranks=f"{base}/ranks")
-    return base
+        S.run_incremental(i.spark, incoming, p.schema, store, f"{base}/out", f"{base}/checkpoint", i.transects(),
+                          threshold_m=THRESHOLD_M, score="ret_84_m")
+    return f"{base}/out"
 
 
 @register("incremental_pass", f"""
 SELECT transect_id, {day('forecast_date')} AS forecast_date, {r6(*C.FEATURES)}, bank_pos_m, {rank_sql('ret_84_m')}::INT AS rank FROM z_features
 WHERE forecast_date IN (SELECT date FROM z_cal ORDER BY date DESC LIMIT 4)""")
 def _(i):
-    base = _run_passes(i)
-    f = i.spark.read.parquet(f"{base}/features").select("transect_id", "forecast_date", *C.FEATURES, "bank_pos_m")
-    return f.join(i.spark.read.parquet(f"{base}/ranks").select("transect_id", "forecast_date", "rank"), ["transect_id", "forecast_date"])
+    out = _run_passes(i)
+    f = S.published(i.spark, out, "features").select("transect_id", "forecast_date", *C.FEATURES, "bank_pos_m")
+    ranks = S.published(i.spark, out, "ranks").select("transect_id", "forecast_date", "rank")
+    return f.join(ranks, ["transect_id", "forecast_date"])
 
 
 @register("incremental_labels", f"""
 SELECT transect_id, {day('forecast_date')} AS forecast_date, {day('target_date')} AS target_date, {r6('retreat_m', 'window_retreat_m', 'permanent_retreat_m')}, y
 FROM z_labels WHERE forecast_date >= (SELECT date FROM z_cal ORDER BY date DESC LIMIT 1 OFFSET 3) - INTERVAL {S.LABEL_REACH_DAYS} DAY""")
 def _(i):
-    labels = i.spark.read.parquet(f"{_run_passes(i)}/labels")
+    labels = S.published(i.spark, _run_passes(i), "labels")
     return labels.select("transect_id", "forecast_date", "target_date", "retreat_m", "window_retreat_m", "permanent_retreat_m", "y")
 
 

@@ -1,15 +1,20 @@
 """Incremental updates with Structured Streaming: one new pass at a time, bounded history."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scarp import config as C
-from scarp.operators.features import feature_table, stage_per_pass
+from scarp.operators import panel as P
+from scarp.operators.features import features_of_dates, stage_per_pass
 from scarp.operators.labels import make_labels
 from scarp.operators.metrics import rank_within_date
 
@@ -43,10 +48,16 @@ def store_positions(rows: DataFrame, store: str, batch: int = FIRST_LOAD) -> Non
     _replace(part.groupBy("date", "pass_id", "batch").agg(water.alias("belt_water_km2")), _passes(store), "batch")
 
 
-def stored_positions(spark: SparkSession, store: str) -> DataFrame:
-    """One row per (date, pass, segment): the one that came last."""
+def stored_positions(spark: SparkSession, store: str, columns: Sequence[str] | None = None, since_date: Column | None = None) -> DataFrame:
+    """One row per (date, pass, segment): the one that came last. ``columns`` are read besides the key, from ``since_date`` on.
+
+    Rows are dealt out by segment, which serves this and every later grouping of a segment's rows.
+    """
     rows = spark.read.parquet(store)
-    rest = [c for c in rows.columns if c not in (*KEY, "batch")]
+    rest = [c for c in rows.columns if c not in (*KEY, "batch") and (columns is None or c in columns)]
+    if since_date is not None:
+        rows = rows.where(F.col("date") >= since_date)
+    rows = rows.select(*KEY, "batch", *rest).repartition("transect_id")
     return rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*KEY, "_r.*")
 
 
@@ -58,37 +69,91 @@ def stored_stage(spark: SparkSession, store: str) -> DataFrame:
     return stage_per_pass(days.join(last, ["date", "pass_id"], "left"))
 
 
-def since(col: str, first: object, days: int = 0):
-    return F.col(col) >= F.date_sub(F.lit(first).cast("date"), days)
+def _before(first: object, days: int = 0) -> Column:
+    return F.date_sub(F.lit(first).cast("date"), days)
+
+
+def since(col: str, first: object, days: int = 0) -> Column:
+    return F.col(col) >= _before(first, days)
+
+
+# --- published versions --------------------------------------------------------------------------------------------
+def _at(out: str, table: str, version: str) -> str:
+    return f"{out.rstrip('/')}/{table}/version={version}"
+
+
+def _write(rows: DataFrame, out: str, table: str, version: str) -> DataFrame:
+    """Write a version of a table by forecast date, of which nobody reads before ``_commit``; gives it back as written."""
+    path = _at(out, table, version)
+    rows.hint("rebalance", "forecast_date").write.partitionBy("forecast_date").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def refresh(spark: SparkSession, store: str, first: object, transects: DataFrame, features: str, labels: str | None = None,
-            threshold_m: float | None = None, ranks: str | None = None, score: str = "ret_84_m") -> None:
-    """Everything that positions from ``first`` on can change: features and ranks of the forecast dates from then on, and
-    labels back to ``LABEL_REACH_DAYS`` before. Reads that history and no more."""
-    positions = stored_positions(spark, store)
-    recent = positions.where(since("date", first, HISTORY_DAYS))
-    f = feature_table(recent, transects, stored_stage(spark, store)).where(since("forecast_date", first))
-    _replace(f, features, "forecast_date")
-    if ranks:
-        fresh = spark.read.parquet(features).where(since("forecast_date", first))
-        _replace(rank_within_date(fresh.select("forecast_date", "transect_id", score), score), ranks, "forecast_date")
-    if labels:
-        near = positions.where(since("date", first, LABEL_HISTORY_DAYS))
-        _replace(make_labels(near, threshold_m).where(since("forecast_date", first, LABEL_REACH_DAYS)), labels, "forecast_date")
+def _commit(written: Mapping[str, DataFrame], out: str, version: str, batch: int) -> None:
+    """Show a version of all its tables at once: one manifest file, a row per table and forecast date."""
+    dates = [d.select(F.lit(t).alias("name"), "forecast_date").distinct() for t, d in written.items()]
+    rows = reduce(DataFrame.unionByName, dates).withColumn("version", F.lit(version))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{out.rstrip('/')}/manifest/batch={batch}")
+
+
+def published(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """What the last committed batch of each forecast date wrote. A refresh under way or failed is not seen.
+
+    The manifest has a row per table, batch and date. The versions in use, at most one per date, name the folders to read.
+    """
+    seen = spark.read.parquet(f"{out.rstrip('/')}/manifest").where(F.col("name") == table)
+    last = seen.groupBy("forecast_date").agg(F.max_by("version", "batch").alias("version"))
+    used = [r[0] for r in last.select("version").distinct().collect()]
+    if not used:
+        raise ValueError(f"nothing published of {table}")
+    rows = spark.read.option("basePath", f"{out.rstrip('/')}/{table}").parquet(*[_at(out, table, v) for v in used])
+    return rows.join(F.broadcast(last), ["forecast_date", "version"]).drop("version")
+
+
+def refresh(spark: SparkSession, store: str, first: object, transects: DataFrame, out: str, batch: int = FIRST_LOAD,
+            threshold_m: float | None = None, score: str | None = None) -> None:
+    """Everything that positions from ``first`` on can change, as one new version below ``out``: ``features`` of the forecast
+    dates from then on, their ``ranks`` by ``score``, and ``labels`` (with a threshold) back to ``LABEL_REACH_DAYS`` before.
+
+    Whole positions are read from ``first`` on; of the look-back two columns only. Labels do not wait for features.
+    """
+    version = f"v{batch}-{uuid.uuid4().hex[:8]}"
+    passes = spark.read.parquet(_passes(store)).where(since("date", first, HISTORY_DAYS))
+    maps = P.calendar_maps(P.pass_calendar(passes))
+
+    def features() -> dict[str, DataFrame]:
+        fresh = stored_positions(spark, store, since_date=_before(first))
+        history = stored_positions(spark, store, ["bank_pos_m", "dist_main_channel_m"], _before(first, HISTORY_DAYS))
+        done = {"features": _write(features_of_dates(fresh, history, transects, stored_stage(spark, store), maps), out, "features", version)}
+        if score:
+            slim = done["features"].select("forecast_date", "transect_id", score)
+            done["ranks"] = _write(rank_within_date(slim, score), out, "ranks", version)
+        return done
+
+    def labels() -> dict[str, DataFrame]:
+        if threshold_m is None:
+            return {}
+        near = stored_positions(spark, store, ["bank_pos_m"], _before(first, LABEL_HISTORY_DAYS))
+        rows = make_labels(near, threshold_m).where(since("forecast_date", first, LABEL_REACH_DAYS))
+        return {"labels": _write(rows, out, "labels", version)}
+
+    with ThreadPoolExecutor(2) as pool:
+        parts = [pool.submit(inheritable_thread_target(spark)(f)) for f in (features, labels)]
+        written = {t: d for p in parts for t, d in p.result().items()}
+    _commit(written, out, version, batch)
 
 
 def run_incremental(spark: SparkSession, incoming: str, schema, store: str, out: str, checkpoint: str, transects: DataFrame,
                     files_per_batch: int = 8, **more) -> None:
     """Process every pending file and stop. A batch is stored, then what its oldest date touches is refreshed.
 
-    ``more`` goes to ``refresh``: labels with their threshold, ranks with their score.
+    ``more`` goes to ``refresh``: the threshold of the labels, the score of the ranks.
     """
     def on_batch(batch: DataFrame, number: int) -> None:
         store_positions(batch, store, number)
-        first = spark.read.parquet(store).where(F.col("batch") == number).agg(F.min("date").cast("string")).first()[0]
+        first = spark.read.parquet(_passes(store)).where(F.col("batch") == number).agg(F.min("date").cast("string")).first()[0]
         if first is not None:
-            refresh(spark, store, first, transects, out, **more)
+            refresh(spark, store, first, transects, out, number, **more)
 
     (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(incoming)
      .writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)

@@ -27,6 +27,24 @@ def test_cast_line(spark):
     assert e["nx"] == 1.0
 
 
+def test_parts_of_a_line_give_the_whole_line(spark):
+    """Gaps in the sequence, parts without a vertex, both directions: measures and segments do not depend on the parts."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for bank, south in (("W", 1), ("E", -1)):
+        seq = np.sort(rng.choice(400, 90, replace=False))
+        rows += [(bank, int(k), float(x), -30.0 * south * float(k)) for k, x in zip(seq, rng.normal(0, 50, 90))]
+    v = spark.createDataFrame(rows, "bank string, seq int, x double, y double")
+    for bank in "WE":
+        pts = sorted((r for r in rows if r[0] == bank), key=lambda r: -r[3])
+        want = np.cumsum([0.0] + [np.hypot(b[2] - a[2], b[3] - a[3]) for a, b in zip(pts, pts[1:])])
+        m = G.line_measure(v, part=7)
+        got = m.where(F.col("bank") == bank).orderBy("pos").collect()
+        assert [r["seq"] for r in got] == [r[1] for r in pts] and np.allclose([r["m"] for r in got], want)
+        seg = G.line_segments(m, part=7).where(F.col("bank") == bank).orderBy("ma").collect()
+        assert np.allclose([r["mb"] for r in seg], want[1:]) and [r["xb"] for r in seg] == [r[2] for r in pts[1:]]
+
+
 def test_grid_round_trip(spark):
     d = spark.createDataFrame([(3, 7)], "row int, col int")
     x, y = G.centre_of(F.col("row"), F.col("col"), F.lit(100.0), F.lit(900.0))
@@ -41,6 +59,22 @@ def test_gauge_and_nearest(spark):
     assert got == {10: (4.0, 3.0), 20: (6.0, 2.0)}
 
 
+def test_gauges_of_many_reaches_across_time_ranges(spark):
+    rng = np.random.default_rng(5)
+    series = [(g, int(d), float(d % 17)) for g in "ab" for d in np.sort(rng.choice(3000, 25, replace=False))]
+    passes = [(g, int(d)) for g in "abc" for d in np.sort(rng.choice(3000, 60, replace=False))]
+    got = P.asof_series(spark.createDataFrame(passes, "reach string, day int"),
+                        spark.createDataFrame(series, "reach string, day int, value double"), scope=["reach"], span_days=40)
+
+    def last(reach, day):
+        return next((v for g, d, v in reversed(series) if g == reach and d <= day), None)
+
+    assert got.count() == len(passes)
+    for r in got.collect():
+        now, then = last(r["reach"], r["day"]), last(r["reach"], r["day"] - 7)
+        assert r["gauge"] == now and r["gauge_change_7d"] == (None if now is None or then is None else now - then)
+
+
 @pytest.fixture()
 def pred(spark):
     d = dt.date(2024, 7, 1)

@@ -1,4 +1,5 @@
 """Passes that arrive in pieces and late give what a full rebuild gives."""
+import pytest
 from pyspark.sql import functions as F
 
 from scarp.operators.features import feature_table, stage_per_pass
@@ -21,8 +22,8 @@ def test_split_and_late_passes_equal_the_rebuild(spark, positions, transects, tm
     drops += [p.where(F.col("date") == F.lit(late)), p.where(F.col("date") > F.lit(first))]
     for d in drops:
         d.coalesce(1).write.mode("append").parquet(incoming)
-        S.run_incremental(spark, incoming, p.schema, store, f"{base}/features", f"{base}/checkpoint", transects,
-                          labels=f"{base}/labels", threshold_m=20.0, ranks=f"{base}/ranks")
+        S.run_incremental(spark, incoming, p.schema, store, f"{base}/out", f"{base}/checkpoint", transects,
+                          threshold_m=20.0, score="ret_84_m")
     assert S.stored_positions(spark, store).select(p.columns).exceptAll(p).count() == 0
     assert S.stored_positions(spark, store).count() == p.count()
 
@@ -33,12 +34,13 @@ def test_split_and_late_passes_equal_the_rebuild(spark, positions, transects, tm
         assert got.count() == want.count() > 0
         assert rounded(got).exceptAll(rounded(want)).count() == 0, key
 
+    now = lambda table: S.published(spark, f"{base}/out", table)
     f = feature_table(p, transects, stage_per_pass(p)).where(F.col("forecast_date") >= F.lit(late))
-    same(spark.read.parquet(f"{base}/features"), f, "features")
-    same(spark.read.parquet(f"{base}/ranks"), rank_within_date(f.select("forecast_date", "transect_id", "ret_84_m"), "ret_84_m"), "ranks")
+    same(now("features"), f, "features")
+    same(now("ranks"), rank_within_date(f.select("forecast_date", "transect_id", "ret_84_m"), "ret_84_m"), "ranks")
     y = make_labels(p, 20.0).where(S.since("forecast_date", late, S.LABEL_REACH_DAYS))
-    same(spark.read.parquet(f"{base}/labels"), y, "labels")
-    assert last in {r[0] for r in spark.read.parquet(f"{base}/features").select("forecast_date").distinct().collect()}
+    same(now("labels"), y, "labels")
+    assert last in {r[0] for r in now("features").select("forecast_date").distinct().collect()}
 
 
 def test_a_replayed_batch_changes_nothing(spark, positions, tmp_path):
@@ -48,3 +50,20 @@ def test_a_replayed_batch_changes_nothing(spark, positions, tmp_path):
         S.store_positions(rows, store, n)
     got = S.stored_positions(spark, store).select(positions.columns)
     assert got.count() == positions.count() and got.exceptAll(positions).count() == 0
+
+
+def test_a_failed_refresh_is_not_seen(spark, positions, transects, tmp_path, monkeypatch):
+    store, out = str(tmp_path / "s"), str(tmp_path / "out")
+    S.store_positions(positions, store)
+    S.refresh(spark, store, "2020-10-01", transects, out, threshold_m=20.0)
+    seen = S.published(spark, out, "features").count()
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(S, "make_labels", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        S.refresh(spark, store, "2020-08-01", transects, out, 1, threshold_m=20.0)
+    assert S.published(spark, out, "features").count() == seen > 0
+    with pytest.raises(ValueError, match="nothing"):
+        S.published(spark, out, "ranks")

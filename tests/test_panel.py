@@ -148,3 +148,18 @@ def test_embargo_drops_rows_next_to_the_border(positions):
     strict = L.with_split(lab, [2019], [2020], [2021], embargo_days=60)
     assert 0 < strict.count() < plain.count()
     assert strict.where("split = 'train'").agg(F.max("forecast_date")).first()[0] <= dt.date(2019, 11, 1)
+
+
+def test_curvature_does_not_depend_on_the_parts(spark):
+    rng = np.random.default_rng(6)
+    turn = np.cumsum(rng.normal(0, 0.9, 80))
+    rows = [(f"{b}-{i}", b, 200.0 * (i + 40 * (i > 50)), float(np.cos(a)), float(np.sin(a))) for b in "WE" for i, a in enumerate(turn)]
+    t = spark.createDataFrame(rows, "transect_id string, bank string, chainage_m double, nx double, ny double")
+    got = {r["transect_id"]: r["baseline_curvature"] for r in FT.curvature(t, part_m=900.0, block=16).collect()}
+    angle = np.unwrap(np.arctan2(np.sin(turn), np.cos(turn)))
+    place = np.array([r[2] for r in rows[:80]]) / 1000
+    for i in range(80):
+        lo, hi = max(i - 5, 0), min(i + 5, 79)
+        want = (angle[hi] - angle[lo]) / (place[hi] - place[lo])
+        assert abs(got[f"W-{i}"] - want) < 1e-9 and abs(got[f"E-{i}"] + want) < 1e-9
+    assert len(got) == 160

@@ -151,6 +151,30 @@ def test_distance_has_no_bound(spark):
     assert np.isnan(image(R.distance_to(pixels(spark, a), F.col("mask") == 5), "dist", a.shape)).all()
 
 
+def test_nearest_squares_equal_all_pairs():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 1), (1, 5), (7, 1), (64, 64), (301, 90), (500, 499)):
+        at, src = (np.sort(rng.choice(1200, k, replace=False)).astype(np.int64) for k in (n, m))
+        g = rng.integers(0, 400, m) ** 2
+        want = ((at[:, None] - src) ** 2 + g).min(axis=1)
+        assert (R.nearest_squares(at, src, g) == want).all()
+
+
+def test_smoothing_does_not_depend_on_the_stretches(spark):
+    rng = np.random.default_rng(9)
+    rows = [(img, int(r), float(x)) for img, n in (("a", 330), ("b", 60), ("c", 4)) for r, x in zip(
+        np.sort(rng.choice(600, n, replace=False)), rng.normal(100, 20, n))]
+    e = spark.createDataFrame([*rows, ("a", 700, None)], "img string, row int, west double")
+    got = {(r["img"], r["row"]): r["west"] for r in R.smooth_edge(e, ["img"], "west", 3.0, 5, 4, stretch=50).collect()}
+    k = np.exp(-np.arange(-12, 13) ** 2 / 18.0)
+    want = {}
+    for img in "abc":
+        v = [r for r in rows if r[0] == img]
+        x = np.pad([r[2] for r in v], 12, mode="edge")
+        want.update({v[i][:2]: x[i:i + 25] @ k / k.sum() for i in range(5, len(v) - 5, 4)})
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_width_of_a_wide_channel(spark):
     """Banks of a channel of 50 columns: 100 m from the bank the land is 11 pixels away."""
     from scarp.plans import q_bankpos as Q
@@ -227,3 +251,15 @@ def test_distance_to_core_is_unbounded(spark):
     d = B.distance_to_core(pts, pixels(spark, a), "mask").first()["dist_main_channel_m"]
     assert abs(d - 10 * np.hypot(25, 43)) < 1e-9
     assert B.distance_to_core(pts, pixels(spark, a), "mask", cap_px=20).first()["dist_main_channel_m"] is None
+
+
+def test_points_of_one_row_are_solved_together(spark):
+    a = (np.random.default_rng(3).random((25, 40)) < 0.02).astype(int)
+    rows = [("i", f"p{r}-{c}", r, c) for r in (0, 7, 24) for c in (39, 0, 13, 13)] + [("other", "q", 3, 3), ("i", "out", 99, 3)]
+    pts = spark.createDataFrame(rows, "img string, transect_id string, row int, col int")
+    got = B.distance_to_core(pts, pixels(spark, a), "mask").collect()
+    want = distance(a == 1)
+    assert len(got) == len(rows)
+    for r in got:
+        d = r["dist_main_channel_m"]
+        assert d is None if r["img"] == "other" or r["row"] == 99 else abs(d - 10 * want[r["row"], r["col"]]) < 1e-9
