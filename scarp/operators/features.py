@@ -195,7 +195,8 @@ def _features_of(g: DataFrame, transects: DataFrame, stage: DataFrame, scope: Se
         F.col("n_obs_365").cast("double").alias("n_obs_365"),
         (F.col("dist_main_channel_m") - F.col("_dm_28")).alias("d_dist_main_28_m"),
         *NOW_COLUMNS)
-    meta = curvature(transects, scope=scope).select(*scope, "transect_id", "bank", "chainage_m", "baseline_curvature")
+    bent = transects if "baseline_curvature" in transects.columns else curvature(transects, scope=scope)
+    meta = bent.select(*scope, "transect_id", "bank", "chainage_m", "baseline_curvature")
     g = g.join(meta, [*scope, "transect_id"], "left")
     by = [*scope, "bank", "day"]
     g = g.withColumns({

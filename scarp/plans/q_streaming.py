@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from scarp import config as C
 from scarp.operators.catalog import pending_passes
+from scarp.operators.features import curvature
 from scarp.plans import q_panel  # noqa: F401
 from scarp.plans.catalogue import register
 from scarp.plans.fixtures import THRESHOLD_M, Inputs
 from scarp.plans.q_metrics import rank_sql
 from scarp.plans.sqltext import day, r6
-from scarp.session import scratch
+from scarp.session import scratch, stored
 from scarp.streaming import incremental as S
 
 
@@ -47,10 +48,11 @@ def _run_passes(i: Inputs) -> str:
     p = positions(i)
     d = last_dates(i, 5)
     store, incoming = f"{base}/positions", f"{base}/incoming"
+    transects = stored(curvature(i.transects()), "transects")
     S.store_positions(p.where(F.col("date") <= F.lit(d[0]).cast("date")), store)
     for a, b in ((1, 2), (0, 1), (2, 3), (3, 4)):
         land_in_files(p, incoming, [d[a], d[b]])
-        S.run_incremental(i.spark, incoming, p.schema, store, f"{base}/out", f"{base}/checkpoint", i.transects(),
+        S.run_incremental(i.spark, incoming, p.schema, store, f"{base}/out", f"{base}/checkpoint", transects,
                           threshold_m=THRESHOLD_M, score="ret_84_m")
     return f"{base}/out"
 

@@ -44,16 +44,20 @@ def store_positions(rows: DataFrame, store: str, batch: int = FIRST_LOAD) -> Non
     """
     _replace(rows.withColumn("batch", F.lit(batch)), store, "date", "batch")
     water = F.max_by("belt_water_km2", F.when(F.col("belt_water_km2").isNotNull(), F.col("transect_id")))
-    part = rows.sparkSession.read.parquet(store).where(F.col("batch") == batch)
-    _replace(part.groupBy("date", "pass_id", "batch").agg(water.alias("belt_water_km2")), _passes(store), "batch")
+    passes = rows.groupBy("date", "pass_id").agg(water.alias("belt_water_km2")).withColumn("batch", F.lit(batch))
+    _replace(passes, _passes(store), "batch")
 
 
-def stored_positions(spark: SparkSession, store: str, columns: Sequence[str] | None = None, since_date: Column | None = None) -> DataFrame:
-    """One row per (date, pass, segment): the one that came last. ``columns`` are read besides the key, from ``since_date`` on.
+def stored_positions(spark: SparkSession, store: str) -> DataFrame:
+    """One row per (date, pass, segment): the one that came last."""
+    return latest_rows(spark.read.parquet(store))
+
+
+def latest_rows(rows: DataFrame, columns: Sequence[str] | None = None, since_date: Column | None = None) -> DataFrame:
+    """The last row of a store per (date, pass, segment). ``columns`` are read besides the key, from ``since_date`` on.
 
     Rows are dealt out by segment, which serves this and every later grouping of a segment's rows.
     """
-    rows = spark.read.parquet(store)
     rest = [c for c in rows.columns if c not in (*KEY, "batch") and (columns is None or c in columns)]
     if since_date is not None:
         rows = rows.where(F.col("date") >= since_date)
@@ -118,12 +122,13 @@ def refresh(spark: SparkSession, store: str, first: object, transects: DataFrame
     Whole positions are read from ``first`` on; of the look-back two columns only. Labels do not wait for features.
     """
     version = f"v{batch}-{uuid.uuid4().hex[:8]}"
+    rows = spark.read.parquet(store)   # listed once
     passes = spark.read.parquet(_passes(store)).where(since("date", first, HISTORY_DAYS))
     maps = P.calendar_maps(P.pass_calendar(passes))
 
     def features() -> dict[str, DataFrame]:
-        fresh = stored_positions(spark, store, since_date=_before(first))
-        history = stored_positions(spark, store, ["bank_pos_m", "dist_main_channel_m"], _before(first, HISTORY_DAYS))
+        fresh = latest_rows(rows, since_date=_before(first))
+        history = latest_rows(rows, ["bank_pos_m", "dist_main_channel_m"], _before(first, HISTORY_DAYS))
         done = {"features": _write(features_of_dates(fresh, history, transects, stored_stage(spark, store), maps), out, "features", version)}
         if score:
             slim = done["features"].select("forecast_date", "transect_id", score)
@@ -133,9 +138,9 @@ def refresh(spark: SparkSession, store: str, first: object, transects: DataFrame
     def labels() -> dict[str, DataFrame]:
         if threshold_m is None:
             return {}
-        near = stored_positions(spark, store, ["bank_pos_m"], _before(first, LABEL_HISTORY_DAYS))
-        rows = make_labels(near, threshold_m).where(since("forecast_date", first, LABEL_REACH_DAYS))
-        return {"labels": _write(rows, out, "labels", version)}
+        near = latest_rows(rows, ["bank_pos_m"], _before(first, LABEL_HISTORY_DAYS))
+        y = make_labels(near, threshold_m).where(since("forecast_date", first, LABEL_REACH_DAYS))
+        return {"labels": _write(y, out, "labels", version)}
 
     with ThreadPoolExecutor(2) as pool:
         parts = [pool.submit(inheritable_thread_target(spark)(f)) for f in (features, labels)]
@@ -147,7 +152,8 @@ def run_incremental(spark: SparkSession, incoming: str, schema, store: str, out:
                     files_per_batch: int = 8, **more) -> None:
     """Process every pending file and stop. A batch is stored, then what its oldest date touches is refreshed.
 
-    ``more`` goes to ``refresh``: the threshold of the labels, the score of the ranks.
+    ``more`` goes to ``refresh``: the threshold of the labels, the score of the ranks. Transects that carry
+    ``baseline_curvature`` save each batch its computation.
     """
     def on_batch(batch: DataFrame, number: int) -> None:
         store_positions(batch, store, number)
