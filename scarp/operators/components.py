@@ -1,87 +1,92 @@
 """Connected components (4-neighbour) of pixel tables.
 
-Pixels become runs per row; runs are labelled inside strips of rows; what is left is a small graph between strips,
-solved by alternating star contractions with a reliable checkpoint per round.
+Images are cut into square tiles. A tile is labelled in one array pass; what is left is a small graph between tiles, made
+from the pixels on both sides of a border and solved by alternating star contractions with a reliable checkpoint per round.
+A wider or higher image adds tiles; no task grows with it.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarp import config as C
 from scarp.operators import raster as R
 from scarp.session import settle
 
-STRIP_ROWS = 256
+TILE = 256
 SPAN = 1 << 24   # node number = row * SPAN + first column
-BUCKET = 256
-
-
-def row_runs(px: DataFrame) -> DataFrame:
-    """Runs of neighbouring pixels per image row. A row is bounded by the image width."""
-    w = Window.partitionBy("img", "row").orderBy("col")
-    return (px.select("img", "row", "col").withColumn("_g", F.col("col") - F.row_number().over(w))
-            .groupBy("img", "row", "_g").agg(F.min("col").alias("c0"), F.max("col").alias("c1"),
-                                             F.count(F.lit(1)).alias("n")).drop("_g")
-            .withColumn("node", F.col("row").cast("bigint") * SPAN + F.col("c0")))
-
-
-def _label_strip(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over the runs of one strip; the label is the smallest node of the component."""
-    pdf = pdf.sort_values(["row", "c0"]).reset_index(drop=True)
-    row, c0, c1 = (pdf[c].to_numpy() for c in ("row", "c0", "c1"))
-    root = list(range(len(pdf)))
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    start = {int(r): i for i, r in reversed(list(enumerate(row)))}
-    for i in range(len(pdf)):
-        below = int(row[i]) + 1
-        if below not in start:
-            continue
-        j = start[below]
-        # runs of the next row that end before this one starts are behind us for good
-        while j < len(pdf) and row[j] == below and c1[j] < c0[i]:
-            j += 1
-        start[below] = j
-        while j < len(pdf) and row[j] == below and c0[j] <= c1[i]:
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-            j += 1
-    node = pdf["node"].to_numpy()
-    pdf["local"] = node[[find(i) for i in range(len(pdf))]]
-    return pdf
-
-
-def label_components(px: DataFrame, strip: int = STRIP_ROWS) -> DataFrame:
-    """(img, row, c0, c1, n, label) for the runs of the given pixels."""
-    runs = row_runs(px).withColumn("strip", F.floor(F.col("row") / strip).cast("int"))
-    schema = "img string, row int, c0 int, c1 int, n long, node long, strip int, local long"
-    local = settle(runs.select("img", F.col("row").cast("int").alias("row"), F.col("c0").cast("int").alias("c0"),
-                               F.col("c1").cast("int").alias("c1"), "n", "node", "strip")
-                   .groupBy("img", "strip").applyInPandas(_label_strip, schema))
-    edges = _touching(local.where(F.col("row") % strip == strip - 1), local.where(F.col("row") % strip == 0))
-    comps = connected(edges)
-    return (local.join(comps, (local["img"] == comps["g"]) & (local["local"] == comps["node"]), "left")
-            .select(local["img"], "row", "c0", "c1", "n", F.coalesce(comps["label"], "local").alias("label")))
-
-
-def _touching(upper: DataFrame, lower: DataFrame) -> DataFrame:
-    """Edges between overlapping runs of adjacent rows; column buckets keep the join groups short."""
-    def spread(d: DataFrame, p: str, row: Column) -> DataFrame:
-        return d.select("img", row.alias("row"), F.col("c0").alias(f"{p}0"), F.col("c1").alias(f"{p}1"), F.col("local").alias(p),
-                        F.explode(F.sequence(F.floor(F.col("c0") / BUCKET), F.floor(F.col("c1") / BUCKET))).alias("bucket"))
-    j = spread(upper, "u", F.col("row") + 1).join(spread(lower, "v", F.col("row")), ["img", "row", "bucket"])
-    return j.where((F.col("u0") <= F.col("v1")) & (F.col("v0") <= F.col("u1"))).select(F.col("img").alias("g"), "u", "v")
+
+
+def tile_runs(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, c0, c1) of the runs of neighbouring pixels of a tile, by row and column; repeated pixels count once."""
+    at = np.unique(row.astype(np.int64) * SPAN + col)
+    first = np.flatnonzero(np.diff(at, prepend=at[:1] - 2) != 1)
+    start, end = at[first], at[np.append(first[1:], len(at)) - 1]
+    return start // SPAN, start % SPAN, end % SPAN
+
+
+def tile_labels(row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """Number of the first run of each run's component, by array steps over all touching pairs at once."""
+    # runs of the next row that end at or after the start of this one and start at or before its end
+    lo = np.searchsorted(row * SPAN + c1, (row + 1) * SPAN + c0, "left")
+    hi = np.searchsorted(row * SPAN + c0, (row + 1) * SPAN + c1, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    label = np.arange(len(row))
+    while len(a):
+        x, y = label[a], label[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            above = label[label]
+            if (above == label).all():
+                break
+            label = above
+    return label
+
+
+def label_components(px: DataFrame, tile: int = TILE) -> DataFrame:
+    """(img, row, c0, c1, n, label) for the runs of the given pixels; runs end at the border of a tile.
+
+    The label is the smallest ``row * SPAN + col`` of the component. Repeated pixels count once.
+    """
+    def measure(tab: pa.Table) -> pa.Table:
+        row, c0, c1 = tile_runs(tab["row"].to_numpy(), tab["col"].to_numpy())
+        node = row * SPAN + c0
+        flat = lambda x, t: pa.array(x, t)
+        return pa.table({"img": pa.array([tab["img"][0].as_py()] * len(row), pa.string()), "row": flat(row, pa.int32()),
+                         "c0": flat(c0, pa.int32()), "c1": flat(c1, pa.int32()), "n": flat(c1 - c0 + 1, pa.int64()),
+                         "local": flat(node[tile_labels(row, c0, c1)], pa.int64())})
+
+    at = lambda c: F.floor(F.col(c) / tile)
+    runs = settle(px.select("img", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+                  .groupBy("img", at("row"), at("col")).applyInArrow(measure, "img string, row int, c0 int, c1 int, n long, local long"))
+    comps = connected(_touching(runs, tile))
+    return (runs.join(comps, (runs["img"] == comps["g"]) & (runs["local"] == comps["node"]), "left")
+            .select(runs["img"], "row", "c0", "c1", "n", F.coalesce(comps["label"], "local").alias("label")))
+
+
+def _touching(runs: DataFrame, tile: int) -> DataFrame:
+    """Edges (g, u, v) between the tiles: pixels that face each other across a border meet on their place."""
+    def meet(a: DataFrame, b: DataFrame) -> DataFrame:
+        keys = ["img", "row", "col"]
+        return a.withColumnRenamed("local", "u").join(b.withColumnRenamed("local", "v"), keys).select(F.col("img").alias("g"), "u", "v")
+
+    def row_pixels(d: DataFrame, row: Column) -> DataFrame:
+        return d.select("img", row.alias("row"), F.explode(F.sequence("c0", "c1")).alias("col"), "local")
+
+    upper, lower = runs.where(F.pmod("row", F.lit(tile)) == tile - 1), runs.where(F.pmod("row", F.lit(tile)) == 0)
+    left, right = runs.where(F.pmod("c1", F.lit(tile)) == tile - 1), runs.where(F.pmod("c0", F.lit(tile)) == 0)
+    down = meet(row_pixels(upper, F.col("row") + 1), row_pixels(lower, F.col("row")))
+    across = meet(left.select("img", "row", (F.col("c1") + 1).alias("col"), "local"),
+                  right.select("img", "row", F.col("c0").alias("col"), "local"))
+    return down.unionByName(across).distinct()
 
 
 def _stars(e: DataFrame) -> DataFrame:
@@ -134,14 +139,14 @@ def _kept(runs: DataFrame, sizes: DataFrame, keep: Column) -> DataFrame:
 
 
 def large_components(px: DataFrame, mask: str, min_px: int, bridge_px: int = 0, out: str = "large",
-                     strip: int = STRIP_ROWS) -> DataFrame:
+                     tile: int = TILE) -> DataFrame:
     """Keep components of at least ``min_px`` own pixels; gaps up to ``bridge_px`` join components first."""
     own = F.col(mask) == 1
     if not bridge_px:
-        runs = label_components(px.where(own), strip)
+        runs = label_components(px.where(own), tile)
         return _with_flag(px, _kept(runs, component_sizes(runs), F.col("size") >= min_px), out)
     probe = settle(R.distance_within(px, own, bridge_px, "_d"))
-    runs = label_components(probe.where(F.col("_d").isNotNull()), strip)
+    runs = label_components(probe.where(F.col("_d").isNotNull()), tile)
     labels = probe.drop("_d").join(run_pixels(runs), ["img", "row", "col"], "left")
     sizes = labels.where(own).groupBy("img", "label").agg(F.count(F.lit(1)).alias("size"))
     keep = sizes.where(F.col("size") >= min_px).select("img", "label", F.lit(1).alias("_k"))
@@ -149,18 +154,18 @@ def large_components(px: DataFrame, mask: str, min_px: int, bridge_px: int = 0,
         out, F.when(own & (F.col("_k") == 1), 1).otherwise(0)).select(*px.columns, out)
 
 
-def sieve(px: DataFrame, mask: str, max_px: int = C.SPECK_PX, out: str = "sieved", strip: int = STRIP_ROWS) -> DataFrame:
+def sieve(px: DataFrame, mask: str, max_px: int = C.SPECK_PX, out: str = "sieved", tile: int = TILE) -> DataFrame:
     """Drop water blobs, then land specks, of at most ``max_px`` pixels; no data stays NULL."""
-    water = label_components(px.where(F.col(mask) == 1), strip)
+    water = label_components(px.where(F.col(mask) == 1), tile)
     p = settle(_with_flag(px, _kept(water, component_sizes(water), F.col("size") > max_px), "_w"))
-    land = label_components(p.where(F.col(mask).isNotNull() & (F.col("_w") == 0)), strip)
+    land = label_components(p.where(F.col(mask).isNotNull() & (F.col("_w") == 0)), tile)
     p = _with_flag(p, _kept(land, component_sizes(land), F.col("size") > max_px), "_l")
     return p.withColumn(out, F.when(F.col(mask).isNotNull(), 1 - F.col("_l"))).drop("_w", "_l")
 
 
-def fill_holes(px: DataFrame, mask: str, out: str = "filled", strip: int = STRIP_ROWS) -> DataFrame:
+def fill_holes(px: DataFrame, mask: str, out: str = "filled", tile: int = TILE) -> DataFrame:
     """Fill background that cannot reach the left or right border; top and bottom count as closed."""
-    back = label_components(px.where(F.coalesce(F.col(mask), F.lit(0)) != 1), strip)
+    back = label_components(px.where(F.coalesce(F.col(mask), F.lit(0)) != 1), tile)
     width = px.groupBy("img").agg(F.min("col").alias("_c0"), F.max("col").alias("_w"))
     reach = back.groupBy("img", "label").agg(F.min("c0").alias("_l"), F.max("c1").alias("_r")).join(width, "img")
     holes = reach.where((F.col("_l") > F.col("_c0")) & (F.col("_r") < F.col("_w"))).select("img", "label")
@@ -175,12 +180,18 @@ def disk_open(px: DataFrame, mask: str, radius: int, out: str = "opened") -> Dat
     return near.withColumn(out, F.col("_d2").isNotNull().cast("int")).drop("_d1", "_d2", "_core")
 
 
-def braid_belt(px: DataFrame, mask: str, line: Sequence[tuple[float, float]] | None, min_px: int,
+def braid_belt(px: DataFrame, mask: str, line: Sequence[tuple[float, float]] | DataFrame | None, min_px: int,
                bridge_px: int = C.BRIDGE_GAP_PX, radius: int = C.OPEN_RADIUS_PX, half_width: float = C.LINE_BUFFER_M,
-               out: str = "belt", strip: int = STRIP_ROWS) -> DataFrame:
-    """Burn the line, keep river-sized water, fill enclosed land, cut narrow side channels, keep large parts."""
-    p = R.burn_line(px, mask, line, half_width, out="_b") if line else px.withColumn("_b", F.col(mask))
-    p = large_components(p, "_b", min_px, bridge_px, "_r", strip)
-    p = settle(fill_holes(p, "_r", "_f", strip))
+               out: str = "belt", tile: int = TILE) -> DataFrame:
+    """Burn the line, keep river-sized water, fill enclosed land, cut narrow side channels, keep large parts.
+
+    ``line``: one polyline for every image, a table (img, line, seq, x, y) of the lines of each image, or none.
+    """
+    if isinstance(line, DataFrame):
+        p = R.burn_lines(px, mask, line, half_width, out="_b")
+    else:
+        p = R.burn_line(px, mask, line, half_width, out="_b") if line else px.withColumn("_b", F.col(mask))
+    p = large_components(p, "_b", min_px, bridge_px, "_r", tile)
+    p = settle(fill_holes(p, "_r", "_f", tile))
     p = settle(disk_open(p, "_f", radius, "_o"))
-    return large_components(p, "_o", min_px, 0, out, strip).drop("_b", "_r", "_f", "_o")
+    return large_components(p, "_o", min_px, 0, out, tile).drop("_b", "_r", "_f", "_o")

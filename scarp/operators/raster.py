@@ -19,6 +19,8 @@ from scarp.functions import columns as K
 
 TILE = 256
 SMOOTH_STRETCH = 4096
+LINE_CELL = 32    # pixels of a side of a cell of the line index
+LINE_PART = 4096
 
 
 # --- focal machinery -----------------------------------------------------------------------------------------------
@@ -355,6 +357,67 @@ def burn_line(px: DataFrame, mask: str, line: Sequence[tuple[float, float]], hal
     return px.withColumn(out, F.when(F.col(mask).isNotNull(), F.when(on_line(x, y, line, half_width), 1).otherwise(F.col(mask))))
 
 
+def line_parts(lines: DataFrame, by: Sequence[str] = ("img", "line"), part: int = LINE_PART) -> DataFrame:
+    """Segments (by.., ax, ay, bx, by_, first, last) of the lines (by.., seq, x, y), flagged at the ends of their line.
+
+    Vertices without coordinates are left out, repeated ones count once, and a line of one point has no segment. Vertices
+    look for the next one inside a part of ``part`` sequence numbers; only the first vertices of the parts meet along a line.
+    """
+    cut = [*by, "_part"]
+    v = lines.where("x IS NOT NULL AND y IS NOT NULL").select(*by, "seq", "x", "y", F.floor(F.col("seq") / part).alias("_part"))
+    vertex = F.struct("x", "y")
+    heads = v.groupBy(*cut).agg(F.min_by(vertex, "seq").alias("_head"))
+    heads = heads.select(*cut, F.lead("_head").over(Window.partitionBy(*by).orderBy("_part")).alias("_head"))
+    nxt = F.coalesce(F.lead(vertex).over(Window.partitionBy(*cut).orderBy("seq")), "_head")
+    s = v.join(heads, cut).withColumn("_next", nxt).where((F.col("_next.x") != F.col("x")) | (F.col("_next.y") != F.col("y")))
+    ends = s.groupBy(*by).agg(F.min("seq").alias("_s0"), F.max("seq").alias("_s1"))
+    return s.join(ends, list(by)).select(
+        *by, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("_next.x").alias("bx"), F.col("_next.y").alias("by_"),
+        (F.col("seq") == F.col("_s0")).alias("first"), (F.col("seq") == F.col("_s1")).alias("last"))
+
+
+def spread_parts(parts: DataFrame, half_width: float, cell_m: float) -> DataFrame:
+    """(img, _tr, _tc, parts): the segments whose buffer can reach a cell, as one array per cell.
+
+    A segment is cut into the bands of cell rows it passes, and in each band it takes the columns it crosses there, so a
+    long slanting segment meets the cells along it and not those of its bounding box.
+    """
+    cell = lambda x: F.floor(x / cell_m)
+    low, high = F.least("ay", "by_"), F.greatest("ay", "by_")
+    p = parts.withColumn("_tr", F.explode(F.sequence(cell(low - half_width), cell(high + half_width))))
+    rise = F.nullif(F.col("by_") - F.col("ay"), F.lit(0.0))
+    inside = lambda y: F.least(F.greatest(F.coalesce((y - F.col("ay")) / rise, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    # where the segment enters and leaves the band, widened by the buffer; a level segment is taken whole
+    t0, t1 = inside(F.col("_tr") * cell_m - half_width), inside((F.col("_tr") + 1) * cell_m + half_width)
+    level = rise.isNull()
+    x = lambda t: F.col("ax") + t * (F.col("bx") - F.col("ax"))
+    x0, x1 = F.when(level, F.col("ax")).otherwise(x(t0)), F.when(level, F.col("bx")).otherwise(x(t1))
+    p = p.withColumn("_tc", F.explode(F.sequence(cell(F.least(x0, x1) - half_width), cell(F.greatest(x0, x1) + half_width))))
+    return p.groupBy("img", "_tr", "_tc").agg(F.collect_list(F.struct("ax", "ay", "bx", "by_", "first", "last")).alias("_parts"))
+
+
+def burn_lines(px: DataFrame, mask: str, lines: DataFrame, half_width: float = C.LINE_BUFFER_M, pixel_m: float = C.PIXEL_M,
+               out: str = "burned", tile: int = LINE_CELL) -> DataFrame:
+    """Water along all lines of an image, except on no data. lines: (img, line, seq, x, y) as in ``burn_line``.
+
+    Buffers are flat at the ends of a line and round at its inner vertices. Line parts are spread to the cells of ``tile``
+    pixels they reach; a pixel tests the parts of its own cell. Images without lines stay as they are.
+    """
+    cells = spread_parts(line_parts(lines), half_width, tile * pixel_m)
+    x, y = (F.col("col") + 0.5) * pixel_m, (F.col("row") + 0.5) * pixel_m
+
+    def near(s: Column) -> Column:
+        dx, dy = s["bx"] - s["ax"], s["by_"] - s["ay"]
+        t = ((x - s["ax"]) * dx + (y - s["ay"]) * dy) / (dx * dx + dy * dy)
+        u = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        ex, ey = x - s["ax"] - u * dx, y - s["ay"] - u * dy
+        return (ex * ex + ey * ey <= half_width * half_width) & (~s["first"] | (t >= 0)) & (~s["last"] | (t <= 1))
+
+    p = px.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)}).join(cells, ["img", "_tr", "_tc"], "left")
+    hit = F.coalesce(F.exists("_parts", near), F.lit(False))
+    return p.withColumn(out, F.when(F.col(mask).isNotNull(), F.when(hit, 1).otherwise(F.col(mask)))).select(*px.columns, out)
+
+
 def reference_share(px: DataFrame, min_share: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
     """Pixels that are belt on enough of the passes that saw them. px: (keys.., img, row, col, belt, valid); ``keys`` name
     a reach, whose grid is its own."""

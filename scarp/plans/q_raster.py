@@ -174,7 +174,7 @@ WITH RECURSIVE {flood('lab', "z_masks WHERE mask = 1")}
 SELECT img, (id // 100000)::INT AS row, (id % 100000)::INT AS col, count(*) OVER (PARTITION BY img, label) AS size,
   label // 100000 AS label_row, label % 100000 AS label_col FROM lab""")
 def _(i):
-    runs = CC.label_components(i.masks().where("mask = 1"), strip=64)
+    runs = CC.label_components(i.masks().where("mask = 1"), tile=64)
     px = CC.run_pixels(runs).join(CC.component_sizes(runs), ["img", "label"])
     return px.select("img", "row", "col", "size", F.floor(F.col("label") / CC.SPAN).cast("int").alias("label_row"),
                      (F.col("label") % CC.SPAN).cast("int").alias("label_col"))
@@ -263,24 +263,58 @@ def _(i):
     return R.burn_line(i.masks(), "mask", LINE, 60.0).select("img", "row", "col", "burned")
 
 
-def belt(i: Inputs):
+def lines(i: Inputs):
+    """One line per image, a vertex every 40 rows, its place from the image's first column."""
+    return i.bands().where("col = 0 AND row % 40 = 0").select(
+        F.col("band").alias("img"), F.lit(1).alias("line"), F.col("row").alias("seq"), (F.col("value") * 250.0 + 320.0).alias("x"),
+        (F.col("row") * 10.0 + 5.0).alias("y"))
+
+
+fragment("z_line", """
+SELECT *, row_number() OVER (PARTITION BY img ORDER BY ay) = 1 AS f, row_number() OVER (PARTITION BY img ORDER BY ay DESC) = 1 AS l FROM (
+  SELECT img, ax, ay, bx, ay + 400 AS by_ FROM (SELECT band AS img, value * 250 + 320 AS ax, row * 10 + 5::DOUBLE AS ay,
+    lead(value) OVER (PARTITION BY band ORDER BY row) * 250 + 320 AS bx FROM z_bands WHERE col = 0 AND row % 40 = 0) WHERE bx IS NOT NULL)""")
+fragment("z_lined", """
+WITH h AS (SELECT DISTINCT img, row, col FROM (SELECT p.img, p.row, p.col, f, l, bx - ax AS dx, by_ - ay AS dy,
+    (col + 0.5::DOUBLE) * 10 - ax AS px, (row + 0.5::DOUBLE) * 10 - ay AS py, (px * dx + py * dy) / (dx * dx + dy * dy) AS t,
+    least(greatest(t, 0), 1) AS u FROM z_masks p JOIN z_line s ON s.img = p.img AND (p.row + 0.5::DOUBLE) * 10 BETWEEN ay - 60 AND by_ + 60)
+  WHERE (px - u * dx) ** 2 + (py - u * dy) ** 2 <= 3600 AND (t >= 0 OR NOT f) AND (t <= 1 OR NOT l))
+SELECT m.img, m.row, m.col, CASE WHEN mask IS NOT NULL THEN CASE WHEN h.img IS NOT NULL THEN 1 ELSE mask END END AS burned
+FROM z_masks m LEFT JOIN h ON h.img = m.img AND h.row = m.row AND h.col = m.col""")
+
+
+@register("px_burn_lines", "SELECT img, row, col, burned FROM z_lined", doubles=('burned',))
+def _(i):
+    return R.burn_lines(i.masks(), "mask", lines(i), 60.0).select("img", "row", "col", "burned")
+
+
+def belt(i: Inputs, line=LINE):
     """Braid belt of both masks, with sizes that fit the small images."""
-    return CC.braid_belt(i.masks(), "mask", LINE, min_px=60, bridge_px=1, radius=1, half_width=60.0)
+    return CC.braid_belt(i.masks(), "mask", line, min_px=60, bridge_px=1, radius=1, half_width=60.0)
 
 
-@register("px_belt", f"""
-WITH RECURSIVE {bridged('br', 'z_burned', 'burned', 60)},
+def belt_sql(src: str) -> str:
+    """CTEs down to ``la`` (img, row, col, large): the belt of ``src`` (img, row, col, burned)."""
+    return f"""
+{bridged('br', src, 'burned', 60)},
 {filled('fi', 'br', 'large')},
 core AS (SELECT a.img, a.row, a.col FROM fi a WHERE filled = 1 AND NOT EXISTS (SELECT 1 FROM fi b WHERE b.img = a.img AND b.filled <> 1
   AND abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1)),
 op AS (SELECT a.img, a.row, a.col, (count(b.row) > 0)::INT AS opened FROM fi a LEFT JOIN core b ON b.img = a.img AND b.row BETWEEN a.row - 1 AND a.row + 1
   AND b.col BETWEEN a.col - 1 AND a.col + 1 AND abs(a.row - b.row) + abs(a.col - b.col) <= 1 GROUP BY a.img, a.row, a.col),
-{large('la', 'op', 'opened', 60)}
-SELECT img, row, col, large AS belt FROM la""")
+{large('la', 'op', 'opened', 60)}"""
+
+
+@register("px_belt", f"WITH RECURSIVE {belt_sql('z_burned')} SELECT img, row, col, large AS belt FROM la")
 def _(i):
     return belt(i).select("img", "row", "col", "belt")
 
 
+@register("px_belt_lines", f"WITH RECURSIVE {belt_sql('z_lined')} SELECT img, row, col, large AS belt FROM la")
+def _(i):
+    return belt(i, lines(i)).select("img", "row", "col", "belt")
+
+
 @register("px_reference_belt", """
 SELECT row, col, count(*) FILTER (mask = 1) AS n_belt, count(mask) AS n_seen,
   (count(*) FILTER (mask = 1) >= greatest(1, 0.5::DOUBLE * count(mask)) AND count(mask) > 0)::INT AS belt FROM z_masks GROUP BY row, col""")

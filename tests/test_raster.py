@@ -185,45 +185,102 @@ def test_width_of_a_wide_channel(spark):
     assert got[30] == 220 and got[5] == 20 and got[0] is None
 
 
-def test_spiral_is_one_component_over_many_strips(spark):
+def test_spiral_is_one_component_over_many_tiles(spark):
     a = spiral(41)
     lab, n = label(a == 1)
-    runs = CC.label_components(pixels(spark, a).where("mask = 1"), strip=3)
+    runs = CC.label_components(pixels(spark, a).where("mask = 1"), tile=3)
     assert n == 1 and runs.select("label").distinct().count() == 1
     assert runs.agg(F.sum("n")).first()[0] == a.sum()
 
 
-@pytest.mark.parametrize("strip", [4, 256])
-def test_components_match_flood_fill(spark, strip):
+@pytest.mark.parametrize("tile", [4, 256])
+def test_components_match_flood_fill(spark, tile):
     a = (np.random.default_rng(4).random((48, 40)) < 0.58).astype(int)
     lab, n = label(a == 1)
-    px = CC.run_pixels(CC.label_components(pixels(spark, a).where("mask = 1"), strip)).collect()
+    px = CC.run_pixels(CC.label_components(pixels(spark, a).where("mask = 1"), tile)).collect()
     pairs = {(lab[r["row"], r["col"]], r["label"]) for r in px}
     assert len(px) == a.sum() and len(pairs) == n == len({p[1] for p in pairs})
 
 
+def test_tile_labels_match_flood_fill():
+    rng = np.random.default_rng(12)
+    for share in (0.1, 0.55, 0.62, 0.9, 1.0):
+        a = rng.random((60, 70)) < share
+        lab, n = label(a)
+        r, c = np.nonzero(a)
+        again = rng.integers(0, len(r), 50)   # repeated pixels
+        row, c0, c1 = CC.tile_runs(np.concatenate([r, r[again]]).astype(np.int32), np.concatenate([c, c[again]]).astype(np.int32))
+        got = CC.tile_labels(row, c0, c1)
+        assert (c1 - c0 + 1).sum() == a.sum()
+        assert len({(lab[i, j], k) for i, j, k in zip(row, c0, got)}) == n == len(set(got))
+
+
 def test_bridged_components_count_own_pixels(spark):
     a = (np.random.default_rng(8).random((40, 36)) < 0.25).astype(int)
-    got = image(CC.large_components(pixels(spark, a), "mask", 12, bridge_px=1, strip=7), "large", a.shape)
+    got = image(CC.large_components(pixels(spark, a), "mask", 12, bridge_px=1, tile=7), "large", a.shape)
     assert (got == large(a == 1, 12, 1)).all()
 
 
 def test_belt_steps_match_plain_arrays(spark):
     a = (np.random.default_rng(9).random((44, 40)) < 0.62).astype(int)
-    got = image(CC.braid_belt(pixels(spark, a), "mask", None, 30, 1, 1, strip=11), "belt", a.shape)
+    got = image(CC.braid_belt(pixels(spark, a), "mask", None, 30, 1, 1, tile=11), "belt", a.shape)
     f = filled(large(a == 1, 30, 1))
     eroded = distance(~f) > 1
     want = large(distance(eroded) <= 1, 30)
     assert (got == want).all()
 
 
+def test_components_without_pixels_or_with_repeats(spark):
+    px = pixels(spark, np.ones((5, 9), int))
+    assert CC.label_components(px.where("mask = 5")).count() == 0
+    twice = CC.label_components(px.unionByName(px), tile=4).agg(F.sum("n"), F.count_distinct("label")).first()
+    assert tuple(twice) == (45, 1)
+
+
+def burned_by_hand(shape, line, half, pixel=10.0):
+    """Union of boxes around the parts and discs around inner vertices, pixel by pixel."""
+    out = np.zeros(shape, bool)
+    pts = [p for i, p in enumerate(line) if i == 0 or p != line[i - 1]]
+    for r in range(shape[0]):
+        for c in range(shape[1]):
+            x, y = (c + 0.5) * pixel, (r + 0.5) * pixel
+            for (ax, ay), (bx, by) in zip(pts, pts[1:]):
+                n = np.hypot(bx - ax, by - ay)
+                along, side = ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n, ((x - ax) * (by - ay) - (y - ay) * (bx - ax)) / n
+                out[r, c] |= 0 <= along <= n and abs(side) <= half
+            out[r, c] |= any(np.hypot(x - px, y - py) <= half for px, py in pts[1:-1])
+    return out
+
+
+def test_each_image_burns_its_own_lines(spark):
+    a = np.zeros((60, 50), int)
+    px = pixels(spark, a, "a").unionByName(pixels(spark, a, "b")).unionByName(pixels(spark, a, "c"))
+    px = px.withColumn("mask", F.when((F.col("row") == 30) & (F.col("col") == 25), None).otherwise(F.col("mask")))
+    lines = {("a", 1): [(-300.0, 33.0), (253.0, 307.0), (253.0, 307.0), (480.0, 90.0)], ("a", 2): [(20.0, 580.0), (20.0, 500.0)],
+             ("b", 1): [(10.0, 7.0), (490.0, 595.0)], ("b", 2): [(5.0, 5.0)]}
+    rows = [(img, no, i, x, y) for (img, no), pts in lines.items() for i, (x, y) in enumerate(pts)] + [("b", 1, 7, None, 3.0)]
+    table = spark.createDataFrame(rows, "img string, line int, seq int, x double, y double")
+    burned = R.burn_lines(px, "mask", table, 41.0, tile=8)
+    for img in "abc":
+        got = image(burned.where(F.col("img") == img), "burned", a.shape)
+        want = np.zeros(a.shape)
+        for (i, _), pts in lines.items():
+            if i == img:
+                want[burned_by_hand(a.shape, pts, 41.0)] = 1
+        want[30, 25] = np.nan
+        assert np.array_equal(got, want, equal_nan=True)
+    assert burned.count() == px.count() and burned.columns == [*px.columns, "burned"]
+    none = R.burn_lines(px, "mask", table.where("false"), 41.0)
+    assert none.agg(F.sum("burned")).first()[0] == 0
+
+
 def test_belt_raster(spark):
     """River with a char, a pond outside: the char is filled, the pond dropped, the mainland stays out."""
     a = np.zeros((80, 60), int)
     a[:, 20:44] = 1
     a[30:50, 28:36] = 0
     a[10:12, 2:4] = 1
-    got = image(CC.braid_belt(pixels(spark, a), "mask", None, 200, 2, 3, strip=32), "belt", a.shape)
+    got = image(CC.braid_belt(pixels(spark, a), "mask", None, 200, 2, 3, tile=32), "belt", a.shape)
     assert got[40, 32] == 1 and got[11, 3] == 0 and got[40, 5] == 0 and got[0, 30] == 1
 
 
