@@ -74,6 +74,7 @@ def distance_to_core(points: DataFrame, px: DataFrame, core: str, pixel_m: float
     out = "dist_main_channel_m"
     g = R.column_distances(px.select("img", "row", "col", core), F.col(core) == 1, "_g").where("_g IS NOT NULL")
     g = g.select("img", "row", "col", "_g").join(points.select("img", "row"), ["img", "row"], "left_semi")
+    g = g.select(*[F.col(c).alias(c) for c in g.columns])   # names of its own, as points may come from the same image
     schema = T.StructType([*points.schema.fields, T.StructField(out, T.DoubleType())])
     names = points.columns
 
@@ -96,6 +97,40 @@ def belt_area(px: DataFrame, pixel_m: float = C.PIXEL_M) -> DataFrame:
                                  (sum_if((F.col("belt") == 1) & (F.col("water") == 1)) * km2).alias("belt_water_km2"))
 
 
+def bank_positions(masks: DataFrame, samples: DataFrame, s0: float, step: float, min_px: int,
+                   line: Sequence[tuple[float, float]] | DataFrame | None = None, bridge_px: int = C.BRIDGE_GAP_PX,
+                   radius: int = C.OPEN_RADIUS_PX, half_width: float = C.LINE_BUFFER_M, core_px: int = C.CORE_PX,
+                   near_m: float = C.NEAR_M, shield_m: float = C.SHIELD_M, guard_m: float = C.NODATA_GUARD_M,
+                   pixel_m: float = C.PIXEL_M) -> DataFrame:
+    """Positions and channel geometry of every transect in every mask, from the masks alone.
+
+    ``masks``: (img, row, col, mask) with NULL for no data. ``samples``: (transect_id, sample, row, col), sample 0 riverward
+    at ``s0`` metres. The belt decides where the bank is; widths, shares and the main channel come from the water of the mask.
+    A transect without a valid position has one row with NULL figures; an image without a core has no distance to it.
+    Returns (img, transect_id, idx, valid, bank_pos_m, dist_main_channel_m, near_channel_width_m, char_shield_frac,
+    nearbank_water_frac, belt_area_km2, belt_water_km2).
+    """
+    from scarp.operators.components import braid_belt
+    from scarp.operators.linear import sample_raster
+    from scarp.session import settle
+    px = masks.select("img", "row", "col", "mask")
+    belt = braid_belt(px, "mask", line, min_px, bridge_px, radius, half_width)
+    dry = F.coalesce(F.col("mask"), F.lit(0)) != 1
+    px = R.distance_to(belt, dry, "land_dist").select(
+        "img", "row", "col", "belt", F.coalesce("mask", F.lit(0)).alias("water"), F.col("mask").isNull().cast("int").alias("nodata"),
+        "land_dist")
+    core = (F.col("water") == 1) & F.coalesce(F.col("land_dist") >= core_px, F.lit(True))
+    px = settle(px.withColumn("core", core.cast("int")))
+    seen = sample_raster(samples.select("transect_id", "sample", "row", "col"), px, ["belt", "water", "nodata", "land_dist"])
+    banks = settle(measure_banks(seen, s0, step, pixel_m, near_m=near_m, shield_m=shield_m, guard_m=guard_m))
+    at = banks.where("valid = 1").select("img", "transect_id", F.col("idx").alias("sample")).join(samples, ["transect_id", "sample"])
+    far = distance_to_core(at.select("img", "transect_id", "row", "col"), px, "core", pixel_m)
+    return (banks.join(far.select("img", "transect_id", "dist_main_channel_m"), ["img", "transect_id"], "left")
+            .join(belt_area(px, pixel_m), "img").select(
+                "img", "transect_id", "idx", "valid", "bank_pos_m", "dist_main_channel_m", "near_channel_width_m",
+                "char_shield_frac", "nearbank_water_frac", "belt_area_km2", "belt_water_km2"))
+
+
 def assemble_positions(per_pass: DataFrame, summary: DataFrame) -> DataFrame:
     """Add the pass columns to the positions; the engine picks the join by the measured size of the summary."""
     return per_pass.join(summary.select("pass_id", "date", "platform", "water_area_km2", "otsu_ok", "coverage"), "pass_id")

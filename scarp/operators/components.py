@@ -67,9 +67,9 @@ def label_components(px: DataFrame, tile: int = TILE) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / tile)
     runs = settle(px.select("img", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
                   .groupBy("img", at("row"), at("col")).applyInArrow(measure, "img string, row int, c0 int, c1 int, n long, local long"))
-    comps = connected(_touching(runs, tile))
-    return (runs.join(comps, (runs["img"] == comps["g"]) & (runs["local"] == comps["node"]), "left")
-            .select(runs["img"], "row", "c0", "c1", "n", F.coalesce(comps["label"], "local").alias("label")))
+    comps = connected(_touching(runs, tile)).select(F.col("g").alias("img"), F.col("node").alias("local"), F.col("label").alias("_label"))
+    return runs.join(comps, ["img", "local"], "left").select(
+        "img", "row", "c0", "c1", "n", F.coalesce("_label", "local").alias("label"))
 
 
 def _touching(runs: DataFrame, tile: int) -> DataFrame:

@@ -215,19 +215,20 @@ def calibrate(px: DataFrame, lut: DataFrame, step: int, dn: str = "dn", out: str
 
 def otsu(px: DataFrame, value: str, lo: float, hi: float, sample: int = 1, min_pixels: int = C.OTSU_MIN_PIXELS,
          bins: int = C.OTSU_BINS, out: str = "threshold") -> DataFrame:
-    """Otsu threshold per image (NULL with too few pixels); at most ``bins`` rows per image reach the windows."""
+    """Otsu threshold per image (NULL with too few pixels); at most ``bins`` rows per image reach the windows. An image of one
+    value has that value as its threshold."""
     v = F.col(value)
     used = px.where((F.col("row") % sample == 0) & (F.col("col") % sample == 0) & (v > lo) & (v < hi))
     counts = used.groupBy("img", v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     stats = counts.groupBy("img").agg(F.min("v").alias("v0"), F.max("v").alias("v1"), F.sum("n").alias("total"))
     width = (F.col("v1") - F.col("v0")) / bins
-    at = F.least(F.floor((F.col("v") - F.col("v0")) / width), F.lit(bins - 1))
+    at = F.least(F.floor(F.coalesce((F.col("v") - F.col("v0")) / F.nullif(width, F.lit(0.0)), F.lit(0.0))), F.lit(bins - 1))
     hist = (counts.join(stats, "img").withColumn("bin", at.cast("int"))
             .groupBy("img", "bin", "v0", "v1").agg(F.sum("n").alias("n")))
     hist = hist.withColumn("c", F.col("v0") + (F.col("bin") + 0.5) * width)
     best = _best_split(hist, "n", "c", "bin", later_wins=False)
-    return stats.select("img", "total").join(best, "img", "left").select(
-        "img", F.when(F.col("total") >= min_pixels, F.col("c")).alias(out))
+    return stats.join(best, "img", "left").select(
+        "img", F.when(F.col("total") >= min_pixels, F.coalesce("c", F.when(F.col("v0") == F.col("v1"), F.col("v0")))).alias(out))
 
 
 def _best_split(hist: DataFrame, n: str, c: str, order: str, later_wins: bool) -> DataFrame:

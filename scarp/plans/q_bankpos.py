@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scarp.operators import bankpos as B
 from scarp.operators import raster as R
-from scarp.plans import q_raster  # noqa: F401  (raster fragments)
+from scarp.plans import q_raster
 from scarp.plans.catalogue import register
 from scarp.plans.fixtures import Inputs
 from scarp.plans.sqltext import day, fragment
@@ -90,6 +90,31 @@ def _(i):
     return B.belt_area(R.erode(i.masks(), "mask", "belt").withColumn("water", F.col("mask")))
 
 
+@register("bank_positions", f"""
+WITH RECURSIVE {q_raster.belt_sql('z_lined')},
+sm AS MATERIALIZED (SELECT l.img, l.row AS t, l.col AS s, b.large AS belt, coalesce(l.mask, 0) AS water, (l.mask IS NULL)::INT AS nod, l.land_dist
+  FROM z_land l JOIN la b ON b.img = l.img AND b.row = l.row AND b.col = l.col),
+ix AS (SELECT img, t, coalesce(max(s) FILTER (n = 3), -1)::INT AS idx FROM (
+  SELECT *, sum(belt) OVER (PARTITION BY img, t ORDER BY s ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM sm) GROUP BY ALL),
+bk AS MATERIALIZED (SELECT i.img, i.t, i.idx, (i.idx >= 0 AND max(nod) FILTER (s >= CASE WHEN i.idx >= 0 THEN i.idx - 5 ELSE 0 END) = 0 AND max(belt) FILTER (s = 63) = 0) AS ok,
+  avg(water) FILTER (s BETWEEN i.idx - 10 AND i.idx) AS nearw, 1 - avg(water) FILTER (s BETWEEN i.idx - 30 AND i.idx) AS shield,
+  20 * max(land_dist) FILTER (s BETWEEN i.idx - 10 AND i.idx) AS width FROM ix i JOIN sm USING (img, t) GROUP BY i.img, i.t, i.idx),
+dm AS (SELECT b.img, b.t, 10 * sqrt(min((c.row - b.t) ** 2 + (c.col - b.idx) ** 2)) AS d FROM bk b JOIN z_land c ON c.img = b.img
+  WHERE ok AND c.mask = 1 AND coalesce(c.land_dist >= 2, true) GROUP BY b.img, b.t),
+ar AS (SELECT img, sum(belt) * 100 / 1e6 AS a, count(*) FILTER (belt = 1 AND water = 1) * 100 / 1e6 AS w FROM sm GROUP BY img)
+SELECT bk.img, bk.t AS transect_id, bk.idx, ok::INT AS valid, CASE WHEN ok THEN -150 + bk.idx * 10.0::DOUBLE END AS bank_pos_m, round(d, 6) AS dist_main_channel_m,
+  CASE WHEN ok THEN round(width, 6) END AS near_channel_width_m, CASE WHEN ok THEN round(shield, 6) + 0.0::DOUBLE END AS char_shield_frac,
+  CASE WHEN ok THEN round(nearw, 6) END AS nearbank_water_frac, round(a, 6) AS belt_area_km2, round(w, 6) AS belt_water_km2
+FROM bk JOIN ar ON ar.img = bk.img LEFT JOIN dm ON dm.img = bk.img AND dm.t = bk.t""")
+def _(i):
+    """Masks to positions in one operator; belt and water differ."""
+    rows = i.masks().select("row").distinct()
+    at = rows.select(F.col("row").alias("transect_id"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("sample"))
+    return B.bank_positions(i.masks(), at.select("transect_id", "sample", F.col("transect_id").alias("row"), F.col("sample").alias("col")),
+                            S0, STEP, 60, q_raster.lines(i), bridge_px=1, radius=1, half_width=60.0, core_px=2, near_m=NEAR,
+                            shield_m=SHIELD, guard_m=GUARD)
+
+
 @register("assemble_positions", f"""
 SELECT p.transect_id, p.pass_id, {day('s.date')} AS date, platform, round(water_area_km2, 6) AS water_area_km2, otsu_ok, round(coverage, 6) AS coverage, p.bank_pos_m
 FROM z_panel p JOIN z_summary s USING (pass_id)""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scarp import config as C
 from scarp.functions import columns as K
 from scarp.operators import components as CC
+from scarp.operators import masks as M
 from scarp.operators import raster as R
 from scarp.plans.catalogue import register
 from scarp.plans.fixtures import Inputs
@@ -240,6 +241,46 @@ def _(i):
     return CC.fill_holes(i.masks(), "mask").select("img", "row", "col", "filled")
 
 
+def sieved(name: str, src: str, col: str, most: int) -> str:
+    """CTE ``name`` (img, row, col, sieved): water blobs, then land specks of at most ``most`` pixels change sides."""
+    size = "SELECT img, id, count(*) OVER (PARTITION BY img, label) AS size FROM"
+    return f"""
+{flood(name + '_a', f"{src} WHERE {col} = 1")},
+{name}_w AS MATERIALIZED (SELECT m.img, m.row, m.col, m.{col} AS m, coalesce(k.size > {most}, false) AS w FROM {src} m
+  LEFT JOIN ({size} {name}_a) k ON k.img = m.img AND k.id = m.row * 100000 + m.col),
+{flood(name + '_b', f"{name}_w WHERE m IS NOT NULL AND NOT w")},
+{name} AS MATERIALIZED (SELECT w.img, w.row, w.col, CASE WHEN m IS NOT NULL THEN 1 - coalesce((k.size > {most})::INT, 0) END AS sieved FROM {name}_w w
+  LEFT JOIN ({size} {name}_b) k ON k.img = w.img AND k.id = w.row * 100000 + w.col)"""
+
+
+_NEAR9 = "b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.row, a.col"
+_PASS = f"""{_TH}, {_CLS},
+er AS (SELECT a.row, a.col, (count(*) FILTER (greatest(b.dark, b.rescued) = 1) = 9)::INT AS e FROM cls a JOIN cls b ON {_NEAR9}),
+wo AS MATERIALIZED (SELECT 'R0' AS img, a.row, a.col, CASE WHEN any_value(c.vv) IS NOT NULL THEN (count(*) FILTER (b.e = 1) > 0)::INT END AS water
+  FROM er a JOIN cls c ON c.row = a.row AND c.col = a.col JOIN er b ON {_NEAR9}),
+{sieved('sv', 'wo', 'water', 12)}"""
+
+
+def pass_masks(i: Inputs):
+    """Masks of the two-band image, with an Otsu sample and speck size that fit it."""
+    return M.pass_masks(i.raster(), speck_px=12, sample=1)
+
+
+@register("px_pass_mask", f"WITH RECURSIVE {_PASS} SELECT img, row, col, sieved AS mask FROM sv", doubles=('mask',))
+def _(i):
+    return pass_masks(i).pixels.select("img", "row", "col", "mask")
+
+
+@register("px_pass_info", f"""
+WITH RECURSIVE {_PASS}
+SELECT 'R0' AS img, round(count(sieved) / count(*)::DOUBLE, 6) AS coverage, round(count(*) FILTER (sieved = 1) / greatest(count(sieved), 1)::DOUBLE, 6) AS water_fraction,
+  round(count(*) FILTER (sieved = 1) * 100 / 1e6, 6) AS water_area_km2, round(count(*) FILTER (rescued = 1) / greatest(count(sieved), 1)::DOUBLE, 6) AS rescued_fraction,
+  any_value(round(t_vv, 6)) AS t_vv, any_value(round(t_vh, 6)) AS t_vh, any_value(otsu_ok) AS otsu_ok
+FROM sv JOIN cls ON cls.row = sv.row AND cls.col = sv.col, th""")
+def _(i):
+    return pass_masks(i).info
+
+
 @register("px_distance", """
 SELECT a.img, a.row, a.col, round(sqrt(min((a.row - b.row) ** 2 + (a.col - b.col) ** 2)), 6) AS dist FROM z_masks a
 LEFT JOIN z_masks b ON b.img = a.img AND b.mask IS NULL AND b.row BETWEEN a.row - 7 AND a.row + 7 AND b.col BETWEEN a.col - 7 AND a.col + 7

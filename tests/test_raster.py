@@ -135,6 +135,12 @@ def test_too_few_pixels_give_no_threshold(spark):
     assert R.otsu(px, "vv", -30, 0, sample=4).first()["threshold"] is None
 
 
+def test_threshold_of_one_value_is_that_value(spark):
+    px = pixels(spark, np.full((20, 20), -12.5), name="vv")
+    assert R.otsu(px, "vv", -30, 0, min_pixels=100).first()["threshold"] == -12.5
+    assert R.otsu(px, "vv", -30, 0, min_pixels=1000).first()["threshold"] is None
+
+
 def test_distance_is_exact_within_the_radius(spark):
     a = (np.random.default_rng(2).random((40, 33)) < 0.03).astype(int)
     got = image(R.distance_within(pixels(spark, a), F.col("mask") == 1, 6, tile=16), "dist", a.shape)
