@@ -8,6 +8,7 @@ from scarp import config as C
 from scarp.operators import features as FT
 from scarp.operators import labels as L
 from scarp.operators import panel as P
+from scarp.operators import validation as V
 from scarp.plans import sql_panel  # noqa: F401
 from scarp.plans.catalogue import register
 from scarp.plans.fixtures import MAJOR_M, TEST, THRESHOLD_M, TRAIN, VAL, Inputs
@@ -144,9 +145,7 @@ def scenes(i: Inputs):
 
 
 def _pairs(i: Inputs):
-    passes = P.with_day(i.pass_summary()).select("pass_id", "day", F.col("date").alias("pass_date"))
-    good = scenes(i).where("cloud <= 5 AND nodata < 20")
-    return P.nearest_in_tolerance(passes, good, 2, {"cloud": True, "scene_id": True}, "pass_id")
+    return V.nearest_scenes(i.pass_summary(), V.clear_scenes(scenes(i)))
 
 
 _SCENES = """sc AS (SELECT o_orderkey AS scene_id, o_orderdate::DATE AS sd, round(o_totalprice % 100, 2) AS cloud, o_custkey % 30 AS nodata
@@ -161,23 +160,10 @@ def _(i):
     return _pairs(i).select("pass_id", "scene_id", "days_apart", "cloud")
 
 
-def first_pass_per_scene(pairs):
-    """One pair per scene: the first in pass order."""
-    w = Window.partitionBy("scene_id").orderBy("pass_date", "pass_id")
-    return pairs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 @register("dedup_keep_first", f"""WITH {_SCENES} SELECT scene_id, min(pass_id) AS pass_id, min(days_apart) FILTER (pass_date = fd) AS days_apart
 FROM (SELECT *, min(pass_date) OVER (PARTITION BY scene_id) AS fd FROM pr) GROUP BY scene_id""")
 def _(i):
-    return first_pass_per_scene(_pairs(i)).select("scene_id", "pass_id", "days_apart")
-
-
-def spread_over_years(pairs, n: int):
-    """Round-robin: the best pair of every year first, then the second best, ..."""
-    w = Window.partitionBy("year").orderBy("days_apart", "cloud", "scene_id")
-    return (pairs.withColumn("year", F.year("pass_date")).withColumn("pick", F.row_number().over(w) - 1)
-            .where(F.col("pick") < n).orderBy("pick", "year").limit(n))
+    return V.first_pass_per_scene(_pairs(i)).select("scene_id", "pass_id", "days_apart")
 
 
 @register("round_robin_sample", f"""WITH {_SCENES},
@@ -186,7 +172,7 @@ SELECT pass_id, scene_id, year(pass_date)::INT AS year,
   (row_number() OVER (PARTITION BY year(pass_date) ORDER BY days_apart, cloud, scene_id) - 1)::INT AS pick
 FROM dd ORDER BY 4, 3 LIMIT 16""")
 def _(i):
-    return spread_over_years(first_pass_per_scene(_pairs(i)), 16).select("pass_id", "scene_id", "year", "pick")
+    return V.spread_over_years(V.first_pass_per_scene(_pairs(i)), 16).select("pass_id", "scene_id", "year", "pick")
 
 
 @register("scene_filter", """
@@ -201,17 +187,28 @@ def _(i):
     return ok.join(used, "scene_id", "left_anti").select("scene_id", "cloud", "nodata")
 
 
-def first_window(passes, months: int = 12, min_coverage: float = 0.95):
-    """Passes in the first ``months`` of the archive with enough coverage."""
-    start = passes.agg(F.min("date")).scalar()
-    return passes.where((F.col("date") < F.add_months(start, months)) & (F.col("coverage") > min_coverage))
+# passes of more than 95 % coverage, dry months, from 1994 on; those whose number is a multiple of 11 served a correction
+@register("validation_pairs", """
+WITH ps AS (SELECT pass_id, date FROM z_summary WHERE coverage > 0.95::DOUBLE AND month(date) IN (11, 12, 1, 2, 3, 4) AND year(date) >= 1994
+  AND date_diff('day', DATE '1992-01-01', date) % 11 <> 0),
+sc AS (SELECT o_orderkey AS scene_id, o_orderdate::DATE AS sd, round(o_totalprice % 100, 2) AS cloud FROM orders
+  WHERE round(o_totalprice % 100, 2) <= 5 AND o_custkey % 30 < 20),
+pr AS (SELECT pass_id, date, scene_id, cloud, abs(date_diff('day', sd, date))::INT AS days_apart FROM ps JOIN sc ON sd BETWEEN date - 2 AND date + 2
+  QUALIFY row_number() OVER (PARTITION BY pass_id ORDER BY abs(date_diff('day', sd, date)), cloud, scene_id) = 1),
+dd AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY date, pass_id) = 1)
+SELECT pass_id, scene_id, strftime(date, '%Y-%m-%d') AS pass_date, days_apart, cloud, year(date)::INT AS year,
+  (row_number() OVER (PARTITION BY year(date) ORDER BY days_apart, cloud, scene_id) - 1)::INT AS pick FROM dd ORDER BY 7, 6 LIMIT 16""")
+def _(i):
+    passes = i.pass_summary()
+    used = passes.where(F.datediff("date", F.lit("1992-01-01").cast("date")) % 11 == 0)
+    return V.validation_pairs(passes, scenes(i), used, first_year=1994)
 
 
 @register("first_window_select", f"""
 SELECT pass_id, {day('date')} AS date, {r6('coverage')} FROM z_summary
 WHERE date < (SELECT min(date) FROM z_summary) + INTERVAL 12 MONTH AND coverage > 0.95::DOUBLE""")
 def _(i):
-    return first_window(i.pass_summary()).select("pass_id", "date", "coverage")
+    return V.first_window(i.pass_summary()).select("pass_id", "date", "coverage")
 
 
 sql_panel.fragment("z_summary", """
