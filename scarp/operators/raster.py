@@ -21,6 +21,7 @@ TILE = 256
 SMOOTH_STRETCH = 4096
 LINE_CELL = 32    # pixels of a side of a cell of the line index
 LINE_PART = 4096
+BAND_ROWS = 1024
 
 
 # --- focal machinery -----------------------------------------------------------------------------------------------
@@ -156,20 +157,29 @@ def nearest_squares(at: np.ndarray, src: np.ndarray, g: np.ndarray) -> np.ndarra
     return low
 
 
-def column_distances(px: DataFrame, target: Column, out: str) -> DataFrame:
-    """Add the distance (px) to the nearest target pixel of the same image column, NULL without one. Two windows, each
-    bounded by the image height."""
-    w = Window.partitionBy("img", "col").orderBy("row")
+def column_distances(px: DataFrame, target: Column, out: str, band: int = BAND_ROWS) -> DataFrame:
+    """Add the distance (px) to the nearest target pixel of the same image column, NULL without one.
+
+    A column is cut into bands of rows. Inside a band the nearest targets above and below are running values, the second in
+    descending order, as a frame that ends at the last row would be read again for every row. The nearest targets of other
+    bands come from one row per band, so a higher image adds bands and no window grows with it but that of the bands.
+    """
+    cut = ["img", "col", "_band"]
     hit = F.when(F.coalesce(target, F.lit(False)), F.col("row"))
-    up = F.col("row") - F.last("_hit", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("_hit", True).over(w.rowsBetween(0, Window.unboundedFollowing)) - F.col("row")
-    return px.withColumn("_hit", hit).withColumn(out, F.least(up, down).cast("long")).drop("_hit")
+    p = px.withColumns({"_hit": hit, "_band": F.floor(F.col("row") / band)})
+    ends = p.groupBy(*cut).agg(F.min("_hit").alias("_lo"), F.max("_hit").alias("_hi"))
+    over = lambda keys, order, last: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    ends = ends.select(*cut, F.last("_hi", True).over(over(cut[:2], F.asc("_band"), -1)).alias("_above"),
+                       F.last("_lo", True).over(over(cut[:2], F.desc("_band"), -1)).alias("_below"))
+    p = p.withColumns({"_up": F.last("_hit", True).over(over(cut, F.asc("row"), 0)), "_down": F.last("_hit", True).over(over(cut, F.desc("row"), 0))})
+    near = F.least(F.col("row") - F.coalesce("_up", "_above"), F.coalesce("_down", "_below") - F.col("row"))
+    return p.join(ends, cut).select(*px.columns, near.cast("long").alias(out))
 
 
 def distance_to(px: DataFrame, target: Column, out: str = "dist") -> DataFrame:
     """Exact distance (px) to the nearest target pixel of the image, however far; NULL in an image without one.
 
-    Vertical distances come from two windows per image column; each image row then is one array.
+    Vertical distances come from bands of each image column; each image row then is one array.
     """
     schema = T.StructType([*px.schema.fields, T.StructField(out, T.DoubleType())])
     names = px.columns

@@ -157,6 +157,18 @@ def test_distance_has_no_bound(spark):
     assert np.isnan(image(R.distance_to(pixels(spark, a), F.col("mask") == 5), "dist", a.shape)).all()
 
 
+@pytest.mark.parametrize("band", [1, 7, 1024])
+def test_vertical_distance_does_not_depend_on_the_bands(spark, band):
+    a = (np.random.default_rng(6).random((60, 12)) < 0.05).astype(int)
+    a[:, 3] = 0
+    a[10:45, 4] = 0
+    got = image(R.column_distances(pixels(spark, a), F.col("mask") == 1, "g", band), "g", a.shape)
+    for c in range(12):
+        rows = np.flatnonzero(a[:, c])
+        want = [np.abs(rows - r).min() if len(rows) else np.nan for r in range(60)]
+        assert np.array_equal(got[:, c], want, equal_nan=True)
+
+
 def test_nearest_squares_equal_all_pairs():
     rng = np.random.default_rng(8)
     for n, m in ((1, 1), (1, 5), (7, 1), (64, 64), (301, 90), (500, 499)):
