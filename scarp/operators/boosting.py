@@ -28,7 +28,8 @@ from scarp.session import scratch
 ONE = float(1 << 20)        # gradients and curvatures count in units of 2**-20
 RIDGE = 1.0
 BINS, MAX_BINS = 32, 255
-ROWS_PER_TASK, KEEP_TREES = 20_000, 10
+ROWS_PER_TASK, MOST_ROWS_PER_TASK, KEEP_TREES = 20_000, 500_000, 10
+BLOCK_ROWS, COUNT = 1 << 17, float(1 << 35)     # curvatures of a block sum up to COUNT at most, so COUNT can tally rows in the same float
 KEYS = ("forecast_date", "transect_id")
 
 
@@ -66,20 +67,33 @@ class Tree:
         return tuple(np.array(c) for c in (self.feature, self.bin, self.cut, self.missing_left, self.left, self.right, self.value))
 
 
-def _leaves(arrays: tuple[np.ndarray, ...], values: np.ndarray, binned: bool, visit=None) -> np.ndarray:
-    """The leaf of every row; ``values`` is (features, rows) of bins, or of numbers with NaN for missing."""
-    feature, bin_, cut, missing_left, left, right, _ = arrays
-    limit, at = bin_ if binned else cut, np.zeros(values.shape[1], np.int64)
-    live = np.arange(values.shape[1])
-    while len(live := live[feature[at[live]] >= 0]):
-        here = at[live]
-        v = values[feature[here], live]
-        missing = v == 0 if binned else np.isnan(v)
-        to = np.where(np.where(missing, missing_left[here], v <= limit[here]), left[here], right[here])
-        if visit:
-            visit(live, here, to)
-        at[live] = to
-    return at
+class _Walk:
+    """A tree as a table: where each node sends each bin (0: missing). A leaf sends all of them to itself."""
+
+    def __init__(self, arrays: tuple[np.ndarray, ...], limit: np.ndarray, width: int):
+        feature, _, _, missing_left, left, right, self.value = arrays
+        nodes, bins = np.arange(len(feature))[:, None], np.arange(width)
+        to_left = np.where(bins == 0, missing_left[:, None], bins <= limit[:, None])
+        go = np.where(feature[:, None] < 0, nodes, np.where(to_left, left[:, None], right[:, None]))
+        self.feature, self.go, self.width = np.maximum(feature, 0), go.ravel(), width
+        depth = np.zeros(len(feature), np.int64)
+        for i in np.flatnonzero(feature >= 0):      # children stand behind their parents
+            depth[[left[i], right[i]]] = depth[i] + 1
+        self.depth = int(depth.max())
+
+    def leaves(self, bins: np.ndarray, visit=None) -> np.ndarray:
+        """The leaf of every column of ``bins`` (features, rows)."""
+        n = bins.shape[1]
+        flat, rows, at = bins.ravel(), np.arange(n), np.zeros(n, np.int64)
+        for level in range(self.depth):
+            if level:
+                to = self.go.take(at * self.width + flat.take(self.feature.take(at) * n + rows))
+            else:
+                to = self.go.take(bins[self.feature[0]])
+            if visit:
+                visit(rows, self.feature[at], self.value[to] - self.value[at])
+            at = to
+        return at
 
 
 @dataclass
@@ -90,21 +104,39 @@ class BoostedModel:
     params: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self.arrays = [t.arrays() for t in self.trees]
+        arrays = [t.arrays() for t in self.trees]
+        feature, cut = (np.concatenate([a[i] for a in arrays] or [np.zeros(0)]) for i in (0, 2))
+        self.cuts = [np.unique(cut[feature == f]) for f in range(len(self.features))]
+        width = max((len(c) for c in self.cuts), default=0) + 2
+        self.walks = []
+        for a in arrays:
+            limit = np.zeros(len(a[0]), np.int64)
+            for i in np.flatnonzero(a[0] >= 0):
+                limit[i] = 1 + np.searchsorted(self.cuts[a[0][i]], a[2][i])
+            self.walks.append(_Walk(a, limit, width))
+
+    def _bins(self, x: np.ndarray) -> np.ndarray:
+        """Places among the model's own cuts: a value is in the bin of a cut or below just if it is the cut or below."""
+        return np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(c, v, side="left")) for v, c in zip(x, self.cuts)])
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of the columns of ``x`` (features, rows)."""
         out = np.full(x.shape[1], self.base)
-        for a in self.arrays:
-            out += a[-1][_leaves(a, x, False)]
+        bins = self._bins(x)
+        for w in self.walks:
+            out += w.value[w.leaves(bins)]
         return out
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """(rows, features): every split hands the change of the node's value to its feature. With ``bias`` they add up to the margin."""
         out = np.zeros((x.shape[1], len(self.features)))
-        for a in self.arrays:
-            feature, value = a[0], a[-1]
-            _leaves(a, x, False, lambda live, here, to: np.add.at(out, (live, feature[here]), value[to] - value[here]))  # noqa: B023
+        bins = self._bins(x)
+
+        def add(rows: np.ndarray, feature: np.ndarray, change: np.ndarray) -> None:
+            out[rows, feature] += change        # a row once a step
+
+        for w in self.walks:
+            w.leaves(bins, add)
         return out
 
     @property
@@ -154,9 +186,7 @@ def bin_edges(train: DataFrame, features: Sequence[str], bins: int = BINS) -> di
 
 def _to_block(edges: list[np.ndarray], n_trials: int, base: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(i, BLOCK_ROWS) for b in batches for i in range(0, b.num_rows, BLOCK_ROWS)):
             x = _matrix(b.column(0), len(edges))
             bins = np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(e, v, side="left")) for v, e in zip(x, edges)]).astype(np.uint8)
             y, val, key = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
@@ -194,40 +224,47 @@ def _chosen(key: np.ndarray, share: float, seed: int) -> np.ndarray:
     return (z >> np.uint64(33)).astype(np.float64) < share * (1 << 31)
 
 
-def _histograms(trials: dict, n_features: int, n_trials: int, bins: int, share: float, seed: int):
+def _histograms(trials: dict, own: dict[int, list[int]], n_features: int, n_trials: int, bins: int, share: float, seed: int):
     """Per task: sums by (feature, bin) of each trial's open nodes, and the validation loss where a round begins.
 
-    ``trials``: number -> (trees since the last checkpoint, tree in growth, its open nodes).
+    ``trials``: number -> (trees since the last checkpoint, tree in growth, its open nodes). ``own``: the features summed for each.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        walks = {t: ([_Walk(a, a[1], bins) for a in since], _Walk(tree, tree[1], bins), nodes) for t, (since, tree, nodes) in trials.items()}
+        sums: dict[int, np.ndarray] = {}
+        losses: dict[int, np.ndarray] = {}
         for block in _blocks(batches, n_features, n_trials):
             use = ~block.val & _chosen(block.key, share, seed)
-            flat = (np.arange(n_features)[:, None] * bins + block.bins[:, use]).astype(np.int64)
-            for t, (since, tree, nodes) in trials.items():
-                margin = block.margin[t].copy()
-                for a in since:
-                    margin += a[-1][_leaves(a, block.bins, True)]
+            codes, y = block.bins[:, use].astype(np.intp), block.y[use]
+            held = block.bins[:, block.val].astype(np.intp)
+            for t, (since, tree, nodes) in walks.items():
                 if nodes == [0] and block.val.any():
-                    m, y = margin[block.val], block.y[block.val]
-                    loss = np.rint((np.logaddexp(0, m) - y * m) * ONE).astype(np.int64)
-                    sums[t, -1] = sums.get((t, -1), np.zeros(2, np.int64)) + [loss.sum(), len(loss)]
-                p = _sigmoid(margin[use])
-                at = _leaves(tree, block.bins[:, use], True)
-                slot = np.full(len(tree[0]), -1)
+                    m, v = block.margin[t][block.val], block.y[block.val]
+                    for w in since:
+                        m += w.value[w.leaves(held)]
+                    loss = np.rint((np.logaddexp(0, m) - v * m) * ONE).astype(np.int64)
+                    losses[t] = losses.get(t, np.zeros(2, np.int64)) + [loss.sum(), len(loss)]
+                margin = block.margin[t][use]
+                for w in since:
+                    margin += w.value[w.leaves(codes)]
+                p = _sigmoid(margin)
+                g, h = np.rint((p - y) * ONE), np.rint(p * (1 - p) * ONE) + COUNT
+                # rows in closed nodes fall into one more slot, which is dropped
+                slot = np.full(len(tree.value), len(nodes))
                 slot[nodes] = np.arange(len(nodes))
-                at = slot[at]
-                open_ = at >= 0
-                cell = (at[open_] * (n_features * bins) + flat[:, open_]).ravel()
-                size = len(nodes) * n_features * bins
-                values = [np.rint((p - block.y[use]) * ONE), np.rint(p * (1 - p) * ONE), np.ones(len(p))]
-                got = np.stack([np.bincount(cell, np.broadcast_to(v[open_], (n_features, open_.sum())).ravel(), size) for v in values])
-                got = got.astype(np.int64).reshape(3, len(nodes), -1)
-                for i, node in enumerate(nodes):
-                    sums[t, node] = sums.get((t, node), 0) + got[:, i].ravel()
-        keys = list(sums)
-        yield pa.record_batch([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()),
-                               pa.array([sums[k].astype("<i8").tobytes() for k in keys], pa.binary())], ["trial", "node", "sums"])
+                first, size = slot[tree.leaves(codes)] * bins, (len(nodes) + 1) * bins
+                if t not in sums:
+                    sums[t] = np.zeros((len(nodes), 3, n_features, bins), np.int64)
+                for f in own[t] or [0]:
+                    cell = first + codes[f]
+                    gs, hs = (np.bincount(cell, x, size).reshape(-1, bins)[:-1] for x in (g, h))
+                    rows = np.floor(hs / COUNT)
+                    for i, x in enumerate((gs, hs - rows * COUNT, rows)):
+                        sums[t][:, i, f] += x.astype(np.int64)
+        rows = [(t, -1, x) for t, x in losses.items()]
+        rows += [(t, node, x[i]) for t, x in sums.items() for i, node in enumerate(trials[t][2])]
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+                               pa.array([r[2].astype("<i8").tobytes() for r in rows], pa.binary())], ["trial", "node", "sums"])
     return run
 
 
@@ -247,7 +284,7 @@ def _best_split(n_features: int, bins: int, allowed: dict[int, list[int]], min_r
             row = (trial, -1, -1, 0, False, int(total[0]), 0, int(total[1]), 0, 0, 0)
         else:
             hist = total.reshape(3, n_features, bins)
-            g, h, n = (int(x) for x in hist[:, 0].sum(axis=1))
+            g, h, n = (int(x) for x in hist[:, (allowed[trial] or [0])[0]].sum(axis=1))
             best = (0.0, -1, 0, False, 0, 0, 0)
             for f in allowed[trial]:
                 k = n_edges[f]
@@ -270,15 +307,16 @@ def _best_split(n_features: int, bins: int, allowed: dict[int, list[int]], min_r
     return run
 
 
-def _with_trees(since: dict[int, list], n_features: int, n_trials: int):
+def _with_trees(since: dict[int, list], n_features: int, n_trials: int, bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = {t: [_Walk(a, a[1], bins) for a in trees] for t, trees in since.items()}
         for b in batches:
             out = []
             for block in _blocks(iter([b]), n_features, n_trials):
-                margin = block.margin.copy()
-                for t, trees in since.items():
-                    for a in trees:
-                        margin[t] += a[-1][_leaves(a, block.bins, True)]
+                margin, codes = block.margin.copy(), block.bins.astype(np.intp)
+                for t, trees in walks.items():
+                    for w in trees:
+                        margin[t] += w.value[w.leaves(codes)]
                 out.append(margin.tobytes())
             yield pa.record_batch([*(b.column(i) for i in range(4)), pa.array(out, pa.binary())], ["bins", "y", "val", "key", "margin"])
     return run
@@ -309,7 +347,8 @@ def fit_trials(train: DataFrame, features: Sequence[str], trials: Sequence[Trial
     data = one(train, False)
     if valid is not None:
         data = data.unionByName(one(valid.where("y IS NOT NULL"), True))
-    tasks = -(-rows // ROWS_PER_TASK)
+    # a task's histograms travel, so tasks are few: two a core, unless their blocks become too many for one
+    tasks = max(min(-(-rows // ROWS_PER_TASK), 2 * spark.sparkContext.defaultParallelism), -(-rows // MOST_ROWS_PER_TASK))
 
     def written(d: DataFrame) -> DataFrame:
         path = scratch(spark, "boosting")
@@ -327,8 +366,8 @@ def fit_trials(train: DataFrame, features: Sequence[str], trials: Sequence[Trial
     def level(state: dict, r: int) -> list:
         """One job: the validation loss where a round begins, and the best split of every open node."""
         allowed = {t: [i for i in own[t] if _chosen(np.array([i], np.uint64), colsample, seed + 1_000_003 * r + 7919 * t)[0]] or own[t] for t in state}
-        found = (blocks.mapInArrow(_histograms({t: (since[t], tree.arrays(), nodes) for t, (tree, nodes) in state.items()}, n_f, n_t, width,
-                                               subsample, seed + r), "trial int, node int, sums binary")
+        found = (blocks.mapInArrow(_histograms({t: (since[t], tree.arrays(), nodes) for t, (tree, nodes) in state.items()}, allowed, n_f, n_t,
+                                               width, subsample, seed + r), "trial int, node int, sums binary")
                  .groupBy("trial", "node").applyInArrow(
                      _best_split(n_f, width, allowed, {t: trials[t].min_rows for t in state}, list(map(len, grid))), _SPLIT))
         return found.collect()      # a row per trial and open node
@@ -369,7 +408,7 @@ def fit_trials(train: DataFrame, features: Sequence[str], trials: Sequence[Trial
         if not live:
             break
         if max(len(since[t]) for t in live) >= KEEP_TREES:
-            blocks = written(blocks.mapInArrow(_with_trees(since, n_f, n_t), _BLOCK))
+            blocks = written(blocks.mapInArrow(_with_trees(since, n_f, n_t, width), _BLOCK))
             since = {t: [] for t in range(n_t)}
     out = []
     for t, trial in enumerate(trials):
