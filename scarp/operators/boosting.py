@@ -14,6 +14,7 @@ shared folder; nothing is kept on executors.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -30,6 +31,7 @@ RIDGE = 1.0
 BINS, MAX_BINS = 32, 255
 ROWS_PER_TASK, MOST_ROWS_PER_TASK, KEEP_TREES = 20_000, 500_000, 10
 BLOCK_ROWS, COUNT = 1 << 17, float(1 << 35)     # curvatures of a block sum up to COUNT at most, so COUNT can tally rows in the same float
+MOST_CELLS = 1 << 15        # of a pair of features: what stays in a core's cache
 KEYS = ("forecast_date", "transect_id")
 
 
@@ -199,7 +201,7 @@ _BLOCK = "bins binary, y binary, val binary, key binary, margin binary"
 
 
 class _Block:
-    def __init__(self, cols: list[bytes], n_features: int, n_trials: int):
+    def __init__(self, cols: list[pa.Buffer], n_features: int, n_trials: int):
         self.y = np.frombuffer(cols[1], "<f8")
         n = len(self.y)
         self.bins = np.frombuffer(cols[0], np.uint8).reshape(n_features, n)
@@ -211,7 +213,7 @@ class _Block:
 def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, n_trials: int) -> Iterator[_Block]:
     for b in batches:
         for i in range(b.num_rows):
-            yield _Block([c[i].as_py() for c in b.columns], n_features, n_trials)
+            yield _Block([c[i].as_buffer() for c in b.columns], n_features, n_trials)
 
 
 def _chosen(key: np.ndarray, share: float, seed: int) -> np.ndarray:
@@ -224,6 +226,12 @@ def _chosen(key: np.ndarray, share: float, seed: int) -> np.ndarray:
     return (z >> np.uint64(33)).astype(np.float64) < share * (1 << 31)
 
 
+def _together(features: list[int], cells: int) -> list[list[int]]:
+    """Features in pairs, which are summed over pairs of bins at once, as long as the ``cells`` of a pair are few."""
+    step = 2 if cells <= MOST_CELLS else 1
+    return [features[i:i + step] for i in range(0, len(features), step)]
+
+
 def _histograms(trials: dict, own: dict[int, list[int]], n_features: int, n_trials: int, bins: int, share: float, seed: int):
     """Per task: sums by (feature, bin) of each trial's open nodes, and the validation loss where a round begins.
 
@@ -235,11 +243,12 @@ def _histograms(trials: dict, own: dict[int, list[int]], n_features: int, n_tria
         losses: dict[int, np.ndarray] = {}
         for block in _blocks(batches, n_features, n_trials):
             use = ~block.val & _chosen(block.key, share, seed)
-            codes, y = block.bins[:, use].astype(np.intp), block.y[use]
-            held = block.bins[:, block.val].astype(np.intp)
+            if block.val.any():
+                held, v = block.bins.compress(block.val, axis=1), block.y[block.val]
+            codes, y = block.bins.compress(use, axis=1), block.y[use]
             for t, (since, tree, nodes) in walks.items():
                 if nodes == [0] and block.val.any():
-                    m, v = block.margin[t][block.val], block.y[block.val]
+                    m = block.margin[t][block.val]
                     for w in since:
                         m += w.value[w.leaves(held)]
                     loss = np.rint((np.logaddexp(0, m) - v * m) * ONE).astype(np.int64)
@@ -252,15 +261,21 @@ def _histograms(trials: dict, own: dict[int, list[int]], n_features: int, n_tria
                 # rows in closed nodes fall into one more slot, which is dropped
                 slot = np.full(len(tree.value), len(nodes))
                 slot[nodes] = np.arange(len(nodes))
-                first, size = slot[tree.leaves(codes)] * bins, (len(nodes) + 1) * bins
+                at = slot[tree.leaves(codes)]
                 if t not in sums:
                     sums[t] = np.zeros((len(nodes), 3, n_features, bins), np.int64)
-                for f in own[t] or [0]:
-                    cell = first + codes[f]
-                    gs, hs = (np.bincount(cell, x, size).reshape(-1, bins)[:-1] for x in (g, h))
-                    rows = np.floor(hs / COUNT)
-                    for i, x in enumerate((gs, hs - rows * COUNT, rows)):
-                        sums[t][:, i, f] += x.astype(np.int64)
+                for fs in _together(own[t] or [0], (len(nodes) + 1) * bins * bins):
+                    cell = at
+                    for f in fs:
+                        cell = cell * bins + codes[f]
+                    shape = (len(nodes) + 1, *[bins] * len(fs))
+                    gs, hs = (np.bincount(cell, x, math.prod(shape)).reshape(shape)[:-1] for x in (g, h))
+                    for i, f in enumerate(fs):
+                        others = tuple(j + 1 for j in range(len(fs)) if j != i)
+                        gf, hf = gs.sum(axis=others), hs.sum(axis=others)
+                        n = np.floor(hf / COUNT)
+                        for k, x in enumerate((gf, hf - n * COUNT, n)):
+                            sums[t][:, k, f] += x.astype(np.int64)
         rows = [(t, -1, x) for t, x in losses.items()]
         rows += [(t, node, x[i]) for t, x in sums.items() for i, node in enumerate(trials[t][2])]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
@@ -313,7 +328,7 @@ def _with_trees(since: dict[int, list], n_features: int, n_trials: int, bins: in
         for b in batches:
             out = []
             for block in _blocks(iter([b]), n_features, n_trials):
-                margin, codes = block.margin.copy(), block.bins.astype(np.intp)
+                margin, codes = block.margin.copy(), block.bins
                 for t, trees in walks.items():
                     for w in trees:
                         margin[t] += w.value[w.leaves(codes)]

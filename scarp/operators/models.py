@@ -13,7 +13,7 @@ from scarp.operators import metrics as M
 from scarp.operators.boosting import BoostedModel, Trial, fit_trials, score_udf
 from scarp.operators.isotonic import Calibrator, fit_isotonic
 from scarp.operators.labels import upstream_flag
-from scarp.session import settle
+from scarp.session import stored
 
 ROUNDS = 100
 GRID = {"depth": [3, 4, 5], "min_rows": [50, 200], "rate": [0.03, 0.1]}
@@ -40,7 +40,7 @@ def tune_grid(train: DataFrame, val: DataFrame, features: Sequence[str], rounds:
     grid = grid or GRID
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     models = fit_trials(train, features, [Trial(**p) for p in points], rounds, val, **kw)
-    scored = settle(score_trials(val, models, *M.KEYS, "y"))
+    scored = stored(score_trials(val, models, *M.KEYS, "y"), "tuning-scores")
     p = M.precision_at_k(scored, "raw", k, ["trial"]).groupBy("trial").agg(F.avg("precision").alias("p"))
     both = M.pr_auc(scored, "raw", ["trial"]).join(p, "trial", "left").collect()   # one row per trial
     by_trial = {r["trial"]: (r["p"] or 0.0, r["pr_auc"] or 0.0) for r in both}
@@ -80,34 +80,38 @@ def score_temporal(test: DataFrame, model: BoostedModel, cals: Mapping[str, Cali
 def spatial_holdout(df: DataFrame, features: Sequence[str], rounds: int = 100, k: int = C.TOP_K,
                     grid: Mapping[str, Iterable] | None = None) -> DataFrame:
     """Train and tune upstream, test downstream; ``df`` has a split column. Returns the scored downstream rows."""
-    half = settle(upstream_flag(df))
+    half = stored(upstream_flag(df), "halves")
     part = lambda s, up: half.where((F.col("split") == s) & (F.col("upstream") if up else ~F.col("upstream")))
     model, _ = tune_grid(part("train", True), part("val", True), features, rounds, k, grid)
     up_val = part("val", True)
-    cal = fit_isotonic(settle(model.score(up_val)), "raw")
+    cal = fit_isotonic(stored(model.score(up_val).select("raw", "y"), "upstream-scores"), "raw")
     base = fit_isotonic(up_val, "ret_84_m")
     test = M.baseline_scores(part("test", False))
-    return base.apply(final_score(test, model, cal, "M1_spatial"), "B0_persistence", "B0_p")
+    # every metric reads the scores; the trees are walked once
+    return stored(base.apply(final_score(test, model, cal, "M1_spatial"), "B0_persistence", "B0_p"), "downstream-scores")
 
 
 def ablate_groups(df: DataFrame, groups: Mapping[str, Sequence[str]], trial: Trial = Trial(), rounds: int = ROUNDS, k: int = C.TOP_K,
                   features: Sequence[str] = tuple(C.FEATURES), **kw) -> DataFrame:
     """Refit without each group, recalibrate, and report the metrics of every variant against the full model.
 
-    The variants grow together and are scored in one pass into one long table: their metrics are grouped aggregations.
+    The variants grow together and are scored in one pass, a column each; the calibrated scores are one long table, whose metrics
+    are grouped aggregations.
     """
     rest = df.where("split IN ('val', 'test')")
     variants = {"full": tuple(features), **{f"-{g}": tuple(f for f in features if f not in cols) for g, cols in groups.items()}}
     trials = [Trial(trial.depth, trial.min_rows, trial.rate, fs) for fs in variants.values()]
     models = fit_trials(df.where("split = 'train'"), features, trials, rounds, **kw)
-    raw = settle(score_trials(rest, models, "split", *M.KEYS, "y", "major"))
+    keep = ["split", *M.KEYS, "y", "major"]
+    raw = stored(rest.withColumn("_raw", score_udf(models)(models[0].vector())).select(
+        *keep, *[F.col("_raw")[n].alias(f"_raw_{n}") for n in range(len(models))]), "ablation-raw")
     parts = []
     for n, (name, fs) in enumerate(variants.items()):
-        own = raw.where(F.col("trial") == n)
+        own = raw.select(*keep, F.col(f"_raw_{n}").alias("raw"))
         cal = fit_isotonic(own.where("split = 'val'"), "raw")
         parts.append(calibrated(own, cal, "raw", "p").select(F.lit(name).alias("variant"), F.lit(len(fs)).alias("n_features"), "split",
                                                              *M.KEYS, "y", "major", "p"))
-    long = settle(reduce(DataFrame.unionByName, parts))
+    long = stored(reduce(DataFrame.unionByName, parts), "ablation-scores")
     by = ["variant", "n_features", "split"]
     s = M.summarise(long, "p", "p", k, by)
     full = s.where("variant = 'full'").select("split", "metric", F.col("value").alias("_full"))
