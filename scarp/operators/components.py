@@ -2,11 +2,13 @@
 
 Images are cut into square tiles. A tile is labelled in one array pass; what is left is a small graph between tiles, made
 from the pixels on both sides of a border and solved by alternating star contractions with a reliable checkpoint per round.
-A wider or higher image adds tiles; no task grows with it.
+A wider or higher image adds tiles; no task grows with it. Steps that keep or fill components work on tiles as arrays
+(``grids.py``): a tile labels itself, and only components that reach its border take part in the graph.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarp import config as C
+from scarp.operators import grids as G
 from scarp.operators import raster as R
 from scarp.session import settle
 
@@ -25,7 +28,7 @@ def tile_runs(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(row, c0, c1) of the runs of neighbouring pixels of a tile, by row and column; repeated pixels count once."""
     at = np.unique(row.astype(np.int64) * SPAN + col)
     first = np.flatnonzero(np.diff(at, prepend=at[:1] - 2) != 1)
-    start, end = at[first], at[np.append(first[1:], len(at)) - 1]
+    start, end = at[first], at[np.append(first, len(at))[1:] - 1]
     return start // SPAN, start % SPAN, end % SPAN
 
 
@@ -138,20 +141,108 @@ def _kept(runs: DataFrame, sizes: DataFrame, keep: Column) -> DataFrame:
     return runs.join(sizes.where(keep).select("img", "label"), ["img", "label"], "left_semi")
 
 
+# --- components of tiles -------------------------------------------------------------------------------------------
+class Parts(NamedTuple):
+    """The components of a tile and their pixels in row-major order."""
+    row: np.ndarray      # of a pixel, in the grid
+    col: np.ndarray
+    label: np.ndarray    # of a pixel: number of its component
+    node: np.ndarray     # of a component: as in ``label_components``
+    weight: np.ndarray   # of a component
+    faces: list[tuple[int, int, np.ndarray]]   # (axis, side, pixels on that border of the tile)
+
+
+def tile_parts(t: G.Tile, on: np.ndarray, weight: np.ndarray, tile: int) -> Parts:
+    row, col = np.nonzero(on)
+    first, c0, c1 = tile_runs(row, col)
+    label = np.repeat(tile_labels(first, c0, c1), c1 - c0 + 1)
+    node = (first + t.r0) * SPAN + c0 + t.c0
+    top, left = row + t.r0 - t.tr * tile, col + t.c0 - t.tc * tile
+    faces = [(0, 0, top == tile - 1), (0, 1, top == 0), (1, 0, left == tile - 1), (1, 1, left == 0)]
+    return Parts(row, col, label, node, np.bincount(label, weight[row, col], len(first)).astype(np.int64),
+                 [(axis, side, np.flatnonzero(x)) for axis, side, x in faces])
+
+
+def keep_components(tiles: DataFrame, on: Callable[[G.Tile], np.ndarray], weight: Callable[[G.Tile, dict], np.ndarray], keep: Callable,
+                    then: Callable[[G.Tile, np.ndarray], np.ndarray], tile: int) -> DataFrame:
+    """Tiles with the flags ``then(tile, kept)``, where ``kept`` are the pixels of the components of ``on`` (4-neighbour, of the
+    whole image) for which ``keep`` holds of their summed ``weight``; ``keep`` works on arrays and columns.
+
+    Components inside one tile are judged there. Those that reach its border are the nodes of the graph between tiles: pixels
+    that face each other across a border meet on their place.
+    """
+    def listed(**cols: np.ndarray) -> pa.Array:
+        values = [pa.array(v, pa.int64() if n in ("node", "n") else pa.int32()) for n, v in cols.items()]
+        return pa.ListArray.from_arrays(pa.array([0, len(values[0])], pa.int32()), pa.StructArray.from_arrays(values, list(cols)))
+
+    def count(t: G.Tile, row: dict) -> dict[str, pa.Array]:
+        p = tile_parts(t, on(t), weight(t, row), tile)
+        reach = np.unique(p.label[np.concatenate([at for _, _, at in p.faces])])
+        # the pixel below or to the right of a border pixel is the one it faces
+        r, c = (np.concatenate([x[at] + first + (side == 0 and axis == way) for axis, side, at in p.faces])
+                for way, x, first in ((0, p.row, t.r0), (1, p.col, t.c0)))
+        name = lambda k: np.concatenate([np.full(len(f[2]), f[k]) for f in p.faces])
+        node = np.concatenate([p.node[p.label[at]] for _, _, at in p.faces])
+        return {"open": listed(node=p.node[reach], n=p.weight[reach]), "faces": listed(axis=name(0), side=name(1), row=r, col=c, node=node)}
+
+    def judge(t: G.Tile, row: dict) -> dict[str, pa.Array]:
+        p = tile_parts(t, on(t), weight(t, row), tile)
+        ok = np.asarray(keep(p.weight))
+        reach = np.unique(p.label[np.concatenate([at for _, _, at in p.faces])])
+        ok[reach] = np.isin(p.node[reach], np.array(row["_nodes"] or [], np.int64))
+        kept = np.zeros(t.grid.shape, bool)
+        kept[p.row, p.col] = ok[p.label]
+        return {"grid": G.binary(then(t, kept), np.uint8)}
+
+    more = [c for c in tiles.columns if c not in G.ARROW.names]
+    own = ", ".join([G.TILES, *(f"{c} int" for c in more)])
+    counted = settle(G.each(tiles, count, f"{own}, open array<struct<node:bigint,n:bigint>>, "
+                            "faces array<struct<axis:int,side:int,row:int,col:int,node:bigint>>"))
+    f = counted.select("img", F.inline("faces"))
+    u, v = (f.where(F.col("side") == k).select("img", "axis", "row", "col", F.col("node").alias(c)) for k, c in enumerate("uv"))
+    comps = connected(u.join(v, ["img", "axis", "row", "col"]).select(F.col("img").alias("g"), "u", "v").distinct())
+    parts = counted.select(*G.KEYS, F.inline("open")).join(comps.select(F.col("g").alias("img"), "node", "label"), ["img", "node"], "left")
+    parts = parts.withColumn("label", F.coalesce("label", "node"))
+    large = parts.groupBy("img", "label").agg(F.sum("n").alias("n")).where(keep(F.col("n"))).select("img", "label")
+    nodes = parts.join(large, ["img", "label"], "left_semi").groupBy(*G.KEYS).agg(F.collect_list("node").alias("_nodes"))
+    return G.each(counted.drop("open", "faces").join(nodes, G.KEYS, "left"), judge)
+
+
+def large_parts(tiles: DataFrame, min_px: int, bridge_px: int, tile: int) -> DataFrame:
+    """Tiles with the marks of components of at least ``min_px`` marked pixels; gaps up to ``bridge_px`` join components first."""
+    def probe(wide: np.ndarray) -> np.ndarray:
+        present, mark = (wide & G.PRESENT) > 0, (wide & G.MARK) > 0
+        return G.flags(present, mark, present & (R.squares_within(mark, bridge_px) <= bridge_px * bridge_px))
+
+    def size(t: G.Tile, row: dict) -> np.ndarray:
+        n = t.has(G.MARK).astype(np.int64)
+        if bridge_px:
+            np.add.at(n.reshape(-1), t.extra, 1)   # where gaps are bridged, a pixel that is listed twice counts twice
+        return n
+
+    if bridge_px:
+        tiles = G.with_halo(tiles, bridge_px, probe, tile)
+    return keep_components(tiles, lambda t: t.has(G.NEAR if bridge_px else G.MARK), size, lambda n: n >= min_px,
+                           lambda t, kept: G.flags(t.has(G.PRESENT), kept & t.has(G.MARK)), tile)
+
+
+def enclosed_parts(tiles: DataFrame, on: Callable[[G.Tile], np.ndarray], then: Callable[[G.Tile, np.ndarray], np.ndarray], tile: int) -> DataFrame:
+    """Tiles with the flags ``then(tile, enclosed)``: components of ``on`` that reach neither the left nor the right border of the image."""
+    def reach(t: G.Tile, row: dict) -> np.ndarray:
+        col = np.arange(t.grid.shape[1]) + t.c0
+        return np.broadcast_to(((col == row["_left"]) | (col == row["_right"])).astype(np.int64), t.grid.shape)
+
+    tiles = settle(tiles)
+    span = tiles.groupBy("img").agg(F.min("c0").alias("_left"), F.max(F.col("c0") + F.col("w") - 1).alias("_right"))
+    return keep_components(tiles.join(span, "img").select(*G.ARROW.names, "_left", "_right"), on, reach, lambda n: n == 0, then, tile)
+
+
 def large_components(px: DataFrame, mask: str, min_px: int, bridge_px: int = 0, out: str = "large",
                      tile: int = TILE) -> DataFrame:
     """Keep components of at least ``min_px`` own pixels; gaps up to ``bridge_px`` join components first."""
     own = F.col(mask) == 1
-    if not bridge_px:
-        runs = label_components(px.where(own), tile)
-        return _with_flag(px, _kept(runs, component_sizes(runs), F.col("size") >= min_px), out)
-    probe = settle(R.distance_within(px, own, bridge_px, "_d"))
-    runs = label_components(probe.where(F.col("_d").isNotNull()), tile)
-    labels = probe.drop("_d").join(run_pixels(runs), ["img", "row", "col"], "left")
-    sizes = labels.where(own).groupBy("img", "label").agg(F.count(F.lit(1)).alias("size"))
-    keep = sizes.where(F.col("size") >= min_px).select("img", "label", F.lit(1).alias("_k"))
-    return labels.join(keep, ["img", "label"], "left").withColumn(
-        out, F.when(own & (F.col("_k") == 1), 1).otherwise(0)).select(*px.columns, out)
+    p = G.with_flag(px, large_parts(G.pack(px, own, tile), min_px, bridge_px, tile), out, tile)
+    return p.withColumn(out, F.when(own, F.col(out)).otherwise(0)) if bridge_px else p
 
 
 def sieve(px: DataFrame, mask: str, max_px: int = C.SPECK_PX, out: str = "sieved", tile: int = TILE) -> DataFrame:
@@ -165,11 +256,9 @@ def sieve(px: DataFrame, mask: str, max_px: int = C.SPECK_PX, out: str = "sieved
 
 def fill_holes(px: DataFrame, mask: str, out: str = "filled", tile: int = TILE) -> DataFrame:
     """Fill background that cannot reach the left or right border; top and bottom count as closed."""
-    back = label_components(px.where(F.coalesce(F.col(mask), F.lit(0)) != 1), tile)
-    width = px.groupBy("img").agg(F.min("col").alias("_c0"), F.max("col").alias("_w"))
-    reach = back.groupBy("img", "label").agg(F.min("c0").alias("_l"), F.max("c1").alias("_r")).join(width, "img")
-    holes = reach.where((F.col("_l") > F.col("_c0")) & (F.col("_r") < F.col("_w"))).select("img", "label")
-    p = _with_flag(px, back.join(holes, ["img", "label"], "left_semi"), "_h")
+    back = G.pack(px, F.coalesce(F.col(mask), F.lit(0)) != 1, tile)
+    holes = enclosed_parts(back, lambda t: t.has(G.MARK), lambda t, kept: G.flags(t.has(G.PRESENT), kept), tile)
+    p = G.with_flag(px, holes, "_h", tile)
     return p.withColumn(out, F.when((F.col(mask) == 1) | (F.col("_h") == 1), 1).otherwise(0)).drop("_h")
 
 
@@ -191,7 +280,15 @@ def braid_belt(px: DataFrame, mask: str, line: Sequence[tuple[float, float]] | D
         p = R.burn_lines(px, mask, line, half_width, out="_b")
     else:
         p = R.burn_line(px, mask, line, half_width, out="_b") if line else px.withColumn("_b", F.col(mask))
-    p = large_components(p, "_b", min_px, bridge_px, "_r", tile)
-    p = settle(fill_holes(p, "_r", "_f", tile))
-    p = settle(disk_open(p, "_f", radius, "_o"))
-    return large_components(p, "_o", min_px, 0, out, tile).drop("_b", "_r", "_f", "_o")
+
+    def opened(wide: np.ndarray) -> np.ndarray:
+        present, water = (wide & G.PRESENT) > 0, (wide & G.MARK) > 0
+        far = radius * radius
+        core = water & (R.squares_within(present & ~water, radius) > far)
+        return G.flags(present, present & (R.squares_within(core, radius) <= far))
+
+    tiles = large_parts(G.pack(p, F.col("_b") == 1, tile), min_px, bridge_px, tile)
+    tiles = enclosed_parts(tiles, lambda t: t.has(G.PRESENT) & ~t.has(G.MARK),
+                           lambda t, kept: G.flags(t.has(G.PRESENT), kept | t.has(G.MARK)), tile)
+    tiles = large_parts(G.with_halo(tiles, 2 * radius, opened, tile), min_px, 0, tile)
+    return G.with_flag(px, tiles, out, tile)

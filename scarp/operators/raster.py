@@ -95,11 +95,24 @@ def opening(px: DataFrame, mask: str, out: str = "opened", tile: int = TILE) ->
     return dilate(erode(px, mask, "_e", tile), "_e", out, tile).drop("_e")
 
 
+def squares_within(hit: np.ndarray, radius: int) -> np.ndarray:
+    """Squared distance (px) of every place to the nearest hit, exact up to ``radius`` and above its square beyond: vertical
+    shifts first, then the minimum over the horizontal ones."""
+    far = np.int32(4 * radius * radius + 4)
+    g = np.where(hit, np.int32(0), far)
+    for step in (g, g.T):   # a view, so the second pass goes on from the first
+        was = step.copy()
+        for o in range(1, radius + 1):
+            np.minimum(step[o:], was[:-o] + o * o, out=step[o:])
+            np.minimum(step[:-o], was[o:] + o * o, out=step[:-o])
+    return g
+
+
 def distance_within(px: DataFrame, target: Column, radius: int, out: str = "dist", tile: int = TILE) -> DataFrame:
     """Exact distance (px) to the nearest target pixel, NULL beyond ``radius``.
 
     A minimum over shifted distances is no window aggregate, so each tile (with its halo, of fixed size) is an array
-    in its task: vertical distances first, then the minimum over the horizontal shifts.
+    in its task.
     """
     if radius >= tile:
         raise ValueError("the tile must be larger than the radius")
@@ -110,18 +123,9 @@ def distance_within(px: DataFrame, target: Column, radius: int, out: str = "dist
     def measure(tab: pa.Table) -> pa.Table:
         r = tab["row"].to_numpy() - (tab["_tr"][0].as_py() * tile - radius)
         c = tab["col"].to_numpy() - (tab["_tc"][0].as_py() * tile - radius)
-        far = np.int64(4 * size)
-        g = np.full((size, size), far, dtype=np.int64)
-        g[r, c] = np.where(tab["_hit"].to_numpy(zero_copy_only=False), 0, far)
-        for i in range(1, size):
-            np.minimum(g[i], g[i - 1] + 1, out=g[i])
-        for i in range(size - 2, -1, -1):
-            np.minimum(g[i], g[i + 1] + 1, out=g[i])
-        g *= g
-        best = g.copy()
-        for o in range(1, radius + 1):
-            np.minimum(best[:, o:], g[:, :-o] + o * o, out=best[:, o:])
-            np.minimum(best[:, :-o], g[:, o:] + o * o, out=best[:, :-o])
+        hit = np.zeros((size, size), dtype=bool)
+        hit[r, c] = tab["_hit"].to_numpy(zero_copy_only=False)
+        best = squares_within(hit, radius)
         own = (r >= radius) & (r < tile + radius) & (c >= radius) & (c < tile + radius)
         d2 = best[r[own], c[own]]
         kept = tab.filter(pa.array(own)).select(names)
