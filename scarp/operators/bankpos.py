@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,7 +69,7 @@ def distance_to_core(points: DataFrame, px: DataFrame, core: str, pixel_m: float
                      cap_px: int | None = None) -> DataFrame:
     """Exact distance (m) from bank points (img, row, col, ...) to the nearest core pixel of their image.
 
-    Points meet the column distances of their own image row, and all points of a row are solved together.
+    Points meet the column distances of their own image row, and all points of a strip of rows are solved together.
     NULL without a core or beyond ``cap_px``; a point outside the rows of its image has none.
     """
     out = "dist_main_channel_m"
@@ -78,16 +79,17 @@ def distance_to_core(points: DataFrame, px: DataFrame, core: str, pixel_m: float
     schema = T.StructType([*points.schema.fields, T.StructField(out, T.DoubleType())])
     names = points.columns
 
-    def measure(p: pa.Table, row: pa.Table) -> pa.Table:
-        if not len(p) or not len(row):
+    def measure(p: pa.Table, near: pa.Table) -> pa.Table:
+        placed = pc.and_(pc.is_valid(p["row"]), pc.is_valid(p["col"]))
+        asked, lost = p.filter(placed).select(names), p.filter(pc.invert(placed)).select(names)
+        if not len(asked) or not len(near):
             return p.select(names).append_column(out, pa.nulls(len(p), pa.float64()))
-        p, row = p.sort_by("col"), row.sort_by("col")
-        c, s, d = (x.to_numpy().astype("int64") for x in (p["col"], row["col"], row["_g"]))
-        d2 = R.nearest_squares(c, s, d * d)
-        far = None if cap_px is None else d2 > cap_px * cap_px
-        return p.select(names).append_column(out, pa.array(np.sqrt(d2.astype(float)) * pixel_m, mask=far))
+        d2, none = R.row_squares(*(x.to_numpy().astype(np.int64) for x in (asked["row"], asked["col"], near["row"], near["col"], near["_g"])))
+        far = none if cap_px is None else none | (d2 > cap_px * cap_px)
+        solved = asked.append_column(out, pa.array(np.sqrt(d2.astype(float)) * pixel_m, mask=far))
+        return pa.concat_tables([solved, lost.append_column(out, pa.nulls(len(lost), pa.float64()))])
 
-    return points.groupBy("img", "row").cogroup(g.groupBy("img", "row")).applyInArrow(measure, schema)
+    return points.groupBy("img", R.strip_of()).cogroup(g.groupBy("img", R.strip_of())).applyInArrow(measure, schema)
 
 
 def belt_area(px: DataFrame, pixel_m: float = C.PIXEL_M) -> DataFrame:

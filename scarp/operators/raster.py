@@ -22,6 +22,7 @@ SMOOTH_STRETCH = 4096
 LINE_CELL = 32    # pixels of a side of a cell of the line index
 LINE_PART = 4096
 BAND_ROWS = 1024
+STRIP_ROWS = 32   # image rows solved together
 
 
 # --- focal machinery -----------------------------------------------------------------------------------------------
@@ -161,6 +162,26 @@ def nearest_squares(at: np.ndarray, src: np.ndarray, g: np.ndarray) -> np.ndarra
     return low
 
 
+def strip_of(row: str = "row") -> Column:
+    return F.floor(F.col(row) / STRIP_ROWS)
+
+
+def row_squares(row: np.ndarray, col: np.ndarray, src_row: np.ndarray, src_col: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min over the sources j of the same row of (col - src_col_j)^2 + g_j^2, and where a row has none; any order.
+
+    The rows are laid out one after the other, so far apart that a source of another row is never the nearest.
+    """
+    names, rank = np.unique(np.concatenate([row, src_row]), return_inverse=True)
+    low = min(col.min(), src_col.min())
+    width, high = max(col.max(), src_col.max()) - low, g.max()
+    apart = width + int(np.sqrt(float(width * width + high * high))) + 2
+    at, src = rank[:len(row)] * apart + col - low, rank[len(row):] * apart + src_col - low
+    order, by = np.argsort(at, kind="stable"), np.argsort(src, kind="stable")
+    out = np.empty(len(at), np.int64)
+    out[order] = nearest_squares(at[order], src[by], (g * g)[by])
+    return out, ~np.isin(row, src_row)
+
+
 def column_distances(px: DataFrame, target: Column, out: str, band: int = BAND_ROWS) -> DataFrame:
     """Add the distance (px) to the nearest target pixel of the same image column, NULL without one.
 
@@ -183,20 +204,19 @@ def column_distances(px: DataFrame, target: Column, out: str, band: int = BAND_R
 def distance_to(px: DataFrame, target: Column, out: str = "dist") -> DataFrame:
     """Exact distance (px) to the nearest target pixel of the image, however far; NULL in an image without one.
 
-    Vertical distances come from bands of each image column; each image row then is one array.
+    Vertical distances come from bands of each image column; a strip of some image rows then is one array.
     """
     schema = T.StructType([*px.schema.fields, T.StructField(out, T.DoubleType())])
     names = px.columns
 
     def measure(tab: pa.Table) -> pa.Table:
-        tab = tab.sort_by("col")
         src = tab.filter(pc.is_valid(tab["_g"]))
         if not len(src):
             return tab.select(names).append_column(out, pa.nulls(len(tab), pa.float64()))
-        c, s, g = (x.to_numpy().astype(np.int64) for x in (tab["col"], src["col"], src["_g"]))
-        return tab.select(names).append_column(out, pa.array(np.sqrt(nearest_squares(c, s, g * g).astype(float))))
+        d2, none = row_squares(*(x.to_numpy().astype(np.int64) for x in (tab["row"], tab["col"], src["row"], src["col"], src["_g"])))
+        return tab.select(names).append_column(out, pa.array(np.sqrt(d2.astype(float)), mask=none))
 
-    return column_distances(px, target, "_g").groupBy("img", "row").applyInArrow(measure, schema)
+    return column_distances(px, target, "_g").groupBy("img", strip_of()).applyInArrow(measure, schema)
 
 
 # --- calibration and thresholds ------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from scarp.operators import bankpos as B
 from scarp.operators import components as CC
 from scarp.operators import grids as G
 from scarp.operators import raster as R
@@ -39,7 +40,7 @@ def test_pixels_without_a_place_and_repeated_ones(spark):
     a = river(7)
     px = pixels(spark, a)
     want = image(CC.braid_belt(px, "mask", None, 30, 0, 1, tile=32), "belt", a.shape)
-    lost = spark.createDataFrame([("R", None, 4, 1), ("R", 4, None, 1), (None, 4, 4, 1)], px.select("img", "row", "col", "mask").schema)
+    lost = spark.createDataFrame([("i", None, 4, 1), ("i", 4, None, 1), (None, 4, 4, 1)], px.select("img", "row", "col", "mask").schema)
     twice = px.select("img", "row", "col", "mask").unionByName(px.select("img", "row", "col", "mask").where("row < 10")).unionByName(lost)
     got = CC.braid_belt(twice, "mask", None, 30, 0, 1, tile=32)
     assert got.count() == a.size + 10 * a.shape[1] + 3
@@ -65,3 +66,22 @@ def test_squares_within():
         got = R.squares_within(hit, radius)
         near = want <= radius ** 2
         assert np.array_equal(got[near], want[near]) and (got[~near] > radius ** 2).all()
+
+
+def test_rows_of_a_strip_do_not_mix(spark):
+    """Rows with far, near and no sources, solved together; a point without a column has no distance."""
+    rng = np.random.default_rng(2)
+    row, src_row = rng.integers(0, 40, 300), rng.integers(0, 40, 60)
+    col, src_col, g = rng.integers(0, 500, 300), rng.integers(0, 500, 60), rng.integers(0, 2000, 60)
+    got, none = R.row_squares(row, col, src_row, src_col, g)
+    for k in range(300):
+        same = src_row == row[k]
+        assert none[k] == (not same.any())
+        assert none[k] or got[k] == ((col[k] - src_col[same]) ** 2 + g[same] ** 2).min()
+
+    a = np.zeros((50, 60), int)
+    a[45, 2] = 1
+    points = spark.createDataFrame([(r, "i", r, c) for r in (3, 31, 32, 45) for c in (0, 59, None)], "id int, img string, row int, col int")
+    for r in B.distance_to_core(points, pixels(spark, a), "mask", 1.0).collect():
+        d = r["dist_main_channel_m"]
+        assert d is None if r["col"] is None else abs(d - np.hypot(r["row"] - 45, r["col"] - 2)) < 1e-9
