@@ -137,15 +137,14 @@ def with_flag(px: DataFrame, tiles: DataFrame, out: str, tile: int) -> DataFrame
 # --- what lies in the tiles around ---------------------------------------------------------------------------------
 def with_halo(tiles: DataFrame, reach: int, change: Callable[[np.ndarray], np.ndarray], tile: int) -> DataFrame:
     """Tiles with the flags ``change(wide grid)`` returns in the same shape; it sees ``reach`` pixels of the tiles around."""
-    if reach >= tile:
-        raise ValueError("the tile must be larger than the radius")
+    near = range(-(-(-reach // tile)), -(-reach // tile) + 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 t = tile_of(row)
                 out = [{**row, "own": True}]
-                for tr, tc in ((t.tr + i, t.tc + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j):
+                for tr, tc in ((t.tr + i, t.tc + j) for i in near for j in near if i or j):
                     r, c = (max(k * tile - reach - at, 0) for k, at in ((tr, t.r0), (tc, t.c0)))
                     r1, c1 = (max((k + 1) * tile + reach - at, 0) for k, at in ((tr, t.r0), (tc, t.c0)))
                     cut = t.grid[r:r1, c:c1]

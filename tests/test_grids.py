@@ -32,8 +32,8 @@ def test_belt_writes_no_row_per_pixel(spark, monkeypatch):
 
 def test_belt_is_the_same_for_any_tile(spark):
     a = river(5)
-    one, many = (image(CC.braid_belt(pixels(spark, a), "mask", None, 40, 1, 2, tile=t), "belt", a.shape) for t in (128, 13))
-    assert np.array_equal(one, many) and 0 < one.sum() < a.size
+    one, many, small = (image(CC.braid_belt(pixels(spark, a), "mask", None, 40, 1, 2, tile=t), "belt", a.shape) for t in (128, 13, 3))
+    assert np.array_equal(one, many) and np.array_equal(one, small) and 0 < one.sum() < a.size
 
 
 def test_pixels_without_a_place_and_repeated_ones(spark):
