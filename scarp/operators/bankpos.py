@@ -123,7 +123,9 @@ def bank_positions(masks: DataFrame, samples: DataFrame, s0: float, step: float,
         "land_dist")
     core = (F.col("water") == 1) & F.coalesce(F.col("land_dist") >= core_px, F.lit(True))
     px = settle(px.withColumn("core", core.cast("int")))
-    seen = sample_raster(samples.select("transect_id", "sample", "row", "col"), px, ["belt", "water", "nodata", "land_dist"])
+    # samples are exploded from transects, and the engine takes them for as small as those: it would broadcast them all
+    samples = samples.select("transect_id", "sample", "row", "col").hint("merge")
+    seen = sample_raster(samples, px, ["belt", "water", "nodata", "land_dist"])
     banks = settle(measure_banks(seen, s0, step, pixel_m, near_m=near_m, shield_m=shield_m, guard_m=guard_m))
     at = banks.where("valid = 1").select("img", "transect_id", F.col("idx").alias("sample")).join(samples, ["transect_id", "sample"])
     far = distance_to_core(at.select("img", "transect_id", "row", "col"), px, "core", pixel_m)

@@ -2,6 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from scarp import session
 from scarp.operators import bankpos as B
 from scarp.operators import components as CC
 from scarp.operators import grids as G
@@ -85,3 +86,20 @@ def test_rows_of_a_strip_do_not_mix(spark):
     for r in B.distance_to_core(points, pixels(spark, a), "mask", 1.0).collect():
         d = r["dist_main_channel_m"]
         assert d is None if r["col"] is None else abs(d - np.hypot(r["row"] - 45, r["col"] - 2)) < 1e-9
+
+
+def test_samples_are_not_broadcast(spark, monkeypatch):
+    plans, plain = [], session.settle
+
+    def settle(df):
+        done = plain(df)
+        if "bank_pos_m" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(session, "settle", settle)
+    a = river()
+    rows = spark.range(a.shape[0]).select(F.col("id").cast("int").alias("row")).distinct()
+    at = rows.select(F.col("row").alias("transect_id"), F.explode(F.sequence(F.lit(0), F.lit(a.shape[1] - 1))).alias("sample"), "row")
+    got = B.bank_positions(pixels(spark, a), at.withColumn("col", F.col("sample")), 0.0, 10.0, 30, bridge_px=1, radius=1)
+    assert got.count() == a.shape[0] and len(plans) == 1 and "BroadcastHashJoin" not in plans[0]
