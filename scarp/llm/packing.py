@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scarp.llm.texts import id_and_text, stored
+from scarp.llm.texts import id_and_text, lean, stored
 from scarp.llm.tokens import WORD_BPE, coded, encoder, tokenizer_file
 
 WINDOW, OPEN_WINDOWS, MIN_CUT, END_ID = 4096, 16, 16, 2
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, window: int = WINDOW, open_
         yield packer.batch()
 
     done, level = [], 0
-    part = stored(id_and_text(docs).mapInArrow(run, _SCHEMA), "packed-0")
+    part = stored(id_and_text(docs).mapInArrow(lean(run, "tokens"), _SCHEMA), "packed-0")
     while True:
         done.append(part.where(~F.col("leftover")))
         left = part.where("leftover")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scarp.llm.texts import apart, raw_texts, stored, words
+from scarp.llm.texts import apart, lean, raw_texts, stored, words
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 SIGNIFICANT, MIN_DOCS, REACH = 8, 100, 5
@@ -61,7 +61,7 @@ def measures(docs: DataFrame) -> DataFrame:
                        F.col("source").cast("string").alias("source"), _hash(text).alias("_hash"), text.alias("text"))
     kinds = "doc_id long, lang string, source string, _hash long, " + ", ".join(f"{n} long" for n in _BASE)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return slim.mapInArrow(run, kinds).withColumn("base_failed", failed)
+    return slim.mapInArrow(lean(run), kinds).withColumn("base_failed", failed)
 
 
 def _hash(text: Column) -> Column:

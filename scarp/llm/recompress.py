@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, islice
 from operator import eq
 
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scarp.llm.texts import apart, pieces, raw_texts, words
+from scarp.llm.texts import apart, lean, pieces, raw_texts, remembers, words
 
 WINDOW = 20
 CAPS = (2, 3, 6, 7)         # most words of a symbol after each round
@@ -47,6 +47,8 @@ BUCKET_BYTES = 16 << 20     # of text per bucket
 NO_ID = -(1 << 63)
 _VOCABULARY = 1 << 18
 _PIECE = 2 << 20            # of text handled at once
+_SLICE = 1 << 16            # words whose names of several words are held at once
+_OWN = "words"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -72,15 +74,19 @@ class _Vocabulary(dict):
             names.append(xxhash.xxh64_intdigest(w, seed))
         return n
 
+    def forget(self) -> None:
+        self.clear()
+        self.names = array("Q"), array("Q")
+
     def of(self, docs: list[list[bytes]], lanes: int) -> list[np.ndarray]:
         if len(self) > _VOCABULARY:
-            self.clear()
-            self.names = array("Q"), array("Q")
+            self.forget()
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(docs)), np.int64, sum(map(len, docs)))
         return [np.frombuffer(self.names[i], np.uint64)[at] for i in range(lanes)]
 
 
 _VOCAB = _Vocabulary()
+remembers(_OWN, _VOCAB.forget)
 
 
 def symbol_starts(name: np.ndarray, doc_starts: np.ndarray, caps: tuple[int, ...] = CAPS) -> np.ndarray:
@@ -147,6 +153,22 @@ class _Text:
         return (self.run < at) & (self.run_end - at >= WINDOW)
 
 
+def _slices(text: _Text) -> Iterator[tuple[int, int]]:
+    """(first word, end) of stretches of whole documents, about _SLICE words each unless one document is longer."""
+    first = text.lo[np.flatnonzero(np.diff(text.lo // _SLICE, prepend=-1))]
+    return ((int(a), int(z)) for a, z in zip(first, np.r_[first[1:], len(text.doc)]) if a < z)
+
+
+def _named(text: _Text, name: np.ndarray, at: np.ndarray, of: Callable[[dict, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``of`` the places ``at``, which are in order and name words of their own document only."""
+    out = np.empty(len(at), np.uint64)
+    for a, z in _slices(text):
+        i, k = np.searchsorted(at, (a, z))
+        if i < k:
+            out[i:k] = of(_names(name[a:z]), at[i:k] - a)
+    return out
+
+
 # Blobs: entries of several documents, sorted by document: each document once with its number of entries.
 
 def _blob(text: _Text, at: np.ndarray, extra: tuple[np.ndarray, ...] = ()) -> bytes:
@@ -161,14 +183,25 @@ def _packed(ids: np.ndarray, counts: np.ndarray, place: np.ndarray, extra: tuple
     return b"".join(p.tobytes() for p in parts)
 
 
-def _unblob(raw: bytes, extra: tuple[str, ...] = ()) -> list[np.ndarray]:
-    """[ids (n, 2), place, extra..] with one row per entry."""
-    m, n = np.frombuffer(raw, "<u4", 2)
+def _unblob(raw: pa.Buffer, extra: tuple[str, ...] = ()) -> list[np.ndarray]:
+    """Views: ids (m, 2) and number of entries of each document, place and extras of each entry."""
+    m, n = (int(x) for x in np.frombuffer(raw, "<u4", 2))
     at, out = 8, []
     for count, kind in ((2 * m, "<i8"), (m, "<u4"), (n, "<u4"), *((n, k) for k in extra)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
-    return [np.repeat(out[0].reshape(-1, 2), out[1], axis=0), *out[2:]]
+    return [out[0].reshape(-1, 2), *out[1:]]
+
+
+def _ranked(blobs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """[different ids in order, row of each entry there, place, extra..]: ids are held once per document, not per entry."""
+    ids, counts = (np.concatenate([x[i] for x in blobs]) for i in range(2))
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    ids = ids[order]
+    new = np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)]
+    rank = np.empty(len(ids), np.int32)
+    rank[order] = np.cumsum(new) - 1
+    return [ids[new], np.repeat(rank, counts), *(np.concatenate([x[i] for x in blobs]) for i in range(2, len(blobs[0])))]
 
 
 _DEALT = "bucket long, known boolean, blob binary"
@@ -205,16 +238,18 @@ def _start_entries(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in pieces((r for b in batches for r in _documents(b)), _PIECE):
             docs = [(d, h, w) for d, h, raw in some if len(w := words(raw)) >= WINDOW]
+            some.clear()
             if not docs:
                 continue
             text = _Text(docs, 1)
-            j = symbol_starts(text.names[0], text.lo)
+            del docs        # the words themselves
+            j = np.concatenate([a + symbol_starts(text.names[0][a:z], text.lo[(text.lo >= a) & (text.lo < z)] - a) for a, z in _slices(text)])
             inside = (j - text.lo[text.doc[j]] >= CONTEXT) & (text.hi[text.doc[j]] - j >= CONTEXT)
             deep = (j - text.run[j] > WINDOW - CONTEXT) & (text.run_end[j] - j >= WINDOW - CONTEXT)
             j = j[inside & ~deep]
             if not len(j):
                 continue
-            name = _around(_names(text.names[0]), j)
+            name = _named(text, text.names[0], j, _around)
             _, first, which, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
             again = np.ones(len(j), bool)
             again[first] = False
@@ -226,54 +261,58 @@ def _start_entries(buckets: int):
     return run
 
 
-def _to_shards(ids: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Entries for the documents' shards, a blob each."""
+def _to_shards(ids: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Entries (row of ``ids``, place) for the documents' shards, a blob each."""
     shard = ids[:, 1] % buckets
-    order = np.lexsort((place, ids[:, 1], ids[:, 0], shard))
-    ids, place, shard = ids[order], place[order], shard[order]
+    by = np.argsort(shard, kind="stable")
+    at = np.empty(len(by), np.int32)
+    at[by] = np.arange(len(by))
+    doc = at[doc]
+    counts = np.bincount(doc, minlength=len(by))
+    place = place[np.lexsort((place, doc))]
+    ends = np.r_[0, np.cumsum(counts)]
     rows = []
-    for i in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1):
-        d = ids[i]
-        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]).any(axis=1)])
-        rows.append((int(shard[i[0]]), True, _packed(d[first], np.diff(np.r_[first, len(d)]), place[i])))
+    for d in np.split(np.arange(len(by)), np.flatnonzero(np.diff(shard[by])) + 1):
+        a, z = ends[d[0]], ends[d[-1] + 1]
+        if a < z:
+            some = d[counts[d] > 0]
+            rows.append((int(shard[by[d[0]]]), True, _packed(ids[by[some]], counts[some], place[a:z])))
     return _dealt(rows)
 
 
 def _per_document(ranges: bool):
     """One row per document of this task's shards with its places, or with the ranges [a, b) of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_unblob(x) for b in batches for x in b.column(2).to_pylist()]
+        found = [_unblob(x.as_buffer()) for b in batches for x in b.column(2)]
         if not found:
             return
-        ids, place = (np.concatenate([f[i] for f in found]) for i in range(2))
-        order = np.lexsort((place, ids[:, 1], ids[:, 0]))
-        ids, place = ids[order], place[order]
-        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
+        ids, doc, place = _ranked(found)
+        del found
+        ends = np.cumsum(np.bincount(doc, minlength=len(ids)))
+        place = place[np.lexsort((place, doc))]
         places = []
-        for a, z in zip(first, np.r_[first[1:], len(ids)]):
+        for a, z in zip(np.r_[0, ends[:-1]], ends):
             p = place[a:z]
             if ranges:
                 cut = np.flatnonzero(np.diff(p.astype(np.int64)) > 1)
                 p = np.stack([p[np.r_[0, cut + 1]], p[np.r_[cut, len(p) - 1]] + 1], 1).ravel()
             places.append(p.astype("<u4").tobytes())
-        yield pa.record_batch([pa.array(ids[first, 0]), pa.array(ids[first, 1]), pa.array(places, pa.binary())],
+        yield pa.record_batch([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(places, pa.binary())],
                               ["_doc", "_hash", "places"])
     return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...]):
-    """All entries of this task's buckets; those known to be repeats pass through as (ids, place)."""
+    """All entries of this task's buckets as of ``_ranked``: those known to be repeats, the others, and the bucket of these."""
     known, rest, bucket = [], [], []
     for b in batches:
-        for k, is_known, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for k, is_known, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             if is_known:
-                known.append(_unblob(blob))
+                known.append(_unblob(x.as_buffer()))
             else:
-                rest.append(_unblob(blob, extra))
-                bucket.append((k, len(rest[-1][1])))
-    cat = lambda xs, i: np.concatenate([x[i] for x in xs])
-    n = len(extra) + 2
-    return ([cat(known, i) for i in range(2)] if known else None, [cat(rest, i) for i in range(n)] if rest else None,
+                rest.append(_unblob(x.as_buffer(), extra))
+                bucket.append((k, len(rest[-1][2])))
+    return (_ranked(known) if known else None, _ranked(rest) if rest else None,
             np.repeat(*np.array(bucket, np.int64).T) if bucket else None)
 
 
@@ -282,17 +321,21 @@ def _repeated_starts(buckets: int):
         known, rest, bucket = _gather(batches, ("<u4", "u1", "u1"))
         if known:
             yield _to_shards(*known, buckets)
+        del known
         if rest is None:
             return
-        ids, place, high, low, flag = rest
-        name = (bucket.astype(np.uint64) << np.uint64(40)) | (high.astype(np.uint64) << np.uint64(8)) | low
+        ids, doc, place, high, low, flag = rest
+        name = bucket.view(np.uint64)       # in place
+        name <<= np.uint64(32)
+        name |= high
+        name <<= np.uint64(8)
+        name |= low
         order = np.argsort(name, kind="stable")
-        n = name[order]
-        group = np.cumsum(np.r_[True, n[1:] != n[:-1]]) - 1
-        again = (np.bincount(group) > 1) | (np.bincount(group, flag[order]) > 0)
-        hit = order[again[group]]
+        name = name[order]
+        same = name[1:] == name[:-1]
+        hit = order[np.r_[False, same] | np.r_[same, False] | (flag[order] > 0)]
         if len(hit):
-            yield _to_shards(ids[hit], place[hit], buckets)
+            yield _to_shards(ids, doc[hit], place[hit], buckets)
     return run
 
 
@@ -309,6 +352,7 @@ def _window_entries(buckets: int):
             # Rows that repeat a document are one document here.
             docs = {(d, h): (p, raw) for d, h, p, raw in some}
             keys = sorted(docs)
+            some.clear()
             text = _Text([(*k, words(docs[k][1])) for k in keys], 2)
             wanted = np.zeros(len(text.doc) + 1, np.int64)
             for k, lo, hi in zip(keys, text.lo, text.hi):
@@ -322,7 +366,7 @@ def _window_entries(buckets: int):
             s = np.flatnonzero((np.cumsum(wanted)[:-1] > 0) & ~text.deep())
             if not len(s):
                 continue
-            a, b = (_windows(_names(n), s) for n in text.names)
+            a, b = (_named(text, n, s, _windows) for n in text.names)
             order = np.lexsort((b, a))      # stable: the first of a group is the first by document and place
             x, y = a[order], b[order]
             new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
@@ -337,19 +381,20 @@ def _later_windows(buckets: int):
         known, rest, _ = _gather(batches, ("<u8", "<u4"))
         if known:
             yield _to_shards(*known, buckets)
+        del known
         if rest is None:
             return
-        ids, place, a, b = rest
-        order = np.lexsort((place, ids[:, 1], ids[:, 0], b, a))
+        ids, doc, place, a, b = rest
+        order = np.lexsort((place, doc, b, a))
         x, y = a[order], b[order]
         new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
         head = np.flatnonzero(new)
         first = order[np.repeat(head, np.diff(np.r_[head, len(order)]))]
         # The same window of the same document from two pieces (its rows are repeated) is one occurrence.
-        same = (ids[first] == ids[order]).all(axis=1) & (place[first] == place[order])
+        same = (doc[first] == doc[order]) & (place[first] == place[order])
         later = order[~new & ~same]
         if len(later):
-            yield _to_shards(ids[later], place[later], buckets)
+            yield _to_shards(ids, doc[later], place[later], buckets)
     return run
 
 
@@ -393,13 +438,13 @@ def _marked(docs: DataFrame) -> DataFrame:
     bucket = F.col("bucket").cast("int")      # a task per bucket: dealing them by hash would give some tasks several
 
     def joined(shards: DataFrame, ranges: bool, how: str) -> DataFrame:
-        found = shards.repartitionById(buckets, bucket).mapInArrow(_per_document(ranges), "_doc long, _hash long, places binary")
+        found = shards.repartitionById(buckets, bucket).mapInArrow(lean(_per_document(ranges), _OWN), "_doc long, _hash long, places binary")
         return dealt.join(found.hint("shuffle_hash"), ["_doc", "_hash"], how)
 
-    entries = keyed.select("_doc", "_hash", "text").mapInArrow(_start_entries(buckets), _DEALT)
-    starts = entries.repartitionById(buckets, bucket).mapInArrow(_repeated_starts(buckets), _DEALT)
-    windows = joined(starts, False, "inner").mapInArrow(_window_entries(buckets), _DEALT)
-    later = windows.repartitionById(buckets, bucket).mapInArrow(_later_windows(buckets), _DEALT)
+    entries = keyed.select("_doc", "_hash", "text").mapInArrow(lean(_start_entries(buckets), _OWN), _DEALT)
+    starts = entries.repartitionById(buckets, bucket).mapInArrow(lean(_repeated_starts(buckets), _OWN), _DEALT)
+    windows = joined(starts, False, "inner").mapInArrow(lean(_window_entries(buckets), _OWN), _DEALT)
+    later = windows.repartitionById(buckets, bucket).mapInArrow(lean(_later_windows(buckets), _OWN), _DEALT)
     return joined(later, True, "left")
 
 
@@ -417,7 +462,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             yield _to_batch(rows, [*[pa.int64()] * 3, pa.string()], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _marked(slim).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _marked(slim).mapInArrow(lean(run, _OWN), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -435,5 +480,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([col[n] for n in names], names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-    out = _marked(rows).mapInArrow(run, schema).toDF(*docs.columns)
+    out = _marked(rows).mapInArrow(lean(run, _OWN), schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
