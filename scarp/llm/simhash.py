@@ -198,18 +198,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
-    """The rows of ``docs`` less all but one of each near-duplicate group: its smallest doc_id stays.
+    """One row of ``docs`` for each near-duplicate group: the smallest doc_id stays, and none only where no row of the group has one.
 
-    ``groups`` gives (doc_id, component_id) of every row. doc_id names a document: rows that repeat it with the same text are one,
-    rows with different texts all stay. Rows without doc_id stay, as nothing names them. An empty table stays empty; other
-    columns, whatever their names, are passed through, those of repeated rows from the row that compares smallest.
+    ``groups`` gives (doc_id, component_id) of every row; it is asked about texts, each under its 64-bit hash, as doc_id may repeat or be
+    missing. Different texts under one doc_id are judged each on its own; of those in one group, the text of the smallest hash stays.
+    An empty table stays empty; other columns, whatever their names, are passed through, those of repeated rows from the row
+    that compares smallest.
     """
-    found = (groups(docs).where(F.col("doc_id") == F.col("component_id"))
-             .select(F.col("doc_id").alias("_keep")).distinct())
     rows, names = apart(docs, ("doc_id", "text"))
+    t1, t2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    keyed = rows.withColumns({"_t1": t1, "_t2": t2})
+    named = groups(docs.select(F.xxhash64(F.col("text")).alias("doc_id"), "text")).select(F.col("doc_id").alias("_t1"), "component_id").distinct()
+    # a row per text before the join, so that copies don't meet in one task
+    texts = keyed.groupBy("_t1", "_t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id")).alias("_id"))
+    first = texts.join(named, "_t1").groupBy("component_id").agg(F.min(F.struct("_id", "_t1", "_t2")).alias("_first"))
+    found = first.select(F.col("_first._id.doc_id").alias("_keep"), F.col("_first._t1").alias("_k1"), F.col("_first._t2").alias("_k2"))
     others = [F.col(f"`{c}`") for c in names if c != "doc_id"]
-    kept = (rows.join(found, F.col("doc_id") == F.col("_keep"), "left_semi")
-            .groupBy("doc_id", F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2"))
-            .agg(F.min(F.struct(*others)).alias("_row"))
-            .select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in names]))
-    return kept.unionByName(rows.where(F.col("doc_id").isNull())).toDF(*docs.columns)
+    kept = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_t1") == F.col("_k1")) & (F.col("_t2") == F.col("_k2")), "left_semi")
+    return (kept.groupBy("doc_id", "_t1", "_t2").agg(F.min(F.struct(*others)).alias("_row"))
+            .select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in names]).toDF(*docs.columns))

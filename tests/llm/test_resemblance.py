@@ -65,5 +65,17 @@ def test_stage_finds_near_copies_beyond_two_bits(spark):
     assert left < {r.doc_id for r in keep_one(docs).collect()}
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(make_docs):
+    text = lambda c, n=100, **at: " ".join(at.get(f"_{i}", f"{c}{i}") for i in range(n))
+    w, z, k = text("w"), text("z"), text("k")
+    rows = [(1, w), (None, text("w", _50="x")), (None, w), (2, text("w", _50="x")), (2, z), (3, text("z", _50="x")), (4, "q " * 60), (4, "q " * 60),
+            (None, z + " a"), (None, "u v w"), (None, "u V w"), (None, None), (None, ""), (5, k), (5, text("k", _99="x")), (6, text("m")), (6, text("n"))]
+    for shuffled in (rows, rows[::-1]):
+        kept = keep_one(make_docs(shuffled, extra=True), R.near_duplicates)
+        got = sorted((str(r.doc_id), (r.text or "")[:2].lower()) for r in kept.collect())
+        assert got == [("1", "w0"), ("2", "z0"), ("4", "q "), ("5", "k0"), ("6", "m0"), ("6", "n0"), ("None", ""), ("None", "u ")]
+        assert kept.columns == make_docs(rows, extra=True).columns
+
+
 def test_empty(make_docs):
     assert R.near_duplicates(make_docs([])).count() == 0 and keep_one(make_docs([]), R.near_duplicates).count() == 0
