@@ -1,14 +1,16 @@
 """Gradient-boosted trees by histograms, for many trials at once.
 
 Features are cut into bins once; bin 0 stands for a missing value, whose side every split learns. Training rows lie in blocks of some
-thousand rows, as bytes. A round grows one tree of every trial (a grid point, or a variant with fewer features) level by level. A
-level is one job: each block adds up gradients, curvatures and rows by (trial, node, feature, bin), the blocks' histograms meet by
-(trial, node), and the best split comes out. The driver sees splits only, never rows or histograms.
+ten thousand rows, as bytes. A round grows one tree of every trial (a grid point, or a variant with fewer features) level by level. A
+level is one job: each block adds up gradients, curvatures and rows by (trial, node, feature, bin). Of two sisters only the one with
+fewer rows is added up; the other is what is left of their parent. The driver holds the histograms of the open nodes, whose size
+follows trials, nodes and bins and not the rows, and finds the splits; where those of all tasks would be too many for it,
+they are added up by (trial, node) on the executors first.
 
 Gradients are whole multiples of 2**-20, so sums are exact and the trees do not depend on how rows are dealt out. Row and feature
 samples come from hashes of the row's key, the round and the seed. The margins of a block are those written at the last
 checkpoint plus the few trees grown since, so lineage stays short and a lost executor costs one level. Blocks are written to the
-shared folder; nothing is kept on executors.
+shared folder; executors keep a copy in memory or on disk, which is read again from there when it is lost.
 
 ``max_rows`` bounds the labelled rows that a fit uses; the rows are picked by key hash. By default there is no bound.
 """
@@ -20,7 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from scarp.functions.ordering import key_hash
@@ -30,7 +33,8 @@ ONE = float(1 << 20)        # gradients and curvatures count in units of 2**-20
 RIDGE = 1.0
 BINS, MAX_BINS = 32, 255
 ROWS_PER_TASK, MOST_ROWS_PER_TASK, KEEP_TREES = 20_000, 500_000, 10
-BLOCK_ROWS, COUNT = 1 << 17, float(1 << 35)     # curvatures of a block sum up to COUNT at most, so COUNT can tally rows in the same float
+BLOCK_ROWS, COUNT = 1 << 16, float(1 << 35)     # curvatures of a block sum up to less than COUNT, so COUNT can tally rows in the same float
+DRIVER_BYTES = 64 << 20     # of histograms that a level may bring to the driver
 MOST_CELLS = 1 << 15        # of a pair of features: what stays in a core's cache
 KEYS = ("forecast_date", "transect_id")
 
@@ -83,6 +87,24 @@ class _Walk:
             depth[[left[i], right[i]]] = depth[i] + 1
         self.depth = int(depth.max())
 
+        # a right child follows its left one, see Tree.split
+        self.splits = [(int(i), int(feature[i]), int(limit[i]), bool(missing_left[i]), int(left[i] - i)) for i in np.flatnonzero(feature >= 0)]
+
+    def places(self, bins: np.ndarray) -> np.ndarray:
+        """As ``leaves``, for bins of a byte: split by split over all columns, as comparisons of bytes are much faster than look-ups."""
+        at = np.zeros(bins.shape[1], np.min_scalar_type(len(self.value)))
+        for node, f, limit, missing_left, step in self.splits:
+            # without one, a missing value's 0 becomes 255
+            right = bins[f] > limit if missing_left else bins[f] - np.uint8(1) >= limit
+            if node:
+                here = at == node
+                right &= here
+                at += here * at.dtype.type(step)
+                at += right
+            else:
+                at = right.astype(at.dtype) + at.dtype.type(step)
+        return at
+
     def leaves(self, bins: np.ndarray, visit=None) -> np.ndarray:
         """The leaf of every column of ``bins`` (features, rows)."""
         n = bins.shape[1]
@@ -187,13 +209,24 @@ def bin_edges(train: DataFrame, features: Sequence[str], bins: int = BINS) -> di
 
 
 def _to_block(edges: list[np.ndarray], n_trials: int, base: float):
+    def block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        parts = [np.concatenate(x, axis=-1) for x in zip(*held)]
+        parts.append(np.full((n_trials, len(parts[1])), base))
+        return pa.record_batch([pa.array([p.tobytes()], pa.binary()) for p in parts], ["bins", "y", "val", "key", "margin"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in (b.slice(i, BLOCK_ROWS) for b in batches for i in range(0, b.num_rows, BLOCK_ROWS)):
+            if n + b.num_rows > BLOCK_ROWS:
+                yield block(held)
+                held, n = [], 0
             x = _matrix(b.column(0), len(edges))
             bins = np.stack([np.where(np.isnan(v), 0, 1 + np.searchsorted(e, v, side="left")) for v, e in zip(x, edges)]).astype(np.uint8)
             y, val, key = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            parts = (bins, y.astype("<f8"), val.astype(np.uint8), key.astype("<u8"), np.full((n_trials, b.num_rows), base))
-            yield pa.record_batch([pa.array([p.tobytes()], pa.binary()) for p in parts], ["bins", "y", "val", "key", "margin"])
+            held.append((bins, y.astype("<f8"), val.astype(np.uint8), key.astype("<u8")))
+            n += b.num_rows
+        if held:
+            yield block(held)
     return run
 
 
@@ -210,6 +243,10 @@ class _Block:
         self.margin = np.frombuffer(cols[4], "<f8").reshape(n_trials, n)
 
 
+def _batch(row: Row) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x], pa.binary()) for x in row], list(row.__fields__))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, n_trials: int) -> Iterator[_Block]:
     for b in batches:
         for i in range(b.num_rows):
@@ -232,50 +269,61 @@ def _together(features: list[int], cells: int) -> list[list[int]]:
     return [features[i:i + step] for i in range(0, len(features), step)]
 
 
+def _sums(codes: np.ndarray, at: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray, features: list[int], bins: int) -> np.ndarray:
+    """(node, 3, feature, bin): gradients, curvatures and rows of the columns of ``codes``, whose nodes are ``at``."""
+    out = np.zeros((2, nodes, len(codes), bins))
+    start: dict[int, np.ndarray] = {}
+    for fs in _together(features, nodes * bins * bins):
+        size = bins ** len(fs)
+        if size not in start:
+            start[size] = at.astype(np.intp) * size
+        inner = codes[fs[0]] if len(fs) == 1 else codes[fs[0]].astype(np.uint16) * np.uint16(bins) + codes[fs[1]]
+        cell = start[size] + inner
+        shape = (nodes, *[bins] * len(fs))
+        for k, x in enumerate((g, h)):
+            table = np.bincount(cell, x, nodes * size).reshape(shape)
+            for i, f in enumerate(fs):
+                out[k, :, f] = table.sum(axis=2 - i) if len(fs) > 1 else table
+    n = np.floor(out[1] / COUNT)
+    return np.stack([out[0], out[1] - n * COUNT, n], axis=1).astype(np.int64)
+
+
 def _histograms(trials: dict, own: dict[int, list[int]], n_features: int, n_trials: int, bins: int, share: float, seed: int):
-    """Per task: sums by (feature, bin) of each trial's open nodes, and the validation loss where a round begins.
+    """Per task: sums by (feature, bin) of some nodes of each trial, and the validation loss where a round begins.
 
-    ``trials``: number -> (trees since the last checkpoint, tree in growth, its open nodes). ``own``: the features summed for each.
+    ``trials``: number -> (trees since the last checkpoint, tree in growth, nodes to add up). ``own``: the features summed for each.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = {t: ([_Walk(a, a[1], bins) for a in since], _Walk(tree, tree[1], bins), nodes) for t, (since, tree, nodes) in trials.items()}
         sums: dict[int, np.ndarray] = {}
         losses: dict[int, np.ndarray] = {}
         for block in _blocks(batches, n_features, n_trials):
-            use = ~block.val & _chosen(block.key, share, seed)
-            if block.val.any():
-                held, v = block.bins.compress(block.val, axis=1), block.y[block.val]
-            codes, y = block.bins.compress(use, axis=1), block.y[use]
+            used = np.flatnonzero(~block.val & _chosen(block.key, share, seed))
+            codes, y = block.bins.take(used, axis=1), block.y[used]
+            held = np.flatnonzero(block.val)
+            if len(held):
+                held_codes, v = block.bins.take(held, axis=1), block.y[held]
             for t, (since, tree, nodes) in walks.items():
-                if nodes == [0] and block.val.any():
-                    m = block.margin[t][block.val]
+                if nodes == [0] and len(held):
+                    m = block.margin[t][held]
                     for w in since:
-                        m += w.value[w.leaves(held)]
+                        m += w.value[w.places(held_codes)]
                     loss = np.rint((np.logaddexp(0, m) - v * m) * ONE).astype(np.int64)
                     losses[t] = losses.get(t, np.zeros(2, np.int64)) + [loss.sum(), len(loss)]
-                margin = block.margin[t][use]
+                mine, my, rows = codes, y, used
+                at = np.zeros(len(used), np.uint8)
+                if nodes != [0]:        # rows in other nodes take no part
+                    slot = np.full(len(tree.value), len(nodes), np.min_scalar_type(len(nodes)))
+                    slot[nodes] = np.arange(len(nodes))
+                    at = slot[tree.places(codes)]
+                    here = np.flatnonzero(at < len(nodes))
+                    mine, my, rows, at = codes.take(here, axis=1), y[here], used[here], at[here]
+                margin = block.margin[t][rows]
                 for w in since:
-                    margin += w.value[w.leaves(codes)]
+                    margin += w.value[w.places(mine)]
                 p = _sigmoid(margin)
-                g, h = np.rint((p - y) * ONE), np.rint(p * (1 - p) * ONE) + COUNT
-                # rows in closed nodes fall into one more slot, which is dropped
-                slot = np.full(len(tree.value), len(nodes))
-                slot[nodes] = np.arange(len(nodes))
-                at = slot[tree.leaves(codes)]
-                if t not in sums:
-                    sums[t] = np.zeros((len(nodes), 3, n_features, bins), np.int64)
-                for fs in _together(own[t] or [0], (len(nodes) + 1) * bins * bins):
-                    cell = at
-                    for f in fs:
-                        cell = cell * bins + codes[f]
-                    shape = (len(nodes) + 1, *[bins] * len(fs))
-                    gs, hs = (np.bincount(cell, x, math.prod(shape)).reshape(shape)[:-1] for x in (g, h))
-                    for i, f in enumerate(fs):
-                        others = tuple(j + 1 for j in range(len(fs)) if j != i)
-                        gf, hf = gs.sum(axis=others), hs.sum(axis=others)
-                        n = np.floor(hf / COUNT)
-                        for k, x in enumerate((gf, hf - n * COUNT, n)):
-                            sums[t][:, k, f] += x.astype(np.int64)
+                got = _sums(mine, at, len(nodes), np.rint((p - my) * ONE), np.rint(p * (1 - p) * ONE) + COUNT, own[t] or [0], bins)
+                sums[t] = sums[t] + got if t in sums else got
         rows = [(t, -1, x) for t, x in losses.items()]
         rows += [(t, node, x[i]) for t, x in sums.items() for i, node in enumerate(trials[t][2])]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
@@ -283,43 +331,43 @@ def _histograms(trials: dict, own: dict[int, list[int]], n_features: int, n_tria
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    for b in batches:
+        for trial, node, x in zip(*(c.to_pylist() for c in b.columns)):
+            yield (trial, node), np.frombuffer(x, "<i8")
+
+
 def _value(g: float, h: float) -> float:
     return -(g / ONE) / (h / ONE + RIDGE)
 
 
-_SPLIT = "trial int, node int, feature int, bin int, missing_left boolean, g long, h long, n long, gl long, hl long, nl long"
-
-
-def _best_split(n_features: int, bins: int, allowed: dict[int, list[int]], min_rows: dict[int, int], n_edges: list[int]):
-    """The split of a node with the largest gain (to nine decimals); ties go to the first feature, then the lowest cut, then missing right."""
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        trial, node = key[0].as_py(), key[1].as_py()
-        total = sum(np.frombuffer(x.as_py(), "<i8") for x in t["sums"])
-        if node == -1:
-            row = (trial, -1, -1, 0, False, int(total[0]), 0, int(total[1]), 0, 0, 0)
-        else:
-            hist = total.reshape(3, n_features, bins)
-            g, h, n = (int(x) for x in hist[:, (allowed[trial] or [0])[0]].sum(axis=1))
-            best = (0.0, -1, 0, False, 0, 0, 0)
-            for f in allowed[trial]:
-                k = n_edges[f]
-                low = np.cumsum(hist[:, f, 1:k + 1], axis=1)
-                for missing_left in (False, True):
-                    gl, hl, nl = low + hist[:, f, :1] * missing_left
-                    ok = (nl >= min_rows[trial]) & (n - nl >= min_rows[trial])
-                    if not ok.any():
-                        continue
-                    def term(a, b):
-                        return (a / ONE) ** 2 / (b / ONE + RIDGE)
-                    gain = np.round(term(gl, hl) + term(g - gl, h - hl) - term(g, h), 9)
-                    gain[~ok] = 0.0
-                    i = int(np.argmax(gain))
-                    if gain[i] > best[0] or (gain[i] == best[0] and f == best[1] and i + 1 < best[2]):
-                        best = (float(gain[i]), f, i + 1, missing_left, int(gl[i]), int(hl[i]), int(nl[i]))
-            row = (trial, node, best[1], best[2], best[3], g, h, n, *best[4:])
-        kinds = [pa.int32()] * 4 + [pa.bool_()] + [pa.int64()] * 6
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _SPLIT.split(", ")])
-    return run
+@dataclass
+class _Split:
+    """The best split of a node, feature -1 if there is none: sums of gradients, curvatures and rows of the node and of its left child."""
+    feature: int
+    bin: int
+    missing_left: bool
+    node: tuple[int, int, int]
+    low: tuple[int, int, int]
+
+
+def best_split(hist: np.ndarray, features: list[int], min_rows: int, n_edges: list[int]) -> _Split:
+    """The split of (3, feature, bin) sums with the largest gain (to nine decimals); ties go to the first feature, then the lowest cut, then
+    missing right."""
+    total = tuple(int(x) for x in hist[:, (features or [0])[0]].sum(axis=1))
+    if features:
+        g, h, n = total
+        own = hist[:, features]
+        low = np.cumsum(own[:, :, 1:-1], axis=2)[..., None] + own[:, :, :1, None] * np.array([0, 1])     # feature, cut, missing left
+        gl, hl, nl = low
+        cut = np.arange(low.shape[2])[:, None] < np.array([n_edges[f] for f in features])[:, None, None]
+        ok = (nl >= min_rows) & (n - nl >= min_rows) & cut
+        term = lambda a, b: (a / ONE) ** 2 / (b / ONE + RIDGE)
+        gain = np.where(ok, np.round(term(gl, hl) + term(g - gl, h - hl) - term(g, h), 9), 0.0)
+        f, c, missing_left = np.unravel_index(int(np.argmax(gain)), gain.shape) if gain.size else (0, 0, 0)
+        if gain.size and gain[f, c, missing_left] > 0:
+            return _Split(features[f], int(c) + 1, bool(missing_left), total, tuple(int(x) for x in low[:, f, c, missing_left]))
+    return _Split(-1, 0, False, total, (0, 0, 0))
 
 
 def _with_trees(since: dict[int, list], n_features: int, n_trials: int, bins: int):
@@ -331,12 +379,20 @@ def _with_trees(since: dict[int, list], n_features: int, n_trials: int, bins: in
                 margin, codes = block.margin.copy(), block.bins
                 for t, trees in walks.items():
                     for w in trees:
-                        margin[t] += w.value[w.leaves(codes)]
+                        margin[t] += w.value[w.places(codes)]
                 out.append(margin.tobytes())
             yield pa.record_batch([*(b.column(i) for i in range(4)), pa.array(out, pa.binary())], ["bins", "y", "val", "key", "margin"])
     return run
 
 
+@dataclass
+class _Growth:
+    """A tree, the open nodes to add up, and the others: node -> (its parent's sums, the sister that is added up)."""
+    tree: Tree
+    added: list[int]
+    left_over: dict[int, tuple[np.ndarray, int]] = field(default_factory=dict)
+
+
 # --- fitting -------------------------------------------------------------------------------------------------------
 def fit_trials(train: DataFrame, features: Sequence[str], trials: Sequence[Trial], rounds: int = 100, valid: DataFrame | None = None,
                patience: int = 10, edges: Mapping[str, Sequence[float]] | None = None, bins: int = BINS, subsample: float = 0.8,
@@ -371,52 +427,71 @@ def fit_trials(train: DataFrame, features: Sequence[str], trials: Sequence[Trial
         return spark.read.schema(_BLOCK).parquet(path).coalesce(tasks)
 
     n_f, n_t = len(features), len(trials)
+    def held(d: DataFrame) -> RDD:
+        """A level is a short job; blocks that executors hold spare it the reading and planning."""
+        return d.rdd.map(_batch).persist(StorageLevel.MEMORY_AND_DISK)
+
     blocks = written(data.repartition(tasks, "key").mapInArrow(_to_block(grid, n_t, base), _BLOCK))
+    near = held(blocks)
     own = {t: [i for i, f in enumerate(features) if trial.features is None or f in trial.features] for t, trial in enumerate(trials)}
     grown: list[list[Tree]] = [[] for _ in trials]
     since: dict[int, list] = {t: [] for t in range(n_t)}
     losses: list[list[float]] = [[] for _ in trials]
     live = set(range(n_t))
 
-    def level(state: dict, r: int) -> list:
-        """One job: the validation loss where a round begins, and the best split of every open node."""
-        allowed = {t: [i for i in own[t] if _chosen(np.array([i], np.uint64), colsample, seed + 1_000_003 * r + 7919 * t)[0]] or own[t] for t in state}
-        found = (blocks.mapInArrow(_histograms({t: (since[t], tree.arrays(), nodes) for t, (tree, nodes) in state.items()}, allowed, n_f, n_t,
-                                               width, subsample, seed + r), "trial int, node int, sums binary")
-                 .groupBy("trial", "node").applyInArrow(
-                     _best_split(n_f, width, allowed, {t: trials[t].min_rows for t in state}, list(map(len, grid))), _SPLIT))
-        return found.collect()      # a row per trial and open node
+    n_edges = list(map(len, grid))
+
+    def level(state: dict, allowed: dict, r: int) -> dict:
+        """One job: (trial, node) -> sums of the nodes to add up, and at node -1 the validation loss where a round begins."""
+        found = near.mapPartitions(_histograms({t: (since[t], s.tree.arrays(), s.added) for t, s in state.items()}, allowed, n_f, n_t, width,
+                                               subsample, seed + r)).mapPartitions(_named)
+        if tasks * 24 * n_f * width * sum(len(s.added) for s in state.values()) > DRIVER_BYTES:
+            found = found.reduceByKey(np.add, tasks)
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for key, x in found.collect():     # one of each task, trial and node, or of each trial and node
+            sums[key] = sums[key] + x if key in sums else x
+        return {k: x if k[1] < 0 else x.reshape(3, n_f, width) for k, x in sums.items()}
 
     for r in range(rounds + (valid is not None)):
-        state = {t: (Tree(), [0]) for t in sorted(live)}
+        state = {t: _Growth(Tree(), [0]) for t in sorted(live)}
+        allowed = {t: [i for i in own[t] if _chosen(np.array([i], np.uint64), colsample, seed + 1_000_003 * r + 7919 * t)[0]] or own[t] for t in state}
         depth = 0
         while state:
-            splits = level(state, r)
-            for s in splits:
-                if s["node"] == -1:
-                    losses[s["trial"]].append(s["g"] / ONE / max(s["n"], 1))
+            sums = level(state, allowed, r)
             if depth == 0:
                 for t in sorted(live):
+                    if (t, -1) in sums:
+                        loss, n = (int(x) for x in sums[t, -1])
+                        losses[t].append(loss / ONE / max(n, 1))
                     best = int(np.argmin(losses[t])) if losses[t] else r
                     if r - best >= patience or r == rounds:
                         live.discard(t)
-                state = {t: v for t, v in state.items() if t in live}
+                state = {t: s for t, s in state.items() if t in live}
+                for t, s in state.items():
+                    grown[t].append(s.tree)
             nxt = {}
-            for s in sorted(splits, key=lambda s: (s["trial"], s["node"])):
-                t, node = s["trial"], s["node"]
-                if node == -1 or t not in state:
-                    continue
-                tree, rate = state[t][0], trials[t].rate
-                if node == 0:
-                    tree.value[0] = rate * _value(s["g"], s["h"])
-                if s["feature"] >= 0:
-                    values = (rate * _value(s["gl"], s["hl"]), rate * _value(s["g"] - s["gl"], s["h"] - s["hl"]))
-                    both = tree.split(node, s["feature"], s["bin"], float(grid[s["feature"]][s["bin"] - 1]), s["missing_left"], values)
+            for t, s in state.items():
+                tree, rate = s.tree, trials[t].rate
+                hists = {node: sums[t, node] for node in s.added if (t, node) in sums}
+                hists |= {node: parent - hists[sister] for node, (parent, sister) in s.left_over.items() if sister in hists}
+                grow = _Growth(tree, [])
+                for node in sorted(hists):
+                    hist = hists[node]
+                    split = best_split(hist, allowed[t], trials[t].min_rows, n_edges)
+                    g, h, n = split.node
+                    if node == 0:
+                        tree.value[0] = rate * _value(g, h)
+                    if split.feature < 0:
+                        continue
+                    gl, hl, nl = split.low
+                    left, right = tree.split(node, split.feature, split.bin, float(grid[split.feature][split.bin - 1]), split.missing_left,
+                                             (rate * _value(gl, hl), rate * _value(g - gl, h - hl)))
                     if depth + 1 < trials[t].depth:
-                        nxt.setdefault(t, (tree, []))[1].extend(both)
-            for t in state:
-                if depth == 0:
-                    grown[t].append(state[t][0])
+                        few, many = (left, right) if 2 * nl <= n else (right, left)
+                        grow.added.append(few)
+                        grow.left_over[many] = (hist, few)
+                if grow.added:
+                    nxt[t] = grow
             state, depth = nxt, depth + 1
         for t in live:
             since[t].append(grown[t][-1].arrays())
@@ -424,7 +499,10 @@ def fit_trials(train: DataFrame, features: Sequence[str], trials: Sequence[Trial
             break
         if max(len(since[t]) for t in live) >= KEEP_TREES:
             blocks = written(blocks.mapInArrow(_with_trees(since, n_f, n_t, width), _BLOCK))
+            near.unpersist()
+            near = held(blocks)
             since = {t: [] for t in range(n_t)}
+    near.unpersist()
     out = []
     for t, trial in enumerate(trials):
         keep = int(np.argmin(losses[t])) if losses[t] else len(grown[t])
