@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,9 +14,10 @@ from scarp.operators import metrics as M
 from scarp.operators.boosting import BoostedModel, Trial, fit_trials, score_udf
 from scarp.operators.isotonic import Calibrator, fit_isotonic
 from scarp.operators.labels import upstream_flag
-from scarp.session import stored
+from scarp.session import shared_dir, stored
 
 ROUNDS = 100
+AT_ONCE = 4     # calibrators fitted at the same time: each is a row of short jobs
 GRID = {"depth": [3, 4, 5], "min_rows": [50, 200], "rate": [0.03, 0.1]}
 
 
@@ -50,9 +52,16 @@ def tune_grid(train: DataFrame, val: DataFrame, features: Sequence[str], rounds:
     return models[max(range(len(models)), key=lambda n: quality[n])], trials
 
 
+def _fit_each(parts: Sequence[tuple[DataFrame, str]]) -> list[Calibrator]:
+    """A calibrator for each (rows, score)."""
+    shared_dir(parts[0][0].sparkSession)        # chosen once, before the threads
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(lambda p: fit_isotonic(*p), parts))
+
+
 def calibrate_all(val: DataFrame, scores: Sequence[str]) -> tuple[dict[str, Calibrator], DataFrame]:
     """Calibrators for the model and the baselines and a long report (score, bin, n, mean_pred, observed, brier)."""
-    cals = {s: fit_isotonic(val, s) for s in scores}
+    cals = dict(zip(scores, _fit_each([(val, s) for s in scores])))
     long = None
     for s, c in cals.items():
         part = c.apply(val, s, "p").select(F.lit(s).alias("score"), "p", "y")
@@ -84,8 +93,7 @@ def spatial_holdout(df: DataFrame, features: Sequence[str], rounds: int = 100, k
     part = lambda s, up: half.where((F.col("split") == s) & (F.col("upstream") if up else ~F.col("upstream")))
     model, _ = tune_grid(part("train", True), part("val", True), features, rounds, k, grid)
     up_val = part("val", True)
-    cal = fit_isotonic(stored(model.score(up_val).select("raw", "y"), "upstream-scores"), "raw")
-    base = fit_isotonic(up_val, "ret_84_m")
+    cal, base = _fit_each([(stored(model.score(up_val).select("raw", "y"), "upstream-scores"), "raw"), (up_val, "ret_84_m")])
     test = M.baseline_scores(part("test", False))
     # every metric reads the scores; the trees are walked once
     return stored(base.apply(final_score(test, model, cal, "M1_spatial"), "B0_persistence", "B0_p"), "downstream-scores")
@@ -105,10 +113,10 @@ def ablate_groups(df: DataFrame, groups: Mapping[str, Sequence[str]], trial: Tri
     keep = ["split", *M.KEYS, "y", "major"]
     raw = stored(rest.withColumn("_raw", score_udf(models)(models[0].vector())).select(
         *keep, *[F.col("_raw")[n].alias(f"_raw_{n}") for n in range(len(models))]), "ablation-raw")
+    owns = [raw.select(*keep, F.col(f"_raw_{n}").alias("raw")) for n in range(len(models))]
+    cals = _fit_each([(own.where("split = 'val'"), "raw") for own in owns])
     parts = []
-    for n, (name, fs) in enumerate(variants.items()):
-        own = raw.select(*keep, F.col(f"_raw_{n}").alias("raw"))
-        cal = fit_isotonic(own.where("split = 'val'"), "raw")
+    for (name, fs), own, cal in zip(variants.items(), owns, cals):
         parts.append(calibrated(own, cal, "raw", "p").select(F.lit(name).alias("variant"), F.lit(len(fs)).alias("n_features"), "split",
                                                              *M.KEYS, "y", "major", "p"))
     long = stored(reduce(DataFrame.unionByName, parts), "ablation-scores")

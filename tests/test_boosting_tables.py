@@ -94,3 +94,16 @@ def test_small_batches_make_one_block():
 def batches(many, n):
     for i in range(many):
         yield pa.record_batch([pa.array([[0.1, float(i)]] * n), pa.array([1.0] * n), pa.array([False] * n), pa.array(range(n))], ["x", "y", "val", "key"])
+
+
+def test_calibrators_fitted_at_once_are_those_of_single_fits(spark, monkeypatch):
+    from scarp.operators import models as ML
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(*map(float, rng.random(3)), int(rng.random() < 0.3)) for _ in range(300)], "a double, b double, c double, y int").cache()
+    begun, fit = [], ML.fit_isotonic
+    monkeypatch.setattr(ML, "fit_isotonic", lambda d, score: begun.append(score) or fit(d, score))
+    got = ML._fit_each([(df, s) for s in "abc"])
+    assert sorted(begun) == ["a", "b", "c"]
+    for s, cal in zip("abc", got):
+        one = fit(df, s)
+        assert (cal.low.tolist(), cal.high.tolist(), cal.p.tolist(), cal.fill) == (one.low.tolist(), one.high.tolist(), one.p.tolist(), one.fill)
